@@ -1,0 +1,8 @@
+"""Streaming: nothing to build.
+
+The reporting workload this library re-expresses is batch only: every panel is
+a fresh query over the current tables, there are no event-time windows, late
+data, or state carried between requests. "Latest update" freshness is a plain
+``max`` inside the trip KPI row (operators.kpis.trip_kpis). Keeping this package
+empty is deliberate; see README.md.
+"""
