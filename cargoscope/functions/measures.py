@@ -30,7 +30,8 @@ def ratio_half_up(num: Column, den: Column, dp: int) -> Column:
     """``num / den`` rounded half away from zero at ``dp`` decimals, as DOUBLE.
 
     ``num`` and ``den`` must be integral. NULL when ``den`` is 0 or NULL (the
-    SAFE_DIVIDE / NULLIF contract).
+    SAFE_DIVIDE / NULLIF contract). The rounding itself is exact; only the final
+    DOUBLE loses digits once the rounded value exceeds 2^53 units.
     """
     n = num.cast(_WIDE_INT)
     d = den.cast(_WIDE_INT)
