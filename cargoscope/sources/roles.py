@@ -10,11 +10,12 @@ DuckDB oracle in plans/oracle.py repeats them).
 Scale notes
 -----------
 * Joins are written fact-last: orders is joined to customer/nation first (order
-  grain), then lineitem joins that once on the order key, then supplier and
-  part. Only nation and region are broadcast explicitly, and only after a bounded
-  row-count check; every other side is left to the planner, whose size threshold
-  falls back to a sort-merge join, and AQE splits skewed join partitions (a hot
-  customer or supplier) at run time.
+  grain), then lineitem joins that once on the order key with a sort-merge join
+  (both sides grow with the data, so neither is ever broadcast), then supplier
+  and part. Only nation and region are broadcast explicitly, and only after a
+  bounded row-count check; supplier, part and customer are left to the planner,
+  whose size threshold falls back to a sort-merge join, and AQE splits skewed
+  join partitions (a hot customer or supplier) at run time.
 * The lineitem-grain roles are written once as Parquet below the cluster's
   ``spark.checkpoint.dir`` and read back, so every dashboard panel scans a
   column-pruned table instead of repeating four shuffle joins, and lineage is
@@ -81,6 +82,19 @@ def _orders_with_customer(t: dict[str, DataFrame], with_region: bool) -> DataFra
     return out
 
 
+def _join_lines_to_orders(t: dict[str, DataFrame], orders: DataFrame) -> DataFrame:
+    """lineitem joined to its order with a sort-merge join, never a broadcast.
+
+    Both sides grow with the data, so neither may be broadcast on the strength
+    of a static size estimate (after column pruning a small lineitem can look
+    small enough to broadcast, which would stream the whole join from the
+    orders scan). The join shuffles both sides on the order key, which is never
+    hot (at most seven lines per order), and AQE still splits skewed partitions.
+    """
+    li = t["lineitem"]
+    return li.join(orders.hint("merge"), li["l_orderkey"] == F.col("o_orderkey"))
+
+
 def _on_time_label(late_days: Column) -> Column:
     return F.when(late_days.isNull() | (late_days <= 0), F.lit("ON TIME")).otherwise(F.lit("OFF TIME"))
 
@@ -90,11 +104,10 @@ def _trip_state() -> Column:
 
 
 def build_billing(t: dict[str, DataFrame]) -> DataFrame:
-    li = t["lineitem"]
     s = t["supplier"].select("s_suppkey", "s_name")
     p = t["part"].select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     x = (
-        li.join(_orders_with_customer(t, with_region=False), li["l_orderkey"] == F.col("o_orderkey"))
+        _join_lines_to_orders(t, _orders_with_customer(t, with_region=False))
         .join(s, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(p, F.col("l_partkey") == F.col("p_partkey"))
     )
@@ -150,10 +163,9 @@ def build_billing(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def build_trips(t: dict[str, DataFrame]) -> DataFrame:
-    li = t["lineitem"]
     s = t["supplier"].select("s_suppkey", "s_name", "s_nationkey")
     x = (
-        li.join(_orders_with_customer(t, with_region=True), li["l_orderkey"] == F.col("o_orderkey"))
+        _join_lines_to_orders(t, _orders_with_customer(t, with_region=True))
         .join(s, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(_nation(t, "sn"), F.col("s_nationkey") == F.col("sn_nationkey"))
     )
@@ -221,7 +233,7 @@ def _fingerprint(sf_dir: str, name: str) -> str:
     builder = BUILDERS[name][0]
     parts = [os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir, name, inspect.getsource(builder)]
     if name in ("billing", "trips"):
-        parts += [inspect.getsource(_orders_with_customer), inspect.getsource(_on_time_label)]
+        parts += [inspect.getsource(f) for f in (_orders_with_customer, _on_time_label, _join_lines_to_orders)]
     return hashlib.sha1("\n".join(parts).encode()).hexdigest()[:16]
 
 
@@ -245,12 +257,13 @@ def lazy_role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return builder({n: table(spark, sf_dir, n) for n in sources})
 
 
-def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def role(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) -> DataFrame:
     """The role frame ``name``; lineitem-grain roles are read from their written table.
 
     The table is written once per input folder and mapping version below the
     session's checkpoint folder, then reused by every later call (also from other
     processes: completion is marked by the ``_SUCCESS`` file of the commit).
+    ``refresh=True`` rewrites the table even if it exists.
     """
     name = ROLE_ALIASES.get(name, name)
     base = checkpoint_dir(spark)
@@ -258,9 +271,9 @@ def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return lazy_role(spark, sf_dir, name)
     path = f"{base}/cargoscope-roles/{name}-{_fingerprint(sf_dir, name)}"
     memo_key = (spark.sparkContext.applicationId, path)
-    if memo_key in _MEMO:
+    if memo_key in _MEMO and not refresh:
         return _MEMO[memo_key]
-    if not _path_exists(spark, f"{path}/_SUCCESS"):
+    if refresh or not _path_exists(spark, f"{path}/_SUCCESS"):
         frame = lazy_role(spark, sf_dir, name)
         sort_col = MATERIALISED[name]
         if sort_col:
