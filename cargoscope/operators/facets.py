@@ -77,6 +77,11 @@ def status_panel(billing: DataFrame, groups: dict[str, str] = STATUS_GROUPS, amo
     return out.orderBy("grupo", F.col("total").desc_nulls_last(), "nombre")
 
 
+def panel_group(panel: DataFrame, grupo: str) -> DataFrame:
+    """SET-2: one group of the status panel (the dashboard splits the panel by its tag)."""
+    return panel.where(F.col("grupo") == F.lit(grupo))
+
+
 def status_panel_union(billing: DataFrame, groups: dict[str, str] = STATUS_GROUPS, amount: str = "tarifa_final",
                        where: Column | None = None) -> DataFrame:
     """SET-1 written as the reference writes it: one scan per group, UNION ALL.

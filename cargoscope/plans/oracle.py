@@ -11,7 +11,8 @@ the Spark edge form: counts BIGINT, money and shares DOUBLE, datetimes ISO text.
 from __future__ import annotations
 
 from cargoscope.operators.detail import EXPORT_COLUMNS, VIEW_DETAIL_COLUMNS
-from cargoscope.operators.facets import FACT_FACETS, FREIGHT_FACET_COLUMNS, STATUS_GROUPS, TRIP_FACETS
+from cargoscope.operators.facets import (FACT_FACETS, FREIGHT_FACET_COLUMNS, STATUS_GROUPS, TRIP_FACETS,
+                                         TRIP_FACETS_EXTENDED)
 from cargoscope.operators.topk import DUE_SOON_COLUMNS, TRIP_TABLE_COLUMNS
 from cargoscope.plans.registry import (AS_OF, FACT_FILTER_ARGS, FACT_PAGE, MONTH_RANGE_ARGS,
                                        TRIP_FILTER_ARGS)
@@ -632,6 +633,7 @@ FROM billing WHERE nombre_compania IS NOT NULL GROUP BY nombre_compania""",
               ELSE '+7 días' END AS rango, dias_retrazo FROM trips
 ) GROUP BY rango ORDER BY MIN(COALESCE(dias_retrazo, 0))""",
     "trip_facets": with_roles("trips") + _facets_sql("trips", TRIP_FACETS, {}),
+    "trip_facets_extended": with_roles("trips") + _facets_sql("trips", TRIP_FACETS_EXTENDED, {}),
     "fact_facets": with_roles("billing") + _facets_sql("billing", FACT_FACETS, {"meses": "fecha_creacion"}),
     "freight_facets": with_roles("billing") + _freight_facets_body(),
     "freight_facet_counts": with_roles("billing") + f"SELECT facet, COUNT(*) AS n FROM ({_freight_facets_body()}) "

@@ -130,6 +130,7 @@ QUERIES: dict[str, Query] = {
     # buckets, facets, status panel
     "delay_buckets": _on("trips", delay_buckets),
     "trip_facets": _on("trips", P.trip_facets),
+    "trip_facets_extended": _on("trips", lambda t: FC.facets(t, FC.TRIP_FACETS_EXTENDED)),
     "fact_facets": _on("billing", P.billing_facets),
     "freight_facets": _on("freight", lambda f: FC.facets(
         f, {c: c for c in FC.FREIGHT_FACET_COLUMNS}, month_facets={"mes": "fecha"})),

@@ -59,3 +59,9 @@ def test_home_summary_counts(spark):
                        role(spark, SF001, "on_time"), role(spark, SF001, "trips")).first()
     assert r["total_oc"] == role(spark, SF001, "orders").count()
     assert r["total_fletes"] == r["total_despachos"] == r["total_viajes_pend"] == role(spark, SF001, "billing").count()
+
+
+def test_panel_split_by_group(spark):
+    panel = FC.status_panel(role(spark, SF001, "billing"))
+    parts = [FC.panel_group(panel, g).count() for g in FC.STATUS_GROUPS]
+    assert sum(parts) == panel.count() and all(n > 0 for n in parts)
