@@ -63,18 +63,28 @@ def facet_counts(facet_values: DataFrame) -> DataFrame:
     return facet_values.groupBy("facet").agg(F.count(F.lit(1)).alias("n")).orderBy("facet")
 
 
-def status_panel(billing: DataFrame, groups: dict[str, str] = STATUS_GROUPS, amount: str = "tarifa_final",
-                 where: Column | None = None) -> DataFrame:
-    """SET-1: trips and amount per (group, state); NULL states dropped, '' kept.
+def status_panel_rows(billing: DataFrame, groups: dict[str, str] = STATUS_GROUPS, amount: str = "tarifa_final",
+                      where: Column | None = None) -> DataFrame:
+    """SET-1 without the presentation order: trips and amount per (group, state).
 
-    One scan and one aggregate, equal to the UNION ALL of one GROUP BY per group.
+    NULL states are dropped and '' is kept. One scan and one aggregate, equal to
+    the UNION ALL of one GROUP BY per group.
     """
     if where is not None:
         billing = billing.where(where)
     m = BillingMeasures(amount=amount)
     long = _long_form(billing, {g: F.col(c) for g, c in groups.items()}, [amount], "grupo", "nombre")
-    out = long.where(present("nombre")).groupBy("grupo", "nombre").agg(m.trips("viajes"), m.total("total"))
-    return out.orderBy("grupo", F.col("total").desc_nulls_last(), "nombre")
+    return long.where(present("nombre")).groupBy("grupo", "nombre").agg(m.trips("viajes"), m.total("total"))
+
+
+def panel_order(panel: DataFrame) -> DataFrame:
+    return panel.orderBy("grupo", F.col("total").desc_nulls_last(), "nombre")
+
+
+def status_panel(billing: DataFrame, groups: dict[str, str] = STATUS_GROUPS, amount: str = "tarifa_final",
+                 where: Column | None = None) -> DataFrame:
+    """SET-1: the panel, ordered by group and amount."""
+    return panel_order(status_panel_rows(billing, groups, amount, where))
 
 
 def panel_group(panel: DataFrame, grupo: str) -> DataFrame:

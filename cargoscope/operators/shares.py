@@ -1,19 +1,24 @@
 """WIN-1..3 and DRV-1..3: set-level shares and same-row derived measures.
 
 These run on an already aggregated result (one row per category, company or
-month), never on the fact table. A window without a partition key moves its
-rows to one task, which is only acceptable because the input is that small
-aggregate; with a partition key the window is evaluated per group.
+month), never on the fact table. Even so, no operator moves a whole result or
+group into one task: a grand total is a scalar subquery (a partially
+aggregated one-row result used as a constant), and per-group totals are a
+group-by joined back on the group key, instead of a window whose partition
+would have to sit in one task. The aggregated input is checkpointed first
+(reliably, in the session's checkpoint folder), so the fact table is scanned
+once even though the totals read the aggregate a second time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cargoscope.functions import measures as M
 from cargoscope.functions.tags import billed_pct_band, compliance_band
+from cargoscope.session import checkpoint_dir
 
 
 def _integral(df: DataFrame, c: str) -> Column:
@@ -26,18 +31,38 @@ def _integral(df: DataFrame, c: str) -> Column:
     raise TypeError(f"{c} must be a decimal or integer column, got {dtype.simpleString()}")
 
 
+def _reusable(df: DataFrame) -> DataFrame:
+    """Cut the aggregate's lineage so a second read does not rescan the fact table."""
+    if checkpoint_dir(df.sparkSession) is None:
+        return df
+    return df.checkpoint(eager=True)
+
+
+def _with_whole(df: DataFrame, part: Column, agg, partition_by: list[str]) -> tuple[DataFrame, Column]:
+    """``df`` plus the aggregate ``agg(part)`` over all rows, or over each ``partition_by`` group."""
+    if not partition_by:
+        return df, df.select(agg(part)).scalar()
+    keys = [f"_key{i}" for i in range(len(partition_by))]
+    wholes = df.groupBy(*[F.col(c).alias(k) for c, k in zip(partition_by, keys)]).agg(agg(part).alias("_whole"))
+    cond = [df[c].eqNullSafe(wholes[k]) for c, k in zip(partition_by, keys)]
+    joined = df.join(wholes, cond, "left").drop(*keys)
+    return joined, F.col("_whole")
+
+
 def share_of_total(df: DataFrame, value: str, name: str, partition_by: list[str] = (), dp: int = 1) -> DataFrame:
-    """WIN-1: value / total of its partition, as a percentage; NULL when the total is 0."""
-    w = Window.partitionBy(*partition_by) if partition_by else Window.partitionBy()
+    """WIN-1: value / total (of its ``partition_by`` group) as a percentage; NULL when the total is 0."""
+    df = _reusable(df)
     v = _integral(df, value)
-    return df.withColumn(name, M.ratio_half_up(v * F.lit(100), F.sum(v).over(w), dp))
+    out, whole = _with_whole(df, v, F.sum, list(partition_by))
+    return out.withColumn(name, M.ratio_half_up(v * F.lit(100), whole, dp)).drop("_whole")
 
 
 def share_of_max(df: DataFrame, value: str, name: str, partition_by: list[str] = (), dp: int = 0) -> DataFrame:
-    """WIN-2: bar length, value / largest value as a whole percentage."""
-    w = Window.partitionBy(*partition_by) if partition_by else Window.partitionBy()
+    """WIN-2: bar length, value / largest value (of its group) as a whole percentage."""
+    df = _reusable(df)
     v = _integral(df, value)
-    return df.withColumn(name, M.ratio_half_up(v * F.lit(100), F.max(v).over(w), dp))
+    out, whole = _with_whole(df, v, F.max, list(partition_by))
+    return out.withColumn(name, M.ratio_half_up(v * F.lit(100), whole, dp)).drop("_whole")
 
 
 def latest_month(trend: DataFrame, key: str = "mes", pct: str = "pct_fact") -> DataFrame:

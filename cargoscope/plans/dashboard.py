@@ -61,8 +61,8 @@ def dispatch_panel(billing: DataFrame, **filters: str) -> DataFrame:
 
 def status_panel(billing: DataFrame, **filters: str) -> DataFrame:
     """SET-1 + WIN-1: the four status groups with each state's share of its group."""
-    panel = FC.status_panel(billing, where=fact_filter(**filters))
-    return SH.share_of_total(panel, "total", "pct_grupo", partition_by=["grupo"])
+    panel = FC.status_panel_rows(billing, where=fact_filter(**filters))
+    return FC.panel_order(SH.share_of_total(panel, "total", "pct_grupo", partition_by=["grupo"]))
 
 
 def pending_top(billing: DataFrame, **filters: str) -> DataFrame:
