@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargoscope.functions.predicates import present
 from cargoscope.functions.scalars import day_text, month_key, year_text
 from cargoscope.functions.tags import accounting_tag, collection_tag, dispatch_tag, flt_tag
 from cargoscope.operators.topk import sort_keys
+from cargoscope.session import checkpoint_dir
 
 
 def fact_detail(billing: DataFrame) -> DataFrame:
@@ -21,22 +22,59 @@ def fact_detail(billing: DataFrame) -> DataFrame:
     )
 
 
-def page(df: DataFrame, keys: list[tuple[str, str]], page_no: int = 1, size: int = 50) -> DataFrame:
+# Pages ending within this many rows use the top-k plan; deeper pages use the global rank.
+SHALLOW_PAGE_ROWS = 10_000
+
+
+def page(df: DataFrame, keys: list[tuple[str, str]], page_no: int = 1, size: int = 50,
+         shallow_rows: int = SHALLOW_PAGE_ROWS) -> DataFrame:
     """PAG-1: page ``page_no`` (1-based) of ``size`` rows in a complete, repeatable order.
 
-    Plans as ``TakeOrderedAndProject(limit=offset+size, offset=offset)``: each
-    task keeps only ``offset + size`` rows, so the cost grows with the page
-    number, not with the table. Whole results go out through sinks.export_detail.
+    Shallow pages plan as ``TakeOrderedAndProject(limit=offset+size, offset=offset)``:
+    each task keeps ``offset + size`` rows, which is cheap while that is small.
+    Deeper pages never merge ``offset + size`` rows in one place: they take the
+    rows whose global rank falls in the page from a distributed sort
+    (``ranked_page``). Both forms return the same rows.
     """
     if not isinstance(page_no, int) or page_no < 1:
         raise ValueError(f"page must be an integer >= 1, got {page_no!r}")
     if not isinstance(size, int) or size < 1:
         raise ValueError(f"page size must be an integer >= 1, got {size!r}")
-    ordered = df.orderBy(*sort_keys(df, keys))
     offset = (page_no - 1) * size
+    order = sort_keys(df, keys)
+    if offset + size > shallow_rows:
+        return ranked_page(df, order, offset, size)
+    ordered = df.orderBy(*order)
     return (ordered.offset(offset) if offset else ordered).limit(size)
 
 
+def ranked_page(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
+    """Rows ``offset .. offset+size-1`` of ``df`` in ``order``, by a distributed global rank.
+
+    1. Range-partitioned sort; each row is tagged with its partition id and its
+       position inside the partition (``monotonically_increasing_id`` keeps the
+       partition in the high bits), then checkpointed so ids are fixed.
+    2. Row counts per partition -> start offsets: one row per partition, a size
+       bound known up front (the partition count), so the running sum and the
+       broadcast of the starts are safe.
+    3. Global rank = start of the partition + position inside it; keep the page.
+    """
+    cols = df.columns
+    tagged = (df.orderBy(*order)
+              .select(*[F.col(f"`{c}`") for c in cols],
+                      F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")))
+    if checkpoint_dir(df.sparkSession) is not None:
+        tagged = tagged.checkpoint(eager=True)
+    sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    rank = F.col("_start") + (F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
+    return (tagged.join(F.broadcast(starts), "_pid")
+            .select(*[F.col(f"`{c}`") for c in cols], rank.alias("_rank"))
+            .where((F.col("_rank") >= offset) & (F.col("_rank") < offset + size))
+            .orderBy("_rank").drop("_rank"))
+
+
 def fact_page(billing: DataFrame, page_no: int = 1, size: int = 50, where: Column | None = None) -> DataFrame:
     """PAG-1 over PRJ-1: newest creation date first."""
     if where is not None:

@@ -193,6 +193,18 @@ def test_pages_concatenate_to_the_whole(spark):
         page(df, [], 1, 0)
 
 
+def test_deep_pages_by_global_rank_equal_top_k_pages(spark):
+    df = FR.billing(spark, [{"fecha_creacion": FR.ts(f"2000-{1 + i % 12:02d}-{1 + i % 28:02d}"),
+                             "id_envio": str(i % 37), "titulo": str(i)} for i in range(1000)]).repartition(5)
+    detail = df.select("fecha_creacion", "id_envio", "titulo")
+    keys = [("fecha_creacion", "desc")]
+    for page_no, size in ((1, 50), (7, 50), (20, 50), (3, 333), (21, 50)):
+        shallow = rows(page(detail, keys, page_no, size), "titulo")
+        deep = rows(page(detail, keys, page_no, size, shallow_rows=0), "titulo")
+        assert shallow == deep, (page_no, size)
+    assert rows(page(detail, keys, 21, 50, shallow_rows=0), "titulo") == []
+
+
 # FLT-7 sentinels, FLT-1/3 filters -----------------------------------------------------------
 
 def test_plate_sentinels(spark):
