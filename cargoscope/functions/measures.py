@@ -15,7 +15,9 @@ map-side and the plan stays inside whole-stage code generation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
@@ -41,6 +43,71 @@ def ratio_half_up(num: Column, den: Column, dp: int) -> Column:
     return F.when(d != 0, signed.cast("double") / F.lit(float(scale)))
 
 
+def ratio_sql(n: str, d: str, dp: int) -> str:
+    """The same rounding as ``ratio_half_up`` as SQL text over two SQL operands."""
+    s = 10 ** dp
+    num = f"CAST({n} AS DECIMAL(38,0))"
+    den = f"CAST({d} AS DECIMAL(38,0))"
+    q = f"div(abs({num}) * {2 * s} + abs({den}), abs({den}) * 2)"
+    return (f"CASE WHEN {den} <> 0 THEN CAST(CASE WHEN ({num} < 0) <> ({den} < 0) THEN -{q} ELSE {q} END "
+            f"AS DOUBLE) / CAST({s} AS DOUBLE) END")
+
+
+def ratio_of(num: str, den: str, dp: int, zero: bool = False) -> Column:
+    """``ratio_sql`` over two existing columns, as one expression (used after an aggregation)."""
+    e = ratio_sql(f"`{num}`", f"`{den}`", dp)
+    return F.expr(f"coalesce({e}, 0.0D)" if zero else e)
+
+
+@dataclass
+class Ratio:
+    """A measure computed from two aggregates after the aggregation.
+
+    ``aggregate`` computes ``num`` and ``den`` as ordinary (partial + final)
+    aggregates and then applies the exact rounding once per output row, as one
+    expression over the two named results. This keeps the plan small: the
+    aggregate sub-trees are not repeated inside the rounding formula.
+    """
+
+    num: Column
+    den: Column
+    dp: int
+    zero: bool = False
+    name: str = field(default="")
+
+    def alias(self, name: str) -> "Ratio":
+        return Ratio(self.num, self.den, self.dp, self.zero, name)
+
+
+def aggregate(target: DataFrame | GroupedData, *measures: Column | Ratio) -> DataFrame:
+    """``target.agg(*measures)`` where some measures may be ``Ratio`` specs.
+
+    Output columns are the group keys followed by the measures in order.
+    """
+    aggs: list[Column] = []
+    slots: list[tuple[str, int] | tuple[str, Ratio, str, str]] = []
+    for i, m in enumerate(measures):
+        if isinstance(m, Ratio):
+            if not m.name:
+                raise ValueError("a Ratio measure needs a name (use .alias)")
+            n_name, d_name = f"__{i}_num", f"__{i}_den"
+            aggs += [m.num.alias(n_name), m.den.alias(d_name)]
+            slots.append(("ratio", m, n_name, d_name))
+        else:
+            aggs.append(m)
+            slots.append(("plain", len(aggs) - 1))
+    out = target.agg(*aggs)
+    n_keys = len(out.columns) - len(aggs)
+    cols = [F.col(f"`{c}`") for c in out.columns[:n_keys]]
+    for slot in slots:
+        if slot[0] == "plain":
+            cols.append(F.col(f"`{out.columns[n_keys + slot[1]]}`"))
+        else:
+            _, m, n_name, d_name = slot
+            cols.append(ratio_of(n_name, d_name, m.dp, m.zero).alias(m.name))
+    return out.select(*cols)
+
+
 def cents(amount_sum: Column) -> Column:
     """A scale-2 money value as an integral number of cents."""
     return (amount_sum * F.lit(100)).cast(_WIDE_INT)
@@ -77,25 +144,25 @@ def amount_where(pred: Column, amount: str | Column) -> Column:
     return F.sum(F.when(pred, _c(amount)).otherwise(F.lit(0)))
 
 
-def amount_avg(amount: str | Column) -> Column:
+def amount_avg(amount: str | Column) -> Ratio:
     """AGF-6: ROUND(AVG(x), 2) for money, exact half-up."""
     x = _c(amount)
-    return ratio_half_up(cents(F.sum(x)), F.count(x) * F.lit(100), 2)
+    return Ratio(cents(F.sum(x)), F.count(x) * F.lit(100), 2)
 
 
-def avg_half_up(c: str | Column, dp: int, input_scale: int = 6) -> Column:
+def avg_half_up(c: str | Column, dp: int, input_scale: int = 6, zero: bool = False) -> Ratio:
     """AGF-6 for measurements: ROUND(AVG(x), dp) on values normalised to ``input_scale`` decimals."""
     x = _c(c)
     if input_scale == 0:
         total = F.sum(x.cast("long"))
     else:
         total = (F.sum(x.cast(f"decimal(18,{input_scale})")) * F.lit(10 ** input_scale)).cast(_WIDE_INT)
-    return ratio_half_up(total, F.count(x) * F.lit(10 ** input_scale), dp)
+    return Ratio(total, F.count(x) * F.lit(10 ** input_scale), dp, zero)
 
 
-def amount_share(part_sum: Column, whole_sum: Column, dp: int = 1) -> Column:
+def amount_share(part_sum: Column, whole_sum: Column, dp: int = 1) -> Ratio:
     """AGF-8/9: ROUND(SAFE_DIVIDE(part, whole) * 100, dp) on money sums; NULL on a zero total."""
-    return ratio_half_up(cents(part_sum) * F.lit(100), cents(whole_sum), dp)
+    return Ratio(cents(part_sum) * F.lit(100), cents(whole_sum), dp)
 
 
 def count_share(part: Column, whole: Column, dp: int = 1) -> Column:
@@ -103,6 +170,12 @@ def count_share(part: Column, whole: Column, dp: int = 1) -> Column:
     return ratio_half_up(part * F.lit(100), whole, dp)
 
 
+def count_share_of(part: str, whole: str, dp: int = 1, zero: bool = False) -> Column:
+    """``count_share`` over two existing count columns, as one expression."""
+    e = ratio_sql(f"`{part}` * 100", f"`{whole}`", dp)
+    return F.expr(f"coalesce({e}, 0.0D)" if zero else e)
+
+
 def or_zero(c: Column) -> Column:
     """AGF-10: the Python/JS fallback of a share or average: NULL becomes 0."""
     return F.coalesce(c, F.lit(0.0))

@@ -9,7 +9,7 @@ from cargoscope.functions.predicates import present
 from cargoscope.functions.scalars import day_text, month_key, year_text
 from cargoscope.functions.tags import accounting_tag, collection_tag, dispatch_tag, flt_tag
 from cargoscope.operators.topk import sort_keys
-from cargoscope.session import checkpoint_dir
+from cargoscope.session import can_checkpoint
 
 
 def fact_detail(billing: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def ranked_page(df: DataFrame, order: list[Column], offset: int, size: int) -> D
     tagged = (df.orderBy(*order)
               .select(*[F.col(f"`{c}`") for c in cols],
                       F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")))
-    if checkpoint_dir(df.sparkSession) is not None:
+    if can_checkpoint(df.sparkSession):
         tagged = tagged.checkpoint(eager=True)
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

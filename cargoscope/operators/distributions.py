@@ -25,7 +25,7 @@ def distribution(df: DataFrame, dim: str, blanks: str, measures: list[Column], o
     """
     if where is not None:
         df = df.where(where)
-    out = df.where(blank_policy(dim, blanks)).groupBy(dim).agg(*measures)
+    out = M.aggregate(df.where(blank_policy(dim, blanks)).groupBy(dim), *measures)
     out = out.orderBy(F.col(order_by).desc_nulls_last(), F.col(dim).asc_nulls_first())
     return out.limit(limit) if limit is not None else out
 

@@ -42,7 +42,7 @@ def home_summary(orders: DataFrame, freight: DataFrame, dispatch: DataFrame, on_
     folded = long.agg(*[c.alias(k) for k, c in pick.items()])
     return folded.select(
         "total_oc", "total_fletes", "total_despachos", "total_on_time",
-        M.or_zero(M.count_share(F.col("total_on_time"), F.col("total_ot"))).alias("on_time_pct"),
+        M.count_share_of("total_on_time", "total_ot", zero=True).alias("on_time_pct"),
         "total_viajes_pend",
     )
 
@@ -50,7 +50,8 @@ def home_summary(orders: DataFrame, freight: DataFrame, dispatch: DataFrame, on_
 def trip_kpis(trips: DataFrame, states: TripStates = TRIPS) -> DataFrame:
     """AGG-2: trip KPI row; shares and averages fall back to 0 (R4, R17)."""
     m = TripMeasures(states)
-    agg = trips.agg(
+    agg = M.aggregate(
+        trips,
         M.rows().alias("total"),
         M.count_where(m.ns_is(states.on_time)).alias("on_time_ct"),
         M.count_where(m.ns_is(states.off_time)).alias("off_time_ct"),
@@ -59,15 +60,14 @@ def trip_kpis(trips: DataFrame, states: TripStates = TRIPS) -> DataFrame:
         M.count_where(has_value("placa", states.plate_sentinels)).alias("con_placa"),
         F.max("actualizacion").alias("ultima_actualizacion"),
     )
-    total = F.col("total")
     return agg.select(
         "total", "on_time_ct", "off_time_ct",
-        M.or_zero(M.count_share(F.col("on_time_ct"), total)).alias("on_time_pct"),
-        M.or_zero(M.count_share(F.col("off_time_ct"), total)).alias("off_time_pct"),
+        M.count_share_of("on_time_ct", "total", zero=True).alias("on_time_pct"),
+        M.count_share_of("off_time_ct", "total", zero=True).alias("off_time_pct"),
         M.or_zero(F.col("cumpl_prom")).alias("cumpl_prom"),
         M.or_zero(F.col("retraso_prom")).alias("retraso_prom"),
         "con_placa",
-        M.or_zero(M.count_share(F.col("con_placa"), total)).alias("con_placa_pct"),
+        M.count_share_of("con_placa", "total", zero=True).alias("con_placa_pct"),
         "ultima_actualizacion",
     )
 
@@ -76,7 +76,8 @@ def billing_kpis(billing: DataFrame, states: BillingStates = BILLING, amount: st
     """AGG-3: the 18-measure billing KPI row."""
     m = BillingMeasures(states, amount)
     s = states
-    return billing.agg(
+    return M.aggregate(
+        billing,
         m.trips("total_viajes"),
         M.distinct_count("nombre_compania").alias("companias"),
         m.total("tarifa_total"),
@@ -95,7 +96,8 @@ def executive_summary(billing: DataFrame, states: BillingStates = BILLING, amoun
     """AGG-4: 21 measures, a superset of AGG-3 with collected share, without-FLT and accepted dispatches."""
     m = BillingMeasures(states, amount)
     s = states
-    return billing.agg(
+    return M.aggregate(
+        billing,
         m.trips("total_viajes"),
         m.total("total_tarifa"),
         m.avg("tarifa_prom"),
@@ -118,7 +120,8 @@ def freight_kpis(freight: DataFrame, states: BillingStates = BILLING, amount: st
     s = states
     rec = F.col("estado_conciliacion")
     flete = F.col("estado_flete")
-    return freight.agg(
+    return M.aggregate(
+        freight,
         m.trips("total_fletes"),
         M.distinct_count("transportista").alias("transportistas"),
         M.distinct_count("compania").alias("companias"),
@@ -136,7 +139,8 @@ def freight_kpis(freight: DataFrame, states: BillingStates = BILLING, amount: st
 def validation_kpis(validated: DataFrame, states: BillingStates = BILLING, amount: str = "tarifa_final") -> DataFrame:
     """AGG-6: validated-freight profile."""
     m = BillingMeasures(states, amount)
-    return validated.agg(
+    return M.aggregate(
+        validated,
         m.trips("total"),
         *m.state_block(m.billed, "fact_viajes", "fact_total"),
         *m.state_block(m.unbilled, "pend_viajes", "pend_total"),

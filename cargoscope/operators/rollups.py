@@ -23,7 +23,7 @@ def monthly(df: DataFrame, date_col: str, measures: list[Column], extra_keys: li
     if where is not None:
         df = df.where(where)
     keys = [month_key(date_col).alias("mes"), *extra_keys]
-    out = df.where(present(date_col)).groupBy(*keys).agg(*measures)
+    out = M.aggregate(df.where(present(date_col)).groupBy(*keys), *measures)
     names = [k for k in out.columns[: len(keys)]]
     return out.orderBy(*[F.col(n).asc_nulls_first() for n in names])
 
@@ -80,7 +80,7 @@ def view_on_time(validated: DataFrame, states: BillingStates = BILLING) -> DataF
     arrived = M.count_where(F.col("estado_viaje") == states.arrived_on_time)
     out = monthly(validated, "fecha", [M.rows().alias("total_viajes"), arrived.alias("on_time")],
                   extra_keys=[F.col("nombre_compania")], where=present("estado_viaje"))
-    return out.withColumn("pct_on_time", M.count_share(F.col("on_time"), F.col("total_viajes")))
+    return out.withColumn("pct_on_time", M.count_share_of("on_time", "total_viajes"))
 
 
 def monthly_billing(billing: DataFrame, states: BillingStates = BILLING, amount: str = "tarifa_final") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cargoscope.functions import measures as M
 from cargoscope.functions.measure_sets import BillingMeasures
 from cargoscope.functions.predicates import not_blank, present
 from cargoscope.functions.vocabulary import BILLING, BillingStates
@@ -15,7 +16,7 @@ def scorecard(df: DataFrame, key: str, keep: Column, measures: list[Column], ord
     """Measures per ``key`` for rows passing ``keep``; sorted by ``order_by`` desc, key asc."""
     if where is not None:
         df = df.where(where)
-    out = df.where(keep).groupBy(key).agg(*measures)
+    out = M.aggregate(df.where(keep).groupBy(key), *measures)
     return out.orderBy(F.col(order_by).desc_nulls_last(), F.col(key).asc_nulls_first())
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from cargoscope.functions import measures as M
 from cargoscope.functions.tags import billed_pct_band, compliance_band
-from cargoscope.session import checkpoint_dir
+from cargoscope.session import can_checkpoint
 
 
 def _integral(df: DataFrame, c: str) -> Column:
@@ -33,7 +33,7 @@ def _integral(df: DataFrame, c: str) -> Column:
 
 def _reusable(df: DataFrame) -> DataFrame:
     """Cut the aggregate's lineage so a second read does not rescan the fact table."""
-    if checkpoint_dir(df.sparkSession) is None:
+    if not can_checkpoint(df.sparkSession):
         return df
     return df.checkpoint(eager=True)
 
@@ -72,12 +72,11 @@ def latest_month(trend: DataFrame, key: str = "mes", pct: str = "pct_fact") -> D
 
 def billing_kpis_derived(kpis: DataFrame) -> DataFrame:
     """DRV-1: billed and collected share of the KPI totals, 0 when there is no total."""
-    total = _integral(kpis, "tarifa_total")
-    return kpis.select(
-        "*",
-        M.or_zero(M.ratio_half_up(_integral(kpis, "facturado_total") * F.lit(100), total, 1)).alias("pct_fact_calc"),
-        M.or_zero(M.ratio_half_up(_integral(kpis, "cobrado_total") * F.lit(100), total, 1)).alias("pct_cob_calc"),
-    )
+    def pct(part: str) -> Column:
+        e = M.ratio_sql(f"`{part}` * 10000", "`tarifa_total` * 100", 1)
+        return F.expr(f"coalesce({e}, 0.0D)")
+
+    return kpis.select("*", pct("facturado_total").alias("pct_fact_calc"), pct("cobrado_total").alias("pct_cob_calc"))
 
 
 def company_stack(ranking: DataFrame) -> DataFrame:

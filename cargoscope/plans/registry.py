@@ -24,7 +24,7 @@ from cargoscope.operators.detail import export_rows, fact_detail, fact_page, vie
 from cargoscope.plans import dashboard as P
 from cargoscope.plans.views import VIEWS
 from cargoscope.sources.catalog import describe_columns, preview, schema_diff, table_counts
-from cargoscope.sources.roles import ROLE_NAMES, role
+from cargoscope.sources.roles import role, roles
 from cargoscope.sources.tables import table
 
 # Fixed parameters of the registered filter queries and the due-soon reference date.
@@ -50,16 +50,16 @@ def _freight_dist(dim: str, blanks: str, with_avg: bool = False) -> Query:
 
 
 def _home_summary(spark: SparkSession, sf: str) -> DataFrame:
-    r = {n: role(spark, sf, n) for n in ROLE_NAMES}
+    r = roles(spark, sf)
     return K.home_summary(r["orders"], r["billing"], r["dispatch"], r["on_time"], r["trips"])
 
 
 def _table_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return table_counts({n: role(spark, sf, n) for n in ROLE_NAMES})
+    return table_counts(roles(spark, sf))
 
 
 def _preview(spark: SparkSession, sf: str) -> DataFrame:
-    return preview({n: role(spark, sf, n) for n in ROLE_NAMES}, "trips", 100)
+    return preview(roles(spark, sf), "trips", 100)
 
 
 def _schema_diff(spark: SparkSession, sf: str) -> DataFrame:

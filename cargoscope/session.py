@@ -52,6 +52,14 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return value.rstrip("/") if value else None
 
 
+def can_checkpoint(spark: SparkSession) -> bool:
+    """True when ``DataFrame.checkpoint()`` has a reliable folder to write to."""
+    try:
+        return bool(spark.sparkContext.getCheckpointDir())
+    except Exception:  # noqa: BLE001
+        return False
+
+
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     """Use the configured checkpoint folder; set ``fallback`` only where none is set."""
     current = checkpoint_dir(spark)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 from cargoscope.operators.topk import top_k
 
 
-def preview(tables: dict[str, DataFrame], name: str, n: int = 100) -> DataFrame:
+def preview(tables: Mapping[str, DataFrame], name: str, n: int = 100) -> DataFrame:
     """SRC-2: ``n`` rows of an allow-listed table; an unknown name is an error.
 
     Rows are the first ``n`` in the order of all columns, so the preview is
@@ -20,7 +22,7 @@ def preview(tables: dict[str, DataFrame], name: str, n: int = 100) -> DataFrame:
     return top_k(tables[name], [], n)
 
 
-def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """SRC-3: ``(nombre, filas)`` for every table: one partial count per task per table."""
     parts = [df.agg(F.count(F.lit(1)).alias("filas")).select(F.lit(name).alias("nombre"), "filas")
              for name, df in tables.items()]

@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import inspect
 import os
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -225,7 +226,7 @@ BUILDERS = {
     "dispatch": (build_dispatch, ("lineitem", "supplier", "nation")),
 }
 
-_MEMO: dict[tuple[str, str], DataFrame] = {}
+_MEMO: dict[tuple[int, str, str], DataFrame] = {}
 
 
 def _fingerprint(sf_dir: str, name: str) -> str:
@@ -270,7 +271,7 @@ def role(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) ->
     if name not in MATERIALISED or base is None:
         return lazy_role(spark, sf_dir, name)
     path = f"{base}/cargoscope-roles/{name}-{_fingerprint(sf_dir, name)}"
-    memo_key = (spark.sparkContext.applicationId, path)
+    memo_key = (id(spark), spark.sparkContext.applicationId, path)
     if memo_key in _MEMO and not refresh:
         return _MEMO[memo_key]
     if refresh or not _path_exists(spark, f"{path}/_SUCCESS"):
@@ -284,5 +285,23 @@ def role(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) ->
     return out
 
 
-def roles(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {n: role(spark, sf_dir, n) for n in ROLE_NAMES}
+class RoleCatalog(Mapping):
+    """The allow-listed role frames of one input folder, built only when asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in ROLE_NAMES:
+            raise KeyError(name)
+        return role(self.spark, self.sf_dir, name)
+
+    def __iter__(self):
+        return iter(ROLE_NAMES)
+
+    def __len__(self) -> int:
+        return len(ROLE_NAMES)
+
+
+def roles(spark: SparkSession, sf_dir: str) -> RoleCatalog:
+    return RoleCatalog(spark, sf_dir)
