@@ -131,11 +131,13 @@ def fact_filter(mes_desde: str = "", mes_hasta: str = "", date_col: str = "fecha
     return equals_if_given(pairs) & month_range(date_col, mes_desde, mes_hasta)
 
 
-def due_soon(as_of: str | date, horizon_days: int = 2, ns_col: str = "NS",
+def due_soon(as_of: str | date | None = None, horizon_days: int = 2, ns_col: str = "NS",
              commit_col: str = "compromiso_de_carga", states: TripStates = TRIPS) -> Column:
     """FLT-10: off-time, or committed on or before ``as_of + horizon_days``.
 
-    ``as_of`` replaces the wall-clock current date so results are repeatable.
+    ``as_of`` replaces the wall-clock current date so results are repeatable;
+    ``None`` means ``current_date()`` (SCL-7).
     """
-    limit = F.date_add(F.lit(str(as_of)).cast("date"), horizon_days)
+    today = F.current_date() if as_of is None else F.lit(str(as_of)).cast("date")
+    limit = F.date_add(today, horizon_days)
     return (F.col(ns_col) == F.lit(states.off_time)) | (F.col(commit_col).isNotNull() & (F.col(commit_col) <= limit))

@@ -14,8 +14,8 @@ from cargoscope.operators.detail import EXPORT_COLUMNS, VIEW_DETAIL_COLUMNS
 from cargoscope.operators.facets import (FACT_FACETS, FREIGHT_FACET_COLUMNS, STATUS_GROUPS, TRIP_FACETS,
                                          TRIP_FACETS_EXTENDED)
 from cargoscope.operators.topk import DUE_SOON_COLUMNS, TRIP_TABLE_COLUMNS
-from cargoscope.plans.registry import (AS_OF, FACT_FILTER_ARGS, FACT_PAGE, MONTH_RANGE_ARGS,
-                                       TRIP_FILTER_ARGS)
+from cargoscope.plans.registry import (AS_OF, FACT_FILTER_ARGS, FACT_PAGE, MONTH_RANGE_ARGS, PANEL_FACT_ARGS,
+                                       PANEL_TRIP_ARGS, TRIP_FILTER_ARGS)
 
 # --- role frames -----------------------------------------------------------------
 
@@ -318,7 +318,7 @@ def _facets_sql(table: str, columns: dict[str, str], months: dict[str, str]) ->
     return "\nUNION ALL ".join(parts)
 
 
-def _trip_kpis_sql() -> str:
+def _trip_kpis_sql(where: str = "TRUE") -> str:
     return with_roles("trips") + f"""SELECT total, on_time_ct, off_time_ct,
   {zero(cshare('on_time_ct', 'total'))} AS on_time_pct,
   {zero(cshare('off_time_ct', 'total'))} AS off_time_pct,
@@ -330,11 +330,11 @@ FROM (
     {avg6('porcentaje_cumplimiento', 1)} AS cumpl_prom, {avg_int('dias_retrazo', 1)} AS retraso_prom,
     {cif("placa IS NOT NULL AND placa NOT IN ('', '---')")} AS con_placa,
     MAX(actualizacion) AS ultima_actualizacion
-  FROM trips
+  FROM trips WHERE {where}
 )"""
 
 
-def _billing_kpis_sql(derived: bool) -> str:
+def _billing_kpis_sql(derived: bool, where: str = "TRUE") -> str:
     items = [
         "COUNT(*) AS total_viajes", "COUNT(DISTINCT nombre_compania) AS companias",
         f"{dbl(msum())} AS tarifa_total", f"{mavg()} AS tarifa_prom",
@@ -346,7 +346,7 @@ def _billing_kpis_sql(derived: bool) -> str:
     ]
     if derived:
         items += [f"{zero(mshare(mif(BILLED)))} AS pct_fact_calc", f"{zero(mshare(mif(COLLECTED)))} AS pct_cob_calc"]
-    return with_roles("billing") + f"SELECT {sel(items)}\nFROM billing"
+    return with_roles("billing") + f"SELECT {sel(items)}\nFROM billing WHERE {where}"
 
 
 def _executive_sql(derived: bool) -> str:
@@ -385,7 +385,7 @@ def _edge_fact_detail(extra: list[str] = ()) -> str:
     return sel(cols + list(extra))
 
 
-def _fact_page_sql(page_no: int, size: int, tags: bool) -> str:
+def _fact_page_sql(page_no: int, size: int, tags: bool, where: str = "TRUE") -> str:
     order = order_all([("fecha_creacion", "desc")], FACT_DETAIL_NAMES)
     extra = []
     if tags:
@@ -395,7 +395,7 @@ def _fact_page_sql(page_no: int, size: int, tags: bool) -> str:
                  "CASE WHEN status_crisar IS NULL OR status_crisar = '' THEN '-' WHEN status_crisar = 'COBRADO' "
                  "THEN 'cbr' ELSE 'pen' END AS tag_crisar"]
     return with_roles("billing") + f"""SELECT {_edge_fact_detail(extra)} FROM (
-  SELECT {sel(_fact_detail_cols())} FROM billing
+  SELECT {sel(_fact_detail_cols())} FROM billing WHERE {where}
   ORDER BY {order} LIMIT {size} OFFSET {(page_no - 1) * size}
 )"""
 
@@ -471,10 +471,19 @@ def _company_ranking_sql() -> str:
 FROM ({_company_ranking_body()})"""
 
 
-def _share_of_total_sql() -> str:
+def _share_of_total_sql(where: str = "TRUE") -> str:
     return with_roles("billing") + f"""SELECT grupo, nombre, viajes, CAST(total_dec AS DOUBLE) AS total,
   {ratio(cents('total_dec') + ' * 100', 'SUM(' + cents('total_dec') + ') OVER (PARTITION BY grupo)', 1)} AS pct_grupo
-FROM ({_status_panel_body()})"""
+FROM ({_status_panel_body(where)})"""
+
+
+def _delay_buckets_sql(where: str = "TRUE") -> str:
+    return with_roles("trips") + f"""SELECT rango, COUNT(*) AS cantidad FROM (
+  SELECT CASE WHEN dias_retrazo IS NULL OR dias_retrazo <= 0 THEN 'A tiempo'
+              WHEN dias_retrazo BETWEEN 1 AND 3 THEN '1-3 días'
+              WHEN dias_retrazo BETWEEN 4 AND 7 THEN '4-7 días'
+              ELSE '+7 días' END AS rango, dias_retrazo FROM trips WHERE {where}
+) GROUP BY rango ORDER BY MIN(COALESCE(dias_retrazo, 0))"""
 
 
 def _pending_top_bars_sql() -> str:
@@ -556,6 +565,11 @@ WHERE table_name = 'documents' AND column_name NOT IN
                      f"FROM billing WHERE {fact_where(FACT_FILTER_ARGS)})",
     "fact_month_range": with_roles("billing") + _monthly("billing", "fecha_creacion", _trend_measures(),
                                                          where=fact_where(MONTH_RANGE_ARGS)),
+    "panel_kpi_filtered": _billing_kpis_sql(derived=True, where=fact_where(PANEL_FACT_ARGS)),
+    "panel_status_filtered": _share_of_total_sql(where=fact_where(PANEL_FACT_ARGS)),
+    "panel_table_filtered": _fact_page_sql(3, 20, tags=True, where=fact_where(PANEL_FACT_ARGS)),
+    "panel_trips_filtered": _trip_kpis_sql(where=_trip_filter_where(PANEL_TRIP_ARGS)),
+    "panel_delays_filtered": _delay_buckets_sql(where=_trip_filter_where(PANEL_TRIP_ARGS)),
     "home_summary": _home_summary_sql(),
     "trip_kpis": _trip_kpis_sql(),
     "billing_kpis": _billing_kpis_sql(derived=False),
@@ -626,12 +640,7 @@ FROM billing WHERE transportista IS NOT NULL AND transportista <> '' GROUP BY tr
   {sel([*block(BILLED, 'fact_viajes', 'fact_total'), *block(UNBILLED, 'pend_viajes', 'pend_total'),
         *block(CANCELLED, 'anul_viajes', 'anul_total')])}
 FROM billing WHERE nombre_compania IS NOT NULL GROUP BY nombre_compania""",
-    "delay_buckets": with_roles("trips") + """SELECT rango, COUNT(*) AS cantidad FROM (
-  SELECT CASE WHEN dias_retrazo IS NULL OR dias_retrazo <= 0 THEN 'A tiempo'
-              WHEN dias_retrazo BETWEEN 1 AND 3 THEN '1-3 días'
-              WHEN dias_retrazo BETWEEN 4 AND 7 THEN '4-7 días'
-              ELSE '+7 días' END AS rango, dias_retrazo FROM trips
-) GROUP BY rango ORDER BY MIN(COALESCE(dias_retrazo, 0))""",
+    "delay_buckets": _delay_buckets_sql(),
     "trip_facets": with_roles("trips") + _facets_sql("trips", TRIP_FACETS, {}),
     "trip_facets_extended": with_roles("trips") + _facets_sql("trips", TRIP_FACETS_EXTENDED, {}),
     "fact_facets": with_roles("billing") + _facets_sql("billing", FACT_FACETS, {"meses": "fecha_creacion"}),

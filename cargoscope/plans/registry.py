@@ -33,6 +33,9 @@ TRIP_FILTER_ARGS = {"planta": "NATION_3", "zona": "AMERICA", "ns": "OFF_TIME"}
 FACT_FILTER_ARGS = {"estado_contable": "Facturado", "aprobacion": "BUILDING"}
 MONTH_RANGE_ARGS = {"mes_desde": "1996-03", "mes_hasta": "1997-02"}
 FACT_PAGE = (2, 50)
+# Dashboard panels with their filters applied (filter composition checked end to end).
+PANEL_FACT_ARGS = {"compania": "NATION_7", "estado_flt": "Con FLT", "mes_desde": "1997-01", "mes_hasta": "1999-12"}
+PANEL_TRIP_ARGS = {"planta": "NATION_12", "zona": "ASIA"}
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +82,11 @@ QUERIES: dict[str, Query] = {
         "referencia", "origen_carga", "destino_carga", "zona", "NS", "dias_retrazo")),
     "fact_filtered": _on("billing", lambda b: fact_detail(b.where(fact_filter(**FACT_FILTER_ARGS)))),
     "fact_month_range": _on("billing", lambda b: R.monthly_trend(b, where=fact_filter(**MONTH_RANGE_ARGS))),
+    "panel_kpi_filtered": _on("billing", lambda b: P.billing_kpi(b, **PANEL_FACT_ARGS)),
+    "panel_status_filtered": _on("billing", lambda b: P.status_panel(b, **PANEL_FACT_ARGS)),
+    "panel_table_filtered": _on("billing", lambda b: P.billing_table(b, 3, 20, **PANEL_FACT_ARGS)),
+    "panel_trips_filtered": _on("trips", lambda t: P.trip_summary(t, **PANEL_TRIP_ARGS)),
+    "panel_delays_filtered": _on("trips", lambda t: P.trip_delays(t, **PANEL_TRIP_ARGS)),
     # KPI rows
     "home_summary": _home_summary,
     "trip_kpis": _on("trips", P.trip_summary),
