@@ -232,8 +232,10 @@ def test_fact_filter_rejects_unknown_arguments():
         fact_filter(compania_typo="x")
 
 
-def test_due_soon_is_a_column(spark):
-    assert due_soon("2000-01-01") is not None
+def test_due_soon_defaults_to_today(spark):
+    df = FR.trips(spark, [{"NS": "ON TIME", "compromiso_de_carga": FR.d("1990-01-01")},
+                          {"NS": "ON TIME", "compromiso_de_carga": FR.d("2999-01-01")}])
+    assert df.where(due_soon()).count() == 1
 
 
 # DRV-6/7 and SCL-16..18 ----------------------------------------------------------------------
