@@ -122,13 +122,36 @@ def month_range(c: str | Column, mes_desde: str = "", mes_hasta: str = "") -> Co
     return all_of(*preds)
 
 
-def fact_filter(mes_desde: str = "", mes_hasta: str = "", date_col: str = "fecha_creacion", **args: str) -> Column:
-    """FLT-3 + FLT-4: the billing panel filter. Unknown argument names are an error."""
+def month_folders(month_col: str, mes_desde: str = "", mes_hasta: str = "") -> Column:
+    """The same month range on a ``yyyy-MM`` folder-partition column, so whole folders are pruned.
+
+    Equivalent to ``month_range`` on the date the column is derived from (both
+    drop NULL dates); it is added next to it, never instead of it.
+    """
+    preds = []
+    if mes_desde:
+        preds.append(F.col(month_col) >= F.lit(_month_start(mes_desde).strftime("%Y-%m")))
+    if mes_hasta:
+        preds.append(F.col(month_col) <= F.lit(_month_start(mes_hasta).strftime("%Y-%m")))
+    return all_of(*preds)
+
+
+def fact_filter(mes_desde: str = "", mes_hasta: str = "", date_col: str = "fecha_creacion",
+                month_col: str | None = None, **args: str) -> Column:
+    """FLT-3 + FLT-4: the billing panel filter. Unknown argument names are an error.
+
+    ``month_col`` names the table's ``yyyy-MM`` folder-partition column of
+    ``date_col``, if it has one; the month range is then also applied to it for
+    partition pruning.
+    """
     unknown = set(args) - set(FACT_FILTER_COLUMNS)
     if unknown:
         raise TypeError(f"unknown billing filter(s): {sorted(unknown)}")
     pairs = [(col, args.get(arg, "")) for arg, col in FACT_FILTER_COLUMNS.items()]
-    return equals_if_given(pairs) & month_range(date_col, mes_desde, mes_hasta)
+    out = equals_if_given(pairs) & month_range(date_col, mes_desde, mes_hasta)
+    if month_col:
+        out = out & month_folders(month_col, mes_desde, mes_hasta)
+    return out
 
 
 def due_soon(as_of: str | date | None = None, horizon_days: int = 2, ns_col: str = "NS",

@@ -7,7 +7,7 @@ scan to the panel's columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from cargoscope.functions.predicates import fact_filter, trip_filter
 from cargoscope.operators import distributions as D
@@ -19,10 +19,17 @@ from cargoscope.operators import shares as SH
 from cargoscope.operators import topk as TK
 from cargoscope.operators.buckets import delay_buckets
 from cargoscope.operators.detail import fact_page, with_dispatch_tag, with_fact_tags
+from cargoscope.sources.roles import BILLING_MONTH_PARTITION
 
 # --- billing dashboard -------------------------------------------------------------
 
 
+def fact_where(billing: DataFrame, **filters: str) -> Column:
+    """FLT-3/4 for this frame: adds the month-folder predicate when the table is partitioned by month."""
+    month_col = BILLING_MONTH_PARTITION if BILLING_MONTH_PARTITION in billing.columns else None
+    return fact_filter(month_col=month_col, **filters)
+
+
 def billing_facets(billing: DataFrame) -> DataFrame:
     """FCT-2: all eleven drop-downs plus the months, from one scan."""
     return FC.facets(billing, FC.FACT_FACETS, month_facets={"meses": "fecha_creacion"})
@@ -30,12 +37,12 @@ def billing_facets(billing: DataFrame) -> DataFrame:
 
 def billing_kpi(billing: DataFrame, **filters: str) -> DataFrame:
     """FLT-3/4 + AGG-3 + DRV-1."""
-    return SH.billing_kpis_derived(K.billing_kpis(billing.where(fact_filter(**filters))))
+    return SH.billing_kpis_derived(K.billing_kpis(billing.where(fact_where(billing, **filters))))
 
 
 def billing_trend(billing: DataFrame, **filters: str) -> DataFrame:
     """FLT-3/4 + AGG-10."""
-    return R.monthly_trend(billing, where=fact_filter(**filters))
+    return R.monthly_trend(billing, where=fact_where(billing, **filters))
 
 
 def billing_latest_month(billing: DataFrame, **filters: str) -> DataFrame:
@@ -45,12 +52,12 @@ def billing_latest_month(billing: DataFrame, **filters: str) -> DataFrame:
 
 def company_ranking(billing: DataFrame, **filters: str) -> DataFrame:
     """FLT-3/4 + AGG-39 + DRV-2 + WIN-1."""
-    return SH.company_stack(S.company_ranking(billing, where=fact_filter(**filters)))
+    return SH.company_stack(S.company_ranking(billing, where=fact_where(billing, **filters)))
 
 
 def billing_distribution(billing: DataFrame, dim: str, **filters: str) -> DataFrame:
     """FLT-3/4 + AGG-23..28: trips and amount per non-blank value of ``dim``."""
-    return D.amount_by(billing, dim, "drop_blank", where=fact_filter(**filters))
+    return D.amount_by(billing, dim, "drop_blank", where=fact_where(billing, **filters))
 
 
 def dispatch_panel(billing: DataFrame, **filters: str) -> DataFrame:
@@ -61,23 +68,23 @@ def dispatch_panel(billing: DataFrame, **filters: str) -> DataFrame:
 
 def status_panel(billing: DataFrame, **filters: str) -> DataFrame:
     """SET-1 + WIN-1: the four status groups with each state's share of its group."""
-    panel = FC.status_panel_rows(billing, where=fact_filter(**filters))
+    panel = FC.status_panel_rows(billing, where=fact_where(billing, **filters))
     return FC.panel_order(SH.share_of_total(panel, "total", "pct_grupo", partition_by=["grupo"]))
 
 
 def pending_top(billing: DataFrame, **filters: str) -> DataFrame:
     """TOP-2 + WIN-2."""
-    return SH.share_of_max(TK.pending_top(billing, where=fact_filter(**filters)), "total", "barra_pct")
+    return SH.share_of_max(TK.pending_top(billing, where=fact_where(billing, **filters)), "total", "barra_pct")
 
 
 def executive_summary(billing: DataFrame, **filters: str) -> DataFrame:
     """AGG-4 + DRV-3."""
-    return SH.receivables(K.executive_summary(billing.where(fact_filter(**filters))))
+    return SH.receivables(K.executive_summary(billing.where(fact_where(billing, **filters))))
 
 
 def billing_table(billing: DataFrame, page_no: int = 1, size: int = 50, **filters: str) -> DataFrame:
     """PAG-1 + DRV-6."""
-    return with_fact_tags(fact_page(billing, page_no, size, where=fact_filter(**filters)))
+    return with_fact_tags(fact_page(billing, page_no, size, where=fact_where(billing, **filters)))
 
 
 # --- trips dashboard ---------------------------------------------------------------

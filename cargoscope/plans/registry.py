@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cargoscope.functions.predicates import fact_filter, trip_filter
+from cargoscope.functions.predicates import trip_filter
 from cargoscope.functions.scalars import to_edge
 from cargoscope.operators import distributions as D
 from cargoscope.operators import facets as FC
@@ -80,8 +80,8 @@ QUERIES: dict[str, Query] = {
     # filters
     "trips_filtered": _on("trips", lambda t: t.where(trip_filter(**TRIP_FILTER_ARGS)).select(
         "referencia", "origen_carga", "destino_carga", "zona", "NS", "dias_retrazo")),
-    "fact_filtered": _on("billing", lambda b: fact_detail(b.where(fact_filter(**FACT_FILTER_ARGS)))),
-    "fact_month_range": _on("billing", lambda b: R.monthly_trend(b, where=fact_filter(**MONTH_RANGE_ARGS))),
+    "fact_filtered": _on("billing", lambda b: fact_detail(b.where(P.fact_where(b, **FACT_FILTER_ARGS)))),
+    "fact_month_range": _on("billing", lambda b: R.monthly_trend(b, where=P.fact_where(b, **MONTH_RANGE_ARGS))),
     "panel_kpi_filtered": _on("billing", lambda b: P.billing_kpi(b, **PANEL_FACT_ARGS)),
     "panel_status_filtered": _on("billing", lambda b: P.status_panel(b, **PANEL_FACT_ARGS)),
     "panel_table_filtered": _on("billing", lambda b: P.billing_table(b, 3, 20, **PANEL_FACT_ARGS)),

@@ -34,13 +34,24 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cargoscope.functions.scalars import month_key
 from cargoscope.session import checkpoint_dir
 from cargoscope.sources.tables import table
 
 ROLE_NAMES = ("billing", "trips", "on_time", "orders", "dispatch")
 # The freight report and the validated-freight table share the billing mapping.
 ROLE_ALIASES = {"freight": "billing", "validated": "billing"}
-MATERIALISED = {"billing": "fecha_creacion", "trips": None, "dispatch": None}
+# Physical layout of the written roles: (range-partition keys, in-file sort key, folder partition column).
+# billing is range-partitioned on its creation date (the id breaks ties, so one hot date still spreads
+# over many tasks), sorted by that date inside each file, and written in one folder per creation month,
+# so a month-range filter prunes folders and skips row groups inside the files it still reads.
+MATERIALISED = {
+    "billing": (("fecha_creacion", "id_envio"), "fecha_creacion", "mes_creacion"),
+    "trips": ((), None, None),
+    "dispatch": ((), None, None),
+}
+# Folder partition column of the billing role ('yyyy-MM' of the creation date).
+BILLING_MONTH_PARTITION = "mes_creacion"
 
 # Dimensions whose size is bounded by the schema, not by the data volume.
 DIMENSION_MAX_ROWS = 10_000
@@ -116,8 +127,9 @@ def build_billing(t: dict[str, DataFrame]) -> DataFrame:
     line = col("l_linenumber")
     qty = col("l_quantity")
     company = F.when(col("c_custkey") % 40 != 0, col("cn_nation"))
+    created = F.when(col("l_suppkey") % 50 != 7, col("o_orderdate"))
     return x.select(
-        F.when(col("l_suppkey") % 50 != 7, col("o_orderdate")).alias("fecha_creacion"),
+        created.alias("fecha_creacion"),
         col("l_shipdate").alias("fecha"),
         F.when(col("l_partkey") % 97 != 0, col("l_extendedprice").cast("decimal(18,2)")).alias("tarifa_final"),
         company.alias("nombre_compania"),
@@ -160,6 +172,7 @@ def build_billing(t: dict[str, DataFrame]) -> DataFrame:
         col("l_orderkey").cast("string").alias("n_flete"),
         col("o_orderkey").cast("string").alias("nro_factura"),
         _trip_state().alias("estado_viaje"),
+        month_key(created).alias(BILLING_MONTH_PARTITION),
     )
 
 
@@ -276,10 +289,15 @@ def role(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) ->
         return _MEMO[memo_key]
     if refresh or not _path_exists(spark, f"{path}/_SUCCESS"):
         frame = lazy_role(spark, sf_dir, name)
-        sort_col = MATERIALISED[name]
+        range_keys, sort_col, folder_col = MATERIALISED[name]
+        if range_keys:
+            frame = frame.repartitionByRange(*range_keys)
         if sort_col:
             frame = frame.sortWithinPartitions(sort_col)
-        frame.write.mode("overwrite").parquet(path)
+        writer = frame.write.mode("overwrite")
+        if folder_col:
+            writer = writer.partitionBy(folder_col)
+        writer.parquet(path)
     out = spark.read.parquet(path)
     _MEMO[memo_key] = out
     return out

@@ -30,6 +30,12 @@ def test_month_range_reaches_the_scan(spark):
     assert any("GreaterThanOrEqual(fecha_creacion" in ln and "LessThan(fecha_creacion" in ln for ln in pushed)
 
 
+def test_month_range_prunes_month_folders(spark):
+    text = formatted(registry.run(spark, "fact_month_range", SF001))
+    parts = [ln for ln in text.splitlines() if ln.startswith("PartitionFilters")]
+    assert any("mes_creacion" in ln and ">=" in ln and "<=" in ln for ln in parts)
+
+
 def test_scan_is_pruned_to_the_needed_columns(spark):
     text = formatted(registry.run(spark, "dist_approval", SF001))
     schemas = [ln for ln in text.splitlines() if ln.startswith("ReadSchema")]
