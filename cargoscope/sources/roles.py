@@ -31,6 +31,8 @@ from __future__ import annotations
 import hashlib
 import inspect
 import os
+import time
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -253,15 +255,21 @@ def _fingerprint(sf_dir: str, name: str) -> str:
     return hashlib.sha1("\n".join(parts).encode()).hexdigest()[:16]
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    """Hadoop FileSystem check, so the same code works on HDFS/object stores."""
+def _latest_complete(spark: SparkSession, root: str) -> str | None:
+    """The newest attempt folder under ``root`` whose write committed (has ``_SUCCESS``).
+
+    Uses the Hadoop FileSystem API, so the same code works on HDFS and object stores.
+    """
     try:
         jvm = spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(path)
-        fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        return bool(fs.exists(hpath))
-    except Exception:  # noqa: BLE001 - treat an unreadable marker as absent
-        return False
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/*/_SUCCESS")
+        fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        statuses = fs.globStatus(pattern)
+    except Exception:  # noqa: BLE001 - an unreadable folder counts as absent
+        return None
+    if not statuses:
+        return None
+    return max(str(st.getPath().getParent().toString()) for st in statuses)
 
 
 def lazy_role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -277,30 +285,36 @@ def role(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) ->
     """The role frame ``name``; lineitem-grain roles are read from their written table.
 
     The table is written once per input folder and mapping version below the
-    session's checkpoint folder, then reused by every later call (also from other
-    processes: completion is marked by the ``_SUCCESS`` file of the commit).
-    ``refresh=True`` rewrites the table even if it exists.
+    session's checkpoint folder, then reused by every later call, also from other
+    processes: each build commits its own attempt folder (marked by the
+    ``_SUCCESS`` file of Spark's commit) and readers take the newest committed
+    attempt. ``refresh=True`` writes a new attempt even if one exists.
     """
     name = ROLE_ALIASES.get(name, name)
     base = checkpoint_dir(spark)
     if name not in MATERIALISED or base is None:
         return lazy_role(spark, sf_dir, name)
-    path = f"{base}/cargoscope-roles/{name}-{_fingerprint(sf_dir, name)}"
-    memo_key = (id(spark), spark.sparkContext.applicationId, path)
+    root = f"{base}/cargoscope-roles/{name}-{_fingerprint(sf_dir, name)}"
+    memo_key = (id(spark), spark.sparkContext.applicationId, root)
     if memo_key in _MEMO and not refresh:
         return _MEMO[memo_key]
-    if refresh or not _path_exists(spark, f"{path}/_SUCCESS"):
+    latest = None if refresh else _latest_complete(spark, root)
+    if latest is None:
+        # Each build writes its own attempt folder (time-ordered name), so concurrent
+        # builders never touch each other's files; readers take the newest committed one.
+        attempt = f"{root}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         frame = lazy_role(spark, sf_dir, name)
         range_keys, sort_col, folder_col = MATERIALISED[name]
         if range_keys:
             frame = frame.repartitionByRange(*range_keys)
         if sort_col:
             frame = frame.sortWithinPartitions(sort_col)
-        writer = frame.write.mode("overwrite")
+        writer = frame.write.mode("errorifexists")
         if folder_col:
             writer = writer.partitionBy(folder_col)
-        writer.parquet(path)
-    out = spark.read.parquet(path)
+        writer.parquet(attempt)
+        latest = _latest_complete(spark, root) or attempt
+    out = spark.read.parquet(latest)
     _MEMO[memo_key] = out
     return out
 

@@ -65,3 +65,14 @@ def test_panel_split_by_group(spark):
     panel = FC.status_panel(role(spark, SF001, "billing"))
     parts = [FC.panel_group(panel, g).count() for g in FC.STATUS_GROUPS]
     assert sum(parts) == panel.count() and all(n > 0 for n in parts)
+
+
+def test_role_table_is_reused_and_refresh_writes_a_newer_attempt(spark):
+    from cargoscope.sources import roles as RL
+    first = RL.role(spark, SF001, "dispatch").inputFiles()[0]
+    RL._MEMO.clear()
+    again = RL.role(spark, SF001, "dispatch").inputFiles()[0]
+    folder = lambda f: f.rsplit("/", 1)[0]  # noqa: E731 - the attempt folder holding the file
+    assert folder(first) == folder(again)                    # same attempt folder, no rewrite
+    newer = RL.role(spark, SF001, "dispatch", refresh=True).inputFiles()[0]
+    assert folder(newer) > folder(first)                     # a later attempt is now read
