@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import sys
 import tempfile
 import time
@@ -47,7 +48,8 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     only = set(argv[2:])
-    spark = build_session()
+    extra = dict(kv.split("=", 1) for kv in os.environ.get("ORACLE_SPARK_CONF", "").split(",") if kv)
+    spark = build_session(extra=extra)
     ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="ckpt-", dir="/tmp"))
     con = duck(sf_dir)
     qs, sqls = queries(), oracle_sql()
