@@ -45,14 +45,16 @@ from cargoscope.sources.tables import table
 ROLE_NAMES = ("billing", "trips", "on_time", "orders", "dispatch")
 # The freight report and the validated-freight table share the billing mapping.
 ROLE_ALIASES = {"freight": "billing", "validated": "billing"}
-# Physical layout of the written roles: (range-partition keys, in-file sort key, folder partition column).
+# Physical layout of the written roles: (range-partition keys, in-file sort keys, folder partition column).
 # billing is range-partitioned on its creation date (the id breaks ties, so one hot date still spreads
 # over many tasks), sorted by that date inside each file, and written in one folder per creation month,
 # so a month-range filter prunes folders and skips row groups inside the files it still reads.
+# trips keeps its join partitioning and is sorted inside each file by the columns its equality filters
+# use most (plant, then zone), so Parquet row-group statistics skip data for a filtered panel.
 MATERIALISED = {
-    "billing": (("fecha_creacion", "id_envio"), "fecha_creacion", "mes_creacion"),
-    "trips": ((), None, None),
-    "dispatch": ((), None, None),
+    "billing": (("fecha_creacion", "id_envio"), ("fecha_creacion",), "mes_creacion"),
+    "trips": ((), ("origen_carga", "zona"), None),
+    "dispatch": ((), (), None),
 }
 # Folder partition column of the billing role ('yyyy-MM' of the creation date).
 BILLING_MONTH_PARTITION = "mes_creacion"
@@ -247,9 +249,10 @@ _MEMO: dict[tuple[int, str, str], DataFrame] = {}
 
 
 def _fingerprint(sf_dir: str, name: str) -> str:
-    """Key of a materialised role: input folder plus the mapping's own source text."""
+    """Key of a materialised role: input folder, the mapping's own source text and the file layout."""
     builder = BUILDERS[name][0]
-    parts = [os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir, name, inspect.getsource(builder)]
+    parts = [os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir, name, inspect.getsource(builder),
+             repr(MATERIALISED.get(name))]
     if name in ("billing", "trips"):
         parts += [inspect.getsource(f) for f in (_orders_with_customer, _on_time_label, _join_lines_to_orders)]
     return hashlib.sha1("\n".join(parts).encode()).hexdigest()[:16]
@@ -304,11 +307,11 @@ def role(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) ->
         # builders never touch each other's files; readers take the newest committed one.
         attempt = f"{root}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         frame = lazy_role(spark, sf_dir, name)
-        range_keys, sort_col, folder_col = MATERIALISED[name]
+        range_keys, sort_cols, folder_col = MATERIALISED[name]
         if range_keys:
             frame = frame.repartitionByRange(*range_keys)
-        if sort_col:
-            frame = frame.sortWithinPartitions(sort_col)
+        if sort_cols:
+            frame = frame.sortWithinPartitions(*sort_cols)
         writer = frame.write.mode("errorifexists")
         if folder_col:
             writer = writer.partitionBy(folder_col)
