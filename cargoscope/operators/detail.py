@@ -64,7 +64,10 @@ def ranked_page(df: DataFrame, order: list[Column], offset: int, size: int) -> D
               .select(*[F.col(f"`{c}`") for c in cols],
                       F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")))
     if can_checkpoint(df.sparkSession):
-        tagged = tagged.checkpoint(eager=True)
+        try:
+            tagged = tagged.checkpoint(eager=True)
+        except Exception:  # noqa: BLE001 - an unwritable folder: the rank is still exact, just recomputed
+            pass
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

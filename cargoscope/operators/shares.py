@@ -35,7 +35,10 @@ def _reusable(df: DataFrame) -> DataFrame:
     """Cut the aggregate's lineage so a second read does not rescan the fact table."""
     if not can_checkpoint(df.sparkSession):
         return df
-    return df.checkpoint(eager=True)
+    try:
+        return df.checkpoint(eager=True)
+    except Exception:  # noqa: BLE001 - an unwritable folder: recompute instead
+        return df
 
 
 def _with_whole(df: DataFrame, part: Column, agg, partition_by: list[str]) -> tuple[DataFrame, Column]:

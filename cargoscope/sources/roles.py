@@ -33,6 +33,7 @@ import inspect
 import os
 import time
 import uuid
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -315,7 +316,14 @@ def role(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) ->
         writer = frame.write.mode("errorifexists")
         if folder_col:
             writer = writer.partitionBy(folder_col)
-        writer.parquet(attempt)
+        try:
+            writer.parquet(attempt)
+        except Exception as exc:  # noqa: BLE001 - e.g. a read-only checkpoint folder
+            warnings.warn(f"could not write role table {name!r} under {root}: {exc}; using the lazy plan",
+                          RuntimeWarning, stacklevel=2)
+            out = lazy_role(spark, sf_dir, name)
+            _MEMO[memo_key] = out
+            return out
         latest = _latest_complete(spark, root) or attempt
     out = spark.read.parquet(latest)
     _MEMO[memo_key] = out

@@ -205,6 +205,17 @@ def test_deep_pages_by_global_rank_equal_top_k_pages(spark):
     assert rows(page(detail, keys, 21, 50, shallow_rows=0), "titulo") == []
 
 
+def test_deep_page_without_checkpoint_is_still_exact(spark, monkeypatch):
+    from cargoscope.operators import detail as DT
+    monkeypatch.setattr(DT, "can_checkpoint", lambda _spark: False)
+    df = FR.billing(spark, [{"fecha_creacion": FR.ts(f"2001-{1 + i % 12:02d}-01"), "titulo": str(i)}
+                            for i in range(600)]).repartition(7)
+    detail = df.select("fecha_creacion", "titulo")
+    for page_no in (1, 4, 12):
+        assert rows(page(detail, [("fecha_creacion", "desc")], page_no, 50, shallow_rows=0), "titulo") == \
+            rows(page(detail, [("fecha_creacion", "desc")], page_no, 50), "titulo")
+
+
 # FLT-7 sentinels, FLT-1/3 filters -----------------------------------------------------------
 
 def test_plate_sentinels(spark):
