@@ -24,7 +24,7 @@ from cargoscope.operators.detail import export_rows, fact_detail, fact_page, vie
 from cargoscope.plans import dashboard as P
 from cargoscope.plans.views import VIEWS
 from cargoscope.sources.catalog import describe_columns, preview, schema_diff, table_counts
-from cargoscope.sources.roles import role, roles
+from cargoscope.sources.roles import build_roles, role, roles
 from cargoscope.sources.tables import table
 
 # Fixed parameters of the registered filter queries and the due-soon reference date.
@@ -170,5 +170,10 @@ QUERIES: dict[str, Query] = {
 }
 
 def run(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
-    """The named query in edge form (money as DOUBLE, datetimes as ISO text)."""
+    """The named query in edge form (money as DOUBLE, datetimes as ISO text).
+
+    The first query of a session builds any missing role tables together
+    (``build_roles``); later queries find them memoised.
+    """
+    build_roles(spark, sf_dir)
     return to_edge(QUERIES[name](spark, sf_dir))

@@ -330,6 +330,20 @@ def role(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) ->
     return out
 
 
+def build_roles(spark: SparkSession, sf_dir: str, refresh: bool = False) -> dict[str, DataFrame]:
+    """Materialise every written role at once.
+
+    The builds are independent Spark jobs submitted from separate threads, so
+    the scheduler runs them side by side: one build's narrow stages (a scan
+    that is a single split, a write) overlap the others' wide ones.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=len(MATERIALISED)) as pool:
+        futures = {n: pool.submit(role, spark, sf_dir, n, refresh) for n in MATERIALISED}
+        return {n: f.result() for n, f in futures.items()}
+
+
 class RoleCatalog(Mapping):
     """The allow-listed role frames of one input folder, built only when asked for."""
 
