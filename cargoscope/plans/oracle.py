@@ -334,7 +334,7 @@ FROM (
 )"""
 
 
-def _billing_kpis_sql(derived: bool, where: str = "TRUE") -> str:
+def _billing_kpis_body(derived: bool, where: str = "TRUE") -> str:
     items = [
         "COUNT(*) AS total_viajes", "COUNT(DISTINCT nombre_compania) AS companias",
         f"{dbl(msum())} AS tarifa_total", f"{mavg()} AS tarifa_prom",
@@ -346,7 +346,11 @@ def _billing_kpis_sql(derived: bool, where: str = "TRUE") -> str:
     ]
     if derived:
         items += [f"{zero(mshare(mif(BILLED)))} AS pct_fact_calc", f"{zero(mshare(mif(COLLECTED)))} AS pct_cob_calc"]
-    return with_roles("billing") + f"SELECT {sel(items)}\nFROM billing WHERE {where}"
+    return f"SELECT {sel(items)}\nFROM billing WHERE {where}"
+
+
+def _billing_kpis_sql(derived: bool, where: str = "TRUE") -> str:
+    return with_roles("billing") + _billing_kpis_body(derived, where)
 
 
 def _executive_sql(derived: bool) -> str:
