@@ -7,6 +7,8 @@ scan to the panel's columns.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 
 from cargoscope.functions.predicates import fact_filter, trip_filter
@@ -19,6 +21,7 @@ from cargoscope.operators import shares as SH
 from cargoscope.operators import topk as TK
 from cargoscope.operators.buckets import delay_buckets
 from cargoscope.operators.detail import fact_page, with_dispatch_tag, with_fact_tags
+from cargoscope.sources.catalog import preview, table_counts
 from cargoscope.sources.roles import BILLING_MONTH_PARTITION
 
 # --- billing dashboard -------------------------------------------------------------
@@ -124,3 +127,57 @@ def trip_upcoming(trips: DataFrame, as_of: str, **filters: str) -> DataFrame:
 def trip_table(trips: DataFrame, **filters: str) -> DataFrame:
     """FLT-1 + TOP-7."""
     return TK.trip_table(trips, where=trip_filter(**filters))
+
+
+# --- overview panels (the landing routes) -------------------------------------------
+# Each takes the allow-listed role frames (sources.roles.roles(spark, sf_dir)).
+
+
+def overview_summary(r: Mapping[str, DataFrame]) -> DataFrame:
+    """AGG-1: table counts, on-time count and share, pending trips."""
+    return K.home_summary(r["orders"], r["billing"], r["dispatch"], r["on_time"], r["trips"])
+
+
+def monthly_freight(r: Mapping[str, DataFrame]) -> DataFrame:
+    """AGG-8: trips and amount per creation month."""
+    return R.monthly_freight(r["billing"])
+
+
+def order_states(r: Mapping[str, DataFrame]) -> DataFrame:
+    """AGG-17: orders per state, NULL state kept as a group."""
+    return D.count_by(r["orders"], "estado", "keep")
+
+
+def plant_dispatches(r: Mapping[str, DataFrame]) -> DataFrame:
+    """AGG-18: dispatches per plant."""
+    return D.count_by(r["dispatch"], "nom_planta", "keep")
+
+
+def on_time_trend(r: Mapping[str, DataFrame]) -> DataFrame:
+    """AGG-9: on/off/total per month."""
+    return R.on_time_trend(r["on_time"])
+
+
+def top_carriers(r: Mapping[str, DataFrame], k: int = 15) -> DataFrame:
+    """TOP-1: the 15 companies with the largest amount."""
+    return TK.top_companies(r["billing"], k)
+
+
+def reconciliation(r: Mapping[str, DataFrame]) -> DataFrame:
+    """AGG-19: billing rows per reconciliation state, NULL kept."""
+    return D.count_by(r["billing"], "estado_conciliacion", "keep")
+
+
+def pending_trips_by_zone(r: Mapping[str, DataFrame]) -> DataFrame:
+    """AGG-20: pending trips and average compliance per zone (NULL zone dropped)."""
+    return D.compliance_by(r["trips"], "zona", "drop_null", "cumplimiento_pct")
+
+
+def table_preview(r: Mapping[str, DataFrame], name: str, n: int = 100) -> DataFrame:
+    """SRC-2: ``n`` rows of an allow-listed table; any other name is an error."""
+    return preview(r, name, n)
+
+
+def table_info(r: Mapping[str, DataFrame]) -> DataFrame:
+    """SRC-3: row count of every allow-listed table."""
+    return table_counts(r)

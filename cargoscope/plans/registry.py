@@ -23,7 +23,7 @@ from cargoscope.operators.buckets import delay_buckets
 from cargoscope.operators.detail import export_rows, fact_detail, fact_page, view_detail
 from cargoscope.plans import dashboard as P
 from cargoscope.plans.views import VIEWS
-from cargoscope.sources.catalog import describe_columns, preview, schema_diff, table_counts
+from cargoscope.sources.catalog import describe_columns, schema_diff
 from cargoscope.sources.roles import build_roles, role, roles
 from cargoscope.sources.tables import table
 
@@ -52,17 +52,8 @@ def _freight_dist(dim: str, blanks: str, with_avg: bool = False) -> Query:
     return _on("freight", lambda f: D.amount_by(f, dim, blanks, with_avg=with_avg))
 
 
-def _home_summary(spark: SparkSession, sf: str) -> DataFrame:
-    r = roles(spark, sf)
-    return K.home_summary(r["orders"], r["billing"], r["dispatch"], r["on_time"], r["trips"])
-
-
-def _table_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return table_counts(roles(spark, sf))
-
-
-def _preview(spark: SparkSession, sf: str) -> DataFrame:
-    return preview(roles(spark, sf), "trips", 100)
+def _overview(panel: Callable[..., DataFrame], *args) -> Query:
+    return lambda spark, sf: panel(roles(spark, sf), *args)
 
 
 def _schema_diff(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,8 +64,8 @@ def _schema_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     # sources / catalog
-    "preview": _preview,
-    "table_counts": _table_counts,
+    "preview": _overview(P.table_preview, "trips", 100),
+    "table_counts": _overview(P.table_info),
     "describe_columns": lambda spark, sf: describe_columns(spark, table(spark, sf, "lineitem"), "lineitem"),
     "schema_diff": _schema_diff,
     # filters
@@ -88,7 +79,7 @@ QUERIES: dict[str, Query] = {
     "panel_trips_filtered": _on("trips", lambda t: P.trip_summary(t, **PANEL_TRIP_ARGS)),
     "panel_delays_filtered": _on("trips", lambda t: P.trip_delays(t, **PANEL_TRIP_ARGS)),
     # KPI rows
-    "home_summary": _home_summary,
+    "home_summary": _overview(P.overview_summary),
     "trip_kpis": _on("trips", P.trip_summary),
     "billing_kpis": _on("billing", K.billing_kpis),
     "executive_summary": _on("billing", K.executive_summary),
@@ -96,8 +87,8 @@ QUERIES: dict[str, Query] = {
     "validation_kpis": _on("validated", K.validation_kpis),
     "date_ranges": _on("freight", K.date_ranges),
     # monthly rollups
-    "monthly_freight": _on("billing", R.monthly_freight),
-    "on_time_trend": _on("on_time", R.on_time_trend),
+    "monthly_freight": _overview(P.monthly_freight),
+    "on_time_trend": _overview(P.on_time_trend),
     "monthly_trend": _on("billing", R.monthly_trend),
     "view_monthly": _on("validated", R.view_monthly),
     "view_on_time": _on("validated", R.view_on_time),
@@ -106,10 +97,10 @@ QUERIES: dict[str, Query] = {
     "monthly_fare": _on("freight", R.monthly_fare),
     "monthly_first3": _on("freight", lambda f: R.monthly_first(f, 3)),
     # distributions
-    "dist_order_state": _on("orders", lambda o: D.count_by(o, "estado", "keep")),
-    "dist_plant": _on("dispatch", lambda d: D.count_by(d, "nom_planta", "keep")),
-    "dist_reconciliation": _on("billing", lambda b: D.count_by(b, "estado_conciliacion", "keep")),
-    "zone_compliance": _on("trips", lambda t: D.compliance_by(t, "zona", "drop_null", "cumplimiento_pct")),
+    "dist_order_state": _overview(P.order_states),
+    "dist_plant": _overview(P.plant_dispatches),
+    "dist_reconciliation": _overview(P.reconciliation),
+    "zone_compliance": _overview(P.pending_trips_by_zone),
     "dist_zone": _on("trips", P.trip_zones),
     "dist_department": _on("trips", lambda t: D.compliance_by(t, "departamento", "drop_blank", "cumpl")),
     "dist_collection": _billing_dist("status_crisar"),
@@ -156,7 +147,7 @@ QUERIES: dict[str, Query] = {
     "dept_band": _on("trips", P.trip_departments),
     "pending_top_bars": _on("billing", P.pending_top),
     # top-k, detail, paging, export
-    "top_companies": _on("billing", TK.top_companies),
+    "top_companies": _overview(P.top_carriers),
     "pending_top": _on("billing", TK.pending_top),
     "view_pending_top": _on("validated", TK.view_pending_top),
     "pending_top_carrier": _on("billing", TK.pending_top_carrier),
