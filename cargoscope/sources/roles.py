@@ -276,6 +276,16 @@ def _latest_complete(spark: SparkSession, root: str) -> str | None:
     return max(str(st.getPath().getParent().toString()) for st in statuses)
 
 
+def _warn_if_skew_handling_off(spark: SparkSession) -> None:
+    """Hot join keys in the build are split by AQE's skew join; say so when a session turns it off."""
+    def on(key: str, default: str) -> bool:
+        return str(spark.conf.get(key, default)).lower() == "true"
+
+    if not (on("spark.sql.adaptive.enabled", "true") and on("spark.sql.adaptive.skewJoin.enabled", "true")):
+        warnings.warn("adaptive skew-join handling is off: a customer, supplier or part holding a large share "
+                      "of the rows will be joined in one task", RuntimeWarning, stacklevel=3)
+
+
 def lazy_role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The role frame as a lazy plan over the base tables (no materialisation)."""
     name = ROLE_ALIASES.get(name, name)
@@ -307,6 +317,7 @@ def role(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) ->
         # Each build writes its own attempt folder (time-ordered name), so concurrent
         # builders never touch each other's files; readers take the newest committed one.
         attempt = f"{root}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        _warn_if_skew_handling_off(spark)
         frame = lazy_role(spark, sf_dir, name)
         range_keys, sort_cols, folder_col = MATERIALISED[name]
         if range_keys:
