@@ -65,3 +65,30 @@ def test_no_python_udf_window_or_cross_join(spark, name):
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF",
                  "Window", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert node not in text
+
+
+def broadcast_subtrees(text: str) -> list[str]:
+    """The text of every subtree rooted at a BroadcastExchange (by tree-drawing indentation)."""
+    lines = text.splitlines()
+    out = []
+    for i, ln in enumerate(lines):
+        if "BroadcastExchange" not in ln:
+            continue
+        depth = ln.index("BroadcastExchange")
+        sub = [ln]
+        for nxt in lines[i + 1:]:
+            body = nxt.lstrip(" :|+-")
+            if not body or len(nxt) - len(body) <= depth:
+                break
+            sub.append(nxt)
+        out.append("\n".join(sub))
+    return out
+
+
+@pytest.mark.parametrize("name", ["billing", "trips"])
+def test_fact_join_is_sort_merge_and_lineitem_never_broadcast(spark, name):
+    from cargoscope.sources.roles import lazy_role
+    from tests.conftest import SF01
+    text = plan(lazy_role(spark, SF01, name))
+    assert "SortMergeJoin" in text
+    assert all("lineitem.parquet" not in sub for sub in broadcast_subtrees(text))
