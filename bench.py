@@ -76,7 +76,16 @@ def main() -> None:
             F.lit("meses").alias("facet"), month_key("fecha_creacion").alias("val")).distinct()
         return out.unionByName(months)
 
+    def separate_operations_panels() -> float:
+        from cargoscope.operators import distributions as D
+        total = best(lambda: FC.status_panel(billing), repeat)
+        for col in ("status_crisar", "estado_envio_factura", "tipo_fact", "aprobacion"):
+            total += best(lambda c=col: D.amount_by(billing, c, "drop_blank"), repeat)
+        return total
+
     comparisons = {
+        "operations_panels_one_scan": times["operations_panels"],
+        "operations_panels_5_queries": round(separate_operations_panels(), 4),
         "status_panel_one_scan": times["status_panel"],
         "status_panel_union_4_scans": times["status_panel_union"],
         "fact_facets_one_scan": times["fact_facets"],

@@ -87,6 +87,40 @@ def status_panel(billing: DataFrame, groups: dict[str, str] = STATUS_GROUPS, amo
     return panel_order(status_panel_rows(billing, groups, amount, where))
 
 
+# The category panels of the billing operations tab, with their blank policies.
+OPERATIONS_PANELS = {
+    "Contable": ("estado_contable", "drop_null"),
+    "FLT": ("estado_flt", "drop_null"),
+    "Conciliacion": ("estado_conciliacion", "drop_null"),
+    "Flete": ("estado_flete", "drop_null"),
+    "status_crisar": ("status_crisar", "drop_blank"),
+    "estado_envio_factura": ("estado_envio_factura", "drop_blank"),
+    "tipo_fact": ("tipo_fact", "drop_blank"),
+    "aprobacion": ("aprobacion", "drop_blank"),
+}
+
+
+def category_panels(billing: DataFrame, panels: dict[str, tuple[str, str]] = OPERATIONS_PANELS,
+                    amount: str = "tarifa_final", where: Column | None = None) -> DataFrame:
+    """Several one-column panels (trips and amount per value) from ONE scan, in long form.
+
+    Output ``(grupo, nombre, viajes, total)``; each panel keeps its own blank
+    policy. The status panel (SET-1) and the tab's distributions (AGG-23..27)
+    are all "per value of one column" over the same filtered fact, so one
+    ``Expand`` and one partially aggregated group-by serve them all, instead of
+    one query and one scan per panel. ``panel_group`` splits the result.
+    """
+    if where is not None:
+        billing = billing.where(where)
+    m = BillingMeasures(amount=amount)
+    long = _long_form(billing, {g: F.col(c) for g, (c, _) in panels.items()}, [amount], "grupo", "nombre")
+    keep = F.lit(False)
+    for g, (_, blanks) in panels.items():
+        keep = keep | ((F.col("grupo") == F.lit(g)) & blank_policy("nombre", blanks))
+    out = long.where(keep).groupBy("grupo", "nombre").agg(m.trips("viajes"), m.total("total"))
+    return panel_order(out)
+
+
 def panel_group(panel: DataFrame, grupo: str) -> DataFrame:
     """SET-2: one group of the status panel (the dashboard splits the panel by its tag)."""
     return panel.where(F.col("grupo") == F.lit(grupo))

@@ -75,6 +75,11 @@ def status_panel(billing: DataFrame, **filters: str) -> DataFrame:
     return FC.panel_order(SH.share_of_total(panel, "total", "pct_grupo", partition_by=["grupo"]))
 
 
+def operations_panels(billing: DataFrame, **filters: str) -> DataFrame:
+    """The operations tab's eight category panels (status groups and distributions) in one scan."""
+    return FC.category_panels(billing, where=fact_where(billing, **filters))
+
+
 def pending_top(billing: DataFrame, **filters: str) -> DataFrame:
     """TOP-2 + WIN-2."""
     return SH.share_of_max(TK.pending_top(billing, where=fact_where(billing, **filters)), "total", "barra_pct")

@@ -682,3 +682,13 @@ FROM billing WHERE nombre_compania IS NOT NULL GROUP BY nombre_compania""",
     "view_detail": _view_detail_sql(),
 }
 SQL["status_panel_union"] = SQL["status_panel"]
+
+
+def _operations_panels_sql() -> str:
+    from cargoscope.operators.facets import OPERATIONS_PANELS
+    parts = [f"SELECT '{g}' AS grupo, {c} AS nombre, COUNT(*) AS viajes, CAST(SUM(tarifa_final) AS DOUBLE) AS total "
+             f"FROM billing WHERE {_blank(c, blanks)} GROUP BY {c}" for g, (c, blanks) in OPERATIONS_PANELS.items()]
+    return with_roles("billing") + "\nUNION ALL ".join(parts)
+
+
+SQL["operations_panels"] = _operations_panels_sql()

@@ -76,3 +76,17 @@ def test_role_table_is_reused_and_refresh_writes_a_newer_attempt(spark):
     assert folder(first) == folder(again)                    # same attempt folder, no rewrite
     newer = RL.role(spark, SF001, "dispatch", refresh=True).inputFiles()[0]
     assert folder(newer) > folder(first)                     # a later attempt is now read
+
+
+def test_operations_panels_equal_the_separate_panels(spark):
+    b = role(spark, SF001, "billing")
+    tab = FC.category_panels(b)
+    panel = FC.status_panel(b)
+    for g in FC.STATUS_GROUPS:
+        assert as_set(FC.panel_group(tab, g)) == as_set(FC.panel_group(panel, g))
+    for g, (col, blanks) in FC.OPERATIONS_PANELS.items():
+        if g in FC.STATUS_GROUPS:
+            continue
+        want = {("x", *r) for r in D.amount_by(b, col, blanks).collect()}
+        got = {("x", *r[1:]) for r in FC.panel_group(tab, g).collect()}
+        assert got == want, g

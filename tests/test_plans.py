@@ -49,6 +49,10 @@ def test_status_panel_scans_once(spark):
     assert scans(union) == 4
 
 
+def test_operations_panels_scan_once(spark):
+    assert scans(formatted(registry.run(spark, "operations_panels", SF001))) == 1
+
+
 def test_facets_scan_once(spark):
     text = formatted(registry.run(spark, "fact_facets", SF001))
     assert scans(text) == 1
