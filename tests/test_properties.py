@@ -24,7 +24,7 @@ def expected(n: int, d: int, dp: int):
     return float(q)
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=6, deadline=None, derandomize=True)
 @given(pairs=PAIRS, dp=st.integers(min_value=0, max_value=3))
 def test_rounding_forms_agree(spark, pairs, dp):
     df = spark.createDataFrame(pairs, "n long, d long")
@@ -40,7 +40,7 @@ def test_rounding_forms_agree(spark, pairs, dp):
         assert duck[(r["n"], r["d"])] == want
 
 
-@settings(max_examples=4, deadline=None)
+@settings(max_examples=4, deadline=None, derandomize=True)
 @given(amounts=st.lists(st.one_of(st.none(), st.integers(min_value=0, max_value=10 ** 9)), min_size=1, max_size=60))
 def test_money_average_is_exact_half_up(spark, amounts):
     from cargoscope.operators import kpis as K
