@@ -19,7 +19,6 @@ from cargoscope.operators import kpis as K
 from cargoscope.operators import rollups as R
 from cargoscope.operators import scorecards as S
 from cargoscope.operators import topk as TK
-from cargoscope.operators.buckets import delay_buckets
 from cargoscope.operators.detail import export_rows, fact_detail, fact_page, view_detail
 from cargoscope.plans import dashboard as P
 from cargoscope.plans.views import VIEWS
@@ -127,7 +126,7 @@ QUERIES: dict[str, Query] = {
     "view_carrier": _on("validated", S.view_carrier),
     "company_billing": _on("billing", S.company_billing),
     # buckets, facets, status panel
-    "delay_buckets": _on("trips", delay_buckets),
+    "delay_buckets": _on("trips", P.trip_delays),
     "trip_facets": _on("trips", P.trip_facets),
     "trip_facets_extended": _on("trips", lambda t: FC.facets(t, FC.TRIP_FACETS_EXTENDED)),
     "fact_facets": _on("billing", P.billing_facets),
@@ -153,8 +152,8 @@ QUERIES: dict[str, Query] = {
     "view_pending_top": _on("validated", TK.view_pending_top),
     "pending_top_carrier": _on("billing", TK.pending_top_carrier),
     "top_branches": _on("freight", TK.top_branches),
-    "trips_due_soon": _on("trips", lambda t: TK.trips_due_soon(t, AS_OF)),
-    "trip_table": _on("trips", TK.trip_table),
+    "trips_due_soon": _on("trips", lambda t: P.trip_upcoming(t, AS_OF)),
+    "trip_table": _on("trips", P.trip_table),
     "fact_page": _on("billing", lambda b: fact_page(b, *FACT_PAGE)),
     "fact_tags": _on("billing", lambda b: P.billing_table(b, 1, 50)),
     "export_detail": _on("billing", export_rows),
