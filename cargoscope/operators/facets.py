@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargoscope.functions.measure_sets import BillingMeasures
+from cargoscope.functions import measures as M
+from cargoscope.functions.measure_sets import BillingMeasures, TripMeasures
 from cargoscope.functions.predicates import blank_policy, present
 from cargoscope.functions.scalars import month_key
 
@@ -121,6 +122,31 @@ def category_panels(billing: DataFrame, panels: dict[str, tuple[str, str]] = OPE
     return panel_order(out)
 
 
+# The trips dashboard's category panels (zone, department, delay bucket).
+TRIP_PANELS = ("zona", "departamento", "rango")
+
+
+def trip_panels(trips: DataFrame, where: Column | None = None) -> DataFrame:
+    """The trips tab's zone, department and delay-bucket panels from ONE scan, in long form.
+
+    Output ``(grupo, nombre, cantidad, cumpl, orden)``: trips, average compliance
+    (exact half-up, 1 dp) and, for the buckets, the ordering key ``MIN(IFNULL(days, 0))``.
+    Zone and department drop NULL and '' (AGG-21/22); every bucket is kept (BKT-1).
+    """
+    from cargoscope.operators.buckets import delay_bucket
+
+    if where is not None:
+        trips = trips.where(where)
+    wide = trips.select(F.col("zona"), F.col("departamento"), delay_bucket("dias_retrazo").alias("rango"),
+                        "porcentaje_cumplimiento", F.coalesce(F.col("dias_retrazo"), F.lit(0)).alias("_dias"))
+    long = wide.unpivot(["porcentaje_cumplimiento", "_dias"], list(TRIP_PANELS), "grupo", "nombre")
+    keep = (F.col("grupo") == F.lit("rango")) | blank_policy("nombre", "drop_blank")
+    t = TripMeasures()
+    out = M.aggregate(long.where(keep).groupBy("grupo", "nombre"),
+                      M.rows().alias("cantidad"), t.compliance_avg("cumpl"), F.min("_dias").alias("orden"))
+    return out.orderBy("grupo", F.col("cantidad").desc(), "nombre")
+
+
 def panel_group(panel: DataFrame, grupo: str) -> DataFrame:
     """SET-2: one group of the status panel (the dashboard splits the panel by its tag)."""
     return panel.where(F.col("grupo") == F.lit(grupo))

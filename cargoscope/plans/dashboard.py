@@ -124,6 +124,11 @@ def trip_delays(trips: DataFrame, **filters: str) -> DataFrame:
     return delay_buckets(trips, where=trip_filter(**filters))
 
 
+def trip_category_panels(trips: DataFrame, **filters: str) -> DataFrame:
+    """AGG-21 + AGG-22 + BKT-1 in one scan (long form; split with ``facets.panel_group``)."""
+    return FC.trip_panels(trips, where=trip_filter(**filters))
+
+
 def trip_upcoming(trips: DataFrame, as_of: str, **filters: str) -> DataFrame:
     """FLT-1 + FLT-10 + TOP-6."""
     return TK.trips_due_soon(trips, as_of, where=trip_filter(**filters))

@@ -692,3 +692,19 @@ def _operations_panels_sql() -> str:
 
 
 SQL["operations_panels"] = _operations_panels_sql()
+
+
+def _trip_panels_sql() -> str:
+    bucket = ("CASE WHEN dias_retrazo IS NULL OR dias_retrazo <= 0 THEN 'A tiempo' "
+              "WHEN dias_retrazo BETWEEN 1 AND 3 THEN '1-3 días' WHEN dias_retrazo BETWEEN 4 AND 7 THEN '4-7 días' "
+              "ELSE '+7 días' END")
+    parts = [f"SELECT '{g}' AS grupo, {e} AS nombre, COUNT(*) AS cantidad, "
+             f"{avg6('porcentaje_cumplimiento', 1)} AS cumpl, MIN(COALESCE(dias_retrazo, 0)) AS orden "
+             f"FROM trips WHERE {w} GROUP BY {e}"
+             for g, e, w in (("zona", "zona", _blank("zona", "drop_blank")),
+                             ("departamento", "departamento", _blank("departamento", "drop_blank")),
+                             ("rango", bucket, "TRUE"))]
+    return with_roles("trips") + "\nUNION ALL ".join(parts)
+
+
+SQL["trip_panels"] = _trip_panels_sql()

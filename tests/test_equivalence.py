@@ -90,3 +90,16 @@ def test_operations_panels_equal_the_separate_panels(spark):
         want = {("x", *r) for r in D.amount_by(b, col, blanks).collect()}
         got = {("x", *r[1:]) for r in FC.panel_group(tab, g).collect()}
         assert got == want, g
+
+
+def test_trip_panels_equal_the_separate_panels(spark):
+    from cargoscope.operators.buckets import delay_buckets
+    t = role(spark, SF001, "trips")
+    tab = FC.trip_panels(t)
+    zone = {(r["nombre"], r["cantidad"]) for r in FC.panel_group(tab, "zona").collect()}
+    assert zone == {(r["zona"], r["cantidad"]) for r in D.count_by(t, "zona", "drop_blank").collect()}
+    dept = {(r["nombre"], r["cantidad"], r["cumpl"]) for r in FC.panel_group(tab, "departamento").collect()}
+    want = D.compliance_by(t, "departamento", "drop_blank", "cumpl").collect()
+    assert dept == {(r["departamento"], r["cantidad"], r["cumpl"]) for r in want}
+    buckets = FC.panel_group(tab, "rango").orderBy("orden").collect()
+    assert [(r["nombre"], r["cantidad"]) for r in buckets] == [tuple(r) for r in delay_buckets(t).collect()]

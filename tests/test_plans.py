@@ -49,8 +49,9 @@ def test_status_panel_scans_once(spark):
     assert scans(union) == 4
 
 
-def test_operations_panels_scan_once(spark):
-    assert scans(formatted(registry.run(spark, "operations_panels", SF001))) == 1
+@pytest.mark.parametrize("name", ["operations_panels", "trip_panels"])
+def test_category_panels_scan_once(spark, name):
+    assert scans(formatted(registry.run(spark, name, SF001))) == 1
 
 
 def test_facets_scan_once(spark):
