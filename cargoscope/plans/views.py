@@ -18,6 +18,7 @@ from cargoscope.operators import rollups as R
 from cargoscope.operators import scorecards as S
 from cargoscope.operators import topk as TK
 from cargoscope.operators.detail import view_detail
+from cargoscope.sinks.writers import materialise
 
 
 def _profile(dim: str) -> Callable[[DataFrame], DataFrame]:
@@ -40,6 +41,23 @@ VIEWS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def materialise_views(validated: DataFrame, base_path: str, mode: str = "overwrite") -> dict[str, str]:
+    """SNK-4 for every saved view: write each result once for repeated reads.
+
+    Views with a month column are written one folder per month (month filters
+    prune folders); the others are written whole. ``base_path`` should be a
+    shared folder (for example below ``spark.checkpoint.dir``). Returns
+    name -> path.
+    """
+    paths = {}
+    for name, build in VIEWS.items():
+        df = build(validated)
+        path = f"{base_path.rstrip('/')}/{name}"
+        materialise(df, path, partition_by="mes" if "mes" in df.columns else None, mode=mode)
+        paths[name] = path
+    return paths
+
+
 def create_views(spark: SparkSession, validated: DataFrame, prefix: str = "", scope: str = "session") -> list[str]:
     """Register every saved view over ``validated``; returns the registered names.
 
