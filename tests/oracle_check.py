@@ -27,7 +27,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return repr(round(v, 9))
+        return repr(v)  # exact: both engines must produce the same double, bit for bit
     if hasattr(v, "item"):
         return norm(v.item())
     return str(v)
