@@ -22,19 +22,22 @@ def fact_detail(billing: DataFrame) -> DataFrame:
     )
 
 
-# Pages ending within this many rows use the top-k plan; deeper pages use the global rank.
+# A page uses the top-k plan only while it ends within this many rows AND the final merge
+# (offset + size rows from every input partition) stays under MERGED_ROWS; otherwise the global rank.
 SHALLOW_PAGE_ROWS = 10_000
+MERGED_ROWS = 20_000_000
 
 
 def page(df: DataFrame, keys: list[tuple[str, str]], page_no: int = 1, size: int = 50,
-         shallow_rows: int = SHALLOW_PAGE_ROWS) -> DataFrame:
+         shallow_rows: int = SHALLOW_PAGE_ROWS, merged_rows: int = MERGED_ROWS) -> DataFrame:
     """PAG-1: page ``page_no`` (1-based) of ``size`` rows in a complete, repeatable order.
 
     Shallow pages plan as ``TakeOrderedAndProject(limit=offset+size, offset=offset)``:
-    each task keeps ``offset + size`` rows, which is cheap while that is small.
-    Deeper pages never merge ``offset + size`` rows in one place: they take the
-    rows whose global rank falls in the page from a distributed sort
-    (``ranked_page``). Both forms return the same rows.
+    each task keeps ``offset + size`` rows and one place merges them from every
+    partition, which is cheap while ``(offset + size) x partitions`` is small.
+    Otherwise the page is never merged in one place: the rows whose global rank
+    falls in the page come from a distributed sort (``ranked_page``). Both forms
+    return the same rows.
     """
     if not isinstance(page_no, int) or page_no < 1:
         raise ValueError(f"page must be an integer >= 1, got {page_no!r}")
@@ -42,7 +45,9 @@ def page(df: DataFrame, keys: list[tuple[str, str]], page_no: int = 1, size: int
         raise ValueError(f"page size must be an integer >= 1, got {size!r}")
     offset = (page_no - 1) * size
     order = sort_keys(df, keys)
-    if offset + size > shallow_rows:
+    depth = offset + size
+    # Input files stand in for the partitions merged: metadata only, no job runs to count them.
+    if depth > shallow_rows or depth * max(1, len(df.inputFiles())) > merged_rows:
         return ranked_page(df, order, offset, size)
     ordered = df.orderBy(*order)
     return (ordered.offset(offset) if offset else ordered).limit(size)

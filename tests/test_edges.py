@@ -203,6 +203,8 @@ def test_deep_pages_by_global_rank_equal_top_k_pages(spark):
         deep = rows(page(detail, keys, page_no, size, shallow_rows=0), "titulo")
         assert shallow == deep, (page_no, size)
     assert rows(page(detail, keys, 21, 50, shallow_rows=0), "titulo") == []
+    # the merge bound alone also switches to the rank (input files x 100 rows > 50)
+    assert rows(page(detail, keys, 2, 50, merged_rows=50), "titulo") == rows(page(detail, keys, 2, 50), "titulo")
 
 
 def test_deep_page_without_checkpoint_is_still_exact(spark, monkeypatch):
