@@ -83,7 +83,18 @@ def main() -> None:
             total += best(lambda c=col: D.amount_by(billing, c, "drop_blank"), repeat)
         return total
 
+    def separate_commercial_panels() -> float:
+        from cargoscope.operators import distributions as D
+        from cargoscope.operators import kpis as K
+        from cargoscope.operators import rollups as R
+        from cargoscope.operators import scorecards as S
+        return (best(lambda: K.executive_summary(billing), repeat) + best(lambda: R.monthly_trend(billing), repeat)
+                + best(lambda: S.company_ranking(billing), repeat)
+                + best(lambda: D.amount_by(billing, "status_contabilidad_aje", "drop_blank"), repeat))
+
     comparisons = {
+        "commercial_panels_one_scan": times["commercial_panels"],
+        "commercial_panels_4_queries": round(separate_commercial_panels(), 4),
         "operations_panels_one_scan": times["operations_panels"],
         "operations_panels_5_queries": round(separate_operations_panels(), 4),
         "status_panel_one_scan": times["status_panel"],

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cargoscope.functions import measures as M
 from cargoscope.functions.measure_sets import BillingMeasures, TripMeasures
-from cargoscope.functions.predicates import has_value, not_blank
+from cargoscope.functions.predicates import has_value, not_blank, present
 from cargoscope.functions.vocabulary import BILLING, TRIPS, BillingStates, TripStates
 
 
@@ -92,12 +92,11 @@ def billing_kpis(billing: DataFrame, states: BillingStates = BILLING, amount: st
     )
 
 
-def executive_summary(billing: DataFrame, states: BillingStates = BILLING, amount: str = "tarifa_final") -> DataFrame:
-    """AGG-4: 21 measures, a superset of AGG-3 with collected share, without-FLT and accepted dispatches."""
+def executive_measures(states: BillingStates = BILLING, amount: str = "tarifa_final") -> list:
+    """The 21 measures of AGG-4; the monthly trend (AGG-10) and company ranking (AGG-39) use subsets."""
     m = BillingMeasures(states, amount)
     s = states
-    return M.aggregate(
-        billing,
+    return [
         m.trips("total_viajes"),
         m.total("total_tarifa"),
         m.avg("tarifa_prom"),
@@ -111,7 +110,57 @@ def executive_summary(billing: DataFrame, states: BillingStates = BILLING, amoun
         m.count_if(m.is_("estado_envio_factura", s.accepted), "env_aceptados"),
         m.count_if(m.is_("estado_flete", s.confirmed), "conf_viajes"),
         m.count_if(m.is_("estado_flete", s.to_confirm), "por_confirmar"),
-    )
+    ]
+
+
+def executive_summary(billing: DataFrame, states: BillingStates = BILLING, amount: str = "tarifa_final") -> DataFrame:
+    """AGG-4: 21 measures, a superset of AGG-3 with collected share, without-FLT and accepted dispatches."""
+    return M.aggregate(billing, *executive_measures(states, amount))
+
+
+# The commercial tab's groupings and how each renames the executive measures.
+COMMERCIAL_PANELS = {
+    "resumen": {},
+    "mes": {"clave": "mes", "total_tarifa": "total", "fact_total": "facturado", "pend_total": "pendiente",
+            "cob_total": "cobrado", "pct_facturado": "pct_fact", "pct_cobrado": "pct_cobrado",
+            "total_viajes": "viajes", "conf_viajes": "confirmados", "con_flt": "con_flt"},
+    "compania": {"clave": "nombre_compania", "total_viajes": "viajes", "total_tarifa": "total",
+                 "fact_total": "facturado", "pend_total": "pendiente", "anul_total": "anulado",
+                 "cob_total": "cobrado", "pct_facturado": "pct_fact", "pct_cobrado": "pct_cobrado",
+                 "tarifa_prom": "promedio"},
+    "status_cont_aje": {"clave": "status_contabilidad_aje", "total_viajes": "viajes", "total_tarifa": "total"},
+}
+
+
+def commercial_panels(billing: DataFrame, states: BillingStates = BILLING, amount: str = "tarifa_final",
+                      where=None) -> DataFrame:
+    """AGG-4, AGG-10, AGG-39 and AGG-26 from ONE scan, in long form ``(grupo, clave, <21 measures>)``.
+
+    Each row of the (filtered) fact is expanded into the groupings it belongs to:
+    the whole table, its creation month (dated rows), its company (named rows)
+    and its ledger status (non-blank rows). One aggregate computes the executive
+    measures per (grouping, key); the monthly trend, the company ranking and the
+    ledger distribution are renamed subsets (``COMMERCIAL_PANELS``). Unlike
+    ``executive_summary``, an empty input yields no ``resumen`` row.
+    """
+    from cargoscope.functions.scalars import month_key
+
+    if where is not None:
+        billing = billing.where(where)
+    groupings = {
+        "resumen": (F.lit(None).cast("string"), F.lit(True)),
+        "mes": (month_key("fecha_creacion"), present("fecha_creacion")),
+        "compania": (F.col("nombre_compania"), present("nombre_compania")),
+        "status_cont_aje": (F.col("status_contabilidad_aje"), not_blank("status_contabilidad_aje")),
+    }
+    inputs = [amount, "nombre_compania", "estado_contable", "status_crisar", "estado_flt", "estado_envio_factura",
+              "estado_flete"]
+    tags = {g: F.struct(cond.alias("member"), key.cast("string").alias("key")) for g, (key, cond) in groupings.items()}
+    long = (billing.select(*inputs, *[t.alias(g) for g, t in tags.items()])
+            .unpivot(inputs, list(tags), "grupo", "_g")
+            .where(F.col("_g.member"))
+            .withColumn("clave", F.col("_g.key")))
+    return M.aggregate(long.groupBy("grupo", "clave"), *executive_measures(states, amount))
 
 
 def freight_kpis(freight: DataFrame, states: BillingStates = BILLING, amount: str = "tarifa_final") -> DataFrame:

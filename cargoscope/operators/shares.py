@@ -31,7 +31,7 @@ def _integral(df: DataFrame, c: str) -> Column:
     raise TypeError(f"{c} must be a decimal or integer column, got {dtype.simpleString()}")
 
 
-def _reusable(df: DataFrame) -> DataFrame:
+def reusable(df: DataFrame) -> DataFrame:
     """Cut the aggregate's lineage so a second read does not rescan the fact table."""
     if not can_checkpoint(df.sparkSession):
         return df
@@ -54,7 +54,7 @@ def _with_whole(df: DataFrame, part: Column, agg, partition_by: list[str]) -> tu
 
 def share_of_total(df: DataFrame, value: str, name: str, partition_by: list[str] = (), dp: int = 1) -> DataFrame:
     """WIN-1: value / total (of its ``partition_by`` group) as a percentage; NULL when the total is 0."""
-    df = _reusable(df)
+    df = reusable(df)
     v = _integral(df, value)
     out, whole = _with_whole(df, v, F.sum, list(partition_by))
     return out.withColumn(name, M.ratio_half_up(v * F.lit(100), whole, dp)).drop("_whole")
@@ -62,7 +62,7 @@ def share_of_total(df: DataFrame, value: str, name: str, partition_by: list[str]
 
 def share_of_max(df: DataFrame, value: str, name: str, partition_by: list[str] = (), dp: int = 0) -> DataFrame:
     """WIN-2: bar length, value / largest value (of its group) as a whole percentage."""
-    df = _reusable(df)
+    df = reusable(df)
     v = _integral(df, value)
     out, whole = _with_whole(df, v, F.max, list(partition_by))
     return out.withColumn(name, M.ratio_half_up(v * F.lit(100), whole, dp)).drop("_whole")

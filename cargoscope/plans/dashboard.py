@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from cargoscope.functions.predicates import fact_filter, trip_filter
 from cargoscope.operators import distributions as D
@@ -80,6 +81,48 @@ def operations_panels(billing: DataFrame, **filters: str) -> DataFrame:
     return FC.category_panels(billing, where=fact_where(billing, **filters))
 
 
+def commercial_panels(billing: DataFrame, **filters: str) -> DataFrame:
+    """The commercial tab's summary, monthly trend, company ranking and ledger panel in one scan (long form)."""
+    return K.commercial_panels(billing, where=fact_where(billing, **filters))
+
+
+def split_panels(long: DataFrame, renames: dict[str, dict[str, str]] | None = None) -> dict[str, DataFrame]:
+    """Split a long-form tab result into its panels.
+
+    The long result is small (one row per category, month or company), so it is
+    checkpointed once and every panel reads that instead of recomputing the scan.
+    ``renames[grupo]`` maps long-form column names to the panel's own (the panel
+    keeps exactly those columns); without it a panel keeps every column but ``grupo``.
+    """
+    long = SH.reusable(long)
+    groups = renames.keys() if renames else [r[0] for r in long.select("grupo").distinct().collect()]
+    out = {}
+    for g in groups:
+        part = FC.panel_group(long, g)
+        mapping = (renames or {}).get(g)
+        if mapping:
+            part = part.select(*[F.col(src).alias(dst) for src, dst in mapping.items()])
+        elif renames is not None:  # identity panel: every measure column
+            part = part.drop("grupo", "clave")
+        else:
+            part = part.drop("grupo")
+        out[g] = part
+    return out
+
+
+def operations_tab(billing: DataFrame, **filters: str) -> dict[str, DataFrame]:
+    """The operations tab's eight category panels from one scan (status groups keep their group tag)."""
+    renames = {g: ({"grupo": "grupo", "nombre": "nombre", "viajes": "viajes", "total": "total"}
+                   if g in FC.STATUS_GROUPS else {"nombre": col, "viajes": "viajes", "total": "total"})
+               for g, (col, _) in FC.OPERATIONS_PANELS.items()}
+    return split_panels(operations_panels(billing, **filters), renames)
+
+
+def commercial_tab(billing: DataFrame, **filters: str) -> dict[str, DataFrame]:
+    """The four commercial panels, computed by one scan and split from one checkpointed result."""
+    return split_panels(commercial_panels(billing, **filters), K.COMMERCIAL_PANELS)
+
+
 def pending_top(billing: DataFrame, **filters: str) -> DataFrame:
     """TOP-2 + WIN-2."""
     return SH.share_of_max(TK.pending_top(billing, where=fact_where(billing, **filters)), "total", "barra_pct")
@@ -129,6 +172,14 @@ def trip_category_panels(trips: DataFrame, **filters: str) -> DataFrame:
     return FC.trip_panels(trips, where=trip_filter(**filters))
 
 
+def trips_tab(trips: DataFrame, **filters: str) -> dict[str, DataFrame]:
+    """The zone, department and delay-bucket panels from one scan."""
+    renames = {"zona": {"nombre": "zona", "cantidad": "cantidad"},
+               "departamento": {"nombre": "departamento", "cantidad": "cantidad", "cumpl": "cumpl"},
+               "rango": {"nombre": "rango", "cantidad": "cantidad", "orden": "orden"}}
+    return split_panels(trip_category_panels(trips, **filters), renames)
+
+
 def trip_upcoming(trips: DataFrame, as_of: str, **filters: str) -> DataFrame:
     """FLT-1 + FLT-10 + TOP-6."""
     return TK.trips_due_soon(trips, as_of, where=trip_filter(**filters))

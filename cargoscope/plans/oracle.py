@@ -708,3 +708,33 @@ def _trip_panels_sql() -> str:
 
 
 SQL["trip_panels"] = _trip_panels_sql()
+
+
+def _executive_items() -> list[str]:
+    return [
+        "COUNT(*) AS total_viajes", f"{dbl(msum())} AS total_tarifa", f"{mavg()} AS tarifa_prom",
+        "COUNT(DISTINCT nombre_compania) AS companias",
+        *block(BILLED, "fact_viajes", "fact_total", "pct_facturado"),
+        *block(UNBILLED, "pend_viajes", "pend_total", "pct_sin_facturar"),
+        *block(CANCELLED, "anul_viajes", "anul_total", "pct_anulado"),
+        *block(COLLECTED, "cob_viajes", "cob_total", "pct_cobrado"),
+        f"{cif(WITH_FLT)} AS con_flt", f"{cif(WITHOUT_FLT)} AS sin_flt", f"{cif(ACCEPTED)} AS env_aceptados",
+        f"{cif(CONFIRMED)} AS conf_viajes", f"{cif(TO_CONFIRM)} AS por_confirmar",
+    ]
+
+
+def _commercial_panels_sql() -> str:
+    items = sel(_executive_items())
+    parts = [
+        f"SELECT 'resumen' AS grupo, CAST(NULL AS VARCHAR) AS clave, {items} FROM billing",
+        f"SELECT 'mes' AS grupo, {mk('fecha_creacion')} AS clave, {items} FROM billing "
+        f"WHERE fecha_creacion IS NOT NULL GROUP BY {mk('fecha_creacion')}",
+        f"SELECT 'compania' AS grupo, nombre_compania AS clave, {items} FROM billing "
+        "WHERE nombre_compania IS NOT NULL GROUP BY nombre_compania",
+        f"SELECT 'status_cont_aje' AS grupo, status_contabilidad_aje AS clave, {items} FROM billing "
+        "WHERE status_contabilidad_aje IS NOT NULL AND status_contabilidad_aje <> '' GROUP BY status_contabilidad_aje",
+    ]
+    return with_roles("billing") + "\nUNION ALL ".join(parts)
+
+
+SQL["commercial_panels"] = _commercial_panels_sql()

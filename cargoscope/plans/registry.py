@@ -138,6 +138,7 @@ QUERIES: dict[str, Query] = {
     "status_panel_union": _on("billing", FC.status_panel_union),
     "operations_panels": _on("billing", P.operations_panels),
     "trip_panels": _on("trips", P.trip_category_panels),
+    "commercial_panels": _on("billing", P.commercial_panels),
     # windows over aggregates, derived measures
     "share_of_total": _on("billing", P.status_panel),
     "share_of_max": _on("billing", P.dispatch_panel),

@@ -103,3 +103,38 @@ def test_trip_panels_equal_the_separate_panels(spark):
     assert dept == {(r["departamento"], r["cantidad"], r["cumpl"]) for r in want}
     buckets = FC.panel_group(tab, "rango").orderBy("orden").collect()
     assert [(r["nombre"], r["cantidad"]) for r in buckets] == [tuple(r) for r in delay_buckets(t).collect()]
+
+
+def test_commercial_tab_equals_the_separate_panels(spark):
+    from cargoscope.functions.scalars import to_edge
+    from cargoscope.operators import rollups as R
+    from cargoscope.operators import scorecards as S
+    from cargoscope.plans import dashboard as P
+    b = role(spark, SF001, "billing")
+    tab = P.commercial_tab(b)
+
+    def same(got, want):
+        cols = sorted(want.columns)
+        assert sorted(got.columns) == cols
+        g = {tuple(r[c] for c in cols) for r in to_edge(got).collect()}
+        w = {tuple(r[c] for c in cols) for r in to_edge(want).collect()}
+        assert g == w
+
+    same(tab["resumen"], K.executive_summary(b))
+    trend = R.monthly_trend(b)
+    same(tab["mes"], trend.select(*tab["mes"].columns))
+    ranking = S.company_ranking(b)
+    same(tab["compania"], ranking.select(*tab["compania"].columns))
+    same(tab["status_cont_aje"], D.amount_by(b, "status_contabilidad_aje", "drop_blank"))
+
+
+def test_tab_splitters(spark):
+    from cargoscope.plans import dashboard as P
+    ops = P.operations_tab(role(spark, SF001, "billing"), mes_desde="1997-01")
+    assert set(ops) == set(FC.OPERATIONS_PANELS)
+    assert as_set(ops["tipo_fact"]) == as_set(
+        D.amount_by(role(spark, SF001, "billing").where(F.col("fecha_creacion") >= "1997-01-01"), "tipo_fact",
+                    "drop_blank"))
+    trips = P.trips_tab(role(spark, SF001, "trips"), zona="ASIA")
+    assert set(trips) == {"zona", "departamento", "rango"}
+    assert [r["zona"] for r in trips["zona"].collect()] == ["ASIA"]

@@ -49,7 +49,7 @@ def test_status_panel_scans_once(spark):
     assert scans(union) == 4
 
 
-@pytest.mark.parametrize("name", ["operations_panels", "trip_panels"])
+@pytest.mark.parametrize("name", ["operations_panels", "trip_panels", "commercial_panels"])
 def test_category_panels_scan_once(spark, name):
     assert scans(formatted(registry.run(spark, name, SF001))) == 1
 
