@@ -13,3 +13,19 @@ streaming/  intentionally empty: the reporting workload is batch only
 """
 
 __version__ = "0.1.0"
+
+
+def __getattr__(name: str):
+    """Lazy shortcuts to the usual entry points (importing the package stays cheap)."""
+    import importlib
+
+    shortcuts = {
+        "dashboard": "cargoscope.plans.dashboard",
+        "views": "cargoscope.plans.views",
+        "registry": "cargoscope.plans.registry",
+        "roles": "cargoscope.sources.roles",
+        "session": "cargoscope.session",
+    }
+    if name in shortcuts:
+        return importlib.import_module(shortcuts[name])
+    raise AttributeError(name)
