@@ -116,15 +116,17 @@ EXPORT_COLUMNS = (
 
 
 def _skew_safe_order(date_col: str, tie_breaks: list[str]) -> list[Column]:
-    """Newest first, then the other output columns as tie-breaks.
+    """Newest first, then an id, then the row's position, as tie-breaks.
 
     The reference orders by the date alone and leaves ties unordered, so any
     tie order is correct. The extra keys matter for the distributed sort: the
     range partitioner cannot split equal keys, so one date holding a third of
-    the rows would otherwise land in a single task; with the tie-breaks its
-    sampled bounds split that date over many partitions.
+    the rows would otherwise land in a single task. The id splits a hot date;
+    the position (``monotonically_increasing_id``: input partition and offset,
+    fixed for a given input) splits even a group of exact copies.
     """
-    return [F.col(date_col).desc_nulls_last(), *[F.col(f"`{c}`").asc_nulls_first() for c in tie_breaks]]
+    return [F.col(date_col).desc_nulls_last(), *[F.col(f"`{c}`").asc_nulls_first() for c in tie_breaks],
+            F.monotonically_increasing_id().asc()]
 
 
 def export_rows(billing: DataFrame, where: Column | None = None) -> DataFrame:
@@ -133,8 +135,7 @@ def export_rows(billing: DataFrame, where: Column | None = None) -> DataFrame:
         billing = billing.where(where)
     cols = [day_text("fecha_creacion").alias("fecha") if spec is None else F.col(spec[0]).alias(spec[1])
             for spec in EXPORT_COLUMNS]
-    ties = [spec[0] for spec in EXPORT_COLUMNS if spec is not None]
-    return billing.orderBy(*_skew_safe_order("fecha_creacion", ties)).select(*cols)
+    return billing.orderBy(*_skew_safe_order("fecha_creacion", ["id_envio"])).select(*cols)
 
 
 VIEW_DETAIL_COLUMNS = ("fecha", "nombre_compania", "nombre_sucursal", "titulo", "transportista", "tarifa_final",
@@ -146,4 +147,4 @@ def view_detail(validated: DataFrame) -> DataFrame:
     """PRJ-5: freight detail with month and year text, newest first."""
     return (validated.where(present("fecha"))
             .select(*VIEW_DETAIL_COLUMNS, month_key("fecha").alias("mes"), year_text("fecha").alias("anio"))
-            .orderBy(*_skew_safe_order("fecha", [c for c in VIEW_DETAIL_COLUMNS if c != "fecha"])))
+            .orderBy(*_skew_safe_order("fecha", ["n_flete"])))

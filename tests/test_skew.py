@@ -23,3 +23,17 @@ def test_tie_break_spreads_a_hot_date_over_range_partitions(spark):
     assert max(with_tie) < 1000                                      # the tie-break splits it
     ordered = df.orderBy(*_skew_safe_order("fecha_creacion", ["id_envio"]))
     assert ordered.first()["fecha_creacion"] is not None
+
+
+def test_position_tie_break_spreads_a_group_of_copies(spark):
+    copy = {"fecha_creacion": FR.ts("2000-05-05"), "id_envio": "same", "titulo": "same"}
+    rows = [copy if i % 2 == 0 else {"fecha_creacion": FR.ts("2001-01-01"), "id_envio": f"{i:06d}"}
+            for i in range(4000)]                                       # half of all rows are exact copies
+    df = FR.billing(spark, rows).repartition(8)
+    by_content = partition_sizes(df.repartitionByRange(16, "fecha_creacion", "id_envio", "titulo"))
+    assert max(by_content) >= 2000                                     # content keys cannot split copies
+    keys = _skew_safe_order("fecha_creacion", ["id_envio"])
+    # explicit partition count: small test data would otherwise be coalesced by AQE into one partition
+    assert max(partition_sizes(df.repartitionByRange(16, *keys))) < 1000   # the position key does
+    safe = df.orderBy(*keys)
+    assert safe.count() == 4000 and safe.first()["fecha_creacion"] == FR.ts("2001-01-01")
