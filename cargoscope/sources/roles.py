@@ -47,13 +47,16 @@ ROLE_NAMES = ("billing", "trips", "on_time", "orders", "dispatch")
 # The freight report and the validated-freight table share the billing mapping.
 ROLE_ALIASES = {"freight": "billing", "validated": "billing"}
 # Physical layout of the written roles: (range-partition keys, in-file sort keys, folder partition column).
-# billing is range-partitioned on its creation date (the id breaks ties, so one hot date still spreads
-# over many tasks), sorted by that date inside each file, and written in one folder per creation month,
-# so a month-range filter prunes folders and skips row groups inside the files it still reads.
+# billing is range-partitioned on its creation date (the id and then the row's position break ties, so a
+# hot date, or even a group of exact copies, still spreads over many tasks), sorted by that date inside
+# each file, and written in one folder per creation month, so a month-range filter prunes folders and
+# skips row groups inside the files it still reads. POSITION only balances the write; it never changes
+# which rows are written.
+POSITION = "__position__"
 # trips keeps its join partitioning and is sorted inside each file by the columns its equality filters
 # use most (plant, then zone), so Parquet row-group statistics skip data for a filtered panel.
 MATERIALISED = {
-    "billing": (("fecha_creacion", "id_envio"), ("fecha_creacion",), "mes_creacion"),
+    "billing": (("fecha_creacion", "id_envio", POSITION), ("fecha_creacion",), "mes_creacion"),
     "trips": ((), ("origen_carga", "zona"), None),
     "dispatch": ((), (), None),
 }
@@ -321,7 +324,8 @@ def role(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) ->
         frame = lazy_role(spark, sf_dir, name)
         range_keys, sort_cols, folder_col = MATERIALISED[name]
         if range_keys:
-            frame = frame.repartitionByRange(*range_keys)
+            frame = frame.repartitionByRange(*[F.monotonically_increasing_id() if k == POSITION else F.col(k)
+                                               for k in range_keys])
         if sort_cols:
             frame = frame.sortWithinPartitions(*sort_cols)
         writer = frame.write.mode("errorifexists")
