@@ -110,8 +110,9 @@ def _join_lines_to_orders(t: dict[str, DataFrame], orders: DataFrame) -> DataFra
     Both sides grow with the data, so neither may be broadcast on the strength
     of a static size estimate (after column pruning a small lineitem can look
     small enough to broadcast, which would stream the whole join from the
-    orders scan). The join shuffles both sides on the order key, which is never
-    hot (at most seven lines per order), and AQE still splits skewed partitions.
+    orders scan). The join shuffles both sides on the order key; an order has at
+    most seven lines, and if copies of one line ever make a key hot, AQE's skew
+    join splits that partition of the lineitem side.
     """
     li = t["lineitem"]
     return li.join(orders.hint("merge"), li["l_orderkey"] == F.col("o_orderkey"))
