@@ -65,7 +65,8 @@ def ranked_page(df: DataFrame, order: list[Column], offset: int, size: int) -> D
     3. Global rank = start of the partition + position inside it; keep the page.
     """
     cols = df.columns
-    tagged = (df.orderBy(*order)
+    # The position key splits a group of exact copies across range partitions (content keys cannot).
+    tagged = (df.orderBy(*order, F.monotonically_increasing_id().asc())
               .select(*[F.col(f"`{c}`") for c in cols],
                       F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")))
     if can_checkpoint(df.sparkSession):
