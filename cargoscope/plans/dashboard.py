@@ -86,27 +86,20 @@ def commercial_panels(billing: DataFrame, **filters: str) -> DataFrame:
     return K.commercial_panels(billing, where=fact_where(billing, **filters))
 
 
-def split_panels(long: DataFrame, renames: dict[str, dict[str, str]] | None = None) -> dict[str, DataFrame]:
+def split_panels(long: DataFrame, renames: dict[str, dict[str, str]]) -> dict[str, DataFrame]:
     """Split a long-form tab result into its panels.
 
     The long result is small (one row per category, month or company), so it is
     checkpointed once and every panel reads that instead of recomputing the scan.
     ``renames[grupo]`` maps long-form column names to the panel's own (the panel
-    keeps exactly those columns); without it a panel keeps every column but ``grupo``.
+    keeps exactly those columns); an empty mapping keeps every measure column.
     """
     long = SH.reusable(long)
-    groups = renames.keys() if renames else [r[0] for r in long.select("grupo").distinct().collect()]
     out = {}
-    for g in groups:
+    for g, mapping in renames.items():
         part = FC.panel_group(long, g)
-        mapping = (renames or {}).get(g)
-        if mapping:
-            part = part.select(*[F.col(src).alias(dst) for src, dst in mapping.items()])
-        elif renames is not None:  # identity panel: every measure column
-            part = part.drop("grupo", "clave")
-        else:
-            part = part.drop("grupo")
-        out[g] = part
+        out[g] = (part.select(*[F.col(src).alias(dst) for src, dst in mapping.items()]) if mapping
+                  else part.drop("grupo", "clave"))
     return out
 
 
