@@ -89,3 +89,10 @@ def test_materialise_all_views(spark, out_dir):
         assert back.count() == want.count(), name
         if "mes" in want.columns:
             assert any(d.startswith("mes=") for d in os.listdir(path)), name
+
+
+def test_global_views_are_visible_to_other_sessions(spark):
+    names = create_views(spark, role(spark, SF001, "validated"), prefix="g_", scope="global")
+    other = spark.newSession()
+    assert other.table(f"global_temp.{names[0]}").count() >= 1
+    assert other.sql("SELECT COUNT(*) FROM global_temp.g_v_fact_compania").first()[0] > 0
