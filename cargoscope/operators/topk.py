@@ -84,7 +84,7 @@ TRIP_TABLE_COLUMNS = ("referencia", "origen", "destino", "zona", "cliente_final"
                       "porcentaje_cumplimiento", "estado_viaje")
 
 
-def trips_due_soon(trips: DataFrame, as_of: str, k: int = 8, horizon_days: int = 2,
+def trips_due_soon(trips: DataFrame, as_of: str | None = None, k: int = 8, horizon_days: int = 2,
                    where: Column | None = None) -> DataFrame:
     """TOP-6: the earliest commitments among off-time or due-soon trips (NULL commitment first)."""
     if where is not None:

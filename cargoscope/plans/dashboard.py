@@ -173,8 +173,8 @@ def trips_tab(trips: DataFrame, **filters: str) -> dict[str, DataFrame]:
     return split_panels(trip_category_panels(trips, **filters), renames)
 
 
-def trip_upcoming(trips: DataFrame, as_of: str, **filters: str) -> DataFrame:
-    """FLT-1 + FLT-10 + TOP-6."""
+def trip_upcoming(trips: DataFrame, as_of: str | None = None, **filters: str) -> DataFrame:
+    """FLT-1 + FLT-10 + TOP-6 (``as_of`` defaults to today)."""
     return TK.trips_due_soon(trips, as_of, where=trip_filter(**filters))
 
 
