@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import sys
 import tempfile
 
@@ -30,9 +29,8 @@ def tree(df) -> str:
     text = df._jdf.queryExecution().explainString(
         df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     head = text.split("\n\n(1)")[0]
-    details = re.findall(r"^(PushedFilters|PartitionFilters|ReadSchema): .*$", text, flags=re.M)
     lines = [ln for ln in text.splitlines() if ln.startswith(("PushedFilters", "PartitionFilters", "ReadSchema"))]
-    return head.strip() + ("\n\n" + "\n".join(ln[:220] for ln in lines) if details else "")
+    return head.strip() + ("\n\n" + "\n".join(ln[:220] for ln in lines) if lines else "")
 
 
 def main() -> None:
