@@ -267,3 +267,11 @@ def test_tags_and_labels(spark):
         ("Anul", "-", "pen", "orn", "", "N/A", "x"),
         ("Pend", "-", "man", "red", None, "N/A", None),
     ]
+
+
+def test_fractional_delays_fall_through_to_the_overflow_bucket(spark):
+    from cargoscope.operators.buckets import delay_bucket
+    df = spark.createDataFrame([(x,) for x in (0.5, 1.0, 3.5, 4.0, 7.5, 8.0, -0.5)], "d double")
+    got = dict((r["d"], r["b"]) for r in df.select("d", delay_bucket("d").alias("b")).collect())
+    assert got == {0.5: "+7 días", 1.0: "1-3 días", 3.5: "+7 días", 4.0: "4-7 días", 7.5: "+7 días",
+                   8.0: "+7 días", -0.5: "A tiempo"}                       # R9, kept as written
