@@ -275,3 +275,12 @@ def test_fractional_delays_fall_through_to_the_overflow_bucket(spark):
     got = dict((r["d"], r["b"]) for r in df.select("d", delay_bucket("d").alias("b")).collect())
     assert got == {0.5: "+7 días", 1.0: "1-3 días", 3.5: "+7 días", 4.0: "4-7 días", 7.5: "+7 días",
                    8.0: "+7 días", -0.5: "A tiempo"}                       # R9, kept as written
+
+
+def test_month_range_on_either_date_column(spark):
+    df = FR.billing(spark, [{"fecha_creacion": FR.ts("2000-01-15"), "fecha": FR.ts("2000-03-15")},
+                            {"fecha_creacion": FR.ts("2000-03-15"), "fecha": FR.ts("2000-01-15")}])
+    by_created = df.where(fact_filter(mes_desde="2000-03", mes_hasta="2000-03")).collect()
+    by_shipped = df.where(fact_filter(mes_desde="2000-03", mes_hasta="2000-03", date_col="fecha")).collect()
+    assert [r["fecha_creacion"] for r in by_created] == [FR.ts("2000-03-15")]      # R14: the column is a parameter
+    assert [r["fecha"] for r in by_shipped] == [FR.ts("2000-03-15")]
