@@ -61,9 +61,12 @@ def main() -> None:
     roles_build = time.perf_counter() - t0
 
     run_noop(lambda: registry.run(spark, "monthly_trend", sf_dir))  # warm-up (JIT, file listing)
-    times = {}
+    times, errors = {}, {}
     for name in registry.QUERIES:
-        times[name] = round(best(lambda n=name: registry.run(spark, n, sf_dir), repeat), 4)
+        try:
+            times[name] = round(best(lambda n=name: registry.run(spark, n, sf_dir), repeat), 4)
+        except Exception as exc:  # noqa: BLE001 - record and keep measuring the others
+            errors[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
 
     billing = role(spark, sf_dir, "billing")
 
@@ -92,32 +95,36 @@ def main() -> None:
                 + best(lambda: S.company_ranking(billing), repeat)
                 + best(lambda: D.amount_by(billing, "status_contabilidad_aje", "drop_blank"), repeat))
 
-    comparisons = {
-        "commercial_panels_one_scan": times["commercial_panels"],
-        "commercial_panels_4_queries": round(separate_commercial_panels(), 4),
-        "operations_panels_one_scan": times["operations_panels"],
-        "operations_panels_5_queries": round(separate_operations_panels(), 4),
-        "status_panel_one_scan": times["status_panel"],
-        "status_panel_union_4_scans": times["status_panel_union"],
-        "fact_facets_one_scan": times["fact_facets"],
-        "fact_facets_12_scans": round(best(facets_n_scans, repeat), 4),
-        "month_filter_raw_column": round(best(
-            lambda: billing.where(month_range("fecha_creacion", "1996-03", "1997-02")).select("tarifa_final"),
-            repeat), 4),
-        "month_filter_raw_column_and_month_folders": round(best(
-            lambda: billing.where(P.fact_where(billing, mes_desde="1996-03", mes_hasta="1997-02")).select("tarifa_final"),
-            repeat), 4),
-        "month_filter_formatted_text": round(best(
-            lambda: billing.where(month_key("fecha_creacion").between("1996-03", "1997-02")).select("tarifa_final"),
-            repeat), 4),
-        "page_1": round(best(lambda: fact_page(billing, 1, 50), repeat), 4),
-        "page_1000": round(best(lambda: fact_page(billing, 1000, 50), repeat), 4),
-    }
+    try:
+        comparisons = {
+            "commercial_panels_one_scan": times.get("commercial_panels"),
+            "commercial_panels_4_queries": round(separate_commercial_panels(), 4),
+            "operations_panels_one_scan": times.get("operations_panels"),
+            "operations_panels_5_queries": round(separate_operations_panels(), 4),
+            "status_panel_one_scan": times.get("status_panel"),
+            "status_panel_union_4_scans": times.get("status_panel_union"),
+            "fact_facets_one_scan": times.get("fact_facets"),
+            "fact_facets_12_scans": round(best(facets_n_scans, repeat), 4),
+            "month_filter_raw_column": round(best(
+                lambda: billing.where(month_range("fecha_creacion", "1996-03", "1997-02")).select("tarifa_final"),
+                repeat), 4),
+            "month_filter_raw_column_and_month_folders": round(best(
+                lambda: billing.where(P.fact_where(billing, mes_desde="1996-03", mes_hasta="1997-02")).select("tarifa_final"),
+                repeat), 4),
+            "month_filter_formatted_text": round(best(
+                lambda: billing.where(month_key("fecha_creacion").between("1996-03", "1997-02")).select("tarifa_final"),
+                repeat), 4),
+            "page_1": round(best(lambda: fact_page(billing, 1, 50), repeat), 4),
+            "page_1000": round(best(lambda: fact_page(billing, 1000, 50), repeat), 4),
+        }
+    except Exception as exc:  # noqa: BLE001 - comparisons are extra; never lose the main result
+        comparisons = {"error": f"{type(exc).__name__}: {str(exc)[:200]}"}
     total = round(sum(times.values()), 4)
+    times.update({name: None for name in errors})
     print(json.dumps({
         "metric": "total_query_sec", "value": total, "unit": "sec", "queries": times, "sf": sf,
         "n_queries": len(times), "roles_build_sec": round(roles_build, 4), "cpus": cpus, "repeat": repeat,
-        "comparisons": comparisons,
+        "comparisons": comparisons, "errors": errors,
     }))
     spark.stop()
 

@@ -19,4 +19,5 @@ def test_bench_prints_one_json_line():
     assert len(lines) == 1
     d = json.loads(lines[0])
     assert d["unit"] == "sec" and d["sf"] == 0.001 and d["value"] > 0
+    assert d["errors"] == {}
     assert set(d["queries"]) and all(v > 0 for v in d["queries"].values())
