@@ -138,3 +138,13 @@ def test_tab_splitters(spark):
     trips = P.trips_tab(role(spark, SF001, "trips"), zona="ASIA")
     assert set(trips) == {"zona", "departamento", "rango"}
     assert [r["zona"] for r in trips["zona"].collect()] == ["ASIA"]
+
+
+def test_shares_without_a_checkpoint_folder_are_the_same(spark, monkeypatch):
+    from cargoscope.operators import shares as SH
+    from cargoscope.plans import dashboard as P
+    b = role(spark, SF001, "billing")
+    with_ckpt = as_set(P.status_panel(b)), as_set(P.company_ranking(b))
+    monkeypatch.setattr(SH, "can_checkpoint", lambda _spark: False)
+    without = as_set(P.status_panel(b)), as_set(P.company_ranking(b))
+    assert with_ckpt == without
