@@ -61,10 +61,13 @@ def can_checkpoint(spark: SparkSession) -> bool:
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """Use the configured checkpoint folder; set ``fallback`` only where none is set."""
+    """Use the configured checkpoint folder; set ``fallback`` only where none is set.
+
+    ``spark.checkpoint.dir`` cannot change at run time, so the fallback is set on
+    the SparkContext, which ``checkpoint_dir`` reads when the setting is absent.
+    """
     current = checkpoint_dir(spark)
     if current:
         return current
-    spark.conf.set("spark.checkpoint.dir", fallback)
     spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+    return checkpoint_dir(spark) or fallback

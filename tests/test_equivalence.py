@@ -148,3 +148,18 @@ def test_shares_without_a_checkpoint_folder_are_the_same(spark, monkeypatch):
     monkeypatch.setattr(SH, "can_checkpoint", lambda _spark: False)
     without = as_set(P.status_panel(b)), as_set(P.company_ranking(b))
     assert with_ckpt == without
+
+
+def test_unwritable_checkpoint_folder_falls_back_to_the_lazy_plan(spark, monkeypatch):
+    import warnings as W
+
+    from cargoscope.sources import roles as RL
+    monkeypatch.setattr(RL, "checkpoint_dir", lambda _spark: "/proc/cargoscope-cannot-write-here")
+    try:
+        with W.catch_warnings(record=True) as caught:
+            W.simplefilter("always")
+            df = RL.role(spark, SF001, "dispatch", refresh=True)
+        assert any("lazy plan" in str(w.message) for w in caught)
+        assert df.count() == RL.lazy_role(spark, SF001, "dispatch").count()
+    finally:
+        RL._MEMO.clear()
