@@ -67,15 +67,23 @@ BILLING_MONTH_PARTITION = "mes_creacion"
 DIMENSION_MAX_ROWS = 10_000
 
 
+_SMALL: dict[tuple, bool] = {}
+
+
 def small_dimension(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> DataFrame:
     """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows. Larger inputs are returned
-    unhinted, so the planner picks a shuffle join for them.
+    The check reads at most ``max_rows + 1`` rows, once per input files and
+    bound within an application (projections of the same table share it).
+    Larger inputs are returned unhinted, so the planner picks a shuffle join.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    files = tuple(sorted(df.inputFiles()))
+    if not files:  # not a file scan: nothing to share the verdict with
+        return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    key = (df.sparkSession.sparkContext.applicationId, files, max_rows)
+    if key not in _SMALL:
+        _SMALL[key] = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if _SMALL[key] else df
 
 
 def _nation(t: dict[str, DataFrame], prefix: str) -> DataFrame:
