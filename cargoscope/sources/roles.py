@@ -349,7 +349,9 @@ def role(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) ->
             _MEMO[memo_key] = out
             return out
         latest = _latest_complete(spark, root) or attempt
-    out = spark.read.parquet(latest)
+    # Read with the mapping's own schema: folder-partition values keep their declared type
+    # instead of whatever partition-type inference would make of them.
+    out = spark.read.schema(lazy_role(spark, sf_dir, name).schema).parquet(latest)
     _MEMO[memo_key] = out
     return out
 
