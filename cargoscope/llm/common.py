@@ -45,9 +45,12 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage at a reliable checkpoint in the shared folder: losing an executor then costs a re-read."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage at a table written to the shared folder: losing an executor then costs a re-read, and the
+    planner sees the table's real size instead of an estimate that grows with every join before it."""
+    spark = df.sparkSession
+    path = fresh_dir(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def rows(batch: pa.RecordBatch, size: int = SLICE_ROWS) -> Iterator[list[dict]]:

@@ -3,7 +3,7 @@
 Every round each component hooks onto its smallest neighbour, the hooks are shortened by pointer jumping, and the
 links are rewritten to the new components until none joins two of them. A node's own links never have to meet in one
 task: the minimum is a partially aggregated group, and the joins on a node with many links can be split by Spark.
-Each round ends in a checkpoint, so lost executors cost a re-read. Only the question "is any link left" reaches the
+Each round ends in written tables, so lost executors cost a re-read. Only the question "is any link left" reaches the
 driver.
 """
 

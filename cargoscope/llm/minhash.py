@@ -11,9 +11,14 @@ count when collisions are counted. Postings that no other document shares stand
 candidates at all.
 
 No list is expanded into all its pairs. Documents with equal shingle sets are one node from the start. In the star
-rounds, every member of a list is compared with a few pivots of the list, which collapses large groups of
-near-copies into components with linear work. What is left are pairs of a list in different components; those are
-all compared, within size classes that the similarity allows, so no link between components is lost.
+rounds, every member of a list meets a pivot of the list, and each node is confirmed against the pivot it met most
+often, which collapses large groups of near-copies into components with linear work. What is left are pairs of a list
+in different components; those are all met, within size classes that the similarity allows, and pass only if their
+signature sketches collide often enough and enough of their shingles are held by others, so no link between components
+is lost.
+
+Joins of signatures, postings and sets are hinted to sort and merge: the files of the written tables are compressed,
+and their size must not make the planner broadcast a side that grows with the corpus.
 
 Defined results: texts without words (null, empty or white space) have ``n_shingles`` 0 and link with nothing; a row
 without an id links with nothing, has no component and is kept; rows that share an id count as one node; the smallest
@@ -39,11 +44,11 @@ WORDS = 5
 SIMILAR = 75
 COORDINATES = 64
 MATCHES = 28
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 _SEED = 20240607
 
-_SIGN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("signature", pa.list_(pa.int64()))])
-_SIGN_DDL = "doc_id long, n long, f1 long, f2 long, signature array<long>"
+_SIGN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("signature", pa.list_(pa.int64())), *((f"s{i}", pa.int64()) for i in range(4))])
+_SIGN_DDL = "doc_id long, n long, f1 long, f2 long, signature array<long>, s0 long, s1 long, s2 long, s3 long"
 _SETS_SCHEMA = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
@@ -85,14 +90,21 @@ def _coefficients() -> tuple[np.ndarray, np.ndarray]:
     return both[0] | np.uint64(1), both[1]
 
 
+_MULT, _ADD = _coefficients()
+
+
 def signature(found: np.ndarray) -> np.ndarray:
     """The smallest permuted hash per coordinate, coordinate and value in one 64-bit number."""
-    mult, add = _coefficients()
-    out = np.empty(COORDINATES, np.uint64)
-    block = 1 << 15
-    for k in range(COORDINATES):
-        out[k] = min(int((found[at : at + block] * mult[k] + add[k]).min()) for at in range(0, len(found), block))
-    return _mix(out + np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    out = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 1024):
+        out = np.minimum(out, (_MULT[:, None] * found[None, at : at + 1024] + _ADD[:, None]).min(1))
+    return _mix(out + np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def sketch(signed: np.ndarray) -> np.ndarray:
+    """Four bits per coordinate in four 64-bit numbers; coordinates that agree agree in these bits."""
+    nibbles = (signed >> np.uint64(60)).reshape(4, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return np.bitwise_or.reduce(nibbles, axis=1)
 
 
 def _sign(batches):
@@ -101,14 +113,17 @@ def _sign(batches):
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             ids, texts = part.column(0), part.column(1).cast(pa.large_binary())
-            n, f1, f2, signs = [], [], [], []
+            n, f1, f2, signs, sketches = [], [], [], [], []
             for i in range(part.num_rows):
                 found = shingles(texts[i].as_py(), cache)
                 n.append(len(found))
                 f1.append(int(np.bitwise_xor.reduce(found).view(np.int64)) if len(found) else 0)
                 f2.append(int(_mix(found).sum(dtype=np.uint64).view(np.int64)) if len(found) else 0)
-                signs.append(signature(found) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(signs, pa.list_(pa.int64()))], schema=_SIGN_SCHEMA)
+                signed = signature(found) if len(found) else None
+                signs.append(None if signed is None else signed.view(np.int64))
+                sketches.append(np.zeros(4, np.int64) if signed is None else sketch(signed).view(np.int64))
+            four = np.array(sketches).T
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(signs, pa.list_(pa.int64())), *(pa.array(four[i]) for i in range(4))], schema=_SIGN_SCHEMA)
 
 
 def _sets(batches):
@@ -121,78 +136,126 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int64()))], schema=_SETS_SCHEMA)
 
 
+def _bitmaps(batches):
+    """(node, pivot, shingles, frame) -> which of the pivot's shingles the node holds, 64 to a number."""
+    for batch in batches:
+        inside, n = [], []
+        for i in range(batch.num_rows):
+            held, frame = np.asarray(batch.column(2)[i].values), np.asarray(batch.column(3)[i].values)
+            bits = np.isin(frame, held, assume_unique=True)
+            padded = np.zeros(-(-len(bits) // 64) * 64, bool)
+            padded[: len(bits)] = bits
+            inside.append(np.packbits(padded).view(np.int64))
+            n.append(int(bits.sum()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inside, pa.list_(pa.int64())), pa.array(n, pa.int64())], names=["node", "pivot", "inside", "n_inside"])
+
+
 def _similar_sizes(x, y):
     """Sizes whose sets can reach the similarity at all."""
     return F.least(x, y) * 100 >= F.greatest(x, y) * SIMILAR
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are links: first by signature, then on the full shingle sets."""
-    signs = nodes.select("node", "signature")
-    signed = pairs.join(signs.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(signs.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
-    candidates = cut(signed.where(F.size(F.array_intersect("sa", "sb")) >= MATCHES).select("a", "b").distinct())
+def _collisions(x: str, y: str):
+    """Coordinates in which two sketches agree: at least the collisions of the signatures."""
+    total = F.lit(0)
+    for i in range(4):
+        differ = F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}"))
+        differ = differ.bitwiseOR(F.shiftrightunsigned(differ, 1))
+        differ = differ.bitwiseOR(F.shiftrightunsigned(differ, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total + (16 - F.bit_count(differ))
+    return total
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are links on their full shingle sets."""
+    candidates = cut(pairs.distinct())
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(_sets, "node long, shingles array<long>")
-    sets = cut(sets)
-    joined = candidates.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
+    sets = cut(texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(_sets, "node long, shingles array<long>"))
+    joined = candidates.join(sets.hint("merge").select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.hint("merge").select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
     common = F.size(F.array_intersect("xa", "xb"))
     return cut(joined.where(100 * common >= SIMILAR * (F.size("xa") + F.size("xb") - common)).select("a", "b").distinct())
 
 
-def _undecided(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Postings of lists that still hold several components, each with its component."""
-    named = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _still_mixed(named: DataFrame) -> DataFrame:
+    """Postings of lists that hold several components."""
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     return cut(named.join(mixed, "key", "left_semi"))
 
 
+def _undecided(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Postings of lists that still hold several components, each with its component."""
+    return _still_mixed(postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     signed = cut(texts.mapInArrow(_sign, _SIGN_DDL))
     usable = signed.where("n > 0 and doc_id is not null")
     classes = cut(usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node")))
-    nodes = cut(usable.withColumnRenamed("doc_id", "node").join(classes, ["n", "f1", "f2", "node"], "left_semi").select("node", "n", "signature").dropDuplicates(["node", "n"]))
+    carried = ["node", "n", "s0", "s1", "s2", "s3"]
+    nodes = usable.withColumnRenamed("doc_id", "node").join(classes, ["n", "f1", "f2", "node"], "left_semi")
+    nodes = cut(nodes.select(*carried, "signature").dropDuplicates(["node", "n"]))
 
     # Lists that two or more nodes share; a node's unshared postings are the rarest, so they fill its prefix first.
-    posted = nodes.select("node", "n", F.explode("signature").alias("key"))
+    posted = nodes.select("node", F.explode("signature").alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     prefix = F.slice(F.sort_array(F.collect_list(F.struct("df", "key"))), F.lit(1), F.greatest(F.count("*") - MATCHES + 1, F.lit(0)).cast("int"))
-    lists = posted.join(shared, "key").groupBy("node", "n").agg(F.count("*").alias("shared"), prefix.alias("prefix")).where(F.col("shared") >= MATCHES)
-    postings = cut(lists.select("node", "n", "shared", F.explode("prefix.key").alias("key")))
+    lists = posted.hint("merge").join(shared, "key").groupBy("node").agg(F.count("*").alias("shared"), prefix.alias("prefix")).where(F.col("shared") >= MATCHES)
+    postings = cut(lists.hint("merge").join(nodes.drop("signature"), "node").select(*carried, "shared", F.explode("prefix.key").alias("key")))
     node_texts = texts.withColumnRenamed("doc_id", "node")
 
     links = None
     labels = docs.sparkSession.createDataFrame([], "node long, component long")
-    left = postings
+    left = postings.withColumn("component", F.col("node"))
     for turn in range(STAR_ROUNDS):
         if turn:
             left = _undecided(postings, labels)
-        # The member that shares most, the first, and one drawn anew per list and round.
-        pivots = left.groupBy("key").agg(F.max(F.struct("shared", (-F.col("node")).alias("minus"))).alias("most"), F.min("node").alias("first"), F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)), "node")).alias("drawn"))
-        choices = F.array("first", -F.col("most")["minus"]) if not turn else F.array(F.col("drawn")["node"])
-        pivots = pivots.select("key", F.explode(F.array_distinct(choices)).alias("pivot"))
-        sizes = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"))
-        met = left.join(pivots, "key").where("node <> pivot").select("node", "n", "pivot").distinct().join(sizes, "pivot").where(_similar_sizes(F.col("n"), F.col("pivot_n")))
-        found = _confirmed(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), nodes, node_texts)
-        links = found if links is None else links.union(found)
+        # First the member that shares most, then one drawn anew per list and round.
+        rank = F.struct("shared", (-F.col("node")).alias("rank")) if not turn else F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("rank"))
+        pivot = F.max(F.struct(rank.alias("rank"), F.col("node").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"), *(F.col(f"s{i}").alias(f"p{i}") for i in range(4))))
+        pivots = left.groupBy("key").agg(pivot.alias("pivot")).select("key", "pivot.*").drop("rank")
+        met = left.hint("merge").join(pivots, "key").where((F.col("component") != F.col("pc")) & _similar_sizes(F.col("n"), F.col("pn")) & (_collisions("s", "p") >= MATCHES))
+        best = met.groupBy("node", "p").agg(F.count("*").alias("times")).groupBy("node").agg(F.max(F.struct("times", (-F.col("p")).alias("p"))).alias("best")).select("node", (-F.col("best.p")).alias("p"))
+        found = _confirmed(best.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")), node_texts)
+        links = found if links is None else cut(links.union(found))
         labels = components(links)
 
-    # Every pair of a list in different components. Members of a list's largest component meet only the others.
+    # Every pair of a list in different components. First an exact bound: the shingles that no other undecided node
+    # holds are in no intersection, and a node that has too many of them links with nothing more.
     left = _undecided(postings, labels)
+    sets = cut(node_texts.join(left.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_sets, "node long, shingles array<long>"))
+    holders = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    alone = holders.where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    left = left.join(alone, "node", "left").withColumn("held", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    left = _still_mixed(cut(left.where(100 * F.col("held") >= SIMILAR * F.col("n"))))
+    # A second exact bound, by a pivot per list: what two members have in common lies inside the pivot's set, where
+    # bitmaps tell it, or outside, where each has only so many shingles that others hold.
+    pivots = left.groupBy("key").agg(F.max(F.struct("held", (-F.col("node")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("pivot"))
+    left = cut(left.join(pivots, "key"))
+    seen = left.select("node", "pivot").distinct().join(sets.hint("merge"), "node").join(sets.hint("merge").select(F.col("node").alias("pivot"), F.col("shingles").alias("frame")), "pivot")
+    seen = seen.select("node", "pivot", "shingles", "frame").mapInArrow(_bitmaps, "node long, pivot long, inside array<long>, n_inside long")
+    left = cut(left.hint("merge").join(seen, ["node", "pivot"]).withColumn("outside", F.col("held") - F.least("held", "n_inside")))
+    # Members of a list's largest component meet only the others.
     sized = left.groupBy("key", "component").agg(F.count("*").alias("members"))
     largest = sized.groupBy("key").agg(F.max(F.struct("members", "component")).alias("top")).select("key", F.col("top.component").alias("largest"))
     step = math.log(100 / SIMILAR)
     members = left.join(largest, "key").withColumn("size_class", F.floor(F.log("n") / step))
-    one = members.where("component <> largest").select("key", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"), F.explode(F.sequence(F.col("size_class") - 1, F.col("size_class") + 1)).alias("size_class"))
-    other = members.select("key", "size_class", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), "largest")
-    pairs = one.join(other, ["key", "size_class"]).where((F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("largest")) | (F.col("x") < F.col("y"))) & _similar_sizes(F.col("xn"), F.col("yn")))
-    rest = _confirmed(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), nodes, node_texts)
+    own = {"": "node", "n": "n", "c": "component", "h": "held", "o": "outside", "i": "inside"}
+    side = lambda x: [F.col(c).alias(f"{x}{k}") for k, c in own.items()] + [F.col(f"s{i}").alias(f"{x}{i}") for i in range(4)]
+    one = members.where("component <> largest").select("key", *side("x"), F.explode(F.sequence(F.col("size_class") - 1, F.col("size_class") + 1)).alias("size_class"))
+    other = members.select("key", "size_class", "largest", *side("y"))
+    apart = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("largest")) | (F.col("x") < F.col("y")))
+    reaches = lambda common: common * (100 + SIMILAR) >= SIMILAR * (F.col("xn") + F.col("yn"))
+    inside = F.aggregate(F.zip_with("xi", "yi", lambda v, w: F.bit_count(v.bitwiseAND(w))), F.lit(0), lambda v, w: v + w)
+    close = reaches(F.least("xh", "yh")) & (_collisions("x", "y") >= MATCHES) & reaches(inside + F.least("xo", "yo"))
+    pairs = one.hint("merge").join(other, ["key", "size_class"]).where(apart & _similar_sizes(F.col("xn"), F.col("yn")) & close)
+    rest = _confirmed(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), node_texts)
     if not rest.isEmpty():
         labels = components(links.union(rest))
 
     by_class = classes.join(labels, "node", "left").select("n", "f1", "f2", F.coalesce("component", "node").alias("class_component"))
-    out = signed.drop("signature").join(by_class, ["n", "f1", "f2"], "left")
+    out = signed.select("doc_id", "n", "f1", "f2").join(by_class, ["n", "f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("class_component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
