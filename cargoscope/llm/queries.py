@@ -70,4 +70,71 @@ QUERIES: dict[str, Query] = {
         op10_html_extraction,
     )
 }
-SQL: dict[str, str] = {}
+# DuckDB twins of the queries that SQL can express over whole tables. Sets of links are closed by a recursive query.
+_OP1 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(4 + length(regexp_replace(role, '([\\#<:\n])', '..', 'g')) + 2
+    + length(regexp_replace(text, '[\\#<]', '..', 'g')) + 9) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+_OP2 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT vec_id AS node, vec_id AS other FROM v
+  UNION SELECT reach.node, l.b FROM reach JOIN l ON reach.other = l.a
+)
+SELECT v.vec_id, coalesce(d.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) c ON c.node = v.vec_id
+LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) d ON d.a = v.vec_id"""
+
+_OP3 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), l AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s
+    AND x.doc_id <> y.doc_id GROUP BY 1, 2) p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * c >= 75 * (na.n + nb.n - c)
+), reach AS (
+  SELECT doc_id AS node, doc_id AS other FROM w
+  UNION SELECT reach.node, l.b FROM reach JOIN l ON reach.other = l.a
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) c ON c.node = w.doc_id
+LEFT JOIN n ON n.doc_id = w.doc_id"""
+
+_OP4 = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM f"""
+
+SQL: dict[str, str] = {
+    "op1_chat_formatting": _OP1,
+    "op2_embedding_near_dedup": _OP2,
+    "op3_minhash_near_dedup": _OP3,
+    "op4_warc": _OP4,
+}
