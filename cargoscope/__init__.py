@@ -9,7 +9,7 @@ operators/  DataFrame -> DataFrame operators: KPI rows, rollups, distributions,
 plans/      the dashboard panels and saved views composed from the operators,
             plus the DuckDB oracle text used by the correctness check
 sinks/      JSON / CSV / Parquet writers (distributed, never collected)
-streaming/  intentionally empty: the reporting workload is batch only
+llm/        operators of a training-data pipeline (optional; nothing else imports it)
 """
 
 __version__ = "0.1.0"

@@ -88,5 +88,5 @@ class TripMeasures:
         return M.avg_half_up("porcentaje_cumplimiento", 1).alias(name)
 
     def delay_avg(self, name: str) -> Column:
-        """ROUND(AVG(dias_retrazo), 1) on whole days."""
-        return M.avg_half_up("dias_retrazo", 1, input_scale=0).alias(name)
+        """ROUND(AVG(dias_retrazo), 1), fractions of days included."""
+        return M.avg_half_up("dias_retrazo", 1).alias(name)

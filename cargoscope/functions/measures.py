@@ -165,13 +165,8 @@ def amount_share(part_sum: Column, whole_sum: Column, dp: int = 1) -> Ratio:
     return Ratio(cents(part_sum) * F.lit(100), cents(whole_sum), dp)
 
 
-def count_share(part: Column, whole: Column, dp: int = 1) -> Column:
-    """ROUND(SAFE_DIVIDE(part, whole) * 100, dp) on counts."""
-    return ratio_half_up(part * F.lit(100), whole, dp)
-
-
 def count_share_of(part: str, whole: str, dp: int = 1, zero: bool = False) -> Column:
-    """``count_share`` over two existing count columns, as one expression."""
+    """ROUND(SAFE_DIVIDE(part, whole) * 100, dp) over two existing count columns, as one expression."""
     e = ratio_sql(f"`{part}` * 100", f"`{whole}`", dp)
     return F.expr(f"coalesce({e}, 0.0D)" if zero else e)
 

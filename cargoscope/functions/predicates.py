@@ -61,7 +61,6 @@ def equals_if_given(pairs: list[tuple[str, str | None]]) -> Column:
 
 # Request argument -> trip column, and the NS code mapping.
 TRIP_FILTER_COLUMNS = {"planta": "origen_carga", "destino": "destino_carga", "zona": "zona"}
-NS_CODES = {"ON_TIME": "ON TIME", "OFF_TIME": "OFF TIME"}
 
 
 def trip_filter(planta: str = "", destino: str = "", zona: str = "", ns: str = "",

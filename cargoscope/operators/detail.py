@@ -9,7 +9,6 @@ from cargoscope.functions.predicates import present
 from cargoscope.functions.scalars import day_text, month_key, year_text
 from cargoscope.functions.tags import accounting_tag, collection_tag, dispatch_tag, flt_tag
 from cargoscope.operators.topk import sort_keys
-from cargoscope.session import can_checkpoint
 
 
 def fact_detail(billing: DataFrame) -> DataFrame:
@@ -22,22 +21,12 @@ def fact_detail(billing: DataFrame) -> DataFrame:
     )
 
 
-# A page uses the top-k plan only while it ends within this many rows AND the final merge
-# (offset + size rows from every input partition) stays under MERGED_ROWS; otherwise the global rank.
-SHALLOW_PAGE_ROWS = 10_000
-MERGED_ROWS = 20_000_000
-
-
-def page(df: DataFrame, keys: list[tuple[str, str]], page_no: int = 1, size: int = 50,
-         shallow_rows: int = SHALLOW_PAGE_ROWS, merged_rows: int = MERGED_ROWS) -> DataFrame:
+def page(df: DataFrame, keys: list[tuple[str, str]], page_no: int = 1, size: int = 50) -> DataFrame:
     """PAG-1: page ``page_no`` (1-based) of ``size`` rows in a complete, repeatable order.
 
-    Shallow pages plan as ``TakeOrderedAndProject(limit=offset+size, offset=offset)``:
-    each task keeps ``offset + size`` rows and one place merges them from every
-    partition, which is cheap while ``(offset + size) x partitions`` is small.
-    Otherwise the page is never merged in one place: the rows whose global rank
-    falls in the page come from a distributed sort (``ranked_page``). Both forms
-    return the same rows.
+    One lazy plan whatever the page: each task keeps ``offset + size`` rows and
+    their merge skips ``offset``. ``page_after`` steps on from the last row seen
+    at the cost of a first page, however deep.
     """
     if not isinstance(page_no, int) or page_no < 1:
         raise ValueError(f"page must be an integer >= 1, got {page_no!r}")
@@ -45,14 +34,37 @@ def page(df: DataFrame, keys: list[tuple[str, str]], page_no: int = 1, size: int
         raise ValueError(f"page size must be an integer >= 1, got {size!r}")
     offset = (page_no - 1) * size
     order = sort_keys(df, keys)
-    depth = offset + size
-    # Input files stand in for the partitions merged: metadata only, no job runs to count them.
-    if depth > shallow_rows or depth * max(1, len(df.inputFiles())) > merged_rows:
-        return ranked_page(df, order, offset, size)
     ordered = df.orderBy(*order)
     return (ordered.offset(offset) if offset else ordered).limit(size)
 
 
+def page_after(df: DataFrame, keys: list[tuple[str, str]], last: dict, size: int = 50, equal_seen: int = 0) -> DataFrame:
+    """PAG-1 by keyset: the ``size`` rows after the row ``last`` (column -> value) in the order of ``page``.
+
+    ``last`` names leading columns of the order (all of them to step from row to
+    row); ``equal_seen`` is how many rows that equal it were shown already, so
+    copies at a page's end are neither lost nor shown twice. The bounds are plain
+    filters, and each task keeps ``equal_seen + size`` rows, however deep the page.
+    """
+    directions = dict(keys)
+    names = [name for name, _ in keys] + [c for c in df.columns if c not in directions]
+    order = [n for n in names if n in last]
+    if order != names[: len(order)]:
+        raise ValueError("last must name leading columns of the order")
+    after, same = F.lit(False), F.lit(True)
+    for name in order:
+        c, value = F.col(f"`{name}`"), last[name]
+        if directions.get(name) == "desc":  # nulls last
+            further = F.lit(False) if value is None else (c < F.lit(value)) | c.isNull()
+        else:  # nulls first
+            further = c.isNotNull() if value is None else c > F.lit(value)
+        after, same = after | (same & further), same & c.eqNullSafe(F.lit(value))
+    if equal_seen:
+        after = after | same
+    ordered = df.where(after).orderBy(*sort_keys(df, keys))
+    return (ordered.offset(equal_seen) if equal_seen else ordered).limit(size)
+
+
 def ranked_page(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
     """Rows ``offset .. offset+size-1`` of ``df`` in ``order``, by a distributed global rank.
 
@@ -69,11 +81,7 @@ def ranked_page(df: DataFrame, order: list[Column], offset: int, size: int) -> D
     tagged = (df.orderBy(*order, F.monotonically_increasing_id().asc())
               .select(*[F.col(f"`{c}`") for c in cols],
                       F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")))
-    if can_checkpoint(df.sparkSession):
-        try:
-            tagged = tagged.checkpoint(eager=True)
-        except Exception:  # noqa: BLE001 - an unwritable folder: the rank is still exact, just recomputed
-            pass
+    tagged = tagged.checkpoint(eager=True)
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -91,6 +99,13 @@ def fact_page(billing: DataFrame, page_no: int = 1, size: int = 50, where: Colum
     return page(fact_detail(billing), [("fecha_creacion", "desc")], page_no, size)
 
 
+def fact_page_after(billing: DataFrame, fecha_creacion, size: int = 50, where: Column | None = None) -> DataFrame:
+    """PAG-1 by keyset over PRJ-1: the rows created before ``fecha_creacion``, newest first."""
+    if where is not None:
+        billing = billing.where(where)
+    return page_after(fact_detail(billing), [("fecha_creacion", "desc")], {"fecha_creacion": fecha_creacion}, size)
+
+
 def with_fact_tags(detail: DataFrame) -> DataFrame:
     """DRV-6: short tags of the detail table rows."""
     return detail.select(

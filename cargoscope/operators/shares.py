@@ -5,9 +5,8 @@ month), never on the fact table. Even so, no operator moves a whole result or
 group into one task: a grand total is a scalar subquery (a partially
 aggregated one-row result used as a constant), and per-group totals are a
 group-by joined back on the group key, instead of a window whose partition
-would have to sit in one task. The aggregated input is checkpointed first
-(reliably, in the session's checkpoint folder), so the fact table is scanned
-once even though the totals read the aggregate a second time.
+would have to sit in one task. Building a share runs no job and writes no file; where
+the same aggregate is read twice, the planner reuses its exchange.
 """
 
 from __future__ import annotations
@@ -18,7 +17,6 @@ from pyspark.sql import types as T
 
 from cargoscope.functions import measures as M
 from cargoscope.functions.tags import billed_pct_band, compliance_band
-from cargoscope.session import can_checkpoint
 
 
 def _integral(df: DataFrame, c: str) -> Column:
@@ -31,16 +29,6 @@ def _integral(df: DataFrame, c: str) -> Column:
     raise TypeError(f"{c} must be a decimal or integer column, got {dtype.simpleString()}")
 
 
-def reusable(df: DataFrame) -> DataFrame:
-    """Cut the aggregate's lineage so a second read does not rescan the fact table."""
-    if not can_checkpoint(df.sparkSession):
-        return df
-    try:
-        return df.checkpoint(eager=True)
-    except Exception:  # noqa: BLE001 - an unwritable folder: recompute instead
-        return df
-
-
 def _with_whole(df: DataFrame, part: Column, agg, partition_by: list[str]) -> tuple[DataFrame, Column]:
     """``df`` plus the aggregate ``agg(part)`` over all rows, or over each ``partition_by`` group."""
     if not partition_by:
@@ -54,7 +42,6 @@ def _with_whole(df: DataFrame, part: Column, agg, partition_by: list[str]) -> tu
 
 def share_of_total(df: DataFrame, value: str, name: str, partition_by: list[str] = (), dp: int = 1) -> DataFrame:
     """WIN-1: value / total (of its ``partition_by`` group) as a percentage; NULL when the total is 0."""
-    df = reusable(df)
     v = _integral(df, value)
     out, whole = _with_whole(df, v, F.sum, list(partition_by))
     return out.withColumn(name, M.ratio_half_up(v * F.lit(100), whole, dp)).drop("_whole")
@@ -62,7 +49,6 @@ def share_of_total(df: DataFrame, value: str, name: str, partition_by: list[str]
 
 def share_of_max(df: DataFrame, value: str, name: str, partition_by: list[str] = (), dp: int = 0) -> DataFrame:
     """WIN-2: bar length, value / largest value (of its group) as a whole percentage."""
-    df = reusable(df)
     v = _integral(df, value)
     out, whole = _with_whole(df, v, F.max, list(partition_by))
     return out.withColumn(name, M.ratio_half_up(v * F.lit(100), whole, dp)).drop("_whole")

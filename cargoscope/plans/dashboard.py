@@ -22,7 +22,7 @@ from cargoscope.operators import shares as SH
 from cargoscope.operators import topk as TK
 from cargoscope.operators.buckets import delay_buckets
 from cargoscope.operators.detail import fact_page, with_dispatch_tag, with_fact_tags
-from cargoscope.sources.catalog import preview, table_counts
+from cargoscope.sources.catalog import ALLOWED_TABLES, preview, table_counts
 from cargoscope.sources.roles import BILLING_MONTH_PARTITION
 
 # --- billing dashboard -------------------------------------------------------------
@@ -70,6 +70,11 @@ def dispatch_panel(billing: DataFrame, **filters: str) -> DataFrame:
     return with_dispatch_tag(SH.share_of_max(dist, "total", "barra_pct"))
 
 
+def billing_share(billing: DataFrame, dim: str, **filters: str) -> DataFrame:
+    """FLT-3/4 + AGG-23..28 + WIN-1: ``billing_distribution`` with each value's share of all."""
+    return SH.share_of_total(billing_distribution(billing, dim, **filters), "total", "pct_total")
+
+
 def status_panel(billing: DataFrame, **filters: str) -> DataFrame:
     """SET-1 + WIN-1: the four status groups with each state's share of its group."""
     panel = FC.status_panel_rows(billing, where=fact_where(billing, **filters))
@@ -89,12 +94,11 @@ def commercial_panels(billing: DataFrame, **filters: str) -> DataFrame:
 def split_panels(long: DataFrame, renames: dict[str, dict[str, str]]) -> dict[str, DataFrame]:
     """Split a long-form tab result into its panels.
 
-    The long result is small (one row per category, month or company), so it is
-    checkpointed once and every panel reads that instead of recomputing the scan.
+    Lazy: each panel is a filter of the long result. A caller that reads several
+    panels of one load writes ``long`` once (or persists it) and passes that.
     ``renames[grupo]`` maps long-form column names to the panel's own (the panel
     keeps exactly those columns); an empty mapping keeps every measure column.
     """
-    long = SH.reusable(long)
     out = {}
     for g, mapping in renames.items():
         part = FC.panel_group(long, g)
@@ -227,11 +231,11 @@ def pending_trips_by_zone(r: Mapping[str, DataFrame]) -> DataFrame:
     return D.compliance_by(r["trips"], "zona", "drop_null", "cumplimiento_pct")
 
 
-def table_preview(r: Mapping[str, DataFrame], name: str, n: int = 100) -> DataFrame:
+def table_preview(r: Mapping[str, DataFrame], name: str, n: int = 100, repeatable: bool = False) -> DataFrame:
     """SRC-2: ``n`` rows of an allow-listed table; any other name is an error."""
-    return preview(r, name, n)
+    return preview(r, name, n, repeatable=repeatable)
 
 
 def table_info(r: Mapping[str, DataFrame]) -> DataFrame:
     """SRC-3: row count of every allow-listed table."""
-    return table_counts(r)
+    return table_counts({name: r[name] for name in ALLOWED_TABLES})

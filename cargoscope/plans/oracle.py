@@ -521,8 +521,8 @@ FROM (SELECT
 
 
 def _table_counts_sql() -> str:
-    roles = {"billing": "billing", "trips": "trips", "on_time": "on_time", "orders": "orders_role",
-             "dispatch": "dispatch"}
+    roles = {"trips": "trips", "on_time": "on_time", "orders": "orders_role", "dispatch": "dispatch",
+             "freight": "billing", "validated": "billing"}
     body = "\nUNION ALL ".join(f"SELECT '{n}' AS nombre, COUNT(*) AS filas FROM {t}" for n, t in roles.items())
     return with_roles("billing", "trips", "on_time", "orders_role", "dispatch") + body
 
@@ -550,6 +550,13 @@ def _view_detail_sql() -> str:
                                     f"FROM billing WHERE fecha IS NOT NULL ORDER BY billing.fecha DESC NULLS LAST")
 
 
+def _share_panel_sql(dim: str) -> str:
+    return with_roles("billing") + f"""SELECT {dim}, viajes, CAST(total_dec AS DOUBLE) AS total,
+  {ratio(cents('total_dec') + ' * 100', 'SUM(' + cents('total_dec') + ') OVER ()', 1)} AS pct_total
+FROM (SELECT {dim}, COUNT(*) AS viajes, SUM(tarifa_final) AS total_dec FROM billing
+  WHERE {dim} IS NOT NULL AND {dim} <> '' GROUP BY {dim})"""
+
+
 def _dist(table: str, dim: str, blanks: str, with_avg: bool = False, names=("viajes", "total", "promedio"),
           roles: tuple[str, ...] = ("billing",)) -> str:
     return with_roles(*roles) + _amount_by(table, dim, blanks, with_avg, names)
@@ -677,6 +684,13 @@ FROM billing WHERE nombre_compania IS NOT NULL GROUP BY nombre_compania""",
     "trip_table": _trip_top_sql(TRIP_TABLE_COLUMNS, [("porcentaje_cumplimiento", "asc"), ("referencia", "desc")],
                                 100),
     "fact_page": _fact_page_sql(*FACT_PAGE, tags=False),
+    "fact_page_after": _fact_page_sql(1, 50, tags=False,
+                                      where="(fecha_creacion < TIMESTAMP '1996-05-01 00:00:00' OR fecha_creacion IS NULL)"),
+    "fact_page_deep": _fact_page_sql(400, 50, tags=False),
+    "share_collection": _share_panel_sql("status_crisar"),
+    "share_bill_type": _share_panel_sql("tipo_fact"),
+    "share_approval": _share_panel_sql("aprobacion"),
+    "share_ledger": _share_panel_sql("status_contabilidad_aje"),
     "fact_tags": _fact_page_sql(1, 50, tags=True),
     "export_detail": _export_sql(),
     "view_detail": _view_detail_sql(),

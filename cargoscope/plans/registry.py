@@ -7,7 +7,9 @@ feature (top-k lists, a page, the first-3-months smoke query).
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,11 +21,12 @@ from cargoscope.operators import kpis as K
 from cargoscope.operators import rollups as R
 from cargoscope.operators import scorecards as S
 from cargoscope.operators import topk as TK
-from cargoscope.operators.detail import export_rows, fact_detail, fact_page, view_detail
+from cargoscope.operators.detail import export_rows, fact_detail, fact_page, fact_page_after, view_detail
 from cargoscope.plans import dashboard as P
 from cargoscope.plans.views import VIEWS
 from cargoscope.sources.catalog import describe_columns, schema_diff
-from cargoscope.sources.roles import build_roles, role, roles
+from cargoscope.session import checkpoint_dir, ensure_checkpoint_dir
+from cargoscope.sources.roles import role, roles
 from cargoscope.sources.tables import table
 
 # Fixed parameters of the registered filter queries and the due-soon reference date.
@@ -32,6 +35,10 @@ TRIP_FILTER_ARGS = {"planta": "NATION_3", "zona": "AMERICA", "ns": "OFF_TIME"}
 FACT_FILTER_ARGS = {"estado_contable": "Facturado", "aprobacion": "BUILDING"}
 MONTH_RANGE_ARGS = {"mes_desde": "1996-03", "mes_hasta": "1997-02"}
 FACT_PAGE = (2, 50)
+FACT_AFTER = "1996-05-01 00:00:00"
+FACT_DEEP_PAGE = (400, 50)
+SHARE_PANELS = {"share_collection": "status_crisar", "share_bill_type": "tipo_fact", "share_approval": "aprobacion",
+                "share_ledger": "status_contabilidad_aje"}
 # Dashboard panels with their filters applied (filter composition checked end to end).
 PANEL_FACT_ARGS = {"compania": "NATION_7", "estado_flt": "Con FLT", "mes_desde": "1997-01", "mes_hasta": "1999-12"}
 PANEL_TRIP_ARGS = {"planta": "NATION_12", "zona": "ASIA"}
@@ -63,7 +70,7 @@ def _schema_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     # sources / catalog
-    "preview": _overview(P.table_preview, "trips", 100),
+    "preview": _overview(P.table_preview, "trips", 100, True),
     "table_counts": _overview(P.table_info),
     "describe_columns": lambda spark, sf: describe_columns(spark, table(spark, sf, "lineitem"), "lineitem"),
     "schema_diff": _schema_diff,
@@ -157,6 +164,9 @@ QUERIES: dict[str, Query] = {
     "trips_due_soon": _on("trips", lambda t: P.trip_upcoming(t, AS_OF)),
     "trip_table": _on("trips", P.trip_table),
     "fact_page": _on("billing", lambda b: fact_page(b, *FACT_PAGE)),
+    "fact_page_after": _on("billing", lambda b: fact_page_after(b, datetime.fromisoformat(FACT_AFTER))),
+    "fact_page_deep": _on("billing", lambda b: fact_page(b, *FACT_DEEP_PAGE)),
+    **{name: _on("billing", lambda b, _d=dim: P.billing_share(b, _d)) for name, dim in SHARE_PANELS.items()},
     "fact_tags": _on("billing", lambda b: P.billing_table(b, 1, 50)),
     "export_detail": _on("billing", export_rows),
     "view_detail": _on("validated", view_detail),
@@ -165,8 +175,9 @@ QUERIES: dict[str, Query] = {
 def run(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
     """The named query in edge form (money as DOUBLE, datetimes as ISO text).
 
-    The first query of a session builds any missing role tables together
-    (``build_roles``); later queries find them memoised.
+    A query asks only for the roles it uses. A local session without a checkpoint
+    folder (tests) gets a temporary one; a cluster must name a shared folder.
     """
-    build_roles(spark, sf_dir)
+    if checkpoint_dir(spark) is None and spark.sparkContext.master.startswith("local["):
+        ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="cargoscope-ckpt-"))
     return to_edge(QUERIES[name](spark, sf_dir))

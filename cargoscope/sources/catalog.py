@@ -11,15 +11,21 @@ from pyspark.sql import types as T
 from cargoscope.operators.topk import top_k
 
 
-def preview(tables: Mapping[str, DataFrame], name: str, n: int = 100) -> DataFrame:
+# Tables that a user may look into; the billing fact itself is not one of them.
+ALLOWED_TABLES = ("trips", "on_time", "orders", "dispatch", "freight", "validated")
+
+
+def preview(tables: Mapping[str, DataFrame], name: str, n: int = 100, repeatable: bool = False,
+            allowed: tuple[str, ...] = ALLOWED_TABLES) -> DataFrame:
     """SRC-2: ``n`` rows of an allow-listed table; an unknown name is an error.
 
-    Rows are the first ``n`` in the order of all columns, so the preview is
-    repeatable; it plans as a top-k (each task keeps ``n`` rows).
+    Any ``n`` rows by default, which reads no more than it shows. ``repeatable``
+    gives the first ``n`` in the order of all columns instead, planned as a top-k
+    (each task keeps ``n`` rows).
     """
-    if name not in tables:
+    if name not in allowed:
         raise KeyError(f"table {name!r} is not in the allow-list")
-    return top_k(tables[name], [], n)
+    return top_k(tables[name], [], n) if repeatable else tables[name].limit(n)
 
 
 def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:

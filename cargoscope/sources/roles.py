@@ -12,8 +12,7 @@ Scale notes
 * Joins are written fact-last: orders is joined to customer/nation first (order
   grain), then lineitem joins that once on the order key with a sort-merge join
   (both sides grow with the data, so neither is ever broadcast), then supplier
-  and part. Only nation and region are broadcast explicitly, and only after a
-  bounded row-count check; supplier, part and customer are left to the planner,
+  and part. All dimensions are left to the planner,
   whose size threshold falls back to a sort-merge join, and AQE splits skewed
   join partitions (a hot customer or supplier) at run time.
 * The lineitem-grain roles are written once as Parquet below the cluster's
@@ -29,7 +28,6 @@ Scale notes
 from __future__ import annotations
 
 import hashlib
-import inspect
 import os
 import time
 import uuid
@@ -41,7 +39,7 @@ from pyspark.sql import functions as F
 
 from cargoscope.functions.scalars import month_key
 from cargoscope.session import checkpoint_dir
-from cargoscope.sources.tables import table
+from cargoscope.sources.tables import table, table_path
 
 ROLE_NAMES = ("billing", "trips", "on_time", "orders", "dispatch")
 # The freight report and the validated-freight table share the billing mapping.
@@ -63,32 +61,9 @@ MATERIALISED = {
 # Folder partition column of the billing role ('yyyy-MM' of the creation date).
 BILLING_MONTH_PARTITION = "mes_creacion"
 
-# Dimensions whose size is bounded by the schema, not by the data volume.
-DIMENSION_MAX_ROWS = 10_000
-
-
-_SMALL: dict[tuple, bool] = {}
-
-
-def small_dimension(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows, once per input files and
-    bound within an application (projections of the same table share it).
-    Larger inputs are returned unhinted, so the planner picks a shuffle join.
-    """
-    files = tuple(sorted(df.inputFiles()))
-    if not files:  # not a file scan: nothing to share the verdict with
-        return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-    key = (df.sparkSession.sparkContext.applicationId, files, max_rows)
-    if key not in _SMALL:
-        _SMALL[key] = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if _SMALL[key] else df
-
-
 def _nation(t: dict[str, DataFrame], prefix: str) -> DataFrame:
     n = t["nation"]
-    return small_dimension(
+    return (
         n.select(
             F.col("n_nationkey").alias(f"{prefix}_nationkey"),
             F.col("n_name").alias(f"{prefix}_nation"),
@@ -105,7 +80,7 @@ def _orders_with_customer(t: dict[str, DataFrame], with_region: bool) -> DataFra
         _nation(t, "cn"), F.col("c_nationkey") == F.col("cn_nationkey")
     )
     if with_region:
-        r = small_dimension(
+        r = (
             t["region"].select(F.col("r_regionkey").alias("cr_regionkey"), F.col("r_name").alias("cr_region"))
         )
         out = out.join(r, F.col("cn_regionkey") == F.col("cr_regionkey"))
@@ -261,13 +236,25 @@ BUILDERS = {
 _MEMO: dict[tuple[int, str, str], DataFrame] = {}
 
 
-def _fingerprint(sf_dir: str, name: str) -> str:
-    """Key of a materialised role: input folder, the mapping's own source text and the file layout."""
-    builder = BUILDERS[name][0]
-    parts = [os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir, name, inspect.getsource(builder),
-             repr(MATERIALISED.get(name))]
-    if name in ("billing", "trips"):
-        parts += [inspect.getsource(f) for f in (_orders_with_customer, _on_time_label, _join_lines_to_orders)]
+# Raise this number when a mapping, a file layout or a scalar that the mappings use changes.
+MAPPING_VERSION = 2
+
+
+def _source_version(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> str:
+    """A digest of the source files as they are now: paths, lengths and modification times.
+
+    Only the listing is read, by Spark; one row with the digest comes back, however many files there are.
+    """
+    files = spark.read.format("binaryFile").load([table_path(sf_dir, n) for n in names])
+    each = F.xxhash64("path", "length", F.col("modificationTime").cast("double"))
+    row = files.agg(F.count("*").alias("n"), F.bit_xor(each).alias("x"), F.sum(each.cast("decimal(20,0)")).alias("s")).first()
+    return f"{row['n']}-{row['x']}-{row['s']}"
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Key of a written role: input folder, its files' version, mapping version and file layout."""
+    parts = [os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir, name, str(MAPPING_VERSION),
+             repr(MATERIALISED.get(name)), _source_version(spark, sf_dir, BUILDERS[name][1])]
     return hashlib.sha1("\n".join(parts).encode()).hexdigest()[:16]
 
 
@@ -276,13 +263,10 @@ def _latest_complete(spark: SparkSession, root: str) -> str | None:
 
     Uses the Hadoop FileSystem API, so the same code works on HDFS and object stores.
     """
-    try:
-        jvm = spark.sparkContext._jvm
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/*/_SUCCESS")
-        fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        statuses = fs.globStatus(pattern)
-    except Exception:  # noqa: BLE001 - an unreadable folder counts as absent
-        return None
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/*/_SUCCESS")
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    statuses = fs.globStatus(pattern)
     if not statuses:
         return None
     return max(str(st.getPath().getParent().toString()) for st in statuses)
@@ -307,20 +291,26 @@ def lazy_role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return builder({n: table(spark, sf_dir, n) for n in sources})
 
 
-def role(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) -> DataFrame:
+def role(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False, written: bool = True) -> DataFrame:
     """The role frame ``name``; lineitem-grain roles are read from their written table.
 
-    The table is written once per input folder and mapping version below the
-    session's checkpoint folder, then reused by every later call, also from other
-    processes: each build commits its own attempt folder (marked by the
-    ``_SUCCESS`` file of Spark's commit) and readers take the newest committed
-    attempt. ``refresh=True`` writes a new attempt even if one exists.
+    The table is written once per input folder, version of the source files and
+    mapping version below the session's checkpoint folder, then reused by every
+    later call, also from other processes: rows added to a source give a new
+    version, so no call reads a stale table. Each build commits its own attempt
+    folder (marked by the ``_SUCCESS`` file of Spark's commit) and readers take
+    the newest committed attempt. ``refresh=True`` writes a new attempt even if
+    one exists. ``written=False`` asks for the lazy joins instead; without a
+    checkpoint folder, or if the write fails, the call is an error.
     """
     name = ROLE_ALIASES.get(name, name)
-    base = checkpoint_dir(spark)
-    if name not in MATERIALISED or base is None:
+    if name not in MATERIALISED or not written:
         return lazy_role(spark, sf_dir, name)
-    root = f"{base}/cargoscope-roles/{name}-{_fingerprint(sf_dir, name)}"
+    base = checkpoint_dir(spark)
+    if base is None:
+        raise ValueError("spark.checkpoint.dir must name a shared folder for the written role tables; "
+                         "written=False gives the lazy joins")
+    root = f"{base}/cargoscope-roles/{name}-{_fingerprint(spark, sf_dir, name)}"
     memo_key = (id(spark), spark.sparkContext.applicationId, root)
     if memo_key in _MEMO and not refresh:
         return _MEMO[memo_key]
@@ -340,14 +330,7 @@ def role(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) ->
         writer = frame.write.mode("errorifexists")
         if folder_col:
             writer = writer.partitionBy(folder_col)
-        try:
-            writer.parquet(attempt)
-        except Exception as exc:  # noqa: BLE001 - e.g. a read-only checkpoint folder
-            warnings.warn(f"could not write role table {name!r} under {root}: {exc}; using the lazy plan",
-                          RuntimeWarning, stacklevel=2)
-            out = lazy_role(spark, sf_dir, name)
-            _MEMO[memo_key] = out
-            return out
+        writer.parquet(attempt)
         latest = _latest_complete(spark, root) or attempt
     # Read with the mapping's own schema: folder-partition values keep their declared type
     # instead of whatever partition-type inference would make of them.
@@ -377,7 +360,7 @@ class RoleCatalog(Mapping):
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name not in ROLE_NAMES:
+        if ROLE_ALIASES.get(name, name) not in ROLE_NAMES:
             raise KeyError(name)
         return role(self.spark, self.sf_dir, name)
 

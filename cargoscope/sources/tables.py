@@ -10,28 +10,16 @@ TABLE_NAMES = (
 )
 
 
-_SCANS: dict[tuple[int, str, str], DataFrame] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy Parquet scan of one table; unknown names are an error, never a guess.
-
-    The scan is created once per session and path, so file listing and footer
-    schema inference are not repeated for every panel (``refresh_tables`` drops
-    them after the files change).
-    """
+def table_path(sf_dir: str, name: str) -> str:
+    """Where a table lies; unknown names are an error, never a guess."""
     if name not in TABLE_NAMES:
         raise KeyError(f"unknown table {name!r}; known: {', '.join(TABLE_NAMES)}")
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), spark.sparkContext.applicationId, path)
-    df = _SCANS.get(key)
-    if df is None:
-        df = _SCANS[key] = spark.read.parquet(path)
-    return df
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def refresh_tables() -> None:
-    _SCANS.clear()
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Lazy Parquet scan of one table, over the files that are there now."""
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def load_tables(spark: SparkSession, sf_dir: str, names=TABLE_NAMES) -> dict[str, DataFrame]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from cargoscope.functions.predicates import not_blank
 from cargoscope.functions.scalars import month_key
 from cargoscope.operators import facets as FC
@@ -140,26 +142,34 @@ def test_tab_splitters(spark):
     assert [r["zona"] for r in trips["zona"].collect()] == ["ASIA"]
 
 
-def test_shares_without_a_checkpoint_folder_are_the_same(spark, monkeypatch):
-    from cargoscope.operators import shares as SH
+def test_building_a_share_writes_no_file(spark):
+    import glob
     from cargoscope.plans import dashboard as P
+    from cargoscope.session import checkpoint_dir
     b = role(spark, SF001, "billing")
-    with_ckpt = as_set(P.status_panel(b)), as_set(P.company_ranking(b))
-    monkeypatch.setattr(SH, "can_checkpoint", lambda _spark: False)
-    without = as_set(P.status_panel(b)), as_set(P.company_ranking(b))
-    assert with_ckpt == without
-
+    here = checkpoint_dir(spark).removeprefix("file:")
+    before = len(glob.glob(f"{here}/**", recursive=True))
+    panels = P.status_panel(b), P.company_ranking(b), P.billing_share(b, "aprobacion")
+    assert all(p.columns for p in panels) and len(glob.glob(f"{here}/**", recursive=True)) == before
 
-def test_unwritable_checkpoint_folder_falls_back_to_the_lazy_plan(spark, monkeypatch):
-    import warnings as W
 
+def test_unwritable_checkpoint_folder_is_an_error(spark, monkeypatch):
     from cargoscope.sources import roles as RL
     monkeypatch.setattr(RL, "checkpoint_dir", lambda _spark: "/proc/cargoscope-cannot-write-here")
-    try:
-        with W.catch_warnings(record=True) as caught:
-            W.simplefilter("always")
-            df = RL.role(spark, SF001, "dispatch", refresh=True)
-        assert any("lazy plan" in str(w.message) for w in caught)
-        assert df.count() == RL.lazy_role(spark, SF001, "dispatch").count()
-    finally:
-        RL._MEMO.clear()
+    with pytest.raises(Exception):
+        RL.role(spark, SF001, "dispatch", refresh=True)
+    monkeypatch.setattr(RL, "checkpoint_dir", lambda _spark: None)
+    with pytest.raises(ValueError):
+        RL.role(spark, SF001, "dispatch")
+    assert RL.role(spark, SF001, "dispatch", written=False).count() == RL.lazy_role(spark, SF001, "dispatch").count()
+
+
+def test_added_rows_reach_the_next_call(spark, tmp_path):
+    from cargoscope.sources import roles as RL
+    from cargoscope.sources.tables import TABLE_NAMES, table
+    for n in TABLE_NAMES:
+        table(spark, SF001, n).write.parquet(f"{tmp_path}/{n}.parquet")
+    d = str(tmp_path)
+    before = RL.role(spark, d, "dispatch").count()
+    table(spark, SF001, "lineitem").write.mode("append").parquet(f"{d}/lineitem.parquet")
+    assert RL.role(spark, d, "dispatch").count() == 2 * before

@@ -64,7 +64,7 @@ def test_top_k_plans_as_take_ordered(spark, name):
     assert "TakeOrderedAndProject" in plan(registry.run(spark, name, SF001))
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_no_python_udf_window_or_cross_join(spark, name):
     text = plan(queries()[name](spark, SF001))
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF",
