@@ -188,7 +188,9 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     of_host = parsed.where("host is not null").groupBy("host").agg(F.count("*").alias("pages"))
     template = cut(seen.join(of_host, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree"))
     lost = around.join(template, ["host", "subtree"], "left_semi").groupBy("row").agg(F.collect_list("subtree").alias("lost"))
-    joined = parsed.join(lost, "row", "left")
+    # Only pages with blocks outside a marked article can lose any; the others aren't moved.
+    open_to = F.exists("blocks", lambda b: F.size(b["around"]) > 0)
+    joined = parsed.where(open_to).join(lost, "row", "left").unionByName(parsed.where(~open_to).withColumn("lost", F.lit(None).cast("array<long>")))
     left = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["around"], F.col("lost")), F.lit(False)))
     text = F.array_join(F.transform(left, lambda b: b["text"]), " ")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
