@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargoscope.functions.predicates import present
-from cargoscope.functions.scalars import day_text, month_key, year_text
+from cargoscope.functions.scalars import day_text, fallback, month_key, or_default, short_label, year_text
 from cargoscope.functions.tags import accounting_tag, collection_tag, dispatch_tag, flt_tag
 from cargoscope.operators.topk import sort_keys
 
@@ -116,6 +116,30 @@ def with_fact_tags(detail: DataFrame) -> DataFrame:
     )
 
 
+def with_fact_labels(detail: DataFrame) -> DataFrame:
+    """SCL-16/17: the table's cut names ('' if missing) and codes ('-' if missing)."""
+    cut = {"nombre_compania": 14, "nombre_sucursal": 12, "titulo": 20, "observacion": 15}
+    return detail.select(
+        "*",
+        *[short_label(or_default(c, ""), n).alias(f"{c}_corto") for c, n in cut.items()],
+        *[or_default(c, "-").alias(f"{c}_texto") for c in ("id_envio", "n_flete")],
+    )
+
+
+def with_trip_labels(trips: DataFrame) -> DataFrame:
+    """SCL-16/17: the trip table's cut client ('' if missing) and texts ('-' if missing)."""
+    return trips.select(
+        "*",
+        short_label(or_default("cliente_final", ""), 25).alias("cliente_corto"),
+        *[or_default(c, "-").alias(f"{c}_texto") for c in ("origen", "destino", "zona", "placa", "estado_viaje")],
+    )
+
+
+def with_destination(trips: DataFrame) -> DataFrame:
+    """SCL-18: the loading destination, or else the trip's destination."""
+    return trips.withColumn("destino_texto", fallback("destino_carga", "destino"))
+
+
 def with_dispatch_tag(df: DataFrame) -> DataFrame:
     """DRV-7: tag class of the invoice dispatch state."""
     return df.withColumn("tag_envio", dispatch_tag("estado_envio_factura"))

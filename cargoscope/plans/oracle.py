@@ -10,12 +10,42 @@ the Spark edge form: counts BIGINT, money and shares DOUBLE, datetimes ISO text.
 
 from __future__ import annotations
 
-from cargoscope.operators.detail import EXPORT_COLUMNS, VIEW_DETAIL_COLUMNS
-from cargoscope.operators.facets import (FACT_FACETS, FREIGHT_FACET_COLUMNS, STATUS_GROUPS, TRIP_FACETS,
-                                         TRIP_FACETS_EXTENDED)
-from cargoscope.operators.topk import DUE_SOON_COLUMNS, TRIP_TABLE_COLUMNS
-from cargoscope.plans.registry import (AS_OF, FACT_FILTER_ARGS, FACT_PAGE, MONTH_RANGE_ARGS, PANEL_FACT_ARGS,
-                                       PANEL_TRIP_ARGS, TRIP_FILTER_ARGS)
+from cargoscope.plans.registry import (AS_OF, DISPATCH_ARGS, EXECUTIVE_ARGS, FACT_FILTER_ARGS, FACT_PAGE,
+                                       MONTH_RANGE_ARGS, PANEL_FACT_ARGS, PANEL_TRIP_ARGS, PENDING_ARGS, RANKING_ARGS,
+                                       TRIP_FILTER_ARGS, ZONE_ARGS)
+
+# --- fixed values, written out here so that a wrong entry on the Spark side shows -----------
+
+FILTER_COLUMNS = {
+    "compania": "nombre_compania", "estado_contable": "estado_contable", "estado_flete": "estado_flete",
+    "estado_flt": "estado_flt", "estado_conciliacion": "estado_conciliacion", "status_crisar": "status_crisar",
+    "tipo_fact": "tipo_fact", "status_cont_aje": "status_contabilidad_aje", "aprobacion": "aprobacion",
+    "tipo_proceso": "tipo_proceso", "estado_envio_factura": "estado_envio_factura",
+}
+FACT_FACETS = {
+    "companias": "nombre_compania", "estados_contables": "estado_contable", "estados_flete": "estado_flete",
+    "estados_flt": "estado_flt", "estados_conciliacion": "estado_conciliacion", "status_crisar": "status_crisar",
+    "tipos_fact": "tipo_fact", "status_cont_aje": "status_contabilidad_aje", "aprobaciones": "aprobacion",
+    "tipos_proceso": "tipo_proceso", "estados_envio_factura": "estado_envio_factura",
+}
+FREIGHT_FACET_COLUMNS = ["nombre_compania", "transportista", "estado_contable", "estado_flete", "tipo_transporte",
+                         "estado_conciliacion", "nombre_sucursal"]
+TRIP_FACETS = {"plantas": "origen_carga", "destinos": "destino_carga", "zonas": "zona"}
+TRIP_FACETS_EXTENDED = {c: c for c in ("origen_carga", "destino_carga", "zona", "atencion", "empresa")}
+STATUS_GROUPS = {"Contable": "estado_contable", "FLT": "estado_flt", "Conciliacion": "estado_conciliacion",
+                 "Flete": "estado_flete"}
+EXPORT_SQL = """SELECT nombre_compania AS compania, nombre_sucursal AS sucursal,
+  strftime(fecha_creacion, '%d-%m-%Y') AS fecha, titulo, id_envio, observacion,
+  CAST(tarifa_final AS DOUBLE) AS tarifa_final, n_flete, estado_contable, estado_conciliacion, estado_flt,
+  status_crisar, tipo_fact, tipo_proceso, aprobacion, estado_envio_factura
+FROM billing ORDER BY fecha_creacion DESC NULLS LAST"""
+VIEW_DETAIL_COLUMNS = ["fecha", "nombre_compania", "nombre_sucursal", "titulo", "transportista", "tarifa_final",
+                       "estado_flete", "estado_contable", "estado_envio_factura", "status_crisar", "tipo_fact",
+                       "estado_conciliacion", "tipo_transporte", "n_flete", "nro_factura"]
+DUE_SOON_COLUMNS = ("referencia", "destino", "destino_carga", "cliente_final", "fecha_carga", "compromiso_de_carga",
+                    "estado_viaje", "NS", "on_time")
+TRIP_TABLE_COLUMNS = ("referencia", "origen", "destino", "zona", "cliente_final", "placa", "compromiso_de_carga",
+                      "fecha_carga", "NS", "dias_retrazo", "porcentaje_cumplimiento", "estado_viaje")
 
 # --- role frames -----------------------------------------------------------------
 
@@ -224,12 +254,11 @@ def order_all(keys: list[tuple[str, str]], columns: list[str]) -> str:
 
 
 def fact_where(args: dict[str, str], date_col: str = "fecha_creacion") -> str:
-    from cargoscope.functions.predicates import FACT_FILTER_COLUMNS, _month_start, _next_month
-    clauses = [f"{FACT_FILTER_COLUMNS[k]} = '{v}'" for k, v in args.items() if k in FACT_FILTER_COLUMNS and v]
+    clauses = [f"{FILTER_COLUMNS[k]} = '{v}'" for k, v in args.items() if k in FILTER_COLUMNS and v]
     if args.get("mes_desde"):
-        clauses.append(f"{date_col} >= TIMESTAMP '{_month_start(args['mes_desde']).isoformat()}'")
+        clauses.append(f"{date_col} >= TIMESTAMP '{args['mes_desde']}-01'")
     if args.get("mes_hasta"):
-        clauses.append(f"{date_col} < TIMESTAMP '{_next_month(_month_start(args['mes_hasta'])).isoformat()}'")
+        clauses.append(f"{date_col} < TIMESTAMP '{args['mes_hasta']}-01' + INTERVAL 1 MONTH")
     return " AND ".join(clauses) or "TRUE"
 
 
@@ -353,7 +382,7 @@ def _billing_kpis_sql(derived: bool, where: str = "TRUE") -> str:
     return with_roles("billing") + _billing_kpis_body(derived, where)
 
 
-def _executive_sql(derived: bool) -> str:
+def _executive_sql(derived: bool, where: str = "TRUE") -> str:
     items = [
         "COUNT(*) AS total_viajes", f"{dbl(msum())} AS total_tarifa", f"{mavg()} AS tarifa_prom",
         "COUNT(DISTINCT nombre_compania) AS companias",
@@ -368,7 +397,7 @@ def _executive_sql(derived: bool) -> str:
         items += [f"{dbl(msum() + ' - ' + mif(COLLECTED))} AS por_cobrar",
                   f"CAST(CAST(100 AS DECIMAL(5,1)) - CAST(COALESCE({mshare(mif(COLLECTED))}, 0.0) AS DECIMAL(5,1))"
                   " AS DOUBLE) AS pct_pendiente"]
-    return with_roles("billing") + f"SELECT {sel(items)}\nFROM billing"
+    return with_roles("billing") + f"SELECT {sel(items)}\nFROM billing WHERE {where}"
 
 
 def _fact_detail_cols(fecha_expr: str = "fecha_creacion") -> list[str]:
@@ -459,13 +488,13 @@ def _dept_band_sql() -> str:
 FROM ({_compliance_by('departamento', 'drop_blank', 'cumpl')})"""
 
 
-def _company_stack_sql() -> str:
+def _company_stack_sql(where: str = "TRUE") -> str:
     return with_roles("billing") + f"""SELECT nombre_compania, viajes, CAST(total_dec AS DOUBLE) AS total,
   CAST(facturado_dec AS DOUBLE) AS facturado, CAST(pendiente_dec AS DOUBLE) AS pendiente,
   CAST(anulado_dec AS DOUBLE) AS anulado, CAST(cobrado_dec AS DOUBLE) AS cobrado, pct_fact, pct_cobrado, promedio,
   CAST(facturado_dec - cobrado_dec AS DOUBLE) AS facturado_no_cobrado,
   {ratio(cents('total_dec') + ' * 100', 'SUM(' + cents('total_dec') + ') OVER ()', 1)} AS pct_total
-FROM ({_company_ranking_body()})"""
+FROM ({_company_ranking_body(where)})"""
 
 
 def _company_ranking_sql() -> str:
@@ -490,9 +519,9 @@ def _delay_buckets_sql(where: str = "TRUE") -> str:
 ) GROUP BY rango ORDER BY MIN(COALESCE(dias_retrazo, 0))"""
 
 
-def _pending_top_bars_sql() -> str:
-    return with_roles("billing") + _top_by_amount("billing", ["nombre_compania", "nombre_sucursal"], 10, UNBILLED,
-                                                  bar=True)
+def _pending_top_bars_sql(where: str = "TRUE") -> str:
+    return with_roles("billing") + _top_by_amount("billing", ["nombre_compania", "nombre_sucursal"], 10,
+                                                  f"{UNBILLED} AND ({where})", bar=True)
 
 
 def _view_monthly_sql() -> str:
@@ -532,15 +561,7 @@ def _freight_facets_body() -> str:
 
 
 def _export_sql() -> str:
-    cols = []
-    for spec in EXPORT_COLUMNS:
-        if spec is None:
-            cols.append("strftime(fecha_creacion, '%d-%m-%Y') AS fecha")
-        elif spec[0] == "tarifa_final":
-            cols.append("CAST(tarifa_final AS DOUBLE) AS tarifa_final")
-        else:
-            cols.append(f"{spec[0]} AS {spec[1]}")
-    return with_roles("billing") + f"SELECT {sel(cols)}\nFROM billing ORDER BY fecha_creacion DESC NULLS LAST"
+    return with_roles("billing") + EXPORT_SQL
 
 
 def _view_detail_sql() -> str:
@@ -581,6 +602,14 @@ WHERE table_name = 'documents' AND column_name NOT IN
     "panel_table_filtered": _fact_page_sql(3, 20, tags=True, where=fact_where(PANEL_FACT_ARGS)),
     "panel_trips_filtered": _trip_kpis_sql(where=_trip_filter_where(PANEL_TRIP_ARGS)),
     "panel_delays_filtered": _delay_buckets_sql(where=_trip_filter_where(PANEL_TRIP_ARGS)),
+    "panel_ranking_filtered": _company_stack_sql(where=fact_where(RANKING_ARGS)),
+    "panel_pending_filtered": _pending_top_bars_sql(where=fact_where(PENDING_ARGS)),
+    "panel_executive_filtered": _executive_sql(derived=True, where=fact_where(EXECUTIVE_ARGS)),
+    "panel_dispatch_filtered": with_roles("billing") + f"""SELECT estado_envio_factura, COUNT(*) AS viajes,
+  {dbl(msum())} AS total FROM billing WHERE estado_envio_factura IS NOT NULL AND estado_envio_factura <> ''
+  AND {fact_where(DISPATCH_ARGS)} GROUP BY estado_envio_factura""",
+    "panel_zones_filtered": with_roles("trips") + "SELECT zona, COUNT(*) AS cantidad FROM trips WHERE zona IS NOT NULL "
+                            f"AND zona <> '' AND {_trip_filter_where(ZONE_ARGS)} GROUP BY zona",
     "home_summary": _home_summary_sql(),
     "trip_kpis": _trip_kpis_sql(),
     "billing_kpis": _billing_kpis_sql(derived=False),
@@ -696,6 +725,22 @@ FROM billing WHERE nombre_compania IS NOT NULL GROUP BY nombre_compania""",
     "view_detail": _view_detail_sql(),
 }
 SQL["status_panel_union"] = SQL["status_panel"]
+SQL["status_panel_flt"] = f"SELECT * FROM ({SQL['status_panel']}) WHERE grupo = 'FLT'"
+
+
+def _missing(c: str, default: str) -> str:
+    return f"CASE WHEN {c} IS NULL OR {c} = '' THEN '{default}' ELSE {c} END AS {c}_texto"
+
+
+SQL["fact_labels"] = f"""SELECT *, substr(COALESCE(nombre_compania, ''), 1, 14) AS nombre_compania_corto,
+  substr(COALESCE(nombre_sucursal, ''), 1, 12) AS nombre_sucursal_corto, substr(COALESCE(titulo, ''), 1, 20) AS titulo_corto,
+  substr(COALESCE(observacion, ''), 1, 15) AS observacion_corto, {_missing('id_envio', '-')}, {_missing('n_flete', '-')}
+FROM ({_fact_page_sql(1, 50, tags=False)})"""
+SQL["trip_table_labels"] = f"""SELECT *, substr(COALESCE(cliente_final, ''), 1, 25) AS cliente_corto,
+  {', '.join(_missing(c, '-') for c in ('origen', 'destino', 'zona', 'placa', 'estado_viaje'))}
+FROM ({SQL['trip_table']})"""
+SQL["trips_due_soon_labels"] = f"""SELECT *, CASE WHEN destino_carga IS NULL OR destino_carga = '' THEN destino
+  ELSE destino_carga END AS destino_texto FROM ({SQL['trips_due_soon']})"""
 
 
 def _operations_panels_sql() -> str:

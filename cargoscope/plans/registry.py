@@ -21,7 +21,8 @@ from cargoscope.operators import kpis as K
 from cargoscope.operators import rollups as R
 from cargoscope.operators import scorecards as S
 from cargoscope.operators import topk as TK
-from cargoscope.operators.detail import export_rows, fact_detail, fact_page, fact_page_after, view_detail
+from cargoscope.operators.detail import (export_rows, fact_detail, fact_page, fact_page_after, view_detail,
+                                         with_destination, with_fact_labels, with_trip_labels)
 from cargoscope.plans import dashboard as P
 from cargoscope.plans.views import VIEWS
 from cargoscope.sources.catalog import describe_columns, schema_diff
@@ -42,6 +43,12 @@ SHARE_PANELS = {"share_collection": "status_crisar", "share_bill_type": "tipo_fa
 # Dashboard panels with their filters applied (filter composition checked end to end).
 PANEL_FACT_ARGS = {"compania": "NATION_7", "estado_flt": "Con FLT", "mes_desde": "1997-01", "mes_hasta": "1999-12"}
 PANEL_TRIP_ARGS = {"planta": "NATION_12", "zona": "ASIA"}
+# Filtered panels that use the filters which the ones above leave out.
+RANKING_ARGS = {"estado_flete": "CONFIRMADO", "status_crisar": "COBRADO"}
+PENDING_ARGS = {"estado_conciliacion": "CONCILIADO", "estado_envio_factura": "ACEPTADO"}
+EXECUTIVE_ARGS = {"status_cont_aje": "RF", "tipo_proceso": "Brand#4"}
+DISPATCH_ARGS = {"tipo_fact": "MEDIUM", "mes_desde": "1995-12"}
+ZONE_ARGS = {"destino": "NATION_5", "ns": "ON_TIME"}
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,6 +91,12 @@ QUERIES: dict[str, Query] = {
     "panel_table_filtered": _on("billing", lambda b: P.billing_table(b, 3, 20, **PANEL_FACT_ARGS)),
     "panel_trips_filtered": _on("trips", lambda t: P.trip_summary(t, **PANEL_TRIP_ARGS)),
     "panel_delays_filtered": _on("trips", lambda t: P.trip_delays(t, **PANEL_TRIP_ARGS)),
+    "panel_ranking_filtered": _on("billing", lambda b: P.company_ranking(b, **RANKING_ARGS)),
+    "panel_pending_filtered": _on("billing", lambda b: P.pending_top(b, **PENDING_ARGS)),
+    "panel_executive_filtered": _on("billing", lambda b: P.executive_summary(b, **EXECUTIVE_ARGS)),
+    "panel_dispatch_filtered": _on("billing", lambda b: P.billing_distribution(
+        b, "estado_envio_factura", **DISPATCH_ARGS)),
+    "panel_zones_filtered": _on("trips", lambda t: P.trip_zones(t, **ZONE_ARGS)),
     # KPI rows
     "home_summary": _overview(P.overview_summary),
     "trip_kpis": _on("trips", P.trip_summary),
@@ -143,6 +156,7 @@ QUERIES: dict[str, Query] = {
         f, {c: c for c in FC.FREIGHT_FACET_COLUMNS}, month_facets={"mes": "fecha"}))),
     "status_panel": _on("billing", FC.status_panel),
     "status_panel_union": _on("billing", FC.status_panel_union),
+    "status_panel_flt": _on("billing", lambda b: FC.panel_group(FC.status_panel(b), "FLT")),
     "operations_panels": _on("billing", P.operations_panels),
     "trip_panels": _on("trips", P.trip_category_panels),
     "commercial_panels": _on("billing", P.commercial_panels),
@@ -168,6 +182,9 @@ QUERIES: dict[str, Query] = {
     "fact_page_deep": _on("billing", lambda b: fact_page(b, *FACT_DEEP_PAGE)),
     **{name: _on("billing", lambda b, _d=dim: P.billing_share(b, _d)) for name, dim in SHARE_PANELS.items()},
     "fact_tags": _on("billing", lambda b: P.billing_table(b, 1, 50)),
+    "fact_labels": _on("billing", lambda b: with_fact_labels(fact_page(b, 1, 50))),
+    "trip_table_labels": _on("trips", lambda t: with_trip_labels(P.trip_table(t))),
+    "trips_due_soon_labels": _on("trips", lambda t: with_destination(P.trip_upcoming(t, AS_OF))),
     "export_detail": _on("billing", export_rows),
     "view_detail": _on("validated", view_detail),
 }

@@ -55,3 +55,27 @@ def test_checker_detects_a_difference(spark, con):
     idx = [dcols.index(c) for c in cols]
     drows = [tuple(r[i] for i in idx) for r in rel.fetchall()]
     assert digest(srows)[0] != digest(drows)[0]
+
+
+def test_broken_filter_entry_shows(spark, con, monkeypatch):
+    """The oracle has its own filter map: a wrong entry on the Spark side makes the results differ."""
+    from cargoscope.functions import predicates
+
+    name = "panel_executive_filtered"
+    monkeypatch.setitem(predicates.FACT_FILTER_COLUMNS, "tipo_proceso", "aprobacion")
+    df = QUERIES[name](spark, SF01)
+    rel = con.execute(SQL[name])
+    names = [x[0] for x in rel.description]
+    (want,) = rel.fetchall()
+    (got,) = df.collect()
+    assert [got[c] for c in names] != list(want)
+
+
+def test_every_filter_is_used():
+    from cargoscope.functions.predicates import FACT_FILTER_COLUMNS, TRIP_FILTER_COLUMNS
+
+    sets = [registry.FACT_FILTER_ARGS, registry.PANEL_FACT_ARGS, registry.RANKING_ARGS, registry.PENDING_ARGS,
+            registry.EXECUTIVE_ARGS, registry.DISPATCH_ARGS]
+    assert set(FACT_FILTER_COLUMNS) <= {k for s in sets for k in s}
+    trips = [registry.TRIP_FILTER_ARGS, registry.PANEL_TRIP_ARGS, registry.ZONE_ARGS]
+    assert set(TRIP_FILTER_COLUMNS) | {"ns"} <= {k for s in trips for k in s}
