@@ -48,8 +48,9 @@ ROLE_ALIASES = {"freight": "billing", "validated": "billing"}
 # billing is range-partitioned on its creation date (the id and then the row's position break ties, so a
 # hot date, or even a group of exact copies, still spreads over many tasks), sorted by that date inside
 # each file, and written in one folder per creation month, so a month-range filter prunes folders and
-# skips row groups inside the files it still reads. POSITION only balances the write; it never changes
-# which rows are written.
+# skips row groups inside the files it still reads. POSITION is the line's place in its source file, taken
+# from the scan: a task that runs again after a lost executor gives each row the same key, so no row changes
+# partition between attempts. A number given after the joins would depend on the order of fetched blocks.
 POSITION = "__position__"
 # trips keeps its join partitioning and is sorted inside each file by the columns its equality filters
 # use most (plant, then zone), so Parquet row-group statistics skip data for a filtered panel.
@@ -167,6 +168,7 @@ def build_billing(t: dict[str, DataFrame]) -> DataFrame:
         col("o_orderkey").cast("string").alias("nro_factura"),
         _trip_state().alias("estado_viaje"),
         month_key(created).alias(BILLING_MONTH_PARTITION),
+        *([POSITION] if POSITION in x.columns else []),
     )
 
 
@@ -237,7 +239,7 @@ _MEMO: dict[tuple[int, str, str], DataFrame] = {}
 
 
 # Raise this number when a mapping, a file layout or a scalar that the mappings use changes.
-MAPPING_VERSION = 2
+MAPPING_VERSION = 3
 
 
 def _source_version(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> str:
@@ -291,6 +293,14 @@ def lazy_role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return builder({n: table(spark, sf_dir, n) for n in sources})
 
 
+def positioned_role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The lazy role with POSITION: file (hashed) and row index of the line, fixed by the source files alone."""
+    builder, sources = BUILDERS[name]
+    t = {n: table(spark, sf_dir, n) for n in sources}
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return builder(t | {"lineitem": t["lineitem"].select("*", place.alias(POSITION))})
+
+
 def role(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False, written: bool = True) -> DataFrame:
     """The role frame ``name``; lineitem-grain roles are read from their written table.
 
@@ -320,14 +330,13 @@ def role(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False, wri
         # builders never touch each other's files; readers take the newest committed one.
         attempt = f"{root}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         _warn_if_skew_handling_off(spark)
-        frame = lazy_role(spark, sf_dir, name)
         range_keys, sort_cols, folder_col = MATERIALISED[name]
+        frame = positioned_role(spark, sf_dir, name) if POSITION in range_keys else lazy_role(spark, sf_dir, name)
         if range_keys:
-            frame = frame.repartitionByRange(*[F.monotonically_increasing_id() if k == POSITION else F.col(k)
-                                               for k in range_keys])
+            frame = frame.repartitionByRange(*range_keys)
         if sort_cols:
             frame = frame.sortWithinPartitions(*sort_cols)
-        writer = frame.write.mode("errorifexists")
+        writer = frame.drop(POSITION).write.mode("errorifexists")
         if folder_col:
             writer = writer.partitionBy(folder_col)
         writer.parquet(attempt)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cargoscope.operators.detail import _skew_safe_order
+from cargoscope.sources import roles as RL
 from tests import frames as FR
+from tests.conftest import SF001
 
 
 def partition_sizes(df) -> list[int]:
@@ -37,3 +39,20 @@ def test_position_tie_break_spreads_a_group_of_copies(spark):
     assert max(partition_sizes(df.repartitionByRange(16, *keys))) < 1000   # the position key does
     safe = df.orderBy(*keys)
     assert safe.count() == 4000 and safe.first()["fecha_creacion"] == FR.ts("2001-01-01")
+
+
+def test_write_position_is_fixed_by_the_source_files(spark):
+    def keys(shuffle_partitions):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle_partitions)
+        try:
+            rows = RL.positioned_role(spark, SF001, "billing").select("id_envio", RL.POSITION).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        return sorted((r[0], tuple(r[1])) for r in rows)
+
+    some = keys(3)
+    assert some == keys(11)                                             # not by how the joins were dealt
+    assert len({place for _, place in some}) == len(some)
+    assert RL.POSITION not in RL.role(spark, SF001, "billing").columns
+    assert RL.role(spark, SF001, "billing").count() == len(some)
