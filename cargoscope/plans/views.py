@@ -9,7 +9,9 @@ themselves.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+import uuid
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +43,40 @@ VIEWS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+# Fixed value: the label of every saved view.
+LABELS = {"tipo": "vista_datastudio"}
+
+
+def _quoted(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def publish_views(spark: SparkSession, validated: DataFrame, base_path: str, prefix: str = "",
+                  labels: Mapping[str, str] = LABELS, persistent_only: bool = True) -> dict[str, str]:
+    """Saved views that outlive the application, with their labels as view properties; name -> path.
+
+    Every result is written to a folder of its own below ``base_path`` (a shared
+    folder), and ``CREATE OR REPLACE VIEW`` then moves the name to it, so readers
+    see the old rows or the new ones and never a gap. Call it again to refresh.
+    Older folders stay for readers that still use them. The detail view keeps its
+    order by date, so row-group statistics skip data for a date filter. Without a
+    persistent catalog (Hive) the call is an error, as the views would end with
+    the session; ``persistent_only=False`` accepts that.
+    """
+    if persistent_only and spark.conf.get("spark.sql.catalogImplementation", "in-memory") != "hive":
+        raise ValueError("saved views need a persistent catalog; create_views registers them for this session")
+    properties = ", ".join(f"{_quoted(k)} = {_quoted(v)}" for k, v in labels.items())
+    paths = {}
+    for name, build in VIEWS.items():
+        path = f"{base_path.rstrip('/')}/{name}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        materialise(build(validated), path, partition_by=None, mode="errorifexists")
+        with_labels = f" TBLPROPERTIES ({properties})" if properties else ""
+        spark.sql(f"CREATE OR REPLACE VIEW {prefix}{name}{with_labels} AS SELECT * FROM parquet.`{path}`")
+        paths[f"{prefix}{name}"] = path
+    return paths
+
+
 def materialise_views(validated: DataFrame, base_path: str, mode: str = "overwrite") -> dict[str, str]:
     """SNK-4 for every saved view: write each result once for repeated reads.
 

@@ -7,7 +7,7 @@ import os
 
 import pytest
 
-from cargoscope.plans.views import VIEWS, create_views
+from cargoscope.plans.views import LABELS, VIEWS, create_views, publish_views
 from cargoscope.plans import registry
 from cargoscope.sinks.writers import export_detail, materialise, write_json
 from cargoscope.sources.catalog import describe_columns, preview, schema_diff, table_counts
@@ -96,3 +96,25 @@ def test_global_views_are_visible_to_other_sessions(spark):
     other = spark.newSession()
     assert other.table(f"global_temp.{names[0]}").count() >= 1
     assert other.sql("SELECT COUNT(*) FROM global_temp.g_v_fact_compania").first()[0] > 0
+
+
+def test_published_views_carry_labels_and_are_replaced_at_once(spark, out_dir):
+    validated = role(spark, SF001, "validated")
+    with pytest.raises(ValueError):                       # the test session's catalog ends with the session
+        publish_views(spark, validated, out_dir)
+    first = publish_views(spark, validated, out_dir, prefix="p_", persistent_only=False)
+    assert set(first) == {f"p_{n}" for n in VIEWS}
+    for name, path in first.items():
+        want = VIEWS[name[2:]](validated)
+        assert spark.table(name).columns == want.columns
+        assert spark.table(name).count() == want.count() > 0, name
+        shown = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+        assert LABELS.items() <= shown.items()
+    again = publish_views(spark, validated.limit(0), out_dir, prefix="p_", labels={"o'k": "a\\b"}, persistent_only=False)
+    assert set(again) == set(first) and not set(again.values()) & set(first.values())
+    assert spark.table("p_v_fletes_detalle").count() == 0
+    assert spark.read.parquet(first["p_v_fletes_detalle"]).count() > 0    # readers of the older rows keep them
+    shown = {r["key"]: r["value"] for r in spark.sql("SHOW TBLPROPERTIES p_v_fletes_detalle").collect()}
+    assert shown["o'k"] == "a\\b"
+    for name in first:
+        spark.sql(f"DROP VIEW {name}")
