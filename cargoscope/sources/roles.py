@@ -21,8 +21,8 @@ Scale notes
   cut at a durable table (survives executor loss). The billing table is laid
   out for month-range filters (see MATERIALISED): range-partitioned on the
   creation date with a tie-break, sorted by it inside each file, and written in
-  one folder per creation month. Without a configured checkpoint folder the lazy
-  join plan is returned.
+  one folder per creation month. Without a configured checkpoint folder the
+  call is an error, unless the lazy joins are asked for.
 """
 
 from __future__ import annotations
