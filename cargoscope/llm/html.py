@@ -1,11 +1,11 @@
 """Main text of web pages, with site templates found by recurring subtrees.
 
-A page is parsed once into blocks of text. Markup that never holds the article (navigation, headers, footers, asides,
-forms, scripts, styles, and elements whose class, id or role says advert, notice, menu, comments and the like) is left
-out at once. If the page marks its article (``article``, ``main`` or ``role=main``), only blocks inside it are main
-text. Every block outside such a mark keeps the hashes of the element subtrees around it; Spark counts them per host,
-and subtrees that recur on many pages of that host are deleted as part of the site's template. A page without marked
-article so loses what it shares with its site and keeps the rest.
+A page is parsed once into blocks of text and the hashes of its element subtrees. Spark counts the subtrees of every
+page per host, and those that recur on many pages of a host are the site's template: blocks in them are deleted. If
+the page marks its article (``article``, ``main`` or ``role=main``), the mark protects the blocks inside it from that,
+as a passage may recur in articles; blocks outside it are kept unless they recur. Markup that never holds the article
+(navigation, headers, footers, asides, forms, scripts, styles, and elements whose class, id or role says advert,
+notice, menu, comments and the like) is left out by name as well, as it needn't recur; its subtrees are counted too.
 
 Counting is a partially aggregated group per (host, hash); a host with a third of all pages costs no task more than
 another. Hashes are joined back to the pages that hold them; nothing is gathered per host.
@@ -55,8 +55,8 @@ _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+
 _WORD = re.compile(r"[a-z0-9]+")
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
-_SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("blocks", pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))])))])
-_DDL = "page_id long, url string, host string, blocks array<struct<text:string, around:array<long>>>"
+_SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("subtrees", pa.list_(pa.int64())), ("blocks", pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))])))])
+_DDL = "page_id long, url string, host string, subtrees array<long>, blocks array<struct<text:string, around:array<long>>>"
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -74,18 +74,22 @@ def is_boilerplate(tag: str, found: dict[str, str]) -> bool:
 
 
 class _Open:
-    """An open element: what it is, where its blocks start, and the digest of what it holds so far."""
+    """An open element: what it is, the element that its blocks belong to (itself unless inline), where its blocks
+    start, and the digest of what it holds so far."""
 
-    __slots__ = ("tag", "dropped", "main", "first", "digest")
+    __slots__ = ("tag", "dropped", "main", "box", "first", "digest")
 
-    def __init__(self, tag: str, dropped: bool, main: bool, first: int, kind: str) -> None:
+    def __init__(self, tag: str, dropped: bool, main: bool, outer: _Open | None, first: int, kind: str) -> None:
         self.tag, self.dropped, self.main, self.first = tag, dropped, main, first
+        self.box = self if tag in BLOCK or tag in DROPPED else outer
         self.digest = xxhash.xxh3_64(kind)
 
 
-def blocks(source: str) -> list[tuple[str, list[int]]]:
-    """Blocks of candidate text in page order, each with the hashes of the unmarked subtrees around it, inner first."""
-    out: list[list] = []  # [text, around, in a marked article]
+def blocks(source: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
+    """Blocks of candidate text in page order, each with the hashes of the subtrees around it that may delete it, inner
+    first (none inside a marked article), and the distinct hashes of all the page's subtrees that hold text."""
+    out: list[list] = []  # [text, around, in a marked article, left out by name]
+    subtrees: dict[int, None] = {}
     stack: list[_Open] = []
     parts: list[str] = []
 
@@ -94,9 +98,10 @@ def blocks(source: str) -> list[tuple[str, list[int]]]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                out.append([text, [], any(e.main for e in stack)])
-                if stack:
-                    stack[-1].digest.update("\0" + text)
+                box = stack[-1].box if stack else None
+                out.append([text, [], any(e.main for e in stack), bool(box and box.dropped)])
+                if box:
+                    box.digest.update("\0" + text)
 
     def close() -> None:
         if stack[-1].tag not in BLOCK and stack[-1].tag not in DROPPED:
@@ -105,15 +110,18 @@ def blocks(source: str) -> list[tuple[str, list[int]]]:
         flush()
         e = stack.pop()
         h = e.digest.intdigest()
-        if stack:
-            stack[-1].digest.update(h.to_bytes(8, "big"))
-        if e.tag not in ("html", "body"):
+        outer = stack[-1].box if stack else None
+        if outer and (outer.dropped or not e.dropped):  # an advert that differs doesn't hide the box around it
+            outer.digest.update(h.to_bytes(8, "big"))
+        if e.tag not in ("html", "body") and len(out) > e.first:
             signed = h - (1 << 64) if h >> 63 else h
+            subtrees[signed] = None
             for block in out[e.first :]:
                 block[1].append(signed)
 
     def text(piece: str) -> None:
-        if piece and not (stack and stack[-1].dropped):
+        e = stack[-1] if stack else None
+        if piece and not (e and e.dropped and not (e.box and e.box.dropped)):  # an inline element left out has no subtree
             parts.append(entities.unescape(piece))
 
     at = 0
@@ -159,19 +167,19 @@ def blocks(source: str) -> list[tuple[str, list[int]]]:
         own = attributes(found[3]) if found[3] and found[3].strip() else {}
         dropped = bool(stack and stack[-1].dropped) or is_boilerplate(tag, own)
         main = tag in MAIN or own.get("role", "").lower() == "main" or own.get("itemprop", "") == "articleBody"
-        stack.append(_Open(tag, dropped, main and not dropped, len(out), f"{tag} {own.get('class', '')} {own.get('id', '')}"))
+        stack.append(_Open(tag, dropped, main and not dropped, stack[-1].box if stack else None, len(out), f"{tag} {own.get('class', '')} {own.get('id', '')}"))
     rest = source[at:]
     text(rest if "<" not in rest else re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", rest))
     while stack:
         close()
     flush()
-    marked = [b for b in out if b[2]]
-    return [(t, []) for t, _, _ in marked] if marked else [(t, around) for t, around, _ in out]
+    return [(t, [] if main else around) for t, around, main, dropped in out if not dropped], list(subtrees)
 
 
 def _parse():
     def one(row: dict) -> Iterator[dict]:
-        yield {"page_id": row["page_id"], "url": row["url"], "host": row["host"], "blocks": [{"text": t, "around": a} for t, a in blocks(row["html"])]}
+        kept, subtrees = blocks(row["html"])
+        yield {"page_id": row["page_id"], "url": row["url"], "host": row["host"], "subtrees": subtrees, "blocks": [{"text": t, "around": a} for t, a in kept]}
 
     return one
 
@@ -183,13 +191,14 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     rows = rows.withColumn("host", F.when(host != "", host)).select("page_id", "url", "host", "html")
     # The number of a row is written with it, so it stays the same however often the table is read.
     parsed = cut(rows.mapInArrow(per_row(_SCHEMA, _parse), _DDL).withColumn("row", F.monotonically_increasing_id()))
-    around = parsed.where("host is not null").select("row", "host", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("subtree"))
+    around = parsed.where("host is not null").select("row", "host", F.explode("subtrees").alias("subtree"))
     seen = around.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     of_host = parsed.where("host is not null").groupBy("host").agg(F.count("*").alias("pages"))
     template = cut(seen.join(of_host, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree"))
-    lost = around.join(template, ["host", "subtree"], "left_semi").groupBy("row").agg(F.collect_list("subtree").alias("lost"))
-    # Only pages with blocks outside a marked article can lose any; the others aren't moved.
+    # Every page is counted; only pages with blocks outside a marked article can lose any, so the others aren't moved.
     open_to = F.exists("blocks", lambda b: F.size(b["around"]) > 0)
+    open_around = parsed.where(open_to & F.col("host").isNotNull()).select("row", "host", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("subtree"))
+    lost = open_around.join(template, ["host", "subtree"], "left_semi").groupBy("row").agg(F.collect_list("subtree").alias("lost"))
     joined = parsed.where(open_to).join(lost, "row", "left").unionByName(parsed.where(~open_to).withColumn("lost", F.lit(None).cast("array<long>")))
     left = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["around"], F.col("lost")), F.lit(False)))
     text = F.array_join(F.transform(left, lambda b: b["text"]), " ")

@@ -311,6 +311,17 @@ def test_page_text(spark):
     assert got[3] == "Text number 3 of the page" and got[100] == "Our shop is open daily Text number 100 of the page"
 
 
+def test_page_template_is_counted_on_marked_pages(spark):
+    page = "<body><div><p>Shop open daily</p></div><article><p>Own {0}</p><p>Passage that articles share</p></article><div><b>By line<br></b>tail {0}</div><div><b>Related {0}<br></b>more</div></body>"
+    site = [(i, f"https://shop.example/p{i}", page.format(i)) for i in range(30)] + [(50, "https://shop.example/q", "<div><p>Shop open daily</p></div><p>No mark</p>"), (60, "https://other.example/", page.format(60))]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(site, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Own 3 Passage that articles share By line tail 3 Related 3 more"
+    assert got[50] == "No mark" and got[60] == "Shop open daily Own 60 Passage that articles share By line tail 60 Related 60 more"
+    # Subtrees left out by name are counted too, and a span left out takes no text along.
+    kept, subtrees = html.blocks("<nav><p>m</p></nav><article>a<span class=ad>x</span>b<span class=ad><p>c</p></span></article>")
+    assert [t for t, _ in kept] == ["ab"] and len(subtrees) == 4
+
+
 def test_queries_are_named_by_operator():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
 
