@@ -2,8 +2,9 @@
 
 Each text is cut into words, every word is encoded with a public piece vocabulary, and the text is judged by three
 figures: characters per token, the share of byte-fallback tokens, and the entropy of its tokens. A band of accepted
-values per script (the script most of the text's letters are written in) decides. Texts that fail the plain base rule
-(too few words, or too many words inside repeated 5-word windows) are rejected before the bands are looked at.
+values per script (the script most of the text's letters are written in) decides, with an entropy floor of its own.
+Texts that fail the plain base rule (too few words, or too many words inside repeated 5-word windows) are rejected
+before the bands are looked at.
 
 Defined results: a null or empty text has no words, so ``base_failed`` is true and ``kept`` false; rows are judged one
 by one, so repeated rows and null ids pass through with the same verdict; an empty table gives an empty result; extra
@@ -15,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,18 +32,51 @@ WINDOW = 5
 #: Words kept with their tokens per task. When full it is emptied, so memory stays bounded on any input.
 CACHE_WORDS = 400_000
 
-# Accepted bands per script: (lowest and highest characters per token, highest byte-fallback share). Real prose lies
-# well inside; alphabets that the vocabulary lacks fall back to bytes and get a wide band.
+# Accepted bands per script: (lowest and highest characters per token, highest byte-fallback share), measured on clean
+# prose with room on both sides. The vocabulary splits Latin and Cyrillic into sub-words (prose: 1.5 to 4.2 characters
+# per token; hexadecimal, base64 and digits lie below 1.25), Vietnamese partly, most others into letters (0.7 to 0.95),
+# and what it lacks, points and rare letters among it, into bytes.
 BANDS = {
-    "latin": (1.2, 8.0, 0.10),
-    "cyrillic": (1.0, 8.0, 0.20),
-    "greek": (0.5, 8.0, 0.60),
-    "cjk": (0.2, 4.0, 0.80),
-    "other": (0.15, 8.0, 1.00),
+    "latin": (1.25, 6.0, 0.10),
+    "vietnamese": (0.95, 4.0, 0.15),
+    "cyrillic": (1.0, 6.0, 0.15),
+    "greek": (0.45, 1.6, 0.50),
+    "hebrew": (0.45, 1.6, 0.65),
+    "arabic": (0.45, 1.8, 0.50),
+    "indic": (0.40, 1.6, 0.50),
+    "thai": (0.50, 1.6, 0.25),
+    "hangul": (0.40, 1.6, 0.40),
+    "cjk": (0.35, 2.0, 0.60),
+    "other": (0.20, 2.0, 1.00),
 }
-# Lowest accepted token entropy in bits at a token count, straight lines between in log2 of the count. A text of n
-# tokens can't exceed log2(n) bits, so short texts get a lower floor. Below the first count there is no floor.
-ENTROPY_FLOOR = ((32, 3.0), (64, 4.2), (128, 5.2), (256, 5.75), (512, 6.1), (1024, 6.3), (4096, 6.45))
+# Lowest accepted token entropy in bits at a token count, straight lines between in log2 of the count, per script. A
+# text of n tokens can't exceed log2(n) bits, so short texts get a lower floor. Below the first count there is no floor,
+# beyond the last it stays. Letters of an alphabet reach 4 to 4.8 bits in prose of any length, syllables 5 to 5.6.
+_LETTERS = ((32, 2.8), (64, 3.1), (128, 3.4), (256, 3.6), (512, 3.7))
+_PARTLY = ((32, 3.0), (64, 4.2), (128, 4.8), (256, 5.1), (512, 5.3))
+ENTROPY_FLOORS = {
+    "latin": ((32, 3.0), (64, 4.2), (128, 5.2), (256, 5.75), (512, 6.1), (1024, 6.3), (4096, 6.45)),
+    "vietnamese": _PARTLY,
+    "cyrillic": _PARTLY,
+    "greek": _LETTERS,
+    "hebrew": _LETTERS,
+    "arabic": _LETTERS,
+    "indic": ((32, 2.9), (64, 3.3), (128, 3.6), (256, 3.8), (512, 3.9)),
+    "thai": ((32, 3.3), (64, 3.8), (128, 4.2), (256, 4.4), (512, 4.5)),
+    "hangul": ((32, 3.3), (64, 3.9), (128, 4.4), (256, 4.7), (512, 4.8)),
+    "cjk": ((32, 3.3), (64, 4.2), (128, 4.7), (256, 5.0), (512, 5.2)),
+    "other": ((32, 2.4), (64, 2.8), (128, 3.1), (256, 3.3), (512, 3.4)),
+}
+# Code points by script; letters of no range are ``other``, whose floor also fits texts that fall back to bytes.
+RANGES = (
+    ("latin", 0x41, 0x250), ("latin", 0x1E00, 0x1EA0), ("vietnamese", 0x1EA0, 0x1F00), ("greek", 0x370, 0x400), ("greek", 0x1F00, 0x2000),
+    ("cyrillic", 0x400, 0x530), ("hebrew", 0x590, 0x600), ("hebrew", 0xFB1D, 0xFB50), ("arabic", 0x600, 0x700), ("arabic", 0x750, 0x780),
+    ("arabic", 0x8A0, 0x900), ("arabic", 0xFB50, 0xFE00), ("arabic", 0xFE70, 0xFF00), ("indic", 0x900, 0xA00), ("indic", 0xB80, 0xC00),
+    ("thai", 0xE00, 0xE80), ("hangul", 0x1100, 0x1200), ("hangul", 0x3130, 0x3190), ("hangul", 0xAC00, 0xD7B0), ("cjk", 0x2E80, 0x3130),
+    ("cjk", 0x3190, 0xA000), ("cjk", 0xF900, 0xFB00), ("cjk", 0x20000, 0x32000),
+)
+#: Latin text is taken as Vietnamese from this share of letters that only its alphabet has, in percent.
+VIETNAMESE_PERCENT = 5
 
 SCHEMA = pa.schema(
     [
@@ -74,13 +109,19 @@ _STARTS = ((_BYTES & 0xC0) != 0x80) & ~_SPACE
 _SYMBOL = np.isin(_BYTES, list(b"#*$%&|<>"))
 
 
-def entropy_floor(n_tokens: int) -> float:
-    points = ENTROPY_FLOOR
+def entropy_floor(n_tokens: int, script: str) -> float:
+    points = ENTROPY_FLOORS[script]
     if n_tokens < points[0][0]:
         return 0.0
     return float(np.interp(math.log2(n_tokens), [math.log2(n) for n, _ in points], [h for _, h in points]))
 
 
+@lru_cache(maxsize=1 << 16)
+def _script_of_letter(char: str) -> str:
+    point = ord(char)
+    return next((name for name, low, high in RANGES if low <= point < high), "other")
+
+
 def script_of(text: str) -> str:
     """The script of most letters; ``other`` if there is none."""
     if text.isascii():
@@ -88,18 +129,12 @@ def script_of(text: str) -> str:
     found: Counter = Counter()
     for char, n in Counter(text).items():
         if char.isalpha():
-            point = ord(char)
-            if point < 0x250 or 0x1E00 <= point < 0x1F00:
-                found["latin"] += n
-            elif 0x370 <= point < 0x400 or 0x1F00 <= point < 0x2000:
-                found["greek"] += n
-            elif 0x400 <= point < 0x530:
-                found["cyrillic"] += n
-            elif 0x2E80 <= point < 0xA000 or 0xAC00 <= point < 0xD7B0 or 0xF900 <= point < 0xFB00 or 0x20000 <= point < 0x32000:
-                found["cjk"] += n
-            else:
-                found["other"] += n
-    return min(found, key=lambda s: (-found[s], s)) if found else "other"
+            found[_script_of_letter(char)] += n
+    marked = found.pop("vietnamese", 0)
+    if marked:
+        found["latin"] += marked
+    script = min(found, key=lambda s: (-found[s], s)) if found else "other"
+    return "vietnamese" if script == "latin" and 100 * marked >= VIETNAMESE_PERCENT * found["latin"] else script
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -168,7 +203,7 @@ class Fertility:
 
 def judge(script: str, n_tokens: int, chars_per_token: float, fallback_share: float, entropy: float) -> bool:
     low, high, most_fallback = BANDS[script]
-    return n_tokens > 0 and low <= chars_per_token <= high and fallback_share <= most_fallback and entropy >= entropy_floor(n_tokens)
+    return n_tokens > 0 and low <= chars_per_token <= high and fallback_share <= most_fallback and entropy >= entropy_floor(n_tokens, script)
 
 
 def _verdicts(model_file: str):
