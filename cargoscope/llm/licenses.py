@@ -1,7 +1,7 @@
 """License scans: phrases at word positions, and an exact set-similarity join of text blocks with license templates.
 
-Every text block (a line; lines longer than a window are cut into overlapping windows, so that any template-sized
-passage lies whole in one) is compared with the templates by containment, the share of a template's distinct words
+Every text block (overlapping windows over the words of the whole text, line ends ignored, so that any template-sized
+passage lies whole in one, wrapped or not) is compared with the templates by containment, the share of a template's distinct words
 that the block holds. Words are ordered by how many texts of the whole corpus hold them, rarest first. A block that
 reaches the threshold must share a word with the template inside both prefixes of that order (prefix filter), hold
 enough template words at all (length filter), and have enough words left after the first shared one (positional
@@ -27,7 +27,7 @@ from cargoscope.llm.common import cut, text_or_empty
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 CONTAINMENT = 0.9
-#: Words per window of a long line; windows start half a window apart, so half a window must hold any template.
+#: Words per window of a text; windows start half a window apart, so half a window must hold any template.
 WINDOW = 240
 
 # Phrases and their labels.
@@ -122,10 +122,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: flo
     # Copies of one text have one answer, so each distinct text goes on once.
     candidates = matches(by_text).select("text_key").distinct()
     chosen = texts.withColumn("text_key", F.xxhash64("low")).join(candidates, "text_key", "left_semi").dropDuplicates(["text_key"])
-    lines = chosen.select("text_key", F.explode(F.split("low", "\n")).alias("line")).select("text_key", F.regexp_extract_all("line", F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") >= least)
+    whole = chosen.select("text_key", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)).alias("w"))
     half = WINDOW // 2
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - half), F.lit(half))
-    windows = lines.select("text_key", F.explode(F.transform(starts, lambda s: F.slice("w", s, F.lit(WINDOW)))).alias("block"))
+    windows = whole.select("text_key", F.explode(F.transform(starts, lambda s: F.slice("w", s, F.lit(WINDOW)))).alias("block"))
     hits = matches(windows.select("text_key", F.array_intersect("block", vocab).alias("held")))
     labelled = hits.groupBy("text_key").agg(F.collect_set("label").alias("method_labels"), F.max("share").alias("share"))
 

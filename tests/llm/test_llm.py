@@ -293,6 +293,17 @@ def test_license_places_and_templates(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_license_templates_wrapped_over_lines(spark):
+    import textwrap
+
+    fill = textwrap.fill("lorem ipsum dolor sit amet " * 80, 72)
+    texts = [f"{fill}\n{textwrap.fill('x ' * 28 + t, 72)}\n{fill}" for _, t in licenses.TEMPLATES]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t.replace("\n", "\r\n * ")) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[i].split(",") and label in got[100 + i].split(","), licenses.TEMPLATES[i]
+
+
 def test_page_text(spark):
     cases = {
         "": "", "x < y &lt; z": "x < y < z", "<p>a<p>b": "a b", "<div class='ad'>z</div><div>a<b>c</b> d</div><script>if(a<b)</script>q": "ac d q",
