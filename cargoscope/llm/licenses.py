@@ -8,6 +8,10 @@ enough template words at all (length filter), and have enough words left after t
 filter); what passes is counted in full. As a text holds what its blocks hold, the same filters run on whole texts
 first, and only texts that hold enough of some template are cut into blocks.
 
+Candidates of the join are then verified by places: the words must stand close together; those that set a template
+apart from a similar one of another label must be among them; and a template that another label's contains whole
+doesn't count where a word of the larger one stands too, so the most specific template wins.
+
 All on the main path is DataFrame functions. The templates are a fixed list, so their table is of bounded size; no
 table of the corpus is broadcast.
 
@@ -58,6 +62,26 @@ def template_words(text: str) -> list[str]:
     return sorted({w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split()})
 
 
+def passage(text: str) -> tuple[int, int]:
+    """Words of a template, repeated ones too, and the most words that a place of it may span."""
+    n = len("".join(c if c.isalnum() else " " for c in text.lower()).split())
+    return n, n + max(2, n // 2)
+
+
+def rules(known: list[tuple[int, str, list[str], int]]) -> dict[int, tuple[list[str], list[str]]]:
+    """Per template (number, label, words, needed count): words it must hold, words that must not stand in its place."""
+    must: dict[int, set[str]] = {i: set() for i, *_ in known}
+    never: dict[str, set[str]] = {}
+    for i, label, words, need in known:
+        for _, other, theirs, _ in known:
+            if other != label and len(set(words) & set(theirs)) >= need:
+                if set(words) < set(theirs):
+                    never.setdefault(label, set()).update(set(theirs) - set(words))
+                else:
+                    must[i] |= set(words) - set(theirs)
+    return {i: (sorted(must[i]), sorted(never.get(label, set()) - set(words))) for i, label, words, _ in known}
+
+
 def lowered(column: str) -> Column:
     return F.translate(text_or_empty(column), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -105,8 +129,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: flo
     rarity = {r["token"]: r["df"] for r in by_text.select(F.explode("held").alias("token")).groupBy("token").agg(F.count("*").alias("df")).collect()}  # at most one row per template word
     order = sorted(vocabulary, key=lambda w: (rarity.get(w, 0), w))
     ranked = F.array(*map(F.lit, order))
-    rows = [(i, label, sorted(ws, key=order.index), need) for i, label, ws, need in known]
-    table = spark.createDataFrame(rows, "template int, label string, words array<string>, need int")
+    apart = rules(known)
+    rows = [(i, label, sorted(ws, key=order.index), need, *apart[i], *passage(templates[i][1])) for i, label, ws, need in known]
+    table = spark.createDataFrame(rows, "template int, label string, words array<string>, need int, must array<string>, never array<string>, tight int, wide int")
 
     def matches(blocks: DataFrame) -> DataFrame:
         """(key columns, label, share) of blocks (``held``: template words) that reach the threshold."""
@@ -126,7 +151,20 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: flo
     half = WINDOW // 2
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - half), F.lit(half))
     windows = whole.select("text_key", F.explode(F.transform(starts, lambda s: F.slice("w", s, F.lit(WINDOW)))).alias("block"))
-    hits = matches(windows.select("text_key", F.array_intersect("block", vocab).alias("held")))
+    met = matches(windows.select("text_key", "block", F.array_intersect("block", vocab).alias("held")))
+    # A block meets a template once per shared prefix word; it is verified at the first.
+    met = met.where(F.col("token") == F.element_at(F.array_intersect("held", "words"), 1))
+
+    def held_at(i: Column, span: str) -> Column:
+        """Template words of the passage that starts at word i, zero unless it is a place of the template."""
+        part = F.slice("block", i, F.col(span))
+        common = F.size(F.array_intersect(part, "words"))
+        fits = (common >= F.col("need")) & (F.size(F.array_except("must", part)) == 0) & ~F.arrays_overlap(part, "never")
+        return F.when(fits, common).otherwise(0)
+
+    at = F.filter(F.sequence(F.lit(1), F.size("block")), lambda i: F.array_contains("words", F.element_at("block", i)))
+    best = F.array_max(F.transform(at, lambda i: F.greatest(held_at(i, "tight"), held_at(i, "wide"))))
+    hits = met.withColumn("best", best).where("best > 0").select("text_key", "label", (F.col("best") / F.size("words")).alias("share"))
     labelled = hits.groupBy("text_key").agg(F.collect_set("label").alias("method_labels"), F.max("share").alias("share"))
 
     joined = facts.join(labelled, "text_key", "left")

@@ -304,6 +304,23 @@ def test_license_templates_wrapped_over_lines(spark):
         assert label in got[i].split(",") and label in got[100 + i].split(","), licenses.TEMPLATES[i]
 
 
+def test_license_labels_are_exact(spark):
+    far = "released " + "a " * 30 + "under " + "a " * 30 + "the " + "a " * 30 + "mit " + "a " * 30 + "license"
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    cases = {
+        "Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-NC 4.0": "cc-by-nc", "Licensed under CC BY-SA 4.0": "cc-by-sa",
+        cc.format(""): "cc-by", cc.format("-NonCommercial"): "cc-by-nc", cc.format("-ShareAlike"): "cc-by-sa", cc.format("-NonCommercial-ShareAlike"): "cc-by-nc,cc-by-sa",
+        "Licensed under CC BY 4.0. " + "Some words of text go here. " * 3 + cc.format("-NonCommercial"): "cc-by,cc-by-nc", far: "",
+        "licensed under the GNU General Public License": "gpl", "licensed under the GNU Lesser General Public License": "gpl,lgpl",  # the base phrase is in it
+        "released under the MIT\nLicense": "mit", "Licensed under the Apache License, Version 2.0": "apache", "license under the public terms of this work by 4 0": "",
+    }
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    docs = [(i, t) for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in docs] == ["gpl,lgpl" if label == "lgpl" else label for label, _ in licenses.TEMPLATES]
+
+
 def test_page_text(spark):
     cases = {
         "": "", "x < y &lt; z": "x < y < z", "<p>a<p>b": "a b", "<div class='ad'>z</div><div>a<b>c</b> d</div><script>if(a<b)</script>q": "ac d q",
