@@ -6,8 +6,10 @@ in several styles or scripts isn't averaged into one point. A text gets the lang
 cosine; it is rejected when that centroid is further away than nearly all training texts of the language were
 (distance-based rejection), or when it has no letter.
 
-Training uses at most ``TRAIN_ROWS`` labelled rows per language, those with the smallest hash of the id, so the fit is
-bounded and repeatable; every row is then predicted from its whole text. Neither lang, source nor doc_id is an input
+Training learns every language from whole texts. Centroids take at most ``TRAIN_ROWS`` distinct labelled rows (id and
+text) per language, those with the smallest hash of the id, so the fit is repeatable; document frequencies are those of
+all rows outside the held-out fold. Texts are counted inside tasks, each language is clustered in a task of its own,
+and only centroids reach the driver. Every row is then predicted from its whole text. Neither lang, source nor doc_id is an input
 of a prediction.
 
 Defined results: a null text or one without letters is ``und`` with score 0 and rejected; with no usable training row
@@ -20,17 +22,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cargoscope.llm.common import per_row
+from cargoscope.llm.common import cut, per_row
 
 #: Labelled rows per language that the fit may take.
 TRAIN_ROWS = 400
-#: Characters of a training text that the fit reads; predictions always read whole texts.
-TRAIN_CHARS = 20_000
-#: Languages, most frequent first, that a model may hold.
-MOST_LANGUAGES = 200
 CENTROIDS = 4
 BUCKETS = 1 << 13
 #: A text is rejected beyond this quantile of its language's training distances, plus a margin.
@@ -88,27 +86,14 @@ def cluster(points: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 class Model:
     """idf weights, centroids with their language, and each language's rejection cosine."""
 
-    def __init__(self, samples: list[tuple[str, str]]) -> None:
-        by_lang: dict[str, list[np.ndarray]] = {}
-        for lang, text in samples:
-            if text and _LETTER.search(text):
-                by_lang.setdefault(lang, []).append(ngram_counts(text[:TRAIN_CHARS]))
-        self.langs = sorted(by_lang)
-        n = sum(map(len, by_lang.values()))
-        df = np.zeros(BUCKETS)
-        for counts in by_lang.values():
-            for c in counts:
-                df += c > 0
-        self.idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32) if n else np.ones(BUCKETS, np.float32)
-        centres, owner, self.floor = [], [], []
-        for k, lang in enumerate(self.langs):
-            points = np.array([vector(c, self.idf) for c in by_lang[lang]])
-            own = cluster(points, CENTROIDS)
-            near = (points @ own.T).max(1)
-            self.floor.append(float(np.quantile(near, 1 - REJECT_QUANTILE)) - REJECT_MARGIN)
-            centres += list(own)
-            owner += [k] * len(own)
-        self.centres, self.owner = np.array(centres, np.float32).reshape(-1, BUCKETS), np.array(owner, int)
+    def __init__(self, idf: np.ndarray, learned: list[tuple[str, float, np.ndarray]]) -> None:
+        """``learned``: language, lowest accepted cosine, and its centroids, for each language once."""
+        learned = sorted(learned, key=lambda found: found[0])
+        self.idf = idf
+        self.langs = [lang for lang, _, _ in learned]
+        self.floor = [floor for _, floor, _ in learned]
+        self.owner = np.array([k for k, (_, _, own) in enumerate(learned) for _ in own], int)
+        self.centres = np.concatenate([own for _, _, own in learned]) if learned else np.zeros((0, BUCKETS), np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, cosine to its nearest centroid, and whether it is rejected."""
@@ -125,36 +110,75 @@ def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def _frequencies(batches):
+    """mapInArrow: texts -> per task, the number of texts that hold each bucket, and of all texts at bucket -1."""
+    df, n = np.zeros(BUCKETS, np.int64), 0
+    for batch in batches:
+        texts = batch.column(0)
+        for i in range(batch.num_rows):
+            text = texts[i].as_py()
+            if text and _LETTER.search(text):
+                df += ngram_counts(text) > 0
+                n += 1
+    held = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(df[held], n))], names=["bucket", "n"])
+
+
+def _count_vectors(batches):
+    """mapInArrow: (lang, id, text_key, text) -> the text's n-gram counts, each key once per task."""
+    seen = set()
+    for batch in batches:
+        for i in range(batch.num_rows):
+            lang, key, text_key, text = (batch.column(k)[i].as_py() for k in range(4))
+            if (lang, key, text_key) not in seen:
+                seen.add((lang, key, text_key))
+                counts = ngram_counts(text).astype(np.float32).tobytes()
+                yield pa.RecordBatch.from_pylist([{"lang": lang, "id": key, "text_key": text_key, "counts": counts}], schema=_COUNTS)
+
+
+_COUNTS = pa.schema([("lang", pa.string()), ("id", pa.int64()), ("text_key", pa.int64()), ("counts", pa.binary())])
+_LEARNED = pa.schema([("lang", pa.string()), ("floor", pa.float64()), ("centres", pa.binary())])
+
+
+def _learn(idf: np.ndarray):
+    """applyInArrow: the count vectors of one language, a bounded number -> its rejection cosine and centroids."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = sorted({(r["id"], r["text_key"]): r for r in table.to_pylist()}.items())
+        points = np.array([vector(np.frombuffer(r["counts"], np.float32).astype(float), idf) for _, r in found])
+        own = cluster(points, CENTROIDS)
+        floor = float(np.quantile((points @ own.T).max(1), 1 - REJECT_QUANTILE)) - REJECT_MARGIN
+        return pa.Table.from_pylist([{"lang": found[0][1]["lang"], "floor": floor, "centres": own.astype(np.float32).tobytes()}], schema=_LEARNED)
+
+    return run
+
+
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on the training fold of ``docs`` (doc_id, text, lang): at most ``rows`` rows of each of the most frequent
-    languages, those with the smallest id hash. Only these bounded rows reach the driver."""
-    train = docs.select(docs["doc_id"].cast("long").alias("id"), docs["lang"].cast("string").alias("lang"))
-    train = train.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    langs = [r["lang"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    picked: list[tuple[int, str]] = []
-    for lang in langs:  # a bounded top-k of ids per language: each task keeps ``rows`` rows, and no text is read
-        chosen = train.where(F.col("lang") == lang).orderBy(F.xxhash64("id"), "id").limit(rows)
-        picked += [(r["id"], r["lang"]) for r in chosen.collect()]
-    if not picked:
-        return Model([])
-    wanted = F.broadcast(docs.sparkSession.createDataFrame(sorted(set(picked)), "id long, lang string"))
-    texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["lang"].cast("string").alias("lang"), F.substring(docs["text"].cast("string"), 1, TRAIN_CHARS).alias("text"))
-    found = texts.join(wanted, ["id", "lang"], "left_semi").where(F.col("text").isNotNull())
-    # Repeated rows of one id may add to the list; the fit still takes ``rows`` per language.
-    samples = sorted((r["lang"], r["text"]) for r in found.limit(2 * len(picked)).collect())
-    taken: dict[str, int] = {}
-    kept = []
-    for lang, text in samples:
-        taken[lang] = taken.get(lang, 0) + 1
-        if taken[lang] <= rows:
-            kept.append((lang, text))
-    return Model(kept)
+    """Fit on the training fold of ``docs`` (doc_id, text, lang): every language, from its first ``rows`` distinct rows
+    (id and text) in the order of the id's hash, the id and the text's hash; idf from the whole fold."""
+    key = docs["doc_id"].cast("long")
+    fold = docs.select(key.alias("id"), docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text")).where(~held_out(key))
+    usable = fold.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").rlike("\\p{L}"))
+    usable = usable.select("lang", F.xxhash64("id").alias("h"), "id", F.xxhash64("text").alias("text_key"), "text")
+    # Spark keeps ``rows`` rows per language and task before it deals them out; no text is moved.
+    order = Window.partitionBy("lang").orderBy("h", "id", "text_key")
+    first = usable.select("lang", "h", "id", "text_key").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
+    last = cut(first.groupBy("lang").agg(F.max(F.struct("h", "id", "text_key")).alias("last")))
+    counted = fold.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most a row per bucket
+    df = np.zeros(BUCKETS + 1)
+    for r in counted:
+        df[r["bucket"]] = r["n"]  # the number of texts, at -1, is the last
+    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
+    chosen = usable.join(F.broadcast(last), "lang").where(F.struct("h", "id", "text_key") <= F.col("last"))  # a row per language
+    vectors = chosen.select("lang", "id", "text_key", "text").mapInArrow(_count_vectors, "lang string, id long, text_key long, counts binary")
+    learned = vectors.groupBy("lang").applyInArrow(_learn(idf), "lang string, floor double, centres binary").collect()  # CENTROIDS vectors per language
+    return Model(idf, [(r["lang"], r["floor"], np.frombuffer(r["centres"], np.float32).reshape(-1, BUCKETS)) for r in learned])
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, and lang for the fit): held_out, lang_pred, score, rejected."""
     model = model or fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB at most: MOST_LANGUAGES * CENTROIDS vectors
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # CENTROIDS vectors of 32 KB per language
 
     def start():
         fitted = shared.value

@@ -273,6 +273,21 @@ def test_language_id_on_held_out_rows(spark):
     assert langid.identify(extra.limit(0)).count() == 0 and langid.accepted(extra).columns == extra.columns
 
 
+def test_language_id_learns_every_language(spark):
+    # 230 languages of two letters each; one id repeats thousands of times.
+    rng = random.Random(3)
+    word = lambda k: "".join(rng.choice([chr(0x4E00 + 2 * k), chr(0x4E01 + 2 * k)]) for _ in range(4))
+    rows = [(1000 * k + i, " ".join(word(k) for _ in range(30)), f"l{k:03}") for k in range(230) for i in range(5)]
+    rows += [next(r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2)] * 3000
+    trained = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert set(model.langs) == trained and len(trained) > 220
+    assert all(model.predict(t)[0] == lang for _, t, lang in rows[:1150] if lang in trained)
+    again = langid.fit(docs.repartition(5))
+    assert (again.centres == model.centres).all() and again.floor == model.floor
+
+
 def test_license_places_and_templates(spark):
     import re
 
