@@ -288,6 +288,17 @@ def test_language_id_learns_every_language(spark):
     assert (again.centres == model.centres).all() and again.floor == model.floor
 
 
+def test_language_id_reads_whole_training_texts(spark):
+    opening = "the menu of this page " * 1000
+    bodies = {"aa": "wozu hurdel mankt ", "bb": "quiso llevar peñas "}
+    rows = [(i, opening + bodies[lang] * 3000, lang) for i in range(40) for lang in [("aa", "bb")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert all(model.predict(b * 50)[0] == lang for lang, b in bodies.items()) and len(opening) > 20_000
+    # Document frequencies are those of the whole fold, whatever number of rows the centroids take.
+    assert (langid.fit(docs, rows=1).idf == model.idf).all()
+
+
 def test_license_places_and_templates(spark):
     import re
 
