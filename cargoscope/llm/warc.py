@@ -4,10 +4,13 @@ Writing: each row becomes a WARC/1.1 record in a gzip member of its own. Of reco
 a response and the others are revisits that name it; only payloads of a minimum size are shared so. The members of a
 task are written back to back into archive files by Spark's text writer, so task retries and commits are Spark's:
 a member always ends in the four bytes of its length, the last of which is zero below 16 MiB, and that zero byte is
-the writer's line separator. Longer records are cut into segments (WARC continuation records) that stay below.
+the writer's line separator. Longer records are cut into segments (WARC continuation records) that stay below. All
+records of a page are one value for the writer, so they lie in one archive. An archive is bounded by bytes: it holds
+``ARCHIVE_BYTES`` of members at most, or one page.
 
-Reading: an archive's bytes are inflated piece by piece, never whole; a record is framed by its Content-Length, its
-digest is verified, and continuation segments are put together. An archive holds at most ``RECORDS_PER_FILE`` records.
+Reading: Spark hands over an archive as one value, which that bound keeps small; its bytes are inflated piece by piece,
+never whole; a record is framed by its Content-Length, its digest is verified, and continuation segments are put
+together.
 
 Defined results: a null payload is empty; equal payloads are decided by their SHA-256; a row without an id is always
 a response and stands for nothing else; rows that share an id and a payload are all responses if the id is the
@@ -28,7 +31,10 @@ from pyspark.sql import functions as F
 from cargoscope.llm.common import cut, fresh_dir, text_or_empty
 
 MIN_SHARED_BYTES = 100
-RECORDS_PER_FILE = 2000
+#: Compressed bytes per archive, unless one page alone is larger.
+ARCHIVE_BYTES = 32 << 20
+#: Compressed bytes handed to the writer at a time, unless one page alone is larger.
+BATCH_BYTES = 8 << 20
 #: Payload bytes per record; longer payloads are segmented.
 SEGMENT_BYTES = 8 << 20
 #: Compressed and inflated bytes handled at a time by the reader.
@@ -84,19 +90,39 @@ def members(row: dict) -> Iterator[bytes]:
         yield member([*headers, ("Content-Length", str(len(part)))], part)
 
 
-def _write_members(batches):
-    """mapInArrow: rows -> members without their last byte, a zero that the text writer adds."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            out = []
-            for row in batch.slice(at, 64).to_pylist():
-                for made in members(row):
-                    if made[-1]:
+def _write_members(archive_bytes: int):
+    """mapInArrow: rows -> (number of the task's archive, members of the page without their last byte, a zero that the
+    text writer adds)."""
+
+    def made(out: list[bytes], numbers: list[int]) -> pa.RecordBatch:
+        # Bytes under the string type: the text writer copies them as they are.
+        raw = pa.array(out, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.Array.from_buffers(pa.string(), len(raw), raw.buffers())], names=["archive", "value"])
+
+    def run(batches):
+        number, filled = 0, 0
+        out, numbers, held = [], [], 0
+        for batch in batches:
+            for at in range(batch.num_rows):
+                parts = []
+                for part in members(batch.slice(at, 1).to_pylist()[0]):
+                    if part[-1]:
                         raise DamagedArchive("a record must stay below 16 MiB")
-                    out.append(made[:-1])
-            # Bytes under the string type: the text writer copies them as they are.
-            raw = pa.array(out, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.string(), len(raw), raw.buffers())], names=["value"])
+                    parts.append(part)
+                page = b"".join(parts)
+                if filled and filled + len(page) > archive_bytes:
+                    number, filled = number + 1, 0
+                filled += len(page)
+                if out and held + len(page) > BATCH_BYTES:
+                    yield made(out, numbers)
+                    out, numbers, held = [], [], 0
+                out.append(page[:-1])
+                numbers.append(number)
+                held += len(page)
+        if out:
+            yield made(out, numbers)
+
+    return run
 
 
 def decided(pages: DataFrame, min_shared: int = MIN_SHARED_BYTES) -> DataFrame:
@@ -111,10 +137,10 @@ def decided(pages: DataFrame, min_shared: int = MIN_SHARED_BYTES) -> DataFrame:
     return joined.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
 
 
-def write(pages: DataFrame, path: str) -> None:
-    """Write ``pages`` (page_id, url, html) as WARC files below ``path``."""
-    made = decided(pages).mapInArrow(_write_members, "value string")
-    made.write.option("lineSep", "\u0000").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def write(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write ``pages`` (page_id, url, html) as WARC files below ``path``, a file per task and archive."""
+    made = decided(pages).mapInArrow(_write_members(archive_bytes), "archive int, value string")
+    made.write.option("lineSep", "\u0000").option("maxRecordsPerFile", 0).partitionBy("archive").text(path)
 
 
 def inflated(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:

@@ -156,6 +156,21 @@ def test_warc_round_trip(spark, monkeypatch):
         list(warc.summarise(warc.members(row | {"digest": "00" * 32})))
 
 
+def test_warc_archives_are_bounded_by_bytes(spark, tmp_path):
+    # A page of two segments after 1,999 others, where a bound of 2,000 records would cut it in two.
+    rng = random.Random(4)
+    big = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=9 << 20))
+    rows = [(i, "u", f"page {i} " * 20) for i in range(1999)] + [(5000, "u", big), (5001, "u", "last")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for bound in (warc.ARCHIVE_BYTES, 100_000):
+        path = str(tmp_path / str(bound))
+        warc.write(pages, path, bound)
+        sizes = [f.stat().st_size for f in (tmp_path / str(bound)).rglob("part-*")]
+        assert sum(s > bound for s in sizes) <= 1 and (bound > 1 << 20 or len(sizes) > 4)
+        got = sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in warc.read_archives(spark, path).collect())
+        assert got == [(i, len(h), hashlib.sha256(h.encode()).hexdigest()) for i, _, h in rows]
+
+
 def repeat_words(w):
     windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
     twice = {i for i, x in enumerate(windows) if windows.count(x) > 1}
