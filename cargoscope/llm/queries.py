@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cargoscope.llm import bpe, chat, fertility, html, langid, licenses, minhash, mixing, vectors, warc
+from cargoscope.llm import bpe, chat, divergence, fertility, html, langid, licenses, minhash, mixing, pieces, repair, vectors, warc
 from cargoscope.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(read(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(read(spark, sf_dir, "conversations"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -68,6 +80,9 @@ QUERIES: dict[str, Query] = {
         op8_language_id,
         op9_license_scan,
         op10_html_extraction,
+        op11_conversation_repair,
+        op12_source_divergence,
+        op13_sentencepiece,
     )
 }
 # DuckDB twins of the queries that SQL can express over whole tables. Sets of links are closed by a recursive query.
@@ -132,9 +147,108 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
 FROM f"""
 
+_OP11 = r"""
+WITH RECURSIVE crc(tab) AS (
+  SELECT list(list_reduce(range(8), lambda x, y: if(x & 1 = 1, xor(x >> 1, 3988292384), x >> 1), i) ORDER BY i)
+  FROM (SELECT unnest(range(256)) AS i)
+), o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), z AS (
+  SELECT o.*, xor(list_reduce(list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda a, b: xor(a >> 8, crc.tab[(xor(a, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS deal FROM o, crc
+), e AS (
+  SELECT conv_id, turn, CASE deal WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE deal WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE deal WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM z WHERE deal <> 0
+), r AS (
+  SELECT conv_id, turn, role, text, row_number() OVER w AS i, lag(left(role, 1)) OVER w || left(role, 1) AS pair,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE 'sound' END AS fault
+  FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)
+), ins(q, p, cost, piece) AS (
+  VALUES (0, 0, 0, ''), (0, 2, 2, 'I'), (0, 3, 4, 'II'), (1, 1, 0, ''), (1, 2, 2, 'I'), (1, 3, 4, 'II'),
+    (2, 2, 0, ''), (2, 3, 2, 'I'), (2, 2, 4, 'II'), (3, 3, 0, ''), (3, 2, 2, 'I'), (3, 3, 4, 'II')
+), step(letter, role, p, q, cost) AS (
+  VALUES ('D', '', 0, 0, 3), ('D', '', 1, 1, 3), ('D', '', 2, 2, 3), ('D', '', 3, 3, 3),
+    ('R', '', 0, 2, 2), ('R', '', 1, 2, 2), ('R', '', 2, 3, 2), ('R', '', 3, 2, 2),
+    ('K', 's', 0, 1, 0), ('K', 'u', 0, 2, 0), ('K', 'u', 1, 2, 0), ('K', 'u', 3, 2, 0), ('K', 'a', 2, 3, 0)
+), dp(conv_id, i, q, best) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, '000000000' FROM r
+  UNION ALL
+  SELECT conv_id, i, q, min(best) FROM (
+    SELECT dp.conv_id, r.i, step.q, lpad(CAST(CAST(left(best, 9) AS BIGINT) + ins.cost + step.cost
+      + if(letter <> 'D' AND fault = 'truncated', 1, 0) AS VARCHAR), 9, '0') || substr(best, 10) || piece || letter AS best
+    FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1 JOIN ins ON ins.q = dp.q JOIN step ON step.p = ins.p
+    WHERE letter = 'D' OR fault IN ('sound', 'truncated') AND (letter = 'R' OR step.role = left(r.role, 1))
+  ) GROUP BY conv_id, i, q
+), best AS (
+  SELECT dp.conv_id, min(lpad(CAST(CAST(left(best, 9) AS BIGINT) + [0, 4, 2, 0][q + 1] AS VARCHAR), 9, '0') || substr(best, 10)
+    || ['', 'II', 'I', ''][q + 1]) AS best
+  FROM dp JOIN (SELECT conv_id, max(i) AS i FROM r GROUP BY conv_id) n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND n.i = dp.i GROUP BY dp.conv_id
+), l AS (
+  SELECT conv_id, generate_subscripts(x, 1) AS pos, unnest(x) AS letter FROM (SELECT conv_id, string_split(substr(best, 10), '') AS x FROM best WHERE length(best) > 9)
+), w AS (
+  SELECT conv_id, pos, letter, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY pos) AS i,
+    count(*) FILTER (letter <> 'D') OVER (PARTITION BY conv_id ORDER BY pos) AS k FROM l
+), x AS (
+  SELECT w.conv_id, pos, k, letter, r.role, r.text,
+    max(CASE WHEN k = 1 AND letter = 'K' AND left(r.role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY w.conv_id) AS s
+  FROM w LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i AND letter <> 'I' WHERE letter <> 'D'
+), y AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (k - s) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY pos)) AS h FROM x GROUP BY conv_id
+), n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(CAST(left(best, 9) AS BIGINT), 0) AS cost, coalesce(substr(best, 10), '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN y ON y.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+_OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), t AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term
+), k AS (
+  SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 10
+), v AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), m AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n FROM g JOIN k ON k.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), p AS (
+  SELECT m.lang, m.source, m.term, m.n, 1 + CAST(1000000000 AS HUGEINT) * (m.n + 2) // (sum(m.n) OVER (PARTITION BY m.lang, m.source) + 2 * v.v) AS p,
+    1 + CAST(1000000000 AS HUGEINT) * (m.lang_n + 2) // (v.total + 2 * v.v) AS q FROM m JOIN v ON v.lang = m.lang
+), s AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY 1, 2, 3
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10"""
+
 SQL: dict[str, str] = {
     "op1_chat_formatting": _OP1,
     "op2_embedding_near_dedup": _OP2,
     "op3_minhash_near_dedup": _OP3,
     "op4_warc": _OP4,
+    "op11_conversation_repair": _OP11,
+    "op12_source_divergence": _OP12,
 }
