@@ -43,17 +43,19 @@ SCALE = 1_000_000_000
 #: Groups and terms of a block, about.
 GROUP_BLOCK = 8
 TERM_BLOCK = 4096
-#: Counts held by a task before they leave as rows, and characters of a text that are cut into terms at a time.
-HELD_COUNTS = 400_000
-CHUNK_CHARS = 1 << 20
+#: Counts held by a task before they leave as rows, and bytes of a text that are cut into terms at a time.
+HELD_COUNTS = 600_000
+CHUNK_BYTES = 1 << 20
 
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_OTHER = re.compile(r"[\x00-\x40\x5B-\x60\x7B-\x7F]")
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+#: Terms of lower-cased UTF-8: bytes.lower() maps A-Z alone, and every byte of a non-ASCII character is above 0x7F.
+TERM = re.compile(rb"[a-z\x80-\xFF]+")
+_OTHER = re.compile(rb"[^a-z\x80-\xFF]")
+#: A held count is DOC per document and 1 per occurrence.
+DOC = 1 << 44
 
 
-def terms(text: str, chunk: int = CHUNK_CHARS) -> Iterator[list[str]]:
-    """The terms of a text, not yet lower-cased, a chunk of the text at a time."""
+def terms(text: bytes, chunk: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
+    """The terms of lower-cased UTF-8, a chunk of it at a time."""
     at = 0
     while at < len(text):
         to = len(text)
@@ -69,33 +71,30 @@ _COUNT_DDL = "lang string, source string, term string, n long, docs long"
 
 def _count(batches):
     """Rows (lang, source, text) -> counts of this task; a row without a term says that the group occurs."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    held: dict[tuple[str, str], dict[bytes, int]] = {}
     size = 0
 
     def rows():
-        for (lang, source), (n, docs) in held.items():
-            names = list(n)
+        for (lang, source), of_term in held.items():
+            names = [None, *of_term]
+            packed = np.fromiter((0, *of_term.values()), np.int64, len(names))
             for at in range(0, len(names), 1 << 16):
-                part = names[at : at + (1 << 16)]
-                k = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * k), pa.array([source] * k), pa.array(part), pa.array([n[t] for t in part], pa.int64()), pa.array([docs[t] for t in part], pa.int64())], schema=_COUNT_SCHEMA)
-        k = len(held)
-        yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in held], pa.string()), pa.array([g[1] for g in held], pa.string()), pa.nulls(k, pa.string()), pa.array([0] * k, pa.int64()), pa.array([0] * k, pa.int64())], schema=_COUNT_SCHEMA)
+                part = pa.array(names[at : at + (1 << 16)], pa.binary()).cast(pa.string())
+                key = [pa.array([x], pa.string()).take(pa.array(np.zeros(len(part), np.int32))) for x in (lang, source)]
+                values = packed[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([*key, part, pa.array(values & (DOC - 1)), pa.array(values >> 44)], schema=_COUNT_SCHEMA)
 
     for batch in batches:
         langs, sources, texts = (batch.column(i) for i in range(3))
         for i in range(batch.num_rows):
-            n, docs = held.setdefault((langs[i].as_py(), sources[i].as_py()), (Counter(), Counter()))
-            before = len(n)
+            of_term = held.setdefault((langs[i].as_py(), sources[i].as_py()), {})
+            before, get = len(of_term), of_term.get
             found: Counter = Counter()
-            for part in terms(texts[i].as_py()):
+            for part in terms(texts[i].as_buffer().to_pybytes().lower()):
                 found.update(part)
-            lowered: Counter = Counter()
             for term, k in found.items():
-                lowered[term.translate(_LOWER) if not term.islower() else term] += k
-            n.update(lowered)
-            docs.update(lowered.keys())
-            size += len(n) - before + 1
+                of_term[term] = get(term, 0) + k + DOC
+            size += len(of_term) - before + 1
             if size >= HELD_COUNTS:
                 yield from rows()
                 held.clear()
@@ -181,7 +180,8 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, group
     sizes = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
     blocks = sizes.select("lang", "kept", "lang_total", F.ceil(F.col("kept") / term_block).alias("term_blocks"))
     numbered = kept.join(blocks, "lang").withColumn("term_block", F.expr("int(pmod(xxhash64(term), term_blocks))"))
-    numbered = numbered.withColumn("idx", F.row_number().over(Window.partitionBy("lang", "term_block").orderBy("term")))
+    # A language's terms are dealt by block before they are numbered: by language alone they would meet in one task.
+    numbered = numbered.repartition("lang", "term_block").withColumn("idx", F.row_number().over(Window.partitionBy("lang", "term_block").orderBy("term")))
     held = cut(found.select("lang", "source", "term", "n").join(numbered.drop("term_blocks"), ["lang", "term"]))
 
     totals = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
