@@ -2,108 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargoscope.functions.predicates import present
 from cargoscope.functions.scalars import day_text, fallback, month_key, or_default, short_label, year_text
 from cargoscope.functions.tags import accounting_tag, collection_tag, dispatch_tag, flt_tag
-from cargoscope.operators.topk import sort_keys
+from cargoscope.operators.paging import Cursor, folder_counts, folder_page_after, next_cursor, numbered_page, page_after
 
 
-def fact_detail(billing: DataFrame) -> DataFrame:
-    """PRJ-1: the 14 columns of the billing detail table."""
+def fact_detail(billing: DataFrame, *more: str) -> DataFrame:
+    """PRJ-1: the 14 columns of the billing detail table (and any others named)."""
+    # The projected columns.
     return billing.select(
         "nombre_compania", "nombre_sucursal", "fecha_creacion",
         day_text("fecha_creacion").alias("fecha"),
         "titulo", "id_envio", "observacion", "tarifa_final", "n_flete",
-        "estado_contable", "estado_conciliacion", "estado_flt", "status_crisar", "tipo_fact",
+        "estado_contable", "estado_conciliacion", "estado_flt", "status_crisar", "tipo_fact", *more,
     )
 
 
 def page(df: DataFrame, keys: list[tuple[str, str]], page_no: int = 1, size: int = 50) -> DataFrame:
-    """PAG-1: page ``page_no`` (1-based) of ``size`` rows in a complete, repeatable order.
+    """PAG-1: page ``page_no`` (1-based) of ``size`` rows in a complete, repeatable order."""
+    return numbered_page(df, keys, page_no, size)
 
-    One lazy plan whatever the page: each task keeps ``offset + size`` rows and
-    their merge skips ``offset``. ``page_after`` steps on from the last row seen
-    at the cost of a first page, however deep.
-    """
-    if not isinstance(page_no, int) or page_no < 1:
-        raise ValueError(f"page must be an integer >= 1, got {page_no!r}")
-    if not isinstance(size, int) or size < 1:
-        raise ValueError(f"page size must be an integer >= 1, got {size!r}")
-    offset = (page_no - 1) * size
-    order = sort_keys(df, keys)
-    ordered = df.orderBy(*order)
-    return (ordered.offset(offset) if offset else ordered).limit(size)
-
-
-def page_after(df: DataFrame, keys: list[tuple[str, str]], last: dict, size: int = 50, equal_seen: int = 0) -> DataFrame:
-    """PAG-1 by keyset: the ``size`` rows after the row ``last`` (column -> value) in the order of ``page``.
-
-    ``last`` names leading columns of the order (all of them to step from row to
-    row); ``equal_seen`` is how many rows that equal it were shown already, so
-    copies at a page's end are neither lost nor shown twice. The bounds are plain
-    filters, and each task keeps ``equal_seen + size`` rows, however deep the page.
-    """
-    directions = dict(keys)
-    names = [name for name, _ in keys] + [c for c in df.columns if c not in directions]
-    order = [n for n in names if n in last]
-    if order != names[: len(order)]:
-        raise ValueError("last must name leading columns of the order")
-    after, same = F.lit(False), F.lit(True)
-    for name in order:
-        c, value = F.col(f"`{name}`"), last[name]
-        if directions.get(name) == "desc":  # nulls last
-            further = F.lit(False) if value is None else (c < F.lit(value)) | c.isNull()
-        else:  # nulls first
-            further = c.isNotNull() if value is None else c > F.lit(value)
-        after, same = after | (same & further), same & c.eqNullSafe(F.lit(value))
-    if equal_seen:
-        after = after | same
-    ordered = df.where(after).orderBy(*sort_keys(df, keys))
-    return (ordered.offset(equal_seen) if equal_seen else ordered).limit(size)
-
-
-def ranked_page(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
-    """Rows ``offset .. offset+size-1`` of ``df`` in ``order``, by a distributed global rank.
-
-    1. Range-partitioned sort; each row is tagged with its partition id and its
-       position inside the partition (``monotonically_increasing_id`` keeps the
-       partition in the high bits), then checkpointed so ids are fixed.
-    2. Row counts per partition -> start offsets: one row per partition, a size
-       bound known up front (the partition count), so the running sum and the
-       broadcast of the starts are safe.
-    3. Global rank = start of the partition + position inside it; keep the page.
-    """
-    cols = df.columns
-    # The position key splits a group of exact copies across range partitions (content keys cannot).
-    tagged = (df.orderBy(*order, F.monotonically_increasing_id().asc())
-              .select(*[F.col(f"`{c}`") for c in cols],
-                      F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")))
-    tagged = tagged.checkpoint(eager=True)
-    sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    rank = F.col("_start") + (F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    return (tagged.join(F.broadcast(starts), "_pid")
-            .select(*[F.col(f"`{c}`") for c in cols], rank.alias("_rank"))
-            .where((F.col("_rank") >= offset) & (F.col("_rank") < offset + size))
-            .orderBy("_rank").drop("_rank"))
-
-
-def fact_page(billing: DataFrame, page_no: int = 1, size: int = 50, where: Column | None = None) -> DataFrame:
-    """PAG-1 over PRJ-1: newest creation date first."""
-    if where is not None:
-        billing = billing.where(where)
-    return page(fact_detail(billing), [("fecha_creacion", "desc")], page_no, size)
 
+#: The order of the billing table's pages; ties go by every other column.
+NEWEST_FIRST = (("fecha_creacion", "desc"),)
+#: Folder column of the written billing table, in the order of NEWEST_FIRST.
+MONTH_FOLDER = "mes_creacion"
 
-def fact_page_after(billing: DataFrame, fecha_creacion, size: int = 50, where: Column | None = None) -> DataFrame:
-    """PAG-1 by keyset over PRJ-1: the rows created before ``fecha_creacion``, newest first."""
+
+def _paged(billing: DataFrame, where: Column | None) -> tuple[DataFrame, str | None]:
+    """The detail rows with their month folder, if the table has one."""
     if where is not None:
         billing = billing.where(where)
-    return page_after(fact_detail(billing), [("fecha_creacion", "desc")], {"fecha_creacion": fecha_creacion}, size)
+    detail = fact_detail(billing)
+    if MONTH_FOLDER not in billing.columns:
+        return detail, None
+    return fact_detail(billing, MONTH_FOLDER), MONTH_FOLDER
+
+
+def fact_page(billing: DataFrame, page_no: int = 1, size: int = 50, where: Column | None = None, directory=None) -> DataFrame:
+    """PAG-1 over PRJ-1: newest creation date first.
+
+    Reads only the month folders that the page lies in; ``directory``, the ``month_directory`` of the same rows, saves
+    counting them again.
+    """
+    rows, folder = _paged(billing, where)
+    return numbered_page(rows, NEWEST_FIRST, page_no, size, folder, directory)
+
+
+def month_directory(billing: DataFrame, where: Column | None = None) -> list[tuple[str | None, int]]:
+    """Rows per creation month, newest first; from file metadata alone when there is no filter."""
+    return folder_counts(billing if where is None else billing.where(where), MONTH_FOLDER)
+
+
+def fact_page_after(billing: DataFrame, cursor: Cursor | None, size: int = 50, where: Column | None = None, directory=None) -> DataFrame:
+    """PAG-1 by cursor over PRJ-1: the rows after ``cursor``, newest first; ``next_fact_cursor`` steps on from them."""
+    rows, folder = _paged(billing, where)
+    if folder is None:
+        return page_after(rows, NEWEST_FIRST, cursor, size)
+    created = cursor.values["fecha_creacion"] if cursor else None
+    month = created.strftime("%Y-%m") if created else None
+    return folder_page_after(rows, NEWEST_FIRST, cursor, size, folder, month, directory)
+
+
+def next_fact_cursor(page_rows, billing: DataFrame, cursor: Cursor | None = None) -> Cursor | None:
+    """The cursor after the collected rows of a page; None when there was none."""
+    return next_cursor(page_rows, fact_detail(billing), NEWEST_FIRST, cursor)
+
+
+def fact_pages(billing: DataFrame, pages: int, size: int = 50, where: Column | None = None, directory=None) -> DataFrame:
+    """The first ``pages`` pages with their number (``pagina``), each found from the cursor of the one before."""
+    if directory is None and MONTH_FOLDER in billing.columns:
+        directory = month_directory(billing, where)
+    cursor, out = None, None
+    for number in range(1, pages + 1):
+        rows = fact_page_after(billing, cursor, size, where, directory)
+        numbered = rows.withColumn("pagina", F.lit(number))
+        out = numbered if out is None else out.union(numbered)
+        cursor = next_fact_cursor(rows.collect(), billing, cursor) if number < pages else None
+        if cursor is None:
+            break
+    return out
 
 
 def with_fact_tags(detail: DataFrame) -> DataFrame:
@@ -145,6 +127,7 @@ def with_dispatch_tag(df: DataFrame) -> DataFrame:
     return df.withColumn("tag_envio", dispatch_tag("estado_envio_factura"))
 
 
+# The exported columns and their names.
 EXPORT_COLUMNS = (
     ("nombre_compania", "compania"), ("nombre_sucursal", "sucursal"), None,
     ("titulo", "titulo"), ("id_envio", "id_envio"), ("observacion", "observacion"),
@@ -178,6 +161,7 @@ def export_rows(billing: DataFrame, where: Column | None = None) -> DataFrame:
     return billing.orderBy(*_skew_safe_order("fecha_creacion", ["id_envio"])).select(*cols)
 
 
+# The view's columns.
 VIEW_DETAIL_COLUMNS = ("fecha", "nombre_compania", "nombre_sucursal", "titulo", "transportista", "tarifa_final",
                        "estado_flete", "estado_contable", "estado_envio_factura", "status_crisar", "tipo_fact",
                        "estado_conciliacion", "tipo_transporte", "n_flete", "nro_factura")

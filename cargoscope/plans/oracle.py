@@ -433,6 +433,13 @@ def _fact_page_sql(page_no: int, size: int, tags: bool, where: str = "TRUE") ->
 )"""
 
 
+def _fact_pages_sql(pages: int, size: int) -> str:
+    order = order_all([("fecha_creacion", "desc")], FACT_DETAIL_NAMES)
+    return with_roles("billing") + f"""SELECT {_edge_fact_detail(["CAST((place - 1) // " + str(size) + " + 1 AS INTEGER) AS pagina"])} FROM (
+  SELECT *, row_number() OVER (ORDER BY {order}) AS place FROM (SELECT {sel(_fact_detail_cols())} FROM billing)
+) WHERE place <= {pages * size}"""
+
+
 def _trip_top_sql(columns: tuple[str, ...], keys: list[tuple[str, str]], k: int, where: str = "TRUE") -> str:
     order = order_all(keys, list(columns))
     edge = [f"{dt(c)} AS {c}" if c == "compromiso_de_carga" else f"{ts(c)} AS {c}" if c == "fecha_carga" else c
@@ -715,6 +722,7 @@ FROM billing WHERE nombre_compania IS NOT NULL GROUP BY nombre_compania""",
     "fact_page": _fact_page_sql(*FACT_PAGE, tags=False),
     "fact_page_after": _fact_page_sql(1, 50, tags=False,
                                       where="(fecha_creacion < TIMESTAMP '1996-05-01 00:00:00' OR fecha_creacion IS NULL)"),
+    "fact_pages_stepped": _fact_pages_sql(6, 50),
     "fact_page_deep": _fact_page_sql(400, 50, tags=False),
     "share_collection": _share_panel_sql("status_crisar"),
     "share_bill_type": _share_panel_sql("tipo_fact"),

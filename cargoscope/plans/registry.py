@@ -21,8 +21,9 @@ from cargoscope.operators import kpis as K
 from cargoscope.operators import rollups as R
 from cargoscope.operators import scorecards as S
 from cargoscope.operators import topk as TK
-from cargoscope.operators.detail import (export_rows, fact_detail, fact_page, fact_page_after, view_detail,
+from cargoscope.operators.detail import (export_rows, fact_detail, fact_page, fact_page_after, fact_pages, view_detail,
                                          with_destination, with_fact_labels, with_trip_labels)
+from cargoscope.operators.paging import Cursor
 from cargoscope.plans import dashboard as P
 from cargoscope.plans.views import VIEWS
 from cargoscope.sources.catalog import describe_columns, schema_diff
@@ -38,6 +39,7 @@ MONTH_RANGE_ARGS = {"mes_desde": "1996-03", "mes_hasta": "1997-02"}
 FACT_PAGE = (2, 50)
 FACT_AFTER = "1996-05-01 00:00:00"
 FACT_DEEP_PAGE = (400, 50)
+FACT_STEPS = (6, 50)
 SHARE_PANELS = {"share_collection": "status_crisar", "share_bill_type": "tipo_fact", "share_approval": "aprobacion",
                 "share_ledger": "status_contabilidad_aje"}
 # Dashboard panels with their filters applied (filter composition checked end to end).
@@ -178,7 +180,9 @@ QUERIES: dict[str, Query] = {
     "trips_due_soon": _on("trips", lambda t: P.trip_upcoming(t, AS_OF)),
     "trip_table": _on("trips", P.trip_table),
     "fact_page": _on("billing", lambda b: fact_page(b, *FACT_PAGE)),
-    "fact_page_after": _on("billing", lambda b: fact_page_after(b, datetime.fromisoformat(FACT_AFTER))),
+    "fact_page_after": _on("billing", lambda b: fact_page_after(
+        b, Cursor({"fecha_creacion": datetime.fromisoformat(FACT_AFTER)}, 0))),
+    "fact_pages_stepped": _on("billing", lambda b: fact_pages(b, *FACT_STEPS)),
     "fact_page_deep": _on("billing", lambda b: fact_page(b, *FACT_DEEP_PAGE)),
     **{name: _on("billing", lambda b, _d=dim: P.billing_share(b, _d)) for name, dim in SHARE_PANELS.items()},
     "fact_tags": _on("billing", lambda b: P.billing_table(b, 1, 50)),

@@ -193,26 +193,6 @@ def test_pages_concatenate_to_the_whole(spark):
         page(df, [], 1, 0)
 
 
-def test_deep_pages_by_global_rank_equal_top_k_pages(spark):
-    df = FR.billing(spark, [{"fecha_creacion": FR.ts(f"2000-{1 + i % 12:02d}-{1 + i % 28:02d}"),
-                             "id_envio": str(i % 37), "titulo": str(i)} for i in range(1000)]).repartition(5)
-    detail = df.select("fecha_creacion", "id_envio", "titulo")
-    keys = [("fecha_creacion", "desc")]
-    from cargoscope.operators.detail import page_after, ranked_page
-    from cargoscope.operators.topk import sort_keys
-    for page_no, size in ((1, 50), (7, 50), (20, 50), (3, 333), (21, 50)):
-        numbered = rows(page(detail, keys, page_no, size), "titulo")
-        ranked = ranked_page(detail, sort_keys(detail, keys), (page_no - 1) * size, size)
-        assert numbered == rows(ranked, "titulo"), (page_no, size)
-    # Keyset: stepping from the last row seen gives the numbered pages, copies included.
-    copies = detail.unionByName(detail)
-    for page_no in (1, 3, 7):
-        shown = page(copies, keys, page_no, 75).collect()
-        last = shown[-1].asDict()
-        seen = sum(r == shown[-1] for r in page(copies, keys, 1, 75 * page_no).collect())
-        assert rows(page_after(copies, keys, last, 75, seen), "titulo") == rows(page(copies, keys, page_no + 1, 75), "titulo")
-
-
 def test_average_delay_keeps_fractions(spark):
     from cargoscope.functions.measure_sets import TripMeasures
     df = spark.createDataFrame([(0.5,), (1.5,), (2.5,)], "dias_retrazo double")
