@@ -130,9 +130,10 @@ def executive_summary(billing: DataFrame, **filters: str) -> DataFrame:
     return SH.receivables(K.executive_summary(billing.where(fact_where(billing, **filters))))
 
 
-def billing_table(billing: DataFrame, page_no: int = 1, size: int = 50, **filters: str) -> DataFrame:
-    """PAG-1 + DRV-6."""
-    return with_fact_tags(fact_page(billing, page_no, size, where=fact_where(billing, **filters)))
+def billing_table(billing: DataFrame, page_no: int = 1, size: int = 50, directory=None, **filters: str) -> DataFrame:
+    """PAG-1 + DRV-6 (``directory``: ``detail.month_directory`` of the filtered rows, if it is known)."""
+    where = fact_where(billing, **filters) if any(filters.values()) else None
+    return with_fact_tags(fact_page(billing, page_no, size, where, directory))
 
 
 # --- trips dashboard ---------------------------------------------------------------

@@ -593,11 +593,6 @@ def _dist(table: str, dim: str, blanks: str, with_avg: bool = False, names=("via
 SQL: dict[str, str] = {
     "preview": _preview_sql(),
     "table_counts": _table_counts_sql(),
-    "describe_columns": """SELECT table_name, column_name, CAST(ordinal_position AS INTEGER) AS ordinal_position,
-  data_type, is_nullable FROM information_schema.columns WHERE table_name = 'lineitem'""",
-    "schema_diff": """SELECT column_name, data_type FROM information_schema.columns
-WHERE table_name = 'documents' AND column_name NOT IN
-  (SELECT column_name FROM information_schema.columns WHERE table_name = 'labels')""",
     "trips_filtered": with_roles("trips") + "SELECT referencia, origen_carga, destino_carga, zona, NS, dias_retrazo "
                       f"FROM trips WHERE {_trip_filter_where(TRIP_FILTER_ARGS)}",
     "fact_filtered": with_roles("billing") + f"SELECT {_edge_fact_detail()} FROM (SELECT {sel(_fact_detail_cols())} "

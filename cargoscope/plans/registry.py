@@ -26,10 +26,9 @@ from cargoscope.operators.detail import (export_rows, fact_detail, fact_page, fa
 from cargoscope.operators.paging import Cursor
 from cargoscope.plans import dashboard as P
 from cargoscope.plans.views import VIEWS
-from cargoscope.sources.catalog import describe_columns, schema_diff
 from cargoscope.session import checkpoint_dir, ensure_checkpoint_dir
-from cargoscope.sources.roles import role, roles
-from cargoscope.sources.tables import table
+from cargoscope.sources.metadata import metadata_session
+from cargoscope.sources.roles import month_directory, role, roles
 
 # Fixed parameters of the registered filter queries and the due-soon reference date.
 AS_OF = "1998-06-30"
@@ -71,18 +70,20 @@ def _overview(panel: Callable[..., DataFrame], *args) -> Query:
     return lambda spark, sf: panel(roles(spark, sf), *args)
 
 
-def _schema_diff(spark: SparkSession, sf: str) -> DataFrame:
-    a = describe_columns(spark, table(spark, sf, "documents"), "documents")
-    b = describe_columns(spark, table(spark, sf, "labels"), "labels")
-    return schema_diff(a, b)
+def _from_metadata(panel: Callable[..., DataFrame]) -> Query:
+    """A panel whose counts come from file metadata."""
+    return lambda spark, sf: panel(roles(metadata_session(spark), sf))
+
+
+def _pages(op: Callable[..., DataFrame]) -> Query:
+    """A page of the billing table, found by the snapshot's directory of rows per month."""
+    return lambda spark, sf: op(role(spark, sf, "billing"), month_directory(spark, sf))
 
 
 QUERIES: dict[str, Query] = {
     # sources / catalog
     "preview": _overview(P.table_preview, "trips", 100, True),
-    "table_counts": _overview(P.table_info),
-    "describe_columns": lambda spark, sf: describe_columns(spark, table(spark, sf, "lineitem"), "lineitem"),
-    "schema_diff": _schema_diff,
+    "table_counts": _from_metadata(P.table_info),
     # filters
     "trips_filtered": _on("trips", lambda t: t.where(trip_filter(**TRIP_FILTER_ARGS)).select(
         "referencia", "origen_carga", "destino_carga", "zona", "NS", "dias_retrazo")),
@@ -100,7 +101,7 @@ QUERIES: dict[str, Query] = {
         b, "estado_envio_factura", **DISPATCH_ARGS)),
     "panel_zones_filtered": _on("trips", lambda t: P.trip_zones(t, **ZONE_ARGS)),
     # KPI rows
-    "home_summary": _overview(P.overview_summary),
+    "home_summary": _from_metadata(P.overview_summary),
     "trip_kpis": _on("trips", P.trip_summary),
     "billing_kpis": _on("billing", K.billing_kpis),
     "executive_summary": _on("billing", K.executive_summary),
@@ -179,14 +180,14 @@ QUERIES: dict[str, Query] = {
     "top_branches": _on("freight", TK.top_branches),
     "trips_due_soon": _on("trips", lambda t: P.trip_upcoming(t, AS_OF)),
     "trip_table": _on("trips", P.trip_table),
-    "fact_page": _on("billing", lambda b: fact_page(b, *FACT_PAGE)),
-    "fact_page_after": _on("billing", lambda b: fact_page_after(
-        b, Cursor({"fecha_creacion": datetime.fromisoformat(FACT_AFTER)}, 0))),
-    "fact_pages_stepped": _on("billing", lambda b: fact_pages(b, *FACT_STEPS)),
-    "fact_page_deep": _on("billing", lambda b: fact_page(b, *FACT_DEEP_PAGE)),
+    "fact_page": _pages(lambda b, d: fact_page(b, *FACT_PAGE, directory=d)),
+    "fact_page_after": _pages(lambda b, d: fact_page_after(
+        b, Cursor({"fecha_creacion": datetime.fromisoformat(FACT_AFTER)}, 0), directory=d)),
+    "fact_pages_stepped": _pages(lambda b, d: fact_pages(b, *FACT_STEPS, directory=d)),
+    "fact_page_deep": _pages(lambda b, d: fact_page(b, *FACT_DEEP_PAGE, directory=d)),
     **{name: _on("billing", lambda b, _d=dim: P.billing_share(b, _d)) for name, dim in SHARE_PANELS.items()},
-    "fact_tags": _on("billing", lambda b: P.billing_table(b, 1, 50)),
-    "fact_labels": _on("billing", lambda b: with_fact_labels(fact_page(b, 1, 50))),
+    "fact_tags": _pages(lambda b, d: P.billing_table(b, 1, 50, directory=d)),
+    "fact_labels": _pages(lambda b, d: with_fact_labels(fact_page(b, 1, 50, directory=d))),
     "trip_table_labels": _on("trips", lambda t: with_trip_labels(P.trip_table(t))),
     "trips_due_soon_labels": _on("trips", lambda t: with_destination(P.trip_upcoming(t, AS_OF))),
     "export_detail": _on("billing", export_rows),

@@ -11,8 +11,9 @@ Scale notes
 -----------
 * Joins are written fact-last: orders is joined to customer/nation first (order
   grain), then lineitem joins that once on the order key with a sort-merge join
-  (both sides grow with the data, so neither is ever broadcast), then supplier
-  and part. All dimensions are left to the planner,
+  (both sides grow with the data, so neither is ever broadcast). That join is
+  written once (LINE_ORDERS); billing and trips read it and add supplier, part
+  and region. All dimensions are left to the planner,
   whose size threshold falls back to a sort-merge join, and AQE splits skewed
   join partitions (a hot customer or supplier) at run time.
 * The lineitem-grain roles are written once as Parquet below the cluster's
@@ -29,17 +30,17 @@ from __future__ import annotations
 
 import hashlib
 import os
-import time
-import uuid
 import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cargoscope.functions.scalars import month_key
 from cargoscope.session import checkpoint_dir
-from cargoscope.sources.tables import table, table_path
+from cargoscope.sources.snapshots import MOST_PARTS, Commits, Snapshot, added_files
+from cargoscope.sources.tables import table
 
 ROLE_NAMES = ("billing", "trips", "on_time", "orders", "dispatch")
 # The freight report and the validated-freight table share the billing mapping.
@@ -54,7 +55,9 @@ ROLE_ALIASES = {"freight": "billing", "validated": "billing"}
 POSITION = "__position__"
 # trips keeps its join partitioning and is sorted inside each file by the columns its equality filters
 # use most (plant, then zone), so Parquet row-group statistics skip data for a filtered panel.
+LINE_ORDERS = "line_orders"
 MATERIALISED = {
+    LINE_ORDERS: ((), (), None),
     "billing": (("fecha_creacion", "id_envio", POSITION), ("fecha_creacion",), "mes_creacion"),
     "trips": ((), ("origen_carga", "zona"), None),
     "dispatch": ((), (), None),
@@ -73,18 +76,21 @@ def _nation(t: dict[str, DataFrame], prefix: str) -> DataFrame:
     )
 
 
-def _orders_with_customer(t: dict[str, DataFrame], with_region: bool) -> DataFrame:
-    """Order grain: orders joined to its customer and the customer's nation (and region)."""
+#: Columns of the joined lines that the mappings use.
+LINE_ORDER_COLUMNS = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate", "o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority",
+    "c_custkey", "c_name", "c_mktsegment", "cn_nation", "cn_regionkey",
+)
+
+
+def _orders_with_customer(t: dict[str, DataFrame]) -> DataFrame:
+    """Order grain: orders joined to its customer and the customer's nation."""
     o = t["orders"]
     c = t["customer"].select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     out = o.join(c, o["o_custkey"] == c["c_custkey"]).join(
         _nation(t, "cn"), F.col("c_nationkey") == F.col("cn_nationkey")
     )
-    if with_region:
-        r = (
-            t["region"].select(F.col("r_regionkey").alias("cr_regionkey"), F.col("r_name").alias("cr_region"))
-        )
-        out = out.join(r, F.col("cn_regionkey") == F.col("cr_regionkey"))
     return out
 
 
@@ -102,6 +108,17 @@ def _join_lines_to_orders(t: dict[str, DataFrame], orders: DataFrame) -> DataFra
     return li.join(orders.hint("merge"), li["l_orderkey"] == F.col("o_orderkey"))
 
 
+def build_line_orders(t: dict[str, DataFrame]) -> DataFrame:
+    """The lines with their order, customer and nation: what billing and trips have in common."""
+    x = _join_lines_to_orders(t, _orders_with_customer(t))
+    return x.select(*LINE_ORDER_COLUMNS, *([POSITION] if POSITION in x.columns else []))
+
+
+def _lines(t: dict[str, DataFrame]) -> DataFrame:
+    """The written join where there is one, else its plan."""
+    return t[LINE_ORDERS] if LINE_ORDERS in t else build_line_orders(t)
+
+
 def _on_time_label(late_days: Column) -> Column:
     return F.when(late_days.isNull() | (late_days <= 0), F.lit("ON TIME")).otherwise(F.lit("OFF TIME"))
 
@@ -114,7 +131,7 @@ def build_billing(t: dict[str, DataFrame]) -> DataFrame:
     s = t["supplier"].select("s_suppkey", "s_name")
     p = t["part"].select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     x = (
-        _join_lines_to_orders(t, _orders_with_customer(t, with_region=False))
+        _lines(t)
         .join(s, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(p, F.col("l_partkey") == F.col("p_partkey"))
     )
@@ -174,8 +191,10 @@ def build_billing(t: dict[str, DataFrame]) -> DataFrame:
 
 def build_trips(t: dict[str, DataFrame]) -> DataFrame:
     s = t["supplier"].select("s_suppkey", "s_name", "s_nationkey")
+    r = t["region"].select(F.col("r_regionkey").alias("cr_regionkey"), F.col("r_name").alias("cr_region"))
     x = (
-        _join_lines_to_orders(t, _orders_with_customer(t, with_region=True))
+        _lines(t)
+        .join(r, F.col("cn_regionkey") == F.col("cr_regionkey"))
         .join(s, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(_nation(t, "sn"), F.col("s_nationkey") == F.col("sn_nationkey"))
     )
@@ -228,6 +247,7 @@ def build_dispatch(t: dict[str, DataFrame]) -> DataFrame:
 
 
 BUILDERS = {
+    LINE_ORDERS: (build_line_orders, ("lineitem", "orders", "customer", "nation")),
     "billing": (build_billing, ("lineitem", "orders", "customer", "nation", "supplier", "part")),
     "trips": (build_trips, ("lineitem", "orders", "customer", "nation", "region", "supplier")),
     "on_time": (build_on_time, ("orders",)),
@@ -235,43 +255,38 @@ BUILDERS = {
     "dispatch": (build_dispatch, ("lineitem", "supplier", "nation")),
 }
 
-_MEMO: dict[tuple[int, str, str], DataFrame] = {}
+# Written roles that are made from the parts of the joined lines; the others read their sources.
+FROM_LINES = ("billing", "trips")
+# The source whose new files a part can be made from alone: the other sources are complete on the join's other side.
+FACT = ("lineitem",)
+WRITTEN_SOURCES = ("lineitem", "orders", "customer", "nation", "region", "supplier", "part")
 
-
-# Raise this number when a mapping, a file layout or a scalar that the mappings use changes.
-MAPPING_VERSION = 3
+# The pinned snapshot of each input folder of this application.
+_MEMO: dict[tuple[str, str, str], Snapshot] = {}
 
 
-def _source_version(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> str:
-    """A digest of the source files as they are now: paths, lengths and modification times.
+# Raise this number when a mapping, a file layout or a scalar that the mappings use changes.
+MAPPING_VERSION = 4
 
-    Only the listing is read, by Spark; one row with the digest comes back, however many files there are.
-    """
-    files = spark.read.format("binaryFile").load([table_path(sf_dir, n) for n in names])
-    each = F.xxhash64("path", "length", F.col("modificationTime").cast("double"))
-    row = files.agg(F.count("*").alias("n"), F.bit_xor(each).alias("x"), F.sum(each.cast("decimal(20,0)")).alias("s")).first()
-    return f"{row['n']}-{row['x']}-{row['s']}"
 
+def _root(base: str, sf_dir: str, name: str) -> str:
+    """Where a role's parts and commits lie: by input folder, mapping version and file layout."""
+    folder = os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir
+    key = "\n".join([folder, name, str(MAPPING_VERSION), repr(MATERIALISED.get(name))])
+    return f"{base}/cargoscope-roles/{name}-{hashlib.sha1(key.encode()).hexdigest()[:16]}"
 
-def _fingerprint(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """Key of a written role: input folder, its files' version, mapping version and file layout."""
-    parts = [os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir, name, str(MAPPING_VERSION),
-             repr(MATERIALISED.get(name)), _source_version(spark, sf_dir, BUILDERS[name][1])]
-    return hashlib.sha1("\n".join(parts).encode()).hexdigest()[:16]
 
+def snapshot(spark: SparkSession, sf_dir: str, new: bool = False) -> Snapshot:
+    """The pinned snapshot of the input folder; ``new`` takes another one, which lists the source files again."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), checkpoint_dir(spark) or "")
+    if new or key not in _MEMO:
+        _MEMO[key] = Snapshot(spark, sf_dir, WRITTEN_SOURCES)
+    return _MEMO[key]
 
-def _latest_complete(spark: SparkSession, root: str) -> str | None:
-    """The newest attempt folder under ``root`` whose write committed (has ``_SUCCESS``).
 
-    Uses the Hadoop FileSystem API, so the same code works on HDFS and object stores.
-    """
-    jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/*/_SUCCESS")
-    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    statuses = fs.globStatus(pattern)
-    if not statuses:
-        return None
-    return max(str(st.getPath().getParent().toString()) for st in statuses)
+def refresh(spark: SparkSession, sf_dir: str) -> Snapshot:
+    """Follow the source files as they are now: later calls read rows that were added since the last snapshot."""
+    return snapshot(spark, sf_dir, new=True)
 
 
 def _warn_if_skew_handling_off(spark: SparkSession) -> None:
@@ -293,25 +308,85 @@ def lazy_role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return builder({n: table(spark, sf_dir, n) for n in sources})
 
 
+def _positioned(lines: DataFrame) -> DataFrame:
+    """Lines with POSITION: file (hashed) and row index of the line, fixed by the source files alone."""
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return lines.select("*", place.alias(POSITION))
+
+
 def positioned_role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The lazy role with POSITION: file (hashed) and row index of the line, fixed by the source files alone."""
+    """The lazy role with POSITION."""
     builder, sources = BUILDERS[name]
     t = {n: table(spark, sf_dir, n) for n in sources}
-    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return builder(t | {"lineitem": t["lineitem"].select("*", place.alias(POSITION))})
+    return builder(t | {"lineitem": _positioned(t["lineitem"])})
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str, parts: list[str]) -> DataFrame:
+    """One scan of a written table's parts, with the mapping's own schema: folder values keep their type instead of
+    what partition inference would make of them."""
+    schema = (positioned_role if name == LINE_ORDERS else lazy_role)(spark, sf_dir, name).schema
+    reader = spark.read.schema(StructType([*schema.fields, StructField("part", StringType())]))
+    return reader.option("basePath", parts[0].rsplit("/", 1)[0]).parquet(*parts).select(*schema.names)
+
+
+def _write(frame: DataFrame, name: str, part: str) -> None:
+    range_keys, sort_cols, folder_col = MATERIALISED[name]
+    if range_keys:
+        frame = frame.repartitionByRange(*range_keys)
+    if sort_cols:
+        frame = frame.sortWithinPartitions(*sort_cols)
+    if name != LINE_ORDERS and POSITION in frame.columns:
+        frame = frame.drop(POSITION)
+    writer = frame.write.mode("errorifexists")
+    (writer.partitionBy(folder_col) if folder_col else writer).parquet(part)
+
+
+def ensure(seen: Snapshot, name: str, base: str, rebuild: bool = False) -> dict:
+    """The commit of a written role that covers the snapshot, made now if there is none.
+
+    Lines and dispatch add a part with the joins of new lineitem files; billing and trips add one for the parts of the
+    lines that they don't cover. Everything else that changed is a full build.
+    """
+    spark, sf_dir = seen.spark, seen.sf_dir
+    builder, sources = BUILDERS[name]
+    commits, version = Commits(spark, _root(base, sf_dir, name)), seen.version(sources)
+    record = None if rebuild else commits.latest()
+    if record and record["version"] == version:
+        return record
+    _warn_if_skew_handling_off(spark)
+    t = {n: table(spark, sf_dir, n) for n in sources}
+    seen.check_unchanged(sources)
+    parts, made_from = [], []
+    if name in FROM_LINES:
+        lines = ensure(seen, LINE_ORDERS, base)["parts"]
+        own = [n for n in sources if n not in BUILDERS[LINE_ORDERS][1]]
+        if record and set(record["made_from"]) <= set(lines) and len(record["parts"]) < MOST_PARTS and all(
+                record["version"].get(n) == version[n] for n in own):
+            parts, made_from = record["parts"], record["made_from"]
+        new = [p for p in lines if p not in made_from]
+        if new:
+            frame = builder(t | {LINE_ORDERS: _read(spark, sf_dir, LINE_ORDERS, new)})
+            parts = [*parts, commits.new_part()]
+            _write(frame, name, parts[-1])
+        made_from = lines
+    else:
+        added = added_files(spark, record, seen.files(sources), version, FACT) if record else None
+        lineitem = t["lineitem"]
+        if added:
+            parts, lineitem = record["parts"], spark.read.schema(lineitem.schema).parquet(*added["lineitem"])
+        parts = [*parts, commits.new_part()]
+        _write(builder(t | {"lineitem": _positioned(lineitem) if name == LINE_ORDERS else lineitem}), name, parts[-1])
+    return commits.commit(parts, version, seen.files(sources), made_from)
 
 
 def role(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False, written: bool = True) -> DataFrame:
     """The role frame ``name``; lineitem-grain roles are read from their written table.
 
-    The table is written once per input folder, version of the source files and
-    mapping version below the session's checkpoint folder, then reused by every
-    later call, also from other processes: rows added to a source give a new
-    version, so no call reads a stale table. Each build commits its own attempt
-    folder (marked by the ``_SUCCESS`` file of Spark's commit) and readers take
-    the newest committed attempt. ``refresh=True`` writes a new attempt even if
-    one exists. ``written=False`` asks for the lazy joins instead; without a
-    checkpoint folder, or if the write fails, the call is an error.
+    The table follows the pinned snapshot of the input folder: the first call lists the source files and uses, extends
+    or builds the newest commit below the session's checkpoint folder; later calls read it without any job. Rows added
+    since then are seen after :func:`refresh`, or by a new process. ``refresh=True`` takes a new snapshot and builds the
+    table anew even if one exists. Commits of concurrent builders never touch each other's files. ``written=False``
+    asks for the lazy joins instead; without a checkpoint folder, or if the write fails, the call is an error.
     """
     name = ROLE_ALIASES.get(name, name)
     if name not in MATERIALISED or not written:
@@ -320,46 +395,48 @@ def role(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False, wri
     if base is None:
         raise ValueError("spark.checkpoint.dir must name a shared folder for the written role tables; "
                          "written=False gives the lazy joins")
-    root = f"{base}/cargoscope-roles/{name}-{_fingerprint(spark, sf_dir, name)}"
-    memo_key = (id(spark), spark.sparkContext.applicationId, root)
-    if memo_key in _MEMO and not refresh:
-        return _MEMO[memo_key]
-    latest = None if refresh else _latest_complete(spark, root)
-    if latest is None:
-        # Each build writes its own attempt folder (time-ordered name), so concurrent
-        # builders never touch each other's files; readers take the newest committed one.
-        attempt = f"{root}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-        _warn_if_skew_handling_off(spark)
-        range_keys, sort_cols, folder_col = MATERIALISED[name]
-        frame = positioned_role(spark, sf_dir, name) if POSITION in range_keys else lazy_role(spark, sf_dir, name)
-        if range_keys:
-            frame = frame.repartitionByRange(*range_keys)
-        if sort_cols:
-            frame = frame.sortWithinPartitions(*sort_cols)
-        writer = frame.drop(POSITION).write.mode("errorifexists")
-        if folder_col:
-            writer = writer.partitionBy(folder_col)
-        writer.parquet(attempt)
-        latest = _latest_complete(spark, root) or attempt
-    # Read with the mapping's own schema: folder-partition values keep their declared type
-    # instead of whatever partition-type inference would make of them.
-    out = spark.read.schema(lazy_role(spark, sf_dir, name).schema).parquet(latest)
-    _MEMO[memo_key] = out
-    return out
+    seen = snapshot(spark, sf_dir, new=refresh)
+    # The first call makes the table; a sibling session reads the same parts through a frame of its own.
+    if refresh or ("parts", name) not in seen.notes:
+        seen.notes["parts", name] = ensure(seen, name, base, rebuild=refresh)["parts"]
+    key = f"{name}@{id(spark._jsparkSession) if spark is not seen.spark else ''}"
+    if key not in seen.roles:
+        seen.roles[key] = _read(spark, sf_dir, name, seen.notes["parts", name])
+    return seen.roles[key]
+
+
+def month_directory(spark: SparkSession, sf_dir: str) -> list[tuple[str | None, int]]:
+    """Rows of the billing table per creation month, newest first: counted once a snapshot, from file metadata."""
+    from cargoscope.operators.paging import folder_counts
+
+    return snapshot(spark, sf_dir).note(("directory",), lambda: folder_counts(role(spark, sf_dir, "billing"), BILLING_MONTH_PARTITION))
 
 
 def build_roles(spark: SparkSession, sf_dir: str, refresh: bool = False) -> dict[str, DataFrame]:
-    """Materialise every written role at once.
+    """Materialise every written role at once: the joined lines first, once, then billing and trips from them.
 
-    The builds are independent Spark jobs submitted from separate threads, so
-    the scheduler runs them side by side: one build's narrow stages (a scan
-    that is a single split, a write) overlap the others' wide ones.
+    Independent builds are submitted from separate threads, so the scheduler runs them side by side: one build's narrow
+    stages (a scan that is a single split, a write) overlap the others' wide ones.
     """
     from concurrent.futures import ThreadPoolExecutor
 
+    base = checkpoint_dir(spark)
+    if base is None:
+        raise ValueError("spark.checkpoint.dir must name a shared folder for the written role tables")
+    seen = snapshot(spark, sf_dir, new=refresh)
+    seen.version(WRITTEN_SOURCES)
+
+    def after_lines(name: str, lines) -> dict:
+        lines.result()
+        return ensure(seen, name, base, refresh)
+
     with ThreadPoolExecutor(max_workers=len(MATERIALISED)) as pool:
-        futures = {n: pool.submit(role, spark, sf_dir, n, refresh) for n in MATERIALISED}
-        return {n: f.result() for n, f in futures.items()}
+        lines = pool.submit(ensure, seen, LINE_ORDERS, base, refresh)
+        others = {n: pool.submit(after_lines, n, lines) if n in FROM_LINES else pool.submit(ensure, seen, n, base, refresh)
+                  for n in MATERIALISED if n != LINE_ORDERS}
+        records = {n: f.result() for n, f in others.items()}
+    seen.notes.update({("parts", n): r["parts"] for n, r in records.items()})
+    return {n: role(spark, sf_dir, n) for n in records}
 
 
 class RoleCatalog(Mapping):

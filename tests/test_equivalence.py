@@ -172,4 +172,6 @@ def test_added_rows_reach_the_next_call(spark, tmp_path):
     d = str(tmp_path)
     before = RL.role(spark, d, "dispatch").count()
     table(spark, SF001, "lineitem").write.mode("append").parquet(f"{d}/lineitem.parquet")
+    assert RL.role(spark, d, "dispatch").count() == before           # the pinned snapshot
+    RL.refresh(spark, d)
     assert RL.role(spark, d, "dispatch").count() == 2 * before
