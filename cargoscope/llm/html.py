@@ -10,6 +10,11 @@ notice, menu, comments and the like) is left out by name as well, as it needn't
 Counting is a partially aggregated group per (host, hash); a host with a third of all pages costs no task more than
 another. Hashes are joined back to the pages that hold them; nothing is gathered per host.
 
+Names: a class or id is boilerplate if one of its tokens says so as a whole (``ad-slot``, ``site-footer``), not by one word
+of many (``side-by-side``, ``has-sidebar``). A marked article is never left out through the class of an element around
+it or a form around the page, only through a navigation, footer, aside or the like; an article marked as a reader comment
+is left out. Headers are left out wherever they are, an article's own ones as well.
+
 Defined results: a null or empty page has the empty text; broken markup is read as browsers do in spirit (unclosed
 elements end with their parent, unknown end tags are ignored); a null url belongs to no host, and its pages lose no
 recurring subtrees; repeated rows are pages of their own; an empty table gives an empty result; extra input columns
@@ -35,61 +40,80 @@ MIN_SHARE = 0.05
 
 # Elements of the HTML standard by what they mean here.
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template svg".split())
+#: Without an end tag these take the rest of the page with them, as in browsers; the others only end themselves.
+TO_END = frozenset(["script", "style"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head nav header footer aside form button select option dialog menu object canvas audio video math label fieldset input".split())
+DROPPED = frozenset("head nav header footer aside form button select option dialog menu object canvas audio video label fieldset input".split())
 BLOCK = frozenset("address article blockquote body br caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 MAIN = frozenset(["article", "main"])
 CLOSES_P = BLOCK - {"br", "html", "body"}
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 LIMITS = frozenset("ul ol dl table article section div main body html td th blockquote".split())
 BOILERPLATE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar side cookie cookies "
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar cookie cookies "
     "consent gdpr notice notices banner popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs header "
-    "masthead footer comment comments reply replies respond disqus discussion share sharing social related newsletter subscribe "
+    "masthead footer comment comments reply replies respond disqus share sharing social related newsletter subscribe "
     "subscription signup login search pagination pager toolbar widget skip".split()
 )
+#: Words that a boilerplate token may hold beside one of those above.
+NEUTRAL_WORDS = frozenset("site page main top bottom left right global primary secondary box bar bars block area slot unit list item items wrap wrapper container inner outer section panel content links link text form thread policy message js the v1 v2".split())
+COMMENT_WORDS = frozenset("comment comments reply replies respond disqus".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 _WORD = re.compile(r"[a-z0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
-_SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("subtrees", pa.list_(pa.int64())), ("blocks", pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))])))])
-_DDL = "page_id long, url string, host string, subtrees array<long>, blocks array<struct<text:string, around:array<long>>>"
+_SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("subtrees", pa.list_(pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("end", pa.int32())]))), ("blocks", pa.list_(pa.struct([("text", pa.string()), ("place", pa.int32()), ("marked", pa.bool_())])))])
+_DDL = "page_id long, url string, host string, subtrees array<struct<hash:long, first:int, end:int>>, blocks array<struct<text:string, place:int, marked:boolean>>"
 
 
 def attributes(source: str) -> dict[str, str]:
     return {k.lower(): entities.unescape(v[1:-1] if v[:1] in "\"'" else v) for k, v in _ATTRIBUTE.findall(source)}
 
 
-def is_boilerplate(tag: str, found: dict[str, str]) -> bool:
+def _says(found: dict[str, str], words: frozenset) -> bool:
+    """One of the class and id tokens holds one of the words, and else only neutral ones and numbers."""
+    for token in f"{found.get('class', '')} {found.get('id', '')}".split():
+        parts = _WORD.findall(_CAMEL.sub(" ", token).lower())
+        if any(p in words for p in parts) and all(p in words or p in BOILERPLATE_WORDS or p in NEUTRAL_WORDS or p.isdigit() for p in parts):
+            return True
+    return False
+
+
+def left_out(tag: str, found: dict[str, str]) -> int:
+    """0: not left out; 1: left out, but for a marked article inside; 2: left out whole."""
+    if tag in MAIN:
+        return 2 if _says(found, COMMENT_WORDS) or "hidden" in found or found.get("aria-hidden", "").lower() == "true" else 0
+    if tag == "form":
+        return 1
     if tag in DROPPED or "hidden" in found or found.get("aria-hidden", "").lower() == "true":
-        return True
-    if found.get("role", "").lower() in BOILERPLATE_ROLES:
-        return True
-    if tag in MAIN or tag in ("html", "body"):
-        return False
-    return any(word in BOILERPLATE_WORDS for word in _WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
+        return 2
+    role = found.get("role", "").lower()
+    if role in BOILERPLATE_ROLES:
+        return 1 if role == "form" else 2
+    return 1 if tag not in ("html", "body") and _says(found, BOILERPLATE_WORDS) else 0
 
 
 class _Open:
     """An open element: what it is, the element that its blocks belong to (itself unless inline), where its blocks
     start, and the digest of what it holds so far."""
 
-    __slots__ = ("tag", "dropped", "main", "box", "first", "digest")
+    __slots__ = ("tag", "dropped", "whole", "main", "box", "first", "digest")
 
-    def __init__(self, tag: str, dropped: bool, main: bool, outer: _Open | None, first: int, kind: str) -> None:
-        self.tag, self.dropped, self.main, self.first = tag, dropped, main, first
+    def __init__(self, tag: str, dropped: bool, whole: bool, main: bool, outer: _Open | None, first: int, kind: str) -> None:
+        self.tag, self.dropped, self.whole, self.main, self.first = tag, dropped, whole, main, first
         self.box = self if tag in BLOCK or tag in DROPPED else outer
         self.digest = xxhash.xxh3_64(kind)
 
 
-def blocks(source: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """Blocks of candidate text in page order, each with the hashes of the subtrees around it that may delete it, inner
-    first (none inside a marked article), and the distinct hashes of all the page's subtrees that hold text."""
-    out: list[list] = []  # [text, around, in a marked article, left out by name]
-    subtrees: dict[int, None] = {}
+def blocks(source: str) -> tuple[list[tuple[str, int, bool]], list[tuple[int, int, int]]]:
+    """Blocks of candidate text in page order (text, place, whether a mark protects it), and the page's subtrees that
+    hold text (hash, place of the first block, place after the last one): as many as there are elements."""
+    out: list[tuple[str, bool, bool]] = []  # text, in a marked article, left out by name
+    subtrees: list[tuple[int, int, int]] = []
     stack: list[_Open] = []
     parts: list[str] = []
 
@@ -99,7 +123,7 @@ def blocks(source: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
             parts.clear()
             if text:
                 box = stack[-1].box if stack else None
-                out.append([text, [], any(e.main for e in stack), bool(box and box.dropped)])
+                out.append((text, bool(stack and stack[-1].main), bool(box and box.dropped)))
                 if box:
                     box.digest.update("\0" + text)
 
@@ -114,10 +138,7 @@ def blocks(source: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
         if outer and (outer.dropped or not e.dropped):  # an advert that differs doesn't hide the box around it
             outer.digest.update(h.to_bytes(8, "big"))
         if e.tag not in ("html", "body") and len(out) > e.first:
-            signed = h - (1 << 64) if h >> 63 else h
-            subtrees[signed] = None
-            for block in out[e.first :]:
-                block[1].append(signed)
+            subtrees.append((h - (1 << 64) if h >> 63 else h, e.first, len(out)))
 
     def text(piece: str) -> None:
         e = stack[-1] if stack else None
@@ -141,8 +162,10 @@ def blocks(source: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
                     break
             continue
         if tag in RAW:
+            if tag in ("svg", "template") and (found[3] or "").endswith("/"):
+                continue
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
+            at = end.end() if end else len(source) if tag in TO_END else at
             continue
         if tag in BLOCK or tag in DROPPED:
             flush()
@@ -165,21 +188,24 @@ def blocks(source: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
         if tag in VOID or (found[3] or "").endswith("/") and tag not in BLOCK:
             continue
         own = attributes(found[3]) if found[3] and found[3].strip() else {}
-        dropped = bool(stack and stack[-1].dropped) or is_boilerplate(tag, own)
+        outer = stack[-1] if stack else None
         main = tag in MAIN or own.get("role", "").lower() == "main" or own.get("itemprop", "") == "articleBody"
-        stack.append(_Open(tag, dropped, main and not dropped, stack[-1].box if stack else None, len(out), f"{tag} {own.get('class', '')} {own.get('id', '')}"))
+        out_by = left_out(tag, own)
+        whole = bool(outer and outer.whole) or out_by == 2
+        dropped = whole or not main and (bool(outer and outer.dropped) or out_by == 1)
+        stack.append(_Open(tag, dropped, whole, bool(outer and outer.main) or main and not dropped, outer.box if outer else None, len(out), f"{tag} {own.get('class', '')} {own.get('id', '')}"))
     rest = source[at:]
     text(rest if "<" not in rest else re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", rest))
     while stack:
         close()
     flush()
-    return [(t, [] if main else around) for t, around, main, dropped in out if not dropped], list(subtrees)
+    return [(t, place, main) for place, (t, main, dropped) in enumerate(out) if not dropped], subtrees
 
 
 def _parse():
     def one(row: dict) -> Iterator[dict]:
         kept, subtrees = blocks(row["html"])
-        yield {"page_id": row["page_id"], "url": row["url"], "host": row["host"], "subtrees": subtrees, "blocks": [{"text": t, "around": a} for t, a in kept]}
+        yield {"page_id": row["page_id"], "url": row["url"], "host": row["host"], "subtrees": [{"hash": h, "first": a, "end": b} for h, a, b in subtrees], "blocks": [{"text": t, "place": p, "marked": m} for t, p, m in kept]}
 
     return one
 
@@ -191,15 +217,18 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     rows = rows.withColumn("host", F.when(host != "", host)).select("page_id", "url", "host", "html")
     # The number of a row is written with it, so it stays the same however often the table is read.
     parsed = cut(rows.mapInArrow(per_row(_SCHEMA, _parse), _DDL).withColumn("row", F.monotonically_increasing_id()))
-    around = parsed.where("host is not null").select("row", "host", F.explode("subtrees").alias("subtree"))
+    around = parsed.where("host is not null").select("row", "host", F.explode(F.array_distinct("subtrees.hash")).alias("subtree"))
     seen = around.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     of_host = parsed.where("host is not null").groupBy("host").agg(F.count("*").alias("pages"))
     template = cut(seen.join(of_host, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree"))
     # Every page is counted; only pages with blocks outside a marked article can lose any, so the others aren't moved.
-    open_to = F.exists("blocks", lambda b: F.size(b["around"]) > 0)
-    open_around = parsed.where(open_to & F.col("host").isNotNull()).select("row", "host", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("subtree"))
+    is_open = F.exists("blocks", lambda b: ~b["marked"])
+    open_around = parsed.where(is_open & F.col("host").isNotNull()).select("row", "host", F.explode(F.array_distinct("subtrees.hash")).alias("subtree"))
     lost = open_around.join(template, ["host", "subtree"], "left_semi").groupBy("row").agg(F.collect_list("subtree").alias("lost"))
-    joined = parsed.where(open_to).join(lost, "row", "left").unionByName(parsed.where(~open_to).withColumn("lost", F.lit(None).cast("array<long>")))
-    left = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["around"], F.col("lost")), F.lit(False)))
+    gone = F.filter("subtrees", lambda s: F.array_contains("lost", s["hash"]))
+    joined = parsed.where(is_open).join(lost, "row", "left").withColumn("gone", gone).drop("lost")
+    joined = joined.unionByName(parsed.where(~is_open).withColumn("gone", F.lit(None).cast("array<struct<hash:long, first:int, end:int>>")))
+    inside = lambda b: F.exists("gone", lambda s: (s["first"] <= b["place"]) & (b["place"] < s["end"]))
+    left = F.filter("blocks", lambda b: b["marked"] | ~F.coalesce(inside(b), F.lit(False)))
     text = F.array_join(F.transform(left, lambda b: b["text"]), " ")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
