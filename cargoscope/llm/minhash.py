@@ -195,7 +195,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = cut(usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node")))
     carried = ["node", "n", "s0", "s1", "s2", "s3"]
     nodes = usable.withColumnRenamed("doc_id", "node").join(classes, ["n", "f1", "f2", "node"], "left_semi")
-    nodes = cut(nodes.select(*carried, "signature").dropDuplicates(["node", "n"]))
+    # A node has a row for each of its texts.
+    nodes = cut(nodes.select(*carried, "f1", "f2", "signature").dropDuplicates(["node", "n", "f1", "f2"]).drop("f1", "f2"))
+    # Rows that share an id are one node: the classes of such an id are linked.
+    text_class = F.struct("n", "f1", "f2")
+    several = cut(usable.groupBy("doc_id").agg(F.min(text_class).alias("lo"), F.max(text_class).alias("hi")).where("lo <> hi").select("doc_id"))
+    by_id = usable.join(several, "doc_id").join(classes, ["n", "f1", "f2"]).select("doc_id", "node").distinct()
+    links = cut(by_id.join(by_id.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct())
 
     # Lists that two or more nodes share; a node's unshared postings are the rarest, so they fill its prefix first.
     posted = nodes.select("node", F.explode("signature").alias("key"))
@@ -205,7 +211,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     postings = cut(lists.hint("merge").join(nodes.drop("signature"), "node").select(*carried, "shared", F.explode("prefix.key").alias("key")))
     node_texts = texts.withColumnRenamed("doc_id", "node")
 
-    links = None
     labels = docs.sparkSession.createDataFrame([], "node long, component long")
     left = postings.withColumn("component", F.col("node"))
     for turn in range(STAR_ROUNDS):
@@ -218,7 +223,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         met = left.hint("merge").join(pivots, "key").where((F.col("component") != F.col("pc")) & _similar_sizes(F.col("n"), F.col("pn")) & (_collisions("s", "p") >= MATCHES))
         best = met.groupBy("node", "p").agg(F.count("*").alias("times")).groupBy("node").agg(F.max(F.struct("times", (-F.col("p")).alias("p"))).alias("best")).select("node", (-F.col("best.p")).alias("p"))
         found = _confirmed(best.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")), node_texts)
-        links = found if links is None else cut(links.union(found))
+        links = cut(links.union(found))
         labels = components(links)
 
     # Every pair of a list in different components. First an exact bound: the shingles that no other undecided node
@@ -227,6 +232,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = cut(node_texts.join(left.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_sets, "node long, shingles array<long>"))
     holders = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
     alone = holders.where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    alone = alone.join(several.withColumnRenamed("doc_id", "node"), "node", "left_anti")  # no bound for nodes of several texts
     left = left.join(alone, "node", "left").withColumn("held", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
     left = _still_mixed(cut(left.where(100 * F.col("held") >= SIMILAR * F.col("n"))))
     # A second exact bound, by a pivot per list: what two members have in common lies inside the pivot's set, where
@@ -261,7 +267,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    named = docs.join(kept.withColumnRenamed("doc_id", "kept_id"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
-    return named
+    """One row of ``docs`` for each group, with all its columns: a row with the group's smallest id.
+
+    Of several rows with that id the one whose text has the smallest hash stays; rows without an id keep one row a text.
+    Any input column may have any name.
+    """
+    kept = cut(near_duplicates(docs).where("kept").select("doc_id"))
+    times = kept.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("rows"))
+    held = lambda some: docs.join(some.select(F.col("doc_id").alias(name)), docs["doc_id"].cast("long") == F.col(name), "left_semi")
+    name = "kept_" + "_".join(docs.columns)
+    out = held(times.where("rows = 1"))
+    row, by_text = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.xxhash64("text"), "text")
+    if not (repeated := times.where("rows > 1")).isEmpty():
+        one = held(repeated).groupBy(F.col("doc_id").alias(name)).agg(F.min_by(row, by_text).alias("row")).select("row.*")
+        out = out.unionByName(one)
+    if not kept.where(F.col("doc_id").isNull()).isEmpty():
+        one = docs.where(F.col("doc_id").isNull()).groupBy(F.sha2("text", 256).alias(name)).agg(F.min_by(row, by_text).alias("row")).select("row.*")
+        out = out.unionByName(one)
+    return out

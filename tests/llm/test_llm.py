@@ -80,6 +80,22 @@ def test_minhash_equals_brute_force(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    """Differing texts under one id are one node with the links of all of them; one row of a group stays."""
+    rng = random.Random(9)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near(a)), (9, near(b)), (20, " ".join(c)), (21, " ".join(d)), (30, near(c)), (30, near(d)), (40, "alone here"), (40, "alone here")]
+    rows += [(None, " ".join(a)), (None, " ".join(a)), (None, None), (50, None), (50, ""), (60, " ".join(text()))]
+    docs = spark.createDataFrame([(i, t, "x", 1, 2, 3) for i, t in rows], "doc_id long, text string, kept_id string, _id int, n int, node int")
+    got = minhash.near_duplicates(docs).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 5), (7, 5), (9, 5), (20, 20), (21, 20), (30, 20), (40, 40), (None, None), (50, 50), (60, 60)}
+    kept = minhash.deduplicated(docs)
+    assert kept.columns == docs.columns and all(r.kept_id == "x" and r.node == 3 for r in kept.collect())
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["5", "20", "40", "50", "60", "None", "None"])
+
+
 def test_sketches_never_undercount_collisions():
     rng = np.random.default_rng(3)
     common = rng.integers(0, 2**63, 60).astype(np.uint64)
@@ -388,11 +404,34 @@ def test_page_template_is_counted_on_marked_pages(spark):
     assert got[50] == "No mark" and got[60] == "Shop open daily Own 60 Passage that articles share By line tail 60 Related 60 more"
     # Subtrees left out by name are counted too, and a span left out takes no text along.
     kept, subtrees = html.blocks("<nav><p>m</p></nav><article>a<span class=ad>x</span>b<span class=ad><p>c</p></span></article>")
-    assert [t for t, _ in kept] == ["ab"] and len(subtrees) == 4
+    assert [t for t, *_ in kept] == ["ab"] and len(subtrees) == 4
+
+
+def test_page_text_is_not_lost_by_marks_and_names(spark):
+    cases = {
+        '<article><p>one <svg class="i"/> two</p><p>three</p></article>': "one two three",
+        "<p>a</p><template><p>b</p>": "a b", "<p>a<svg><path d=''>b": "ab", "<p>a</p><script>b<p>c</p>": "a",
+        '<body><div class="page-header-wrap has-sidebar"><article>text</article></div>': "text",
+        '<div class="site-header"><article>text</article>menu</div>': "text", '<form id="aspnetForm"><input><article>text</article>more</form>': "text",
+        '<article><div class="side-by-side">a</div><p class="social-history">b</p><section id="discussion">c</section></article>': "a b c",
+        "<article>x<math><mi>y</mi></math></article>": "xy", '<article class="post">a</article><article class="comment">b</article>': "a",
+        '<div class="adSlot">z</div><div class="ad-slot-2">z</div><p class="cookie-banner">z</p><p>y</p>': "y",
+        "<nav><article>teaser</article></nav><aside><main>n</main></aside>": "", '<div role="main" class="menu">m</div>': "m",
+    }
+    for page, text in cases.items():
+        assert " ".join(t for t, *_ in html.blocks(page)[0]) == text, page
+    # One entry an element, however deep: the blocks don't name the subtrees around them.
+    kept, subtrees = html.blocks("<div>" * 100_000 + "x<p>y")
+    assert [t for t, *_ in kept] == ["x", "y"] and len(subtrees) == 100_001
+    # The per-host count decides between a shared box and own text of the same form.
+    page = "<div><section><p>Daily offers</p></section><section><p>Own {0}</p></section><p>Tail {0}</p></div>"
+    site = [(i, f"https://shop.example/p{i}", page.format(i)) for i in range(12)]
+    got = html.main_text(spark.createDataFrame(site, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Own {i} Tail {i}" for i in range(12)}
 
 
 def test_queries_are_named_by_operator():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
 
 
 def test_pipeline_stages(spark):
