@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows that a numbered page may skip in its last step, whatever its number.
-SKIPPED_ROWS = 1024
+SKIPPED_ROWS = 8192
 #: Pivots of a narrowing step.
 PIVOTS = 16
 
