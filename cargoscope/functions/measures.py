@@ -15,6 +15,7 @@ map-side and the plan stays inside whole-stage code generation.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, GroupedData
@@ -79,33 +80,40 @@ class Ratio:
         return Ratio(self.num, self.den, self.dp, self.zero, name)
 
 
-def aggregate(target: DataFrame | GroupedData, *measures: Column | Ratio) -> DataFrame:
-    """``target.agg(*measures)`` where some measures may be ``Ratio`` specs.
-
-    Output columns are the group keys followed by the measures in order.
-    """
-    aggs: list[Column] = []
-    slots: list[tuple[str, int] | tuple[str, Ratio, str, str]] = []
+def split(measures: Sequence[Column | Ratio]) -> list[Column]:
+    """The aggregates that ``measures`` are made from: a plain measure itself, both sides of a ratio."""
+    out: list[Column] = []
     for i, m in enumerate(measures):
         if isinstance(m, Ratio):
             if not m.name:
                 raise ValueError("a Ratio measure needs a name (use .alias)")
-            n_name, d_name = f"__{i}_num", f"__{i}_den"
-            aggs += [m.num.alias(n_name), m.den.alias(d_name)]
-            slots.append(("ratio", m, n_name, d_name))
+            out += [m.num.alias(f"__{i}_num"), m.den.alias(f"__{i}_den")]
         else:
-            aggs.append(m)
-            slots.append(("plain", len(aggs) - 1))
-    out = target.agg(*aggs)
-    n_keys = len(out.columns) - len(aggs)
-    cols = [F.col(f"`{c}`") for c in out.columns[:n_keys]]
-    for slot in slots:
-        if slot[0] == "plain":
-            cols.append(F.col(f"`{out.columns[n_keys + slot[1]]}`"))
+            out.append(m)
+    return out
+
+
+def finished(parts: DataFrame, measures: Sequence[Column | Ratio]) -> DataFrame:
+    """Keys and measures from rows that hold the keys and then the aggregates of ``split(measures)``."""
+    width = sum(2 if isinstance(m, Ratio) else 1 for m in measures)
+    at = len(parts.columns) - width
+    cols = [F.col(f"`{c}`") for c in parts.columns[:at]]
+    for m in measures:
+        if isinstance(m, Ratio):
+            cols.append(ratio_of(parts.columns[at], parts.columns[at + 1], m.dp, m.zero).alias(m.name))
+            at += 2
         else:
-            _, m, n_name, d_name = slot
-            cols.append(ratio_of(n_name, d_name, m.dp, m.zero).alias(m.name))
-    return out.select(*cols)
+            cols.append(F.col(f"`{parts.columns[at]}`"))
+            at += 1
+    return parts.select(*cols)
+
+
+def aggregate(target: DataFrame | GroupedData, *measures: Column | Ratio) -> DataFrame:
+    """``target.agg(*measures)`` where some measures may be ``Ratio`` specs.
+
+    Output columns are the group keys followed by the measures in order.
+    """
+    return finished(target.agg(*split(measures)), measures)
 
 
 def cents(amount_sum: Column) -> Column:

@@ -167,8 +167,11 @@ VIEW_DETAIL_COLUMNS = ("fecha", "nombre_compania", "nombre_sucursal", "titulo",
                        "estado_conciliacion", "tipo_transporte", "n_flete", "nro_factura")
 
 
+def view_detail_columns() -> list[Column]:
+    return [*map(F.col, VIEW_DETAIL_COLUMNS), month_key("fecha").alias("mes"), year_text("fecha").alias("anio")]
+
+
 def view_detail(validated: DataFrame) -> DataFrame:
     """PRJ-5: freight detail with month and year text, newest first."""
-    return (validated.where(present("fecha"))
-            .select(*VIEW_DETAIL_COLUMNS, month_key("fecha").alias("mes"), year_text("fecha").alias("anio"))
+    return (validated.where(present("fecha")).select(*view_detail_columns())
             .orderBy(*_skew_safe_order("fecha", ["n_flete"])))

@@ -7,7 +7,7 @@ shuffle is a handful of rows however large the table is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargoscope.functions import measures as M
@@ -72,14 +72,12 @@ def trip_kpis(trips: DataFrame, states: TripStates = TRIPS) -> DataFrame:
     )
 
 
-def billing_kpis(billing: DataFrame, states: BillingStates = BILLING, amount: str = "tarifa_final") -> DataFrame:
-    """AGG-3: the 18-measure billing KPI row."""
+def billing_kpi_sums(states: BillingStates = BILLING, amount: str = "tarifa_final") -> list[Column | M.Ratio]:
+    """The measures of AGG-3 but the distinct count: sums, counts and ratios of them."""
     m = BillingMeasures(states, amount)
     s = states
-    return M.aggregate(
-        billing,
+    return [
         m.trips("total_viajes"),
-        M.distinct_count("nombre_compania").alias("companias"),
         m.total("tarifa_total"),
         m.avg("tarifa_prom"),
         *m.state_block(m.billed, "facturados", "facturado_total", "pct_facturado"),
@@ -89,7 +87,13 @@ def billing_kpis(billing: DataFrame, states: BillingStates = BILLING, amount: st
         m.count_if(m.is_("estado_flete", s.confirmed), "confirmados"),
         m.count_if(m.is_("estado_flete", s.to_confirm), "por_confirmar"),
         *m.state_block(m.collected, "cobrados", "cobrado_total"),
-    )
+    ]
+
+
+def billing_kpis(billing: DataFrame, states: BillingStates = BILLING, amount: str = "tarifa_final") -> DataFrame:
+    """AGG-3: the 18-measure billing KPI row."""
+    trips, *sums = billing_kpi_sums(states, amount)
+    return M.aggregate(billing, trips, M.distinct_count("nombre_compania").alias("companias"), *sums)
 
 
 def executive_measures(states: BillingStates = BILLING, amount: str = "tarifa_final") -> list:

@@ -62,23 +62,37 @@ def monthly_trend(billing: DataFrame, states: BillingStates = BILLING, amount: s
     ], where=where)
 
 
-def view_monthly(validated: DataFrame, states: BillingStates = BILLING, amount: str = "tarifa_final") -> DataFrame:
-    """AGG-11: monthly view with a second key, the month's first instant."""
+def view_measures(states: BillingStates = BILLING, amount: str = "tarifa_final") -> list[Column | M.Ratio]:
+    """Trips, amount, average, and count and amount of the billed and unbilled: the measures of three saved views."""
     m = BillingMeasures(states, amount)
-    return monthly(validated, "fecha", [
+    return [
         m.trips("total_viajes"),
         m.total("total_tarifa"),
         m.avg("tarifa_promedio"),
         *m.state_block(m.billed, "fact_viajes", "fact_total"),
         *m.state_block(m.unbilled, "pend_viajes", "pend_total"),
-        m.share_if(m.billed, "pct_facturado"),
-    ], extra_keys=[month_start("fecha").alias("mes_date")])
+    ]
+
+
+def billed_share(states: BillingStates = BILLING, amount: str = "tarifa_final") -> M.Ratio:
+    m = BillingMeasures(states, amount)
+    return m.share_if(m.billed, "pct_facturado")
+
+
+def view_monthly(validated: DataFrame, states: BillingStates = BILLING, amount: str = "tarifa_final") -> DataFrame:
+    """AGG-11: monthly view with a second key, the month's first instant."""
+    return monthly(validated, "fecha", [*view_measures(states, amount), billed_share(states, amount)],
+                   extra_keys=[month_start("fecha").alias("mes_date")])
+
+
+def on_time_measures(states: BillingStates = BILLING) -> list[Column]:
+    arrived = M.count_where(F.col("estado_viaje") == states.arrived_on_time)
+    return [M.rows().alias("total_viajes"), arrived.alias("on_time")]
 
 
 def view_on_time(validated: DataFrame, states: BillingStates = BILLING) -> DataFrame:
     """AGG-12: per (month, company): trips, arrived on time, on-time share."""
-    arrived = M.count_where(F.col("estado_viaje") == states.arrived_on_time)
-    out = monthly(validated, "fecha", [M.rows().alias("total_viajes"), arrived.alias("on_time")],
+    out = monthly(validated, "fecha", on_time_measures(states),
                   extra_keys=[F.col("nombre_compania")], where=present("estado_viaje"))
     return out.withColumn("pct_on_time", M.count_share_of("on_time", "total_viajes"))
 

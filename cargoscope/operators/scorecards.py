@@ -9,6 +9,7 @@ from cargoscope.functions import measures as M
 from cargoscope.functions.measure_sets import BillingMeasures
 from cargoscope.functions.predicates import not_blank, present
 from cargoscope.functions.vocabulary import BILLING, BillingStates
+from cargoscope.operators.rollups import billed_share, view_measures
 
 
 def scorecard(df: DataFrame, key: str, keep: Column, measures: list[Column], order_by: str,
@@ -37,27 +38,15 @@ def company_ranking(billing: DataFrame, states: BillingStates = BILLING, amount:
     ], "total", where=where)
 
 
-def _view_measures(m: BillingMeasures) -> list[Column]:
-    return [
-        m.trips("total_viajes"),
-        m.total("total_tarifa"),
-        m.avg("tarifa_promedio"),
-        *m.state_block(m.billed, "fact_viajes", "fact_total"),
-        *m.state_block(m.unbilled, "pend_viajes", "pend_total"),
-    ]
-
-
 def view_company(validated: DataFrame, states: BillingStates = BILLING, amount: str = "tarifa_final") -> DataFrame:
     """AGG-40: company view, billed amount descending."""
-    m = BillingMeasures(states, amount)
     return scorecard(validated, "nombre_compania", present("nombre_compania"),
-                     [*_view_measures(m), m.share_if(m.billed, "pct_facturado")], "fact_total")
+                     [*view_measures(states, amount), billed_share(states, amount)], "fact_total")
 
 
 def view_carrier(validated: DataFrame, states: BillingStates = BILLING, amount: str = "tarifa_final") -> DataFrame:
     """AGG-41: carrier view (blank carriers dropped), total amount descending."""
-    m = BillingMeasures(states, amount)
-    return scorecard(validated, "transportista", not_blank("transportista"), _view_measures(m), "total_tarifa")
+    return scorecard(validated, "transportista", not_blank("transportista"), view_measures(states, amount), "total_tarifa")
 
 
 def company_billing(billing: DataFrame, states: BillingStates = BILLING, amount: str = "tarifa_final") -> DataFrame:

@@ -49,8 +49,12 @@ def billing_trend(billing: DataFrame, **filters: str) -> DataFrame:
     return R.monthly_trend(billing, where=fact_where(billing, **filters))
 
 
-def billing_latest_month(billing: DataFrame, **filters: str) -> DataFrame:
-    """AGG-10 + WIN-3 + DRV-4."""
+def billing_latest_month(billing: DataFrame, directory=None, **filters: str) -> DataFrame:
+    """AGG-10 + WIN-3 + DRV-4 (``directory``: ``detail.month_directory`` of the filtered rows, if it is known; then
+    only the latest month's folder is read)."""
+    latest = next((month for month, _ in directory or () if month is not None), None)
+    if latest is not None:
+        billing = billing.where(F.col(BILLING_MONTH_PARTITION) == latest)
     return SH.latest_month(billing_trend(billing, **filters))
 
 

@@ -800,3 +800,9 @@ def _commercial_panels_sql() -> str:
 
 
 SQL["commercial_panels"] = _commercial_panels_sql()
+
+# The saved views hold what the views over all rows give.
+for _view in ("monthly", "company", "carrier", "collection", "dispatch", "pending_top", "detail", "on_time"):
+    SQL[f"saved_{_view}"] = SQL[f"view_{_view}"]
+SQL["saved_kpis"] = SQL["billing_kpis"]
+SQL["saved_kpis_range"] = _billing_kpis_sql(derived=False, where=fact_where(MONTH_RANGE_ARGS))

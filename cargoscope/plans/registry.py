@@ -25,10 +25,11 @@ from cargoscope.operators.detail import (export_rows, fact_detail, fact_page, fa
                                          with_destination, with_fact_labels, with_trip_labels)
 from cargoscope.operators.paging import Cursor
 from cargoscope.plans import dashboard as P
+from cargoscope.plans.saved import SavedViews, folder_of
 from cargoscope.plans.views import VIEWS
 from cargoscope.session import checkpoint_dir, ensure_checkpoint_dir
 from cargoscope.sources.metadata import metadata_session
-from cargoscope.sources.roles import month_directory, role, roles
+from cargoscope.sources.roles import month_directory, role, roles, snapshot
 
 # Fixed parameters of the registered filter queries and the due-soon reference date.
 AS_OF = "1998-06-30"
@@ -41,6 +42,9 @@ FACT_DEEP_PAGE = (400, 50)
 FACT_STEPS = (6, 50)
 SHARE_PANELS = {"share_collection": "status_crisar", "share_bill_type": "tipo_fact", "share_approval": "aprobacion",
                 "share_ledger": "status_contabilidad_aje"}
+SAVED = {"monthly": "v_fact_mensual", "company": "v_fact_compania", "carrier": "v_fact_transportista",
+         "collection": "v_status_crisar", "dispatch": "v_envio_factura", "pending_top": "v_pendientes_top",
+         "detail": "v_fletes_detalle", "on_time": "v_on_time_resumen"}
 # Dashboard panels with their filters applied (filter composition checked end to end).
 PANEL_FACT_ARGS = {"compania": "NATION_7", "estado_flt": "Con FLT", "mes_desde": "1997-01", "mes_hasta": "1999-12"}
 PANEL_TRIP_ARGS = {"planta": "NATION_12", "zona": "ASIA"}
@@ -80,6 +84,16 @@ def _pages(op: Callable[..., DataFrame]) -> Query:
     return lambda spark, sf: op(role(spark, sf, "billing"), month_directory(spark, sf))
 
 
+def _saved(read: Callable[[SavedViews], DataFrame]) -> Query:
+    """A read of the saved views, brought up to the snapshot once and pinned with it."""
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        views = SavedViews(spark, folder_of(spark, sf))
+        views.record = snapshot(spark, sf).note(("saved", views.base), lambda: views.refresh(sf).record)
+        return read(views)
+
+    return query
+
+
 QUERIES: dict[str, Query] = {
     # sources / catalog
     "preview": _overview(P.table_preview, "trips", 100, True),
@@ -166,7 +180,7 @@ QUERIES: dict[str, Query] = {
     # windows over aggregates, derived measures
     "share_of_total": _on("billing", P.status_panel),
     "share_of_max": _on("billing", P.dispatch_panel),
-    "latest_month": _on("billing", P.billing_latest_month),
+    "latest_month": _pages(P.billing_latest_month),
     "billing_kpis_derived": _on("billing", P.billing_kpi),
     "company_stack": _on("billing", P.company_ranking),
     "receivables": _on("billing", P.executive_summary),
@@ -192,8 +206,13 @@ QUERIES: dict[str, Query] = {
     "trips_due_soon_labels": _on("trips", lambda t: with_destination(P.trip_upcoming(t, AS_OF))),
     "export_detail": _on("billing", export_rows),
     "view_detail": _on("validated", view_detail),
+    # saved views and KPI rows from stored partials
+    **{f"saved_{key}": _saved(lambda s, _n=name: s.view(_n)) for key, name in SAVED.items()},
+    "saved_kpis": _saved(lambda s: s.kpis()),
+    "saved_kpis_range": _saved(lambda s: s.kpis(**MONTH_RANGE_ARGS)),
 }
 
+
 def run(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
     """The named query in edge form (money as DOUBLE, datetimes as ISO text).
 

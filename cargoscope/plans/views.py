@@ -1,5 +1,7 @@
 """SNK-3 and the eight saved reporting views (section 2.11 of the survey).
 
+``plans/saved.py`` keeps the views' rows in a shared folder and brings them up to date; here they are named queries.
+
 A view is an operator registered under a name: its logical plan is kept in the
 catalog and runs only when read. ``createOrReplaceTempView`` replaces a view
 atomically (the reference deletes, then creates), and any failure raises.
@@ -77,23 +79,6 @@ def publish_views(spark: SparkSession, validated: DataFrame, base_path: str, pre
     return paths
 
 
-def materialise_views(validated: DataFrame, base_path: str, mode: str = "overwrite") -> dict[str, str]:
-    """SNK-4 for every saved view: write each result once for repeated reads.
-
-    Views with a month column are written one folder per month (month filters
-    prune folders); the others are written whole. ``base_path`` should be a
-    shared folder (for example below ``spark.checkpoint.dir``). Returns
-    name -> path.
-    """
-    paths = {}
-    for name, build in VIEWS.items():
-        df = build(validated)
-        path = f"{base_path.rstrip('/')}/{name}"
-        materialise(df, path, partition_by="mes" if "mes" in df.columns else None, mode=mode)
-        paths[name] = path
-    return paths
-
-
 def create_views(spark: SparkSession, validated: DataFrame, prefix: str = "", scope: str = "session") -> list[str]:
     """Register every saved view over ``validated``; returns the registered names.
 

@@ -321,7 +321,7 @@ def positioned_role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return builder(t | {"lineitem": _positioned(t["lineitem"])})
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str, parts: list[str]) -> DataFrame:
+def read_parts(spark: SparkSession, sf_dir: str, name: str, parts: list[str]) -> DataFrame:
     """One scan of a written table's parts, with the mapping's own schema: folder values keep their type instead of
     what partition inference would make of them."""
     schema = (positioned_role if name == LINE_ORDERS else lazy_role)(spark, sf_dir, name).schema
@@ -365,7 +365,7 @@ def ensure(seen: Snapshot, name: str, base: str, rebuild: bool = False) -> dict:
             parts, made_from = record["parts"], record["made_from"]
         new = [p for p in lines if p not in made_from]
         if new:
-            frame = builder(t | {LINE_ORDERS: _read(spark, sf_dir, LINE_ORDERS, new)})
+            frame = builder(t | {LINE_ORDERS: read_parts(spark, sf_dir, LINE_ORDERS, new)})
             parts = [*parts, commits.new_part()]
             _write(frame, name, parts[-1])
         made_from = lines
@@ -401,10 +401,17 @@ def role(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False, wri
         seen.notes["parts", name] = ensure(seen, name, base, rebuild=refresh)["parts"]
     key = f"{name}@{id(spark._jsparkSession) if spark is not seen.spark else ''}"
     if key not in seen.roles:
-        seen.roles[key] = _read(spark, sf_dir, name, seen.notes["parts", name])
+        seen.roles[key] = read_parts(spark, sf_dir, name, seen.notes["parts", name])
     return seen.roles[key]
 
 
+def parts(spark: SparkSession, sf_dir: str, name: str) -> list[str]:
+    """The parts of a written role's table, as the pinned snapshot sees it; the table is made if need be."""
+    name = ROLE_ALIASES.get(name, name)
+    role(spark, sf_dir, name)
+    return snapshot(spark, sf_dir).notes["parts", name]
+
+
 def month_directory(spark: SparkSession, sf_dir: str) -> list[tuple[str | None, int]]:
     """Rows of the billing table per creation month, newest first: counted once a snapshot, from file metadata."""
     from cargoscope.operators.paging import folder_counts

@@ -78,19 +78,6 @@ def test_unknown_table_name_is_an_error(spark):
         table(spark, SF001, "not_a_table")
 
 
-def test_materialise_all_views(spark, out_dir):
-    from cargoscope.plans.views import materialise_views
-    validated = role(spark, SF001, "validated")
-    paths = materialise_views(validated, out_dir)
-    assert set(paths) == set(VIEWS)
-    for name, path in paths.items():
-        want = VIEWS[name](validated)
-        back = spark.read.parquet(path)
-        assert back.count() == want.count(), name
-        if "mes" in want.columns:
-            assert any(d.startswith("mes=") for d in os.listdir(path)), name
-
-
 def test_global_views_are_visible_to_other_sessions(spark):
     names = create_views(spark, role(spark, SF001, "validated"), prefix="g_", scope="global")
     other = spark.newSession()

@@ -85,7 +85,7 @@ def test_other_changes_are_a_full_build(spark, source):
 def test_billing_and_trips_share_one_join_of_lines_and_orders(spark):
     """The builds read the written lines: of the four plans only one joins lineitem with orders."""
     t = {n: table(spark, SF001, n) for n in RL.WRITTEN_SOURCES}
-    lines = RL._read(spark, SF001, RL.LINE_ORDERS, RL.ensure(RL.snapshot(spark, SF001), RL.LINE_ORDERS, checkpoint_dir(spark))["parts"])
+    lines = RL.read_parts(spark, SF001, RL.LINE_ORDERS, RL.ensure(RL.snapshot(spark, SF001), RL.LINE_ORDERS, checkpoint_dir(spark))["parts"])
     text = lambda df: df._jdf.queryExecution().executedPlan().toString()
     joined = text(RL.build_line_orders(t))
     assert joined.count("orders.parquet") == joined.count("lineitem.parquet") == 1 and "SortMergeJoin" in joined
