@@ -13,7 +13,7 @@ and only centroids reach the driver. Every row is then predicted from its whole
 of a prediction.
 
 Defined results: a null text or one without letters is ``und`` with score 0 and rejected; with no usable training row
-every text is ``und`` and rejected; equal distances go to the first language by code point; repeated rows and null
+every text is ``und`` and rejected; more than ``MOST_LANGUAGES`` languages are an error; equal distances go to the first language by code point; repeated rows and null
 ids pass through with the same result; an empty table gives an empty result; extra input columns are ignored.
 """
 
@@ -29,7 +29,11 @@ from cargoscope.llm.common import cut, per_row
 
 #: Labelled rows per language that the fit may take.
 TRAIN_ROWS = 400
+#: Parts of a language that are ranked side by side, step by step.
+RANKED_BY = (512, 64, 8, 1)
 CENTROIDS = 4
+#: Languages that a model may hold, at CENTROIDS vectors of 32 KB each; more of them are an error.
+MOST_LANGUAGES = 2000
 BUCKETS = 1 << 13
 #: A text is rejected beyond this quantile of its language's training distances, plus a margin.
 REJECT_QUANTILE = 0.995
@@ -160,10 +164,15 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     fold = docs.select(key.alias("id"), docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text")).where(~held_out(key))
     usable = fold.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").rlike("\\p{L}"))
     usable = usable.select("lang", F.xxhash64("id").alias("h"), "id", F.xxhash64("text").alias("text_key"), "text")
-    # Spark keeps ``rows`` rows per language and task before it deals them out; no text is moved.
-    order = Window.partitionBy("lang").orderBy("h", "id", "text_key")
-    first = usable.select("lang", "h", "id", "text_key").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
+    # The first rows of each (language, part), then of ever fewer parts, so that a hot language is ranked in many tasks
+    # and the last rank of all sees a bounded number of rows; no text is moved.
+    first = usable.select("lang", "h", "id", "text_key").distinct()
+    for parts in RANKED_BY:
+        order = Window.partitionBy("lang", F.pmod(F.xxhash64("id", "text_key"), F.lit(parts))).orderBy("h", "id", "text_key")
+        first = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).drop("rank")
     last = cut(first.groupBy("lang").agg(F.max(F.struct("h", "id", "text_key")).alias("last")))
+    if last.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: their centroids wouldn't fit into every task")
     counted = fold.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most a row per bucket
     df = np.zeros(BUCKETS + 1)
     for r in counted:
