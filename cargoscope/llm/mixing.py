@@ -34,6 +34,8 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 #: Documents or blocks per bucket of the two-level sums.
 BUCKET_ROWS = 20_000
+#: Shards per span of the two-level sums.
+SPAN_SHARDS = 4096
 #: Cells of the unit interval by which draws find their source.
 CELLS = 1024
 SEED = 17
@@ -58,6 +60,16 @@ def _numbered(df: DataFrame, parts: list[str], n: str, order: list, size, out: s
     return placed.join(sums, [*parts, "_bucket"]).withColumn(out, F.col("_before") + F.col("_inside")).drop("_bucket", "_size", "_inside", "_before")
 
 
+def _before(counts: DataFrame) -> DataFrame:
+    """``base``: a source's slots in earlier shards, summed inside spans of shards and then over the spans."""
+    inside = W.partitionBy("number", "span").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy("number").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
+    spans = counts.groupBy("number", "span").agg(F.sum("n").alias("of_span"))
+    spans = spans.select("number", "span", F.coalesce(F.sum("of_span").over(earlier), F.lit(0)).alias("before"))
+    own = counts.withColumn("own", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return own.join(spans, ["number", "span"]).withColumn("base", F.col("before") + F.col("own"))
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE, most: int = MOST_PASSES) -> DataFrame:
     """(source, source_size, docs) -> with number, weight and target; one row per source.
 
@@ -109,7 +121,7 @@ class Mix:
         share = F.col("slots") / F.lit(totals["slots"]) * per_shard
         plan = sources.select("number", "blocks", share.alias("expected")).withColumn("fixed", F.floor("expected")).withColumn("part", F.col("expected") - F.col("fixed"))
         plan = cut(plan.withColumn("hi", F.sum("part").over(ordered)).withColumn("lo", F.col("hi") - F.col("part")))
-        ends = plan.agg(F.sum("fixed").alias("fixed"), F.max("hi").alias("hi")).first()
+        ends = plan.agg(F.sum("fixed").alias("fixed"), F.max("hi").alias("hi"), F.count_if(F.col("fixed") > 0).alias("steady")).first()
         free = max(0, per_shard - ends["fixed"])
 
         # Each free slot of a shard draws a source by the fractional parts.
@@ -117,10 +129,12 @@ class Mix:
         width = max(ends["hi"], 1e-300) / CELLS
         cells = plan.where("part > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)))).select("cell", "number", "lo", "hi")
         drawn = drawn.withColumn("cell", F.floor(F.col("u") / width)).join(cells, "cell").where("u >= lo and u < hi").groupBy("shard", "number").agg(F.count("*").alias("extra"))
-        grid = spark.range(shards * totals["sources"]).select((F.col("id") / totals["sources"]).cast("long").alias("shard"), (F.col("id") % totals["sources"]).cast("int").alias("number"))
-        counts = grid.join(plan.select("number", "fixed", "blocks"), "number").join(drawn, ["shard", "number"], "left").withColumn("n", F.col("fixed") + F.coalesce("extra", F.lit(0)))
-        earlier = W.partitionBy("number").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-        counts = counts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where("n > 0 and blocks > 0")
+        # Sources with a whole slot in every shard, at most a shard's slots, and what was drawn.
+        steady = plan.where("fixed > 0").select("number", "fixed").withColumn("at", F.row_number().over(W.orderBy("number")) - 1)
+        grid = spark.range(shards * ends["steady"]).select((F.col("id") / max(1, ends["steady"])).cast("long").alias("shard"), (F.col("id") % max(1, ends["steady"])).cast("int").alias("at"))
+        counts = grid.join(steady, "at").select("shard", "number", F.col("fixed").alias("n")).unionByName(drawn.select("shard", "number", F.col("extra").alias("n")))
+        counts = counts.groupBy("shard", "number").agg(F.sum("n").alias("n")).join(plan.select("number", "blocks"), "number").where("n > 0 and blocks > 0")
+        counts = _before(cut(counts.withColumn("span", F.floor(F.col("shard") / SPAN_SHARDS))))
         slots = counts.select("number", "shard", "blocks", "base", F.posexplode(F.sequence(F.col("base"), F.col("base") + F.col("n") - 1)).alias("slot", "turn"))
         slots = slots.withColumn("pass", F.floor(F.col("turn") / F.col("blocks"))).where(F.col("pass") < most).withColumn("index", F.col("turn") % F.col("blocks"))
 
@@ -140,10 +154,12 @@ class Mix:
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    """``docs`` with the words of each text, and a number that tells rows of one id and size apart."""
+    """Each row of ``docs`` as ``_row``, whatever its columns are named, with id, source, words and a hash of the text."""
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     text = docs["text"].cast("string")
-    return docs.withColumns({"_id": docs["doc_id"].cast("long"), "_source": source, "_size": F.coalesce(F.regexp_count(text, F.lit(WORD_REGEX)), F.lit(0)).cast("long"), "_tie": F.xxhash64(text)})
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD_REGEX)), F.lit(0)).cast("long")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(row.alias("_row"), docs["doc_id"].cast("long").alias("_id"), source.alias("_source"), size.alias("_size"), F.xxhash64(text).alias("_tie"))
 
 
 def _keyed(sized: DataFrame) -> DataFrame:
@@ -175,11 +191,10 @@ def mixed(docs: DataFrame) -> DataFrame:
     places = places.select(F.col("doc_id").alias("_pid"), F.col("size").alias("_psize"), F.col("copy").alias("_pcopy"), "_got", "_parts")
     whole = _keyed(sized)
     joined = whole.join(places, whole["_id"].eqNullSafe(places["_pid"]) & (whole["_size"] == places["_psize"]) & (whole["_copy"] == places["_pcopy"]))
-    words = F.regexp_extract_all(F.col("text").cast("string"), F.lit(f"{WORD_REGEX}[\\x20\\x09-\\x0D]*"), F.lit(0))
+    words = F.regexp_extract_all(F.col("_row.text").cast("string"), F.lit(f"{WORD_REGEX}[\\x20\\x09-\\x0D]*"), F.lit(0))
     joined = joined.withColumn("_words", F.when(F.col("_got") < F.col("_size"), words))
     cut_text = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice("_words", (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), "")
-    text = F.when(F.col("_got") < F.col("_size"), cut_text).otherwise(F.col("text"))
-    out = joined.withColumn("text", text.cast(docs.schema["text"].dataType))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    text = F.when(F.col("_got") < F.col("_size"), cut_text).otherwise(F.col("_row.text").cast("string"))
+    joined = joined.withColumn("_text", text)
+    made = {"text": F.col("_text"), "n_chars": F.char_length("_text")}
+    return joined.select(*(made.get(c, F.col("_row").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
