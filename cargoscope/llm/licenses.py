@@ -31,7 +31,7 @@ from cargoscope.llm.common import cut, text_or_empty
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 CONTAINMENT = 0.9
-#: Words per window of a text; windows start half a window apart, so half a window must hold any template.
+#: Least words per window of a text; windows start half a window apart, and half a window holds any template's place.
 WINDOW = 240
 
 # Phrases and their labels.
@@ -148,9 +148,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: flo
     candidates = matches(by_text).select("text_key").distinct()
     chosen = texts.withColumn("text_key", F.xxhash64("low")).join(candidates, "text_key", "left_semi").dropDuplicates(["text_key"])
     whole = chosen.select("text_key", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)).alias("w"))
-    half = WINDOW // 2
+    half = max([WINDOW // 2, *(wide for *_, wide in rows)])
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - half), F.lit(half))
-    windows = whole.select("text_key", F.explode(F.transform(starts, lambda s: F.slice("w", s, F.lit(WINDOW)))).alias("block"))
+    windows = whole.select("text_key", F.explode(F.transform(starts, lambda s: F.slice("w", s, F.lit(2 * half)))).alias("block"))
     met = matches(windows.select("text_key", "block", F.array_intersect("block", vocab).alias("held")))
     # A block meets a template once per shared prefix word; it is verified at the first.
     met = met.where(F.col("token") == F.element_at(F.array_intersect("held", "words"), 1))
