@@ -21,8 +21,8 @@ Scale notes
   column-pruned table instead of repeating four shuffle joins, and lineage is
   cut at a durable table (survives executor loss). The billing table is laid
   out for month-range filters (see MATERIALISED): range-partitioned on the
-  creation date with a tie-break, sorted by it inside each file, and written in
-  one folder per creation month. Without a configured checkpoint folder the
+  creation date with a tie-break, clustered inside each file by the columns that
+  its filters use, and written in one folder per creation month. Without a configured checkpoint folder the
   call is an error, unless the lazy joins are asked for.
 """
 
@@ -37,31 +37,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from cargoscope.functions.predicates import FACT_FILTER_COLUMNS, TRIP_FILTER_COLUMNS
 from cargoscope.functions.scalars import month_key
 from cargoscope.session import checkpoint_dir
+from cargoscope.sinks.layout import write_skippable
 from cargoscope.sources.snapshots import MOST_PARTS, Commits, Snapshot, added_files
 from cargoscope.sources.tables import table
 
 ROLE_NAMES = ("billing", "trips", "on_time", "orders", "dispatch")
 # The freight report and the validated-freight table share the billing mapping.
 ROLE_ALIASES = {"freight": "billing", "validated": "billing"}
-# Physical layout of the written roles: (range-partition keys, in-file sort keys, folder partition column).
+# Physical layout of the written roles: (range-partition keys, in-file clustering keys, folder partition column).
 # billing is range-partitioned on its creation date (the id and then the row's position break ties, so a
-# hot date, or even a group of exact copies, still spreads over many tasks), sorted by that date inside
-# each file, and written in one folder per creation month, so a month-range filter prunes folders and
-# skips row groups inside the files it still reads. POSITION is the line's place in its source file, taken
+# hot date, or even a group of exact copies, still spreads over many tasks) and written in one folder per
+# creation month, so a month-range filter prunes folders and skips files by their dates. Inside a file, rows
+# are clustered by the company and ledger filters, so these skip row groups and pages. POSITION is the line's place in its source file, taken
 # from the scan: a task that runs again after a lost executor gives each row the same key, so no row changes
 # partition between attempts. A number given after the joins would depend on the order of fetched blocks.
 POSITION = "__position__"
-# trips keeps its join partitioning and is sorted inside each file by the columns its equality filters
-# use most (plant, then zone), so Parquet row-group statistics skip data for a filtered panel.
+# trips keeps its join partitioning and is clustered inside each file by the columns its equality filters
+# use most (plant, then zone).
 LINE_ORDERS = "line_orders"
 MATERIALISED = {
     LINE_ORDERS: ((), (), None),
-    "billing": (("fecha_creacion", "id_envio", POSITION), ("fecha_creacion",), "mes_creacion"),
+    "billing": (("fecha_creacion", "id_envio", POSITION), ("nombre_compania", "estado_contable", "fecha_creacion"), "mes_creacion"),
     "trips": ((), ("origen_carga", "zona"), None),
     "dispatch": ((), (), None),
 }
+# Columns of the optional equality filters (FLT-1, FLT-3): they get Bloom filters.
+LOOKUP = {
+    "billing": tuple(FACT_FILTER_COLUMNS.values()),
+    "trips": (*TRIP_FILTER_COLUMNS.values(), "NS"),
+}
 # Folder partition column of the billing role ('yyyy-MM' of the creation date).
 BILLING_MONTH_PARTITION = "mes_creacion"
 
@@ -266,7 +273,7 @@ _MEMO: dict[tuple[str, str, str], Snapshot] = {}
 
 
 # Raise this number when a mapping, a file layout or a scalar that the mappings use changes.
-MAPPING_VERSION = 4
+MAPPING_VERSION = 5
 
 
 def _root(base: str, sf_dir: str, name: str) -> str:
@@ -330,15 +337,12 @@ def read_parts(spark: SparkSession, sf_dir: str, name: str, parts: list[str]) ->
 
 
 def _write(frame: DataFrame, name: str, part: str) -> None:
-    range_keys, sort_cols, folder_col = MATERIALISED[name]
+    range_keys, cluster, folder_col = MATERIALISED[name]
     if range_keys:
         frame = frame.repartitionByRange(*range_keys)
-    if sort_cols:
-        frame = frame.sortWithinPartitions(*sort_cols)
     if name != LINE_ORDERS and POSITION in frame.columns:
         frame = frame.drop(POSITION)
-    writer = frame.write.mode("errorifexists")
-    (writer.partitionBy(folder_col) if folder_col else writer).parquet(part)
+    write_skippable(frame, part, cluster, LOOKUP.get(name, ()), folder_col)
 
 
 def ensure(seen: Snapshot, name: str, base: str, rebuild: bool = False) -> dict:
