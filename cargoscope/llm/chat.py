@@ -19,7 +19,12 @@ The loss mask covers the text of assistant messages.
 Folding and rendering work message by message, so one conversation with most of the rows spreads over all tasks. Only
 the digests of a whole conversation must see its pieces in order; they stream over sorted rows in constant memory.
 
-Defined results: a null text or role is empty; a null delta adds nothing; deltas, edits and regenerations of a
+The raw events are looked at for edits and regenerations first. Only conversations that have one need their messages in
+order; every event is folded once.
+
+Defined results: an edit or regeneration of a dropped message opens it again at that moment, a delta doesn't; a message
+that was only ever given deltas goes with any edit of an earlier message; rows of a null conversation are one
+conversation; a null text or role is empty; a null delta adds nothing; deltas, edits and regenerations of a
 message that was never opened have the role of none (empty); events with equal ``seq`` are ordered by kind, role and
 text; repeated ``message`` events of one message number are separate messages only if their ``seq`` differ, see
 :func:`events_of_turns`; an empty log gives an empty result; extra input columns are ignored.
@@ -34,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cargoscope.llm.common import text_or_empty
+from cargoscope.llm.common import cut, text_or_empty
 
 LOSS_ROLE = "assistant"
 #: Characters per streamed delta when turns are replayed as events.
@@ -42,6 +47,11 @@ DELTA_CHARS = 512
 #: Control strings of the template, before the role and after the text.
 HEAD, TAIL = "### ", "\n</turn>\n"
 
+#: Kinds of events that drop the messages after theirs.
+BRANCHING = ("edit", "regenerate")
+#: Most ids of conversations with edits that are broadcast.
+BROADCAST_IDS = 100_000
+
 EVENTS = "conv_id long, seq long, kind string, message long, role string, text string"
 
 
@@ -68,17 +78,13 @@ def events_of_turns(turns: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFra
     return log.select("conv_id", F.struct("turn", "copy").alias("message"), F.struct("turn", "copy", F.col("e.step").alias("step")).alias("seq"), "e.kind", "e.role", "e.text")
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """Final messages (conv_id, message, role, text) of a log (conv_id, seq, kind, message, role, text).
-
-    ``message`` and ``seq`` may be of any orderable type; messages stand in order of ``message``.
-    """
-    e = events.select("conv_id", "seq", "kind", "message", "role", "text")
-    starts = F.col("kind").isin("message", "edit", "regenerate")
+def _messages(e: DataFrame) -> DataFrame:
+    """Messages (conv_id, message, role, text, seq of the last start, cut: seq of the last edit) before any is dropped."""
+    starts = F.col("kind").isin("message", *BRANCHING)
     entry = F.struct("seq", "kind", F.coalesce("role", F.lit("")).alias("role"), text_or_empty("text").alias("text"))
     folded = e.groupBy("conv_id", "message").agg(
         F.max(F.when(starts, entry)).alias("start"),
-        F.max(F.when(F.col("kind").isin("edit", "regenerate"), F.col("seq"))).alias("cut"),
+        F.max(F.when(F.col("kind").isin(*BRANCHING), F.col("seq"))).alias("cut"),
         F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).alias("named"),
         # One message's own deltas; a message is the record that is built here.
         F.sort_array(F.collect_list(F.when(F.col("kind") == "delta", entry))).alias("deltas"),
@@ -86,15 +92,29 @@ def fold(events: DataFrame) -> DataFrame:
     base = F.when(F.col("start.kind") == "regenerate", F.lit("")).otherwise(F.coalesce("start.text", F.lit("")))
     fresh = F.when(F.col("start").isNull(), F.col("deltas")).otherwise(F.filter("deltas", lambda d: d["seq"] > F.col("start.seq")))
     text = F.concat(base, F.array_join(F.transform(fresh, lambda d: d["text"]), ""))
-    messages = folded.select("conv_id", "message", F.coalesce("named.role", F.lit("")).alias("role"), text.alias("text"), "start.seq", "cut")
-    # An edit or regeneration drops the later messages that were started before it. Only conversations that have one
-    # need the running maximum; the others, most, go past it.
-    branched = messages.where("cut is not null").select("conv_id").distinct()
+    return folded.select("conv_id", "message", F.coalesce("named.role", F.lit("")).alias("role"), text.alias("text"), "start.seq", "cut")
+
+
+def fold(events: DataFrame) -> DataFrame:
+    """Final messages (conv_id, message, role, text) of a log (conv_id, seq, kind, message, role, text).
+
+    ``message`` and ``seq`` may be of any orderable type; messages stand in order of ``message``. Building the result
+    runs a job that writes the ids of conversations with edits.
+    """
+    e = events.select("conv_id", "seq", "kind", "message", "role", "text")
+    columns = ["conv_id", "message", "role", "text"]
+    edited = cut(e.where(F.col("kind").isin(*BRANCHING)).select(F.col("conv_id").alias("edited")).distinct())
+    n_edited = edited.limit(BROADCAST_IDS + 1).count()
+    if not n_edited:
+        return _messages(e).select(columns)
+    # Ids beyond the bound are joined by a shuffle.
+    side = F.broadcast(edited) if n_edited <= BROADCAST_IDS else edited
+    same = F.col("conv_id").eqNullSafe(F.col("edited"))
+    # An edit or regeneration drops the later messages that were started before it.
     before = W.partitionBy("conv_id").orderBy("message").rowsBetween(W.unboundedPreceding, -1)
-    cuts = messages.join(branched, "conv_id", "left_semi").withColumn("last_cut", F.max("cut").over(before))
+    cuts = _messages(e.join(side, same, "left_semi")).withColumn("last_cut", F.max("cut").over(before))
     alive = cuts.where(F.col("last_cut").isNull() | F.coalesce(F.col("seq") > F.col("last_cut"), F.lit(False)))
-    plain = messages.join(branched, "conv_id", "left_anti")
-    columns = ["conv_id", "message", "role", "text"]
+    plain = _messages(e.join(side, same, "left_anti"))
     return plain.select(columns).unionByName(alive.select(columns))
 
 

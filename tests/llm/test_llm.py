@@ -149,6 +149,55 @@ def test_chat_round_trip_and_folding(spark):
     assert chat.digests(chat.format_turns(turns.limit(0))).count() == 0
 
 
+def _folded_by_hand(log):
+    """The final messages, event after event."""
+    state = {}
+    for conv, _, kind, m, role, text in sorted(log, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        own = state.setdefault(conv, {})
+        now = own.setdefault(m, {"role": "", "parts": [], "dropped": False})
+        now["role"] = role if role is not None else now["role"]
+        if kind == "delta":
+            now["parts"].append(text or "")
+        else:
+            now.update(parts=["" if kind == "regenerate" else text or ""], dropped=False)
+        if kind in ("edit", "regenerate"):
+            for later in own:
+                if later > m:
+                    own[later]["dropped"] = True
+    return sorted((str(c), m, v["role"], "".join(v["parts"])) for c, own in state.items() for m, v in own.items() if not v["dropped"])
+
+
+@pytest.mark.parametrize("most", [100_000, 1])
+def test_chat_fold_against_event_after_event(spark, monkeypatch, most):
+    monkeypatch.setattr(chat, "BROADCAST_IDS", most)
+    draw = random.Random(7)
+    log = []
+    for conv in (None, *range(40)):
+        opened = []
+        for seq in range(draw.randint(1, 25)):
+            kind = draw.choices(["message", "delta", "edit", "regenerate"], [4, 6, 1, 1] if conv is None or conv % 3 else [1, 1, 0, 0])[0]
+            m = draw.choice(opened) if opened and kind != "message" else draw.randint(0, 5)
+            if m not in opened:
+                kind = "message"
+                opened.append(m)
+            text = draw.choice([None, "", "a", "b ", "é"])
+            log.append((conv, seq, kind, m, draw.choice(["user", "assistant"]) if kind == "message" else None, None if kind == "regenerate" else text))
+    got = chat.fold(spark.createDataFrame(log, chat.EVENTS).repartition(5)).collect()
+    assert sorted((str(r.conv_id), r.message, r.role, r.text) for r in got) == _folded_by_hand(log)
+
+
+def test_chat_dropped_messages_and_null_conversations(spark):
+    log = [
+        # Message 1 is dropped by the edit of 0; a delta doesn't bring it back, an edit does.
+        (1, 1, "message", 0, "user", "q"), (1, 2, "message", 1, "assistant", "old"), (1, 3, "edit", 0, None, "q2"), (1, 4, "delta", 1, None, "x"),
+        (2, 1, "message", 0, "user", "q"), (2, 2, "message", 1, "assistant", "old"), (2, 3, "edit", 0, None, "q2"), (2, 4, "edit", 1, None, "new"),
+        (None, 1, "message", 0, "user", "q"), (None, 2, "message", 1, "assistant", "old"), (None, 3, "regenerate", 0, None, None),
+    ]
+    made = chat.fold(spark.createDataFrame(log, chat.EVENTS)).collect()
+    assert sorted((str(r.conv_id), r.message, r.role, r.text) for r in made) == [
+        ("1", 0, "user", "q2"), ("2", 0, "user", "q2"), ("2", 1, "assistant", "new"), ("None", 0, "user", "")]
+
+
 def test_warc_round_trip(spark, monkeypatch):
     big = "é" * 5000
     rows = [(1, "u", big), (2, "u\nx", big), (3, None, None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (None, "u", big), (0, "u", "x" * 99), (7, "u", "x" * 99)]
