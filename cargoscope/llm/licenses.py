@@ -5,8 +5,9 @@ passage lies whole in one, wrapped or not) is compared with the templates by con
 that the block holds. Words are ordered by how many texts of the whole corpus hold them, rarest first. A block that
 reaches the threshold must share a word with the template inside both prefixes of that order (prefix filter), hold
 enough template words at all (length filter), and have enough words left after the first shared one (positional
-filter); what passes is counted in full. As a text holds what its blocks hold, the same filters run on whole texts
-first, and only texts that hold enough of some template are cut into blocks.
+filter); what passes is counted in full. As a text holds what its blocks hold, only texts that hold enough of some
+template are cut into blocks: the templates are few, so this is counted in the scan, and other texts never move. Copies
+of such a text are looked at once; their labels go back to the rows in parts, so a hot text is no hot key.
 
 Candidates of the join are then verified by places: the words must stand close together; those that set a template
 apart from a similar one of another label must be among them; and a template that another label's contains whole
@@ -33,6 +34,8 @@ WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 CONTAINMENT = 0.9
 #: Least words per window of a text; windows start half a window apart, and half a window holds any template's place.
 WINDOW = 240
+#: Parts that the copies of one text are dealt into when they get its labels.
+COPY_PARTS = 16
 
 # Phrases and their labels.
 PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
@@ -115,18 +118,23 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: flo
     vocabulary = sorted({w for _, _, words, _ in known for w in words})
     least = min(need for *_, need in known)
 
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), lowered("text").alias("low"))
-    words = F.regexp_extract_all("low", F.lit(WORD), F.lit(0))
     vocab = F.array(*map(F.lit, vocabulary))
     empty = F.array().cast("array<struct<start:bigint,label:string>>")
-    read = texts.select("doc_id", F.xxhash64("low").alias("text_key"), words.alias("w"))
     anchors = sorted({p[-1] for p in phrases})
     base = F.when(F.arrays_overlap("w", F.array(*map(F.lit, anchors))), places(F.col("w"), phrases)).otherwise(empty)
-    facts = cut(read.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), F.array_intersect("w", vocab).alias("held"), base.alias("places")))
+    read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), lowered("text").alias("low"))
+    read = read.select("doc_id", "low", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)).alias("w"))
+    read = read.select("doc_id", "low", "w", F.size("w").cast("long").alias("n_words"), F.array_intersect("w", vocab).alias("held"), base.alias("places"))
+    enough = F.lit(False)
+    for _, _, words, need in known:
+        enough = enough | (F.size(F.array_intersect("held", F.array(*map(F.lit, words)))) >= need)
+    read = read.withColumn("candidate", (F.size("held") >= least) & enough)
+    # Only candidates carry their words on, and the digest by which copies know each other.
+    only = lambda c: F.when(F.col("candidate"), c)
+    facts = cut(read.select("doc_id", "n_words", "held", "places", only(F.md5("low")).alias("text_key"), only(F.col("w")).alias("w")))
 
     # Rarest first, over the whole corpus: texts per template word.
-    by_text = facts.select("text_key", "n_words", "held").where(F.size("held") > 0)
-    rarity = {r["token"]: r["df"] for r in by_text.select(F.explode("held").alias("token")).groupBy("token").agg(F.count("*").alias("df")).collect()}  # at most one row per template word
+    rarity = {r["token"]: r["df"] for r in facts.select(F.explode("held").alias("token")).groupBy("token").agg(F.count("*").alias("df")).collect()}  # at most one row per template word
     order = sorted(vocabulary, key=lambda w: (rarity.get(w, 0), w))
     ranked = F.array(*map(F.lit, order))
     apart = rules(known)
@@ -145,9 +153,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: flo
         return met.withColumn("common", common).where("common >= need").withColumn("share", F.col("common") / F.size("words"))
 
     # Copies of one text have one answer, so each distinct text goes on once.
-    candidates = matches(by_text).select("text_key").distinct()
-    chosen = texts.withColumn("text_key", F.xxhash64("low")).join(candidates, "text_key", "left_semi").dropDuplicates(["text_key"])
-    whole = chosen.select("text_key", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)).alias("w"))
+    candidates = facts.where("text_key is not null")
+    whole = candidates.select("text_key", "w").dropDuplicates(["text_key"])
     half = max([WINDOW // 2, *(wide for *_, wide in rows)])
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - half), F.lit(half))
     windows = whole.select("text_key", F.explode(F.transform(starts, lambda s: F.slice("w", s, F.lit(2 * half)))).alias("block"))
@@ -167,7 +174,12 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: flo
     hits = met.withColumn("best", best).where("best > 0").select("text_key", "label", (F.col("best") / F.size("words")).alias("share"))
     labelled = hits.groupBy("text_key").agg(F.collect_set("label").alias("method_labels"), F.max("share").alias("share"))
 
-    joined = facts.join(labelled, "text_key", "left")
+    dealt = labelled.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(COPY_PARTS - 1))))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(COPY_PARTS)).cast("int")
+    columns = ["doc_id", "n_words", "places", "method_labels", "share"]
+    answered = candidates.withColumn("part", part).join(dealt, ["text_key", "part"], "left").select(columns)
+    none = {"method_labels": F.lit(None).cast("array<string>"), "share": F.lit(None).cast("double")}
+    joined = answered.unionByName(facts.where("text_key is null").withColumns(none).select(columns))
     own = F.array_sort(F.array_distinct("places.label"))
     every = F.array_sort(F.array_union(own, F.coalesce("method_labels", F.array().cast("array<string>"))))
     return joined.select(

@@ -410,6 +410,15 @@ def test_license_templates_wrapped_over_lines(spark):
         assert label in got[i].split(",") and label in got[100 + i].split(","), licenses.TEMPLATES[i]
 
 
+def test_license_copies_nulls_and_clashing_columns(spark):
+    hot = "x " * 300 + licenses.TEMPLATES[2][1] + " y" * 300
+    rows = [(i % 50 or None, hot, 1, "a", "b", "c") for i in range(200)] + [(1000, "plain words alone", 2, None, None, None), (1001, None, 3, "", "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part int, text_key string, w string, method_labels string").repartition(7)
+    got = licenses.scan(docs).collect()
+    assert len(got) == 202 and all(r.labels == ("mit" if r.n_words > 3 else "") for r in got)
+    assert sorted((str(r.doc_id), r.n_words) for r in got) == sorted((str(r[0]), len((r[1] or "").split()) if r[0] in (1000, 1001) else 600 + len(licenses.TEMPLATES[2][1].replace(",", " ").split())) for r in rows)
+
+
 def test_license_labels_are_exact(spark):
     far = "released " + "a " * 30 + "under " + "a " * 30 + "the " + "a " * 30 + "mit " + "a " * 30 + "license"
     cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
