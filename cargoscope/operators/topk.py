@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cargoscope.functions.measure_sets import BillingMeasures
 from cargoscope.functions.predicates import due_soon, present
 from cargoscope.functions.vocabulary import BILLING, BillingStates
+from cargoscope.operators.threshold import top_groups
 
 
 def sort_keys(df: DataFrame, keys: list[tuple[str, str]]) -> list[Column]:
@@ -47,6 +48,14 @@ def top_by_amount(df: DataFrame, group: list[str], k: int, keep: Column | None =
     return top_k(agg, [(names[1], "desc")], k)
 
 
+def top_groups_by_amount(df: DataFrame, group: list[str], k: int, keep: Column | None = None,
+                         names: tuple[str, str] = ("viajes", "total"), amount: str = "tarifa_final", **bounds) -> DataFrame:
+    """:func:`top_by_amount` for keys that grow with the data: bounds tell which keys can reach the list, and only
+    these are shuffled (``operators/threshold.py``). Finding them runs jobs when the list is built."""
+    rows = df.where(keep) if keep is not None else df
+    return top_groups(rows, group, amount, k, lambda part: top_by_amount(part, group, k, names=names, amount=amount), names[1], **bounds)
+
+
 def top_companies(billing: DataFrame, k: int = 15) -> DataFrame:
     """TOP-1: companies with the largest amount."""
     return top_by_amount(billing, ["nombre_compania"], k, keep=present("nombre_compania"))
@@ -69,7 +78,7 @@ def view_pending_top(validated: DataFrame, k: int = 20, states: BillingStates =
 def pending_top_carrier(billing: DataFrame, k: int = 15, states: BillingStates = BILLING) -> DataFrame:
     """TOP-4: the same key on the billing fact, top 15."""
     keep = F.col("estado_contable") == states.unbilled
-    return top_by_amount(billing, ["nombre_compania", "nombre_sucursal", "transportista"], k, keep=keep)
+    return top_groups_by_amount(billing, ["nombre_compania", "nombre_sucursal", "transportista"], k, keep=keep)
 
 
 def top_branches(freight: DataFrame, k: int = 10) -> DataFrame:
