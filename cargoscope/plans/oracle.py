@@ -707,6 +707,8 @@ FROM billing WHERE nombre_compania IS NOT NULL GROUP BY nombre_compania""",
         "billing", ["nombre_compania", "nombre_sucursal", "transportista"], 20, UNBILLED, ("viajes", "total_pendiente")),
     "pending_top_carrier": with_roles("billing") + _top_by_amount(
         "billing", ["nombre_compania", "nombre_sucursal", "transportista"], 15, UNBILLED),
+    "pending_top_bounded": with_roles("billing") + _top_by_amount(
+        "billing", ["nombre_compania", "nombre_sucursal", "transportista"], 15, UNBILLED),
     "top_branches": with_roles("billing") + _top_by_amount("billing", ["nombre_sucursal"], 10,
                                                            "nombre_sucursal IS NOT NULL"),
     "trips_due_soon": _trip_top_sql(DUE_SOON_COLUMNS, [("compromiso_de_carga", "asc")], 8,

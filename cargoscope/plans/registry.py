@@ -191,6 +191,7 @@ QUERIES: dict[str, Query] = {
     "pending_top": _on("billing", TK.pending_top),
     "view_pending_top": _on("validated", TK.view_pending_top),
     "pending_top_carrier": _on("billing", TK.pending_top_carrier),
+    "pending_top_bounded": _on("billing", TK.pending_top_bounded),
     "top_branches": _on("freight", TK.top_branches),
     "trips_due_soon": _on("trips", lambda t: P.trip_upcoming(t, AS_OF)),
     "trip_table": _on("trips", P.trip_table),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cargoscope.operators import threshold
-from cargoscope.operators.topk import pending_top_carrier, top_by_amount, top_groups_by_amount
+from cargoscope.operators.topk import pending_top_bounded, pending_top_carrier, top_by_amount, top_groups_by_amount
 from cargoscope.sources.roles import role
 from tests import frames
 from tests.conftest import SF01
@@ -76,6 +76,7 @@ def test_only_the_keys_of_the_chosen_cells_are_shuffled(spark):
     billing = role(spark, SF01, "billing").where("estado_contable = 'Sin Facturar'")
     keys = billing.select(*GROUP).distinct().count()
     plain, few = top_by_amount(billing, GROUP, 15), top_groups_by_amount(billing, GROUP, 15)
-    assert few.collect() == plain.collect() == pending_top_carrier(role(spark, SF01, "billing")).collect()
+    whole = role(spark, SF01, "billing")
+    assert few.collect() == plain.collect() == pending_top_bounded(whole).collect() == pending_top_carrier(whole).collect()
     assert keys > 10 * threshold.FIRST_CELLS
     assert shuffled_rows(few) <= 8 * threshold.FIRST_CELLS < keys <= shuffled_rows(plain)
