@@ -7,7 +7,8 @@ most its angle to its own pivot plus twice the range. Cells are then joined inde
 double-precision products; a block pair returns link counts and a spanning forest of its links, never the pairs.
 
 Equal vectors are one node from the start and count with their number, so a vector that a third of all rows share
-costs as much as any other. Large cells are cut into blocks of bounded size, and every pair of blocks is a task's row
+costs as much as any other. They are known by a 64-bit hash; that two different vectors of a billion share one has a
+chance of about 3 in 100. Large cells are cut into blocks of bounded size, and every pair of blocks is a task's row
 of its own.
 
 The pivots only steer where work is done: any sample gives the same exact result. In data without structure the range
@@ -30,9 +31,10 @@ from cargoscope.llm.common import cut
 from cargoscope.llm.components import components
 
 THRESHOLD = 0.9
-#: Vectors drawn per length to choose pivots from, vectors per cell aimed at, and most cells.
+#: Vectors drawn per length to choose pivots from, vectors per cell aimed at, least and most cells of a length.
 PIVOT_SAMPLE = 2048
 CELL_ROWS = 8192
+LEAST_CELLS = 4
 MOST_CELLS = 256
 #: Vectors per block of a cell.
 BLOCK_ROWS = 2048
@@ -182,10 +184,9 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     counts = nodes.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(MOST_LENGTHS).collect()
     pivots = {}
     for dim, n in counts:
-        k = min(MOST_CELLS, n // CELL_ROWS)
-        if k >= 2:
-            sample = nodes.where(F.size("vector") == dim).orderBy(F.xxhash64("rep", F.lit(1))).limit(PIVOT_SAMPLE).select("vector").collect()
-            pivots[dim] = choose_pivots(_unit(np.array([r["vector"] for r in sample], np.float64).ravel(), dim), k)
+        k = min(MOST_CELLS, max(LEAST_CELLS, n // CELL_ROWS))
+        sample = nodes.where(F.size("vector") == dim).orderBy(F.xxhash64("rep", F.lit(1))).limit(PIVOT_SAMPLE).select("vector").collect()
+        pivots[dim] = choose_pivots(_unit(np.array([r["vector"] for r in sample], np.float64).ravel(), dim), k)
     shared = spark.sparkContext.broadcast(pivots)  # at most MOST_LENGTHS * MOST_CELLS vectors
 
     reach = float(np.arccos(min(1.0, max(-1.0, threshold))))

@@ -105,9 +105,25 @@ def test_sketches_never_undercount_collisions():
     assert sum(x == y for x, y in zip(nibbles(a), nibbles(b))) >= int((a == b).sum()) >= minhash.MATCHES
 
 
-@pytest.mark.parametrize("cells", [1, 6])
-def test_vectors_equal_brute_force(spark, monkeypatch, cells):
-    monkeypatch.setattr(vectors, "CELL_ROWS", 400 // cells)
+def test_vectors_are_replicated_only_where_the_triangle_inequality_asks():
+    rng = np.random.default_rng(5)
+    unit = vectors._unit((np.eye(8)[np.arange(400) % 8] + rng.normal(scale=0.02, size=(400, 8))).ravel(), 8)
+    pivots = vectors.choose_pivots(unit, 8)
+    angles = vectors._angles(unit, pivots)
+    radii = {(8, c): angles[angles.argmin(1) == c, c].max() for c in range(8)}
+    batch = vectors.pa.RecordBatch.from_arrays([vectors.pa.array(np.arange(400)), vectors.pa.array(unit.tolist())], names=["rep", "vector"])
+    shared = type("Shared", (), {"value": {8: pivots}})
+    reach = float(np.arccos(0.9))
+    made = [b.to_pydict() for b in vectors._spread(shared, radii, reach)([batch])]
+    cells = {(r, c) for d in made for r, c in zip(d["rep"], d["cell"])}
+    assert len(cells) == 400  # separate groups: nothing is replicated
+    near = np.argwhere(np.arccos(np.clip(unit @ unit.T, -1, 1)) <= reach)
+    assert all((b, int(angles[a].argmin())) in cells for a, b in near)  # each partner is in the vector's own cell
+
+
+@pytest.mark.parametrize("least", [1, 6])
+def test_vectors_equal_brute_force(spark, monkeypatch, least):
+    monkeypatch.setattr(vectors, "LEAST_CELLS", least)
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 64)
     rng = np.random.default_rng(7)
     centres = rng.normal(size=(12, 16))
