@@ -36,8 +36,9 @@ PIVOT_SAMPLE = 2048
 CELL_ROWS = 8192
 LEAST_CELLS = 4
 MOST_CELLS = 256
-#: Vectors per block of a cell.
-BLOCK_ROWS = 2048
+#: Vectors per block of a cell, and rows of a block whose products are held at once.
+BLOCK_ROWS = 4096
+STRIP_ROWS = 512
 #: Most lengths that get pivots of their own; vectors of rarer lengths share one cell per length.
 MOST_LENGTHS = 16
 
@@ -119,12 +120,16 @@ def _spread(pivots, radii, reach: float):
 
 def linked(x: np.ndarray, y: np.ndarray, raw_x: np.ndarray, raw_y: np.ndarray, threshold: float) -> np.ndarray:
     """Whether each pair's cosine reaches the threshold; pairs at the edge are computed one by one from the raw
-    vectors, so that the result doesn't hang on how a block product is rounded."""
-    cos = x @ y.T
-    out = cos >= threshold
-    for i, j in zip(*np.nonzero(np.abs(cos - threshold) < 1e-12), strict=True):
-        a, b = raw_x[i].astype(np.float64), raw_y[j].astype(np.float64)
-        out[i, j] = float(a @ b) / (float(np.sqrt(a @ a)) * float(np.sqrt(b @ b))) >= threshold
+    vectors, so that the result doesn't hang on how a block product is rounded. Products are held a strip at a time."""
+    out = np.empty((len(x), len(y)), bool)
+    for at in range(0, len(x), STRIP_ROWS):
+        cos = x[at : at + STRIP_ROWS] @ y.T
+        link = np.greater_equal(cos, threshold - 1e-12, out=out[at : at + STRIP_ROWS])
+        rows, cols = np.nonzero(link)
+        edge = cos[rows, cols] < threshold + 1e-12
+        for i, j in zip(rows[edge], cols[edge], strict=True):
+            a, b = raw_x[at + i].astype(np.float64), raw_y[j].astype(np.float64)
+            link[i, j] = float(a @ b) / (float(np.sqrt(a @ a)) * float(np.sqrt(b @ b))) >= threshold
     return out
 
 
@@ -157,8 +162,11 @@ def _join_blocks(threshold: float):
                 lraw = np.asarray(get("l_vec").flatten()).reshape(-1, dim)
                 rraw = np.asarray(get("r_vec").flatten()).reshape(-1, dim)
                 link = linked(_unit(lraw, dim), _unit(rraw, dim), lraw, rraw, threshold)
+                # Only vectors with a link go on; a vector's product with itself is none.
+                rows, cols = link.any(1), link.any(0)
+                link, lr, rr, rw = link[rows][:, cols], lr[rows], rr[cols], rw[cols]
                 link &= lr[:, None] != rr[None, :]
-                counts = link @ rw
+                counts = (link.astype(np.float64) @ rw.astype(np.float64)).astype(np.int64)  # whole numbers far below 2**53
                 some = counts > 0
                 edges = forest(link, lr, rr)
                 none_b, none_l = np.full(int(some.sum()), -1), np.zeros(len(edges), np.int64)
