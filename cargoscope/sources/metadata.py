@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 _SIBLINGS: dict[str, SparkSession] = {}
+# The last caller of each application's sibling, and the sessions made for callers that read by V2 themselves.
+_CALLERS: dict[str, SparkSession] = {}
+_ROW_SESSIONS: dict[tuple[str, int], SparkSession] = {}
 
+_V1_LIST = "spark.sql.sources.useV1SourceList"
 #: Settings that the sibling takes over from the caller, as they change results.
 KEPT = ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.shuffle.partitions")
 
@@ -20,9 +24,36 @@ def metadata_session(spark: SparkSession) -> SparkSession:
     found = _SIBLINGS.get(spark.sparkContext.applicationId)
     if found is None:
         found = _SIBLINGS[spark.sparkContext.applicationId] = spark.newSession()
-        v1 = found.conf.get("spark.sql.sources.useV1SourceList").split(",")
-        found.conf.set("spark.sql.sources.useV1SourceList", ",".join(s for s in v1 if s != "parquet"))
+        v1 = found.conf.get(_V1_LIST).split(",")
+        found.conf.set(_V1_LIST, ",".join(s for s in v1 if s != "parquet"))
         found.conf.set("spark.sql.parquet.aggregatePushdown", "true")
     for key in KEPT:
         found.conf.set(key, spark.conf.get(key))
+    if spark is not found:
+        _CALLERS[spark.sparkContext.applicationId] = spark
     return found
+
+
+def row_session(spark: SparkSession) -> SparkSession:
+    """The session that builds tables for ``spark``: its Parquet scans give each row its file and place.
+
+    Only the V1 reader does, so a build must not run in the sibling above, whichever query comes first. That is the
+    session itself, the sibling's caller, or a session with the same settings that reads Parquet by V1.
+    """
+    app = spark.sparkContext.applicationId
+    for one in (spark, _CALLERS.get(app) if spark is _SIBLINGS.get(app) else None):
+        if one is not None and _reads_rows(one):
+            return one
+    key = (app, spark._jsparkSession.hashCode())
+    if key not in _ROW_SESSIONS:
+        _ROW_SESSIONS[key] = spark.newSession()
+    found = _ROW_SESSIONS[key]
+    for name, value in spark.conf.getAll.items():
+        if found.conf.isModifiable(name):
+            found.conf.set(name, value)
+    found.conf.set(_V1_LIST, ",".join([*filter(None, spark.conf.get(_V1_LIST).split(",")), "parquet"]))
+    return found
+
+
+def _reads_rows(spark: SparkSession) -> bool:
+    return "parquet" in [s.strip().lower() for s in spark.conf.get(_V1_LIST).split(",")]

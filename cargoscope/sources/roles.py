@@ -41,6 +41,7 @@ from cargoscope.functions.predicates import FACT_FILTER_COLUMNS, TRIP_FILTER_COL
 from cargoscope.functions.scalars import month_key
 from cargoscope.session import checkpoint_dir
 from cargoscope.sinks.layout import write_skippable
+from cargoscope.sources.metadata import row_session
 from cargoscope.sources.snapshots import MOST_PARTS, Commits, Snapshot, added_files
 from cargoscope.sources.tables import table
 
@@ -287,7 +288,7 @@ def snapshot(spark: SparkSession, sf_dir: str, new: bool = False) -> Snapshot:
     """The pinned snapshot of the input folder; ``new`` takes another one, which lists the source files again."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), checkpoint_dir(spark) or "")
     if new or key not in _MEMO:
-        _MEMO[key] = Snapshot(spark, sf_dir, WRITTEN_SOURCES)
+        _MEMO[key] = Snapshot(row_session(spark), sf_dir, WRITTEN_SOURCES)
     return _MEMO[key]
 
 

@@ -108,3 +108,21 @@ def test_counts_come_from_file_metadata(spark):
     assert "PushedAggregation: [MIN(compromiso_de_carga), MAX(compromiso_de_carga)]" in text(dates)
     assert tuple(dates.first()) == tuple(RL.role(spark, SF001, "trips").agg(F.min("compromiso_de_carga"), F.max("compromiso_de_carga")).first())
     assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+
+
+@pytest.mark.parametrize("first", ["table_counts", "home_summary"])
+def test_a_metadata_query_may_come_first(spark, source, first):
+    """Its sibling session has no row places, so it must not be the one that builds the tables."""
+    assert registry.run(spark, first, source).count() >= 1
+    assert RL.snapshot(spark, source).spark is spark
+    assert registry.run(spark, "fact_month_range", source).count() >= 1
+    assert registry.run(spark, "trip_kpis", source).count() == 1
+
+
+def test_a_caller_that_reads_parquet_by_v2_can_build(spark, source):
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "csv,json")
+    own.conf.set("spark.sql.shuffle.partitions", "5")
+    assert rows(RL.role(own, source, "trips")) == rows(RL.role(spark, source, "trips", written=False))
+    assert RL.snapshot(own, source).spark.conf.get("spark.sql.shuffle.partitions") == "5"
+    assert own.conf.get("spark.sql.sources.useV1SourceList") == "csv,json"
