@@ -10,7 +10,8 @@ blocks are joined to slots by that index.
 
 All is DataFrame functions; hashes take the place of random numbers, so reruns agree. Running sums over a source are
 made in two levels (inside hash buckets of bounded size, then over buckets), so a source with most of the words is
-spread over many tasks. Only totals, a single row, reach the driver.
+spread over many tasks. Joins of slots, blocks and documents are hinted to sort and merge: all of them grow with the
+corpus, and a broadcast would pass one whole through the driver. Only totals, a single row, reach the driver.
 
 Defined results: a null text has no words, is in no block and is never taken; the null source is a source, last in
 order; a source without words has target 0; rows that share an id are documents of their own; an empty table gives an
@@ -142,7 +143,8 @@ class Mix:
         passes = owned.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("pass", F.col("pass").cast("long"))
         hashed = passes.join(sources.select("number", F.col("blocks").alias("n")), "number").withColumn("rank", F.xxhash64("number", "block", "pass", F.lit(SEED + 2)))
         ranked = _numbered(hashed, ["number", "pass"], "n", ["rank", "block"], F.lit(1), "index")
-        picks = slots.join(ranked.select("number", "pass", "index", "block"), ["number", "pass", "index"])
+        # Slots, and a segment per block below, are exploded from rows that the planner takes for the size of a side.
+        picks = slots.hint("merge").join(ranked.select("number", "pass", "index", "block"), ["number", "pass", "index"])
         self.picks = cut(picks.select("number", "block", "pass", "shard", F.col("slot").cast("long").alias("slot")))
 
     def segments(self, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -171,10 +173,10 @@ def mix(docs: DataFrame) -> DataFrame:
     keyed = _keyed(_sized(docs).select("_id", "_source", "_size", "_tie"))
     made = Mix(keyed.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_copy").alias("copy")))
     times = made.picks.groupBy("number", "block").agg(F.count("*").alias("times"))
-    taken = made.segments().join(times, ["number", "block"]).groupBy("number", "start").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("got"))
+    taken = made.segments().hint("merge").join(times, ["number", "block"]).groupBy("number", "start").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("got"))
     # A document without words shares its start with its neighbour; it has no segment and must not take the other's.
     out = made.documents.withColumn("at", F.when(F.col("size") > 0, F.col("start")))
-    out = out.join(taken.withColumnRenamed("start", "at"), ["number", "at"], "left")
+    out = out.hint("merge").join(taken.withColumnRenamed("start", "at"), ["number", "at"], "left")
     totals = made.sources.select("number", "source_size", "target")
     return out.join(totals, "number").select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
 
@@ -185,12 +187,12 @@ def mixed(docs: DataFrame) -> DataFrame:
     sized = _sized(docs)
     keyed = _keyed(sized.select("_id", "_source", "_size", "_tie"))
     made = Mix(keyed.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_copy").alias("copy")))
-    per_pass = made.segments().join(made.picks.select("number", "block", "pass"), ["number", "block"])
+    per_pass = made.segments().hint("merge").join(made.picks.select("number", "block", "pass"), ["number", "block"])
     per_pass = per_pass.groupBy("number", "start", "pass").agg(F.sum(F.col("hi") - F.col("lo")).alias("_got"), F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_parts"))
-    places = made.documents.where("size > 0").join(per_pass, ["number", "start"])
+    places = made.documents.where("size > 0").hint("merge").join(per_pass, ["number", "start"])
     places = places.select(F.col("doc_id").alias("_pid"), F.col("size").alias("_psize"), F.col("copy").alias("_pcopy"), "_got", "_parts")
     whole = _keyed(sized)
-    joined = whole.join(places, whole["_id"].eqNullSafe(places["_pid"]) & (whole["_size"] == places["_psize"]) & (whole["_copy"] == places["_pcopy"]))
+    joined = whole.hint("merge").join(places, whole["_id"].eqNullSafe(places["_pid"]) & (whole["_size"] == places["_psize"]) & (whole["_copy"] == places["_pcopy"]))
     words = F.regexp_extract_all(F.col("_row.text").cast("string"), F.lit(f"{WORD_REGEX}[\\x20\\x09-\\x0D]*"), F.lit(0))
     joined = joined.withColumn("_words", F.when(F.col("_got") < F.col("_size"), words))
     cut_text = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice("_words", (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), "")
