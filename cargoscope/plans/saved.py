@@ -232,7 +232,7 @@ class SavedViews:
         record = {"newest": newest, "number": held["number"] + 1 if held else 1, "parts": parts, "labels": dict(labels),
                   "runs": grown["runs"] if grown else [], "schemas": grown["schemas"] if grown else {}}
         if new:
-            run, schemas = self._write_run(RL.read_parts(self.spark, sf_dir, "billing", new), grown)
+            run, schemas = self._write_run(RL.read_parts(RL.snapshot(self.spark, sf_dir).builder(), sf_dir, "billing", new), grown)
             record.update(runs=[*record["runs"], run], schemas=schemas)
         self.log.put(f"{newest}.{record['number']:08d}", record)
         return self.open()

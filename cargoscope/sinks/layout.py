@@ -10,7 +10,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -19,18 +19,21 @@ BLOOM_BYTES = 1024 * 1024
 
 
 def write_skippable(frame: DataFrame, path: str, cluster: Sequence[str] = (), lookup: Sequence[str] = (),
-                    folder: str | None = None, row_group_bytes: int | None = None, mode: str = "errorifexists") -> None:
+                    folder: str | None = None, row_group_bytes: int | None = None, mode: str = "errorifexists",
+                    finish: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Write ``frame`` as Parquet, sorted inside each file by ``cluster``, with Bloom filters on ``lookup``.
 
     ``folder`` names the column of the folders, if any. Which rows share a file is the frame's partitioning; a hot value
-    of a clustering column needs no shuffle, as it is only sorted inside the tasks that hold it.
+    of a clustering column needs no shuffle, as it is only sorted inside the tasks that hold it. ``finish`` is a projection
+    that keeps those columns and makes the others, so that a sort holds narrow rows.
     """
-    unknown = {*cluster, *lookup, *([folder] if folder else [])} - set(frame.columns)
+    finish = finish or (lambda sorted_rows: sorted_rows)
+    unknown = ({*cluster, *([folder] if folder else [])} - set(frame.columns)) | (set(lookup) - set(finish(frame).columns))
     if unknown:
         raise ValueError(f"no such column(s): {sorted(unknown)}")
     if cluster:
         frame = frame.sortWithinPartitions(*[f"`{c}`" for c in dict.fromkeys([*([folder] if folder else []), *cluster])])
-    writer = frame.write.mode(mode)
+    writer = finish(frame).write.mode(mode).option("compression", "zstd")
     if row_group_bytes:
         writer = writer.option("parquet.block.size", row_group_bytes)
     if lookup:

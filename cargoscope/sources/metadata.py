@@ -46,14 +46,20 @@ def row_session(spark: SparkSession) -> SparkSession:
             return one
     key = (app, spark._jsparkSession.hashCode())
     if key not in _ROW_SESSIONS:
-        _ROW_SESSIONS[key] = spark.newSession()
+        _ROW_SESSIONS[key] = sibling(spark)
     found = _ROW_SESSIONS[key]
-    for name, value in spark.conf.getAll.items():
-        if found.conf.isModifiable(name):
-            found.conf.set(name, value)
     found.conf.set(_V1_LIST, ",".join([*filter(None, spark.conf.get(_V1_LIST).split(",")), "parquet"]))
     return found
 
 
+def sibling(spark: SparkSession) -> SparkSession:
+    """Another session of the same application with the settings that ``spark`` has now."""
+    made = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if made.conf.isModifiable(name):
+            made.conf.set(name, value)
+    return made
+
+
 def _reads_rows(spark: SparkSession) -> bool:
     return "parquet" in [s.strip().lower() for s in spark.conf.get(_V1_LIST).split(",")]

@@ -49,7 +49,7 @@ ROLE_NAMES = ("billing", "trips", "on_time", "orders", "dispatch")
 # The freight report and the validated-freight table share the billing mapping.
 ROLE_ALIASES = {"freight": "billing", "validated": "billing"}
 # Physical layout of the written roles: (range-partition keys, in-file clustering keys, folder partition column).
-# billing is range-partitioned on its creation date (the id and then the row's position break ties, so a
+# billing is range-partitioned on its creation date (the line's key and then the row's position break ties, so a
 # hot date, or even a group of exact copies, still spreads over many tasks) and written in one folder per
 # creation month, so a month-range filter prunes folders and skips files by their dates. Inside a file, rows
 # are clustered by the company and ledger filters, so these skip row groups and pages. POSITION is the line's place in its source file, taken
@@ -61,7 +61,7 @@ POSITION = "__position__"
 LINE_ORDERS = "line_orders"
 MATERIALISED = {
     LINE_ORDERS: ((), (), None),
-    "billing": (("fecha_creacion", "id_envio", POSITION), ("nombre_compania", "estado_contable", "fecha_creacion"), "mes_creacion"),
+    "billing": (("fecha_creacion", "l_orderkey", "l_linenumber", POSITION), ("nombre_compania", "estado_contable", "fecha_creacion"), "mes_creacion"),
     "trips": ((), ("origen_carga", "zona"), None),
     "dispatch": ((), (), None),
 }
@@ -131,39 +131,64 @@ def _on_time_label(late_days: Column) -> Column:
     return F.when(late_days.isNull() | (late_days <= 0), F.lit("ON TIME")).otherwise(F.lit("OFF TIME"))
 
 
-def _trip_state() -> Column:
-    return F.when(F.col("l_shipdate") <= F.col("o_orderdate"), F.lit("Llegó a tiempo")).otherwise(F.lit("Tarde"))
+def _trip_state(in_time: Column) -> Column:
+    return F.when(in_time, F.lit("Llegó a tiempo")).otherwise(F.lit("Tarde"))
 
 
-def build_billing(t: dict[str, DataFrame]) -> DataFrame:
+def billing_rows(t: dict[str, DataFrame]) -> DataFrame:
+    """The joined lines of billing with what their mapping needs, each value once: this is what the write shuffles.
+
+    Lines are cut down before the join with part, which shuffles them once part is too large for a broadcast; the
+    supplier's name is added after it.
+    """
     s = t["supplier"].select("s_suppkey", "s_name")
     p = t["part"].select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    x = (
-        _lines(t)
-        .join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(p, F.col("l_partkey") == F.col("p_partkey"))
+    lines = _lines(t)
+    place = [POSITION] if POSITION in lines.columns else []
+    col = F.col
+    lines = lines.select(
+        F.when(col("l_suppkey") % 50 != 7, col("o_orderdate")).alias("fecha_creacion"),
+        F.when(col("l_partkey") % 97 != 0, col("l_extendedprice").cast("decimal(18,2)")).alias("tarifa_final"),
+        F.when(col("c_custkey") % 40 != 0, col("cn_nation")).alias("nombre_compania"),
+        (col("l_shipdate") <= col("o_orderdate")).alias("a_tiempo"),
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate",
+        "o_orderstatus", "o_orderpriority", "c_name", "c_mktsegment", *place,
+    )
+    x = lines.join(p, col("l_partkey") == col("p_partkey")).join(s, col("l_suppkey") == col("s_suppkey"))
+    return x.select(
+        *[c for c in lines.columns if c not in ("l_partkey", "l_suppkey")], "p_name", "p_brand", "p_type", "p_size",
+        F.when(col("s_suppkey") % 33 == 0, F.lit("")).otherwise(col("s_name")).alias("transportista"),
+        F.when(col("l_suppkey") % 25 == 3, F.lit("")).when(col("l_linestatus") == "F", F.lit("Con FLT"))
+        .when(col("l_linestatus") == "O", F.lit("Sin FLT")).alias("estado_flt"),
     )
+
+
+def billing_keys(x: DataFrame) -> DataFrame:
+    """The mapped columns that rows are sorted by inside a file, beside those of :func:`billing_rows`."""
+    status = F.col("o_orderstatus")
+    return x.withColumns({
+        "estado_contable": F.when(status == "F", F.lit("Facturado")).when(status == "O", F.lit("Sin Facturar"))
+        .when(status == "P", F.lit("Anulado")),
+        BILLING_MONTH_PARTITION: month_key(F.col("fecha_creacion")),
+    })
+
+
+def map_billing(x: DataFrame) -> DataFrame:
+    """The billing columns; a projection, so the order of rows stays."""
     col = F.col
     line = col("l_linenumber")
     qty = col("l_quantity")
-    company = F.when(col("c_custkey") % 40 != 0, col("cn_nation"))
-    created = F.when(col("l_suppkey") % 50 != 7, col("o_orderdate"))
+    order = col("l_orderkey").cast("string")  # the order's own key too, as the lines are joined on it
     return x.select(
-        created.alias("fecha_creacion"),
+        "fecha_creacion",
         col("l_shipdate").alias("fecha"),
-        F.when(col("l_partkey") % 97 != 0, col("l_extendedprice").cast("decimal(18,2)")).alias("tarifa_final"),
-        company.alias("nombre_compania"),
-        company.alias("compania"),
+        "tarifa_final",
+        "nombre_compania",
+        col("nombre_compania").alias("compania"),
         col("c_name").alias("nombre_sucursal"),
-        F.when(col("s_suppkey") % 33 == 0, F.lit("")).otherwise(col("s_name")).alias("transportista"),
-        F.when(col("o_orderstatus") == "F", F.lit("Facturado"))
-        .when(col("o_orderstatus") == "O", F.lit("Sin Facturar"))
-        .when(col("o_orderstatus") == "P", F.lit("Anulado"))
-        .alias("estado_contable"),
-        F.when(col("l_suppkey") % 25 == 3, F.lit(""))
-        .when(col("l_linestatus") == "F", F.lit("Con FLT"))
-        .when(col("l_linestatus") == "O", F.lit("Sin FLT"))
-        .alias("estado_flt"),
+        "transportista",
+        "estado_contable",
+        "estado_flt",
         F.when(line % 3 == 0, F.lit("CONFIRMADO")).when(line % 3 == 1, F.lit("POR CONFIRMAR")).alias("estado_flete"),
         F.when(col("o_orderpriority") == "1-URGENT", F.lit("CONCILIADO"))
         .when(col("o_orderpriority") != "5-LOW", col("o_orderpriority"))
@@ -188,15 +213,19 @@ def build_billing(t: dict[str, DataFrame]) -> DataFrame:
         col("l_linestatus").alias("Filtro"),
         col("p_name").alias("observacion"),
         col("p_name").alias("titulo"),
-        F.concat(col("l_orderkey").cast("string"), F.lit("-"), line.cast("string")).alias("id_envio"),
-        col("l_orderkey").cast("string").alias("n_flete"),
-        col("o_orderkey").cast("string").alias("nro_factura"),
-        _trip_state().alias("estado_viaje"),
-        month_key(created).alias(BILLING_MONTH_PARTITION),
+        F.concat(order, F.lit("-"), line.cast("string")).alias("id_envio"),
+        order.alias("n_flete"),
+        order.alias("nro_factura"),
+        _trip_state(col("a_tiempo")).alias("estado_viaje"),
+        BILLING_MONTH_PARTITION,
         *([POSITION] if POSITION in x.columns else []),
     )
 
 
+def build_billing(t: dict[str, DataFrame]) -> DataFrame:
+    return map_billing(billing_keys(billing_rows(t)))
+
+
 def build_trips(t: dict[str, DataFrame]) -> DataFrame:
     s = t["supplier"].select("s_suppkey", "s_name", "s_nationkey")
     r = t["region"].select(F.col("r_regionkey").alias("cr_regionkey"), F.col("r_name").alias("cr_region"))
@@ -223,7 +252,7 @@ def build_trips(t: dict[str, DataFrame]) -> DataFrame:
         F.when(line == 2, F.lit("")).when(line == 3, F.lit("---")).when(line != 1, col("s_name")).alias("placa"),
         _on_time_label(late).alias("NS"),
         _on_time_label(late).alias("on_time"),
-        _trip_state().alias("estado_viaje"),
+        _trip_state(col("l_shipdate") <= col("o_orderdate")).alias("estado_viaje"),
         late.alias("dias_retrazo"),
         F.when(col("l_tax") != 0, F.lit(100) - F.lit(100) * col("l_discount")).alias("porcentaje_cumplimiento"),
         F.when(line != 7, col("o_orderdate").cast("date")).alias("compromiso_de_carga"),
@@ -263,6 +292,8 @@ BUILDERS = {
     "dispatch": (build_dispatch, ("lineitem", "supplier", "nation")),
 }
 
+# Roles whose joined rows are shuffled narrow: (rows, in-file sort keys from them, the mapping after the sort).
+LATE = {"billing": (billing_rows, billing_keys, map_billing)}
 # Written roles that are made from the parts of the joined lines; the others read their sources.
 FROM_LINES = ("billing", "trips")
 # The source whose new files a part can be made from alone: the other sources are complete on the join's other side.
@@ -274,7 +305,7 @@ _MEMO: dict[tuple[str, str, str], Snapshot] = {}
 
 
 # Raise this number when a mapping, a file layout or a scalar that the mappings use changes.
-MAPPING_VERSION = 5
+MAPPING_VERSION = 6
 
 
 def _root(base: str, sf_dir: str, name: str) -> str:
@@ -322,6 +353,15 @@ def _positioned(lines: DataFrame) -> DataFrame:
     return lines.select("*", place.alias(POSITION))
 
 
+def _short_position(lines: DataFrame) -> DataFrame:
+    """POSITION in one number, 24 bits of the file's hash over the row index: as a tie-break it goes through shuffles.
+
+    Rows of one position are only range-partitioned together, so equal hash bits of two files change no row.
+    """
+    place = F.shiftleft(F.col(f"{POSITION}.file"), 40).bitwiseXOR(F.col(f"{POSITION}.row"))
+    return lines.withColumn(POSITION, place)
+
+
 def positioned_role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The lazy role with POSITION."""
     builder, sources = BUILDERS[name]
@@ -332,18 +372,21 @@ def positioned_role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_parts(spark: SparkSession, sf_dir: str, name: str, parts: list[str]) -> DataFrame:
     """One scan of a written table's parts, with the mapping's own schema: folder values keep their type instead of
     what partition inference would make of them."""
-    schema = (positioned_role if name == LINE_ORDERS else lazy_role)(spark, sf_dir, name).schema
+    frame = _short_position(positioned_role(spark, sf_dir, name)) if name == LINE_ORDERS else lazy_role(spark, sf_dir, name)
+    schema = frame.schema
     reader = spark.read.schema(StructType([*schema.fields, StructField("part", StringType())]))
     return reader.option("basePath", parts[0].rsplit("/", 1)[0]).parquet(*parts).select(*schema.names)
 
 
 def _write(frame: DataFrame, name: str, part: str) -> None:
+    """Write the joined rows of a role: range partitions first, then sort keys, the sort and the mapping."""
     range_keys, cluster, folder_col = MATERIALISED[name]
     if range_keys:
         frame = frame.repartitionByRange(*range_keys)
     if name != LINE_ORDERS and POSITION in frame.columns:
         frame = frame.drop(POSITION)
-    write_skippable(frame, part, cluster, LOOKUP.get(name, ()), folder_col)
+    _, keys, mapping = LATE.get(name, (None, None, None))
+    write_skippable(keys(frame) if keys else frame, part, cluster, LOOKUP.get(name, ()), folder_col, finish=mapping)
 
 
 def ensure(seen: Snapshot, name: str, base: str, rebuild: bool = False) -> dict:
@@ -359,6 +402,7 @@ def ensure(seen: Snapshot, name: str, base: str, rebuild: bool = False) -> dict:
     if record and record["version"] == version:
         return record
     _warn_if_skew_handling_off(spark)
+    builder, spark = LATE[name][0] if name in LATE else builder, seen.builder()
     t = {n: table(spark, sf_dir, n) for n in sources}
     seen.check_unchanged(sources)
     parts, made_from = [], []
@@ -380,7 +424,7 @@ def ensure(seen: Snapshot, name: str, base: str, rebuild: bool = False) -> dict:
         if added:
             parts, lineitem = record["parts"], spark.read.schema(lineitem.schema).parquet(*added["lineitem"])
         parts = [*parts, commits.new_part()]
-        _write(builder(t | {"lineitem": _positioned(lineitem) if name == LINE_ORDERS else lineitem}), name, parts[-1])
+        _write(builder(t | {"lineitem": _short_position(_positioned(lineitem)) if name == LINE_ORDERS else lineitem}), name, parts[-1])
     return commits.commit(parts, version, seen.files(sources), made_from)
 
 

@@ -21,6 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cargoscope.sources.metadata import sibling
 from cargoscope.sources.tables import table_path
 
 #: Parts of a table before a change makes a full build instead of one more part.
@@ -29,6 +30,12 @@ MOST_PARTS = 16
 MOST_NEW_FILES = 100_000
 
 
+#: Source bytes for each shuffle partition of a build, and the most bytes of a split that a build reads: written rows are
+#: some 14 to 32 bytes each in files, and up to 50 times that in a sort.
+PARTITION_BYTES = 8 * 1024 * 1024
+SPLIT_BYTES = 8 * 1024 * 1024
+
+
 def new_name() -> str:
     """A name that sorts by time and is never used twice."""
     return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
@@ -60,6 +67,7 @@ class Snapshot:
         self.notes: dict[tuple, object] = {}
         self._files: DataFrame | None = None
         self._digests: dict[str, str] | None = None
+        self._builder: SparkSession | None = None
 
     def files(self, names: tuple[str, ...]) -> DataFrame:
         if self._files is None:
@@ -72,6 +80,29 @@ class Snapshot:
             self._digests = digests(self.files(self.sources))
         return {n: self._digests.get(n, "") for n in names}
 
+    def bytes(self) -> int:
+        """The size of all source files."""
+        return self.note(("bytes",), lambda: self.files(self.sources).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0])
+
+    def builder(self) -> SparkSession:
+        """The session in which tables are made from the source files: this one, or for larger inputs a sibling.
+
+        A number of shuffle partitions fixed by the session makes each of them, and the memory of the task that sorts it,
+        grow with the input, until sorts spill. The sibling has partitions by the size of the input (AQE joins those that
+        turn out small) and splits of bounded size; its other settings are the session's.
+        """
+        wanted = -(-self.bytes() // PARTITION_BYTES)
+        if wanted <= int(self.spark.conf.get("spark.sql.shuffle.partitions")) and self.bytes() <= SPLIT_BYTES * 8:
+            return self.spark
+        if self._builder is None:
+            self._builder = sibling(self.spark)
+            partitions = max(wanted, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+            self._builder.conf.set("spark.sql.shuffle.partitions", partitions)
+            split = self.spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+                self.spark.conf.get("spark.sql.files.maxPartitionBytes"))
+            self._builder.conf.set("spark.sql.files.maxPartitionBytes", min(split, SPLIT_BYTES))
+        return self._builder
+
     def check_unchanged(self, names: tuple[str, ...]) -> None:
         """An error if the named sources changed since this was taken.
 

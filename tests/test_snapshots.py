@@ -126,3 +126,29 @@ def test_a_caller_that_reads_parquet_by_v2_can_build(spark, source):
     assert rows(RL.role(own, source, "trips")) == rows(RL.role(spark, source, "trips", written=False))
     assert RL.snapshot(own, source).spark.conf.get("spark.sql.shuffle.partitions") == "5"
     assert own.conf.get("spark.sql.sources.useV1SourceList") == "csv,json"
+
+
+def test_builds_of_larger_inputs_have_partitions_by_size(spark, source, monkeypatch):
+    """A fixed number of shuffle partitions makes tasks, their sorts and their spills grow with the input."""
+    from cargoscope.sources import snapshots
+
+    monkeypatch.setattr(snapshots, "PARTITION_BYTES", 2048)
+    monkeypatch.setattr(snapshots, "SPLIT_BYTES", 16 * 1024)
+    before = dict(spark.conf.getAll)
+    seen = RL.refresh(spark, source)
+    partitions = int(seen.builder().conf.get("spark.sql.shuffle.partitions"))
+    assert partitions == -(-seen.bytes() // 2048) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert int(seen.builder().conf.get("spark.sql.files.maxPartitionBytes").rstrip("b")) == 16 * 1024
+    for name in ROLES:
+        assert rows(RL.role(spark, source, name)) == rows(RL.role(spark, source, name, written=False))
+    assert registry.run(spark, "saved_carrier", source).count() >= 1
+    assert dict(spark.conf.getAll) == before
+
+
+def test_the_range_shuffle_of_billing_carries_each_value_once(spark, source):
+    """The mapping repeats names, types and keys as text; it comes after the shuffle and the sort."""
+    t = {n: table(spark, source, n) for n in RL.BUILDERS["billing"][1]}
+    held, mapped = RL.billing_rows(t), RL.build_billing(t)
+    text = lambda df: [c for c, kind in df.dtypes if kind == "string"]
+    assert len(text(held)) <= 12 < len(text(mapped))
+    assert rows(RL.map_billing(RL.billing_keys(held.repartitionByRange(5, "fecha_creacion", "l_orderkey")))) == rows(mapped)
