@@ -94,3 +94,28 @@ def test_shares_of_huge_counts_are_exact(spark):
     rows = [(10**13 + 7, 3 * 10**15 + 1, 12345), (0, 10**15, 10**6), (5, 5, 0), (0, 0, 1)]
     got = spark.createDataFrame(rows, "n long, total long, kept long").select(divergence.share("n", "total", "kept")).collect()
     assert [r[0] for r in got] == [1 + 10**9 * (n + 2) // (total + 2 * kept) if kept else None for n, total, kept in rows]
+
+
+def test_counts_travel_in_buckets(spark, monkeypatch):
+    """A task sends a row for each language and bucket, not one a term; long texts are counted in chunks."""
+    rows = [r for r in table() if r[0] is not None]
+    batch = pa.RecordBatch.from_pylist([{"lang": r[2] or "", "source": r[3] or "", "text": r[1] or ""} for r in rows])
+    want = defaultdict(lambda: [0, 0])
+    for r in rows:
+        want[r[2] or "", r[3] or "", None]
+        for term, n in Counter(TERM.findall(lowered(r[1] or ""))).items():
+            key = want[r[2] or "", r[3] or "", term]
+            key[0], key[1] = key[0] + n, key[1] + 1
+    for chunk, held in ((1 << 20, 600_000), (9, 600_000), (1 << 20, 50)):
+        monkeypatch.setattr(divergence, "CHUNK_BYTES", chunk)
+        monkeypatch.setattr(divergence, "HELD_COUNTS", held)
+        made = [r for part in divergence._deal(4)(iter([batch])) for r in part.to_pylist()]
+        if held > 50:
+            assert len(made) == len({(r["lang"], r["bucket"]) for r in made}) <= 8 * len({r[2] or "" for r in rows})
+        got = defaultdict(lambda: [0, 0])
+        for r in made:
+            sources = [s for s, k in zip(r["sources"], r["sizes"], strict=True) for _ in range(k)]
+            for source, term, n, docs in zip(sources, r["terms"], r["n"], r["docs"], strict=True):
+                key = got[r["lang"], source, term]
+                key[0], key[1] = key[0] + n, key[1] + docs
+        assert got == want
