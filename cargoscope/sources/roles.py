@@ -135,11 +135,28 @@ def _trip_state(in_time: Column) -> Column:
     return F.when(in_time, F.lit("Llegó a tiempo")).otherwise(F.lit("Tarde"))
 
 
+#: Columns of which the mapping needs a class alone: they travel as two bits each of one number, at these places.
+CLASSES = "__classes__"
+ARRIVAL, FLT, QUANTITY, STATUS, SIZE = 0, 2, 4, 6, 8
+
+
+def _class(place: int, *when: Column) -> Column:
+    """The number of the first condition that holds, or that of all of them, at ``place``."""
+    found = F.lit(len(when))
+    for number in reversed(range(len(when))):
+        found = F.when(when[number], F.lit(number)).otherwise(found)
+    return F.shiftleft(found, place)
+
+
+def _is_class(place: int, number: int) -> Column:
+    return F.shiftright(F.col(CLASSES), place).bitwiseAND(F.lit(3)) == number
+
+
 def billing_rows(t: dict[str, DataFrame]) -> DataFrame:
     """The joined lines of billing with what their mapping needs, each value once: this is what the write shuffles.
 
     Lines are cut down before the join with part, which shuffles them once part is too large for a broadcast; the
-    supplier's name is added after it.
+    supplier's name is added after it. Values that the mapping only compares go as classes.
     """
     s = t["supplier"].select("s_suppkey", "s_name")
     p = t["part"].select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
@@ -150,25 +167,28 @@ def billing_rows(t: dict[str, DataFrame]) -> DataFrame:
         F.when(col("l_suppkey") % 50 != 7, col("o_orderdate")).alias("fecha_creacion"),
         F.when(col("l_partkey") % 97 != 0, col("l_extendedprice").cast("decimal(18,2)")).alias("tarifa_final"),
         F.when(col("c_custkey") % 40 != 0, col("cn_nation")).alias("nombre_compania"),
-        (col("l_shipdate") <= col("o_orderdate")).alias("a_tiempo"),
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate",
-        "o_orderstatus", "o_orderpriority", "c_name", "c_mktsegment", *place,
+        (
+            _class(ARRIVAL, col("l_shipdate") <= col("o_orderdate"))
+            + _class(FLT, col("l_suppkey") % 25 == 3)
+            + _class(QUANTITY, col("l_quantity") <= 20, col("l_quantity") <= 40, col("l_quantity") < 50)
+            + _class(STATUS, *[col("o_orderstatus") == s for s in "FOP"])
+        ).alias(CLASSES),
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate",
+        "o_orderpriority", "c_name", "c_mktsegment", *place,
     )
     x = lines.join(p, col("l_partkey") == col("p_partkey")).join(s, col("l_suppkey") == col("s_suppkey"))
     return x.select(
-        *[c for c in lines.columns if c not in ("l_partkey", "l_suppkey")], "p_name", "p_brand", "p_type", "p_size",
+        *[c for c in lines.columns if c not in ("l_partkey", "l_suppkey", CLASSES)], "p_name", "p_brand", "p_type",
         F.when(col("s_suppkey") % 33 == 0, F.lit("")).otherwise(col("s_name")).alias("transportista"),
-        F.when(col("l_suppkey") % 25 == 3, F.lit("")).when(col("l_linestatus") == "F", F.lit("Con FLT"))
-        .when(col("l_linestatus") == "O", F.lit("Sin FLT")).alias("estado_flt"),
+        (col(CLASSES) + _class(SIZE, col("p_size") <= 10, col("p_size") <= 30)).alias(CLASSES),
     )
 
 
 def billing_keys(x: DataFrame) -> DataFrame:
     """The mapped columns that rows are sorted by inside a file, beside those of :func:`billing_rows`."""
-    status = F.col("o_orderstatus")
     return x.withColumns({
-        "estado_contable": F.when(status == "F", F.lit("Facturado")).when(status == "O", F.lit("Sin Facturar"))
-        .when(status == "P", F.lit("Anulado")),
+        "estado_contable": F.when(_is_class(STATUS, 0), F.lit("Facturado")).when(_is_class(STATUS, 1), F.lit("Sin Facturar"))
+        .when(_is_class(STATUS, 2), F.lit("Anulado")),
         BILLING_MONTH_PARTITION: month_key(F.col("fecha_creacion")),
     })
 
@@ -177,7 +197,6 @@ def map_billing(x: DataFrame) -> DataFrame:
     """The billing columns; a projection, so the order of rows stays."""
     col = F.col
     line = col("l_linenumber")
-    qty = col("l_quantity")
     order = col("l_orderkey").cast("string")  # the order's own key too, as the lines are joined on it
     return x.select(
         "fecha_creacion",
@@ -188,7 +207,9 @@ def map_billing(x: DataFrame) -> DataFrame:
         col("c_name").alias("nombre_sucursal"),
         "transportista",
         "estado_contable",
-        "estado_flt",
+        F.when(_is_class(FLT, 0), F.lit("")).when(col("l_linestatus") == "F", F.lit("Con FLT"))
+        .when(col("l_linestatus") == "O", F.lit("Sin FLT"))
+        .alias("estado_flt"),
         F.when(line % 3 == 0, F.lit("CONFIRMADO")).when(line % 3 == 1, F.lit("POR CONFIRMAR")).alias("estado_flete"),
         F.when(col("o_orderpriority") == "1-URGENT", F.lit("CONCILIADO"))
         .when(col("o_orderpriority") != "5-LOW", col("o_orderpriority"))
@@ -197,16 +218,16 @@ def map_billing(x: DataFrame) -> DataFrame:
         .when(col("l_returnflag") == "A", F.lit("PENDIENTE"))
         .when(line % 2 != 0, F.lit(""))
         .alias("status_crisar"),
-        F.when(qty <= 20, F.lit("ACEPTADO"))
-        .when(qty <= 40, F.lit("PENDIENTE"))
-        .when(qty < 50, F.lit("Anulado"))
+        F.when(_is_class(QUANTITY, 0), F.lit("ACEPTADO"))
+        .when(_is_class(QUANTITY, 1), F.lit("PENDIENTE"))
+        .when(_is_class(QUANTITY, 2), F.lit("Anulado"))
         .otherwise(F.lit(""))
         .alias("estado_envio_factura"),
         col("p_type").alias("tipo_fact"),
         col("p_brand").alias("tipo_proceso"),
         col("c_mktsegment").alias("aprobacion"),
         F.concat(col("l_returnflag"), col("l_linestatus")).alias("status_contabilidad_aje"),
-        F.when(col("p_size") <= 10, F.lit("S")).when(col("p_size") <= 30, F.lit("M")).otherwise(F.lit("L"))
+        F.when(_is_class(SIZE, 0), F.lit("S")).when(_is_class(SIZE, 1), F.lit("M")).otherwise(F.lit("L"))
         .alias("tipo_transporte"),
         col("p_type").alias("como_factura"),
         col("p_name").alias("motivo"),
@@ -216,7 +237,7 @@ def map_billing(x: DataFrame) -> DataFrame:
         F.concat(order, F.lit("-"), line.cast("string")).alias("id_envio"),
         order.alias("n_flete"),
         order.alias("nro_factura"),
-        _trip_state(col("a_tiempo")).alias("estado_viaje"),
+        _trip_state(_is_class(ARRIVAL, 0)).alias("estado_viaje"),
         BILLING_MONTH_PARTITION,
         *([POSITION] if POSITION in x.columns else []),
     )
@@ -305,7 +326,7 @@ _MEMO: dict[tuple[str, str, str], Snapshot] = {}
 
 
 # Raise this number when a mapping, a file layout or a scalar that the mappings use changes.
-MAPPING_VERSION = 6
+MAPPING_VERSION = 7
 
 
 def _root(base: str, sf_dir: str, name: str) -> str:
@@ -354,12 +375,13 @@ def _positioned(lines: DataFrame) -> DataFrame:
 
 
 def _short_position(lines: DataFrame) -> DataFrame:
-    """POSITION in one number, 24 bits of the file's hash over the row index: as a tie-break it goes through shuffles.
+    """POSITION in 16 bits of the file's hash and the row index: as a tie-break it goes through shuffles.
 
-    Rows of one position are only range-partitioned together, so equal hash bits of two files change no row.
+    Rows of one position are only range-partitioned together if their other keys are equal too, so that a group of exact
+    copies spreads over as many as 65,536 partitions, and equal bits change no row.
     """
-    place = F.shiftleft(F.col(f"{POSITION}.file"), 40).bitwiseXOR(F.col(f"{POSITION}.row"))
-    return lines.withColumn(POSITION, place)
+    place = F.col(f"{POSITION}.file").bitwiseXOR(F.col(f"{POSITION}.row")).bitwiseAND(F.lit(0xFFFF))
+    return lines.withColumn(POSITION, place.cast("int"))
 
 
 def positioned_role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

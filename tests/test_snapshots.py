@@ -172,3 +172,17 @@ def test_queries_after_a_metadata_query_equal_their_sql(spark, tmp_path):
         made = digest([tuple(r[c] for c in sorted(names)) for r in got.collect()])
         at = [names.index(c) for c in sorted(names)]
         assert sorted(got.columns) == sorted(names) and made == digest([tuple(r[i] for i in at) for r in want.fetchall()]), name
+
+
+def test_billing_shuffles_classes_of_values_that_are_only_compared(spark, source):
+    """Quantities, sizes, states and arrivals go through the shuffles in one number; nulls are in the last class."""
+    t = {n: table(spark, source, n) for n in RL.BUILDERS["billing"][1]}
+    held = RL.billing_rows(t)
+    assert not {"l_quantity", "p_size", "o_orderstatus", "estado_flt", "a_tiempo"} & set(held.columns) and len(held.columns) <= 16
+    odd = spark.createDataFrame([(0, None), (1, 20.0), (2, 20.5), (3, 40.0), (4, 49.5), (5, 50.0)], "k long, q double")
+    q = F.col("q")
+    made = odd.withColumn(RL.CLASSES, RL._class(RL.FLT, q > 30) + RL._class(RL.QUANTITY, q <= 20, q <= 40, q < 50) + RL._class(RL.SIZE, q <= 20, q <= 40))
+    classes = [[n for n in range(4) if r[n]] for r in made.orderBy("k").select(*[RL._is_class(RL.QUANTITY, n) for n in range(4)]).collect()]
+    assert classes == [[3], [0], [1], [1], [2], [3]]
+    assert [tuple(r) for r in made.orderBy("k").select(RL._is_class(RL.FLT, 0), RL._is_class(RL.SIZE, 2)).collect()] == [
+        (False, True), (False, False), (False, False), (True, False), (True, True), (True, True)]
