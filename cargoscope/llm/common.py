@@ -44,12 +44,16 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
     """Cut the lineage at a table written to the shared folder: losing an executor then costs a re-read, and the
-    planner sees the table's real size instead of an estimate that grows with every join before it."""
+    planner sees the table's real size instead of an estimate that grows with every join before it.
+
+    ``files``: the most files that the table is written in, for tables that many shuffle partitions would leave in
+    scraps. On a local or mounted folder Hadoop starts processes for the modes of each file and folder that a task makes.
+    """
     spark = df.sparkSession
     path = fresh_dir(spark, "table")
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,7 +18,9 @@ signature sketches collide often enough and enough of their shingles are held by
 is lost.
 
 Joins of signatures, postings and sets are hinted to sort and merge: the files of the written tables are compressed,
-and their size must not make the planner broadcast a side that grows with the corpus.
+and their size must not make the planner broadcast a side that grows with the corpus. Some seventy tables are written
+on the way: the files of those whose rows are bounded are counted by the rows of the input, not by the session's shuffle
+partitions; tables of whole shingle sets or bitmaps keep the partitions that make them.
 
 Defined results: texts without words (null, empty or white space) have ``n_shingles`` 0 and link with nothing; a row
 without an id links with nothing, has no component and is kept; rows that share an id count as one node; the smallest
@@ -45,6 +47,9 @@ SIMILAR = 75
 COORDINATES = 64
 MATCHES = 28
 STAR_ROUNDS = 3
+#: A table of bounded rows is written in one file for so many rows of the input at most, or FEWEST_FILES if that is less.
+ROWS_A_FILE = 8_000
+FEWEST_FILES = 4
 _SEED = 20240607
 
 _SIGN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("signature", pa.list_(pa.int64())), *((f"s{i}", pa.int64()) for i in range(4))])
@@ -166,79 +171,80 @@ def _collisions(x: str, y: str):
     return total
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, files: int) -> DataFrame:
     """The pairs (a, b) of nodes that are links on their full shingle sets."""
-    candidates = cut(pairs.distinct())
+    candidates = cut(pairs.distinct(), files)
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = cut(texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(_sets, "node long, shingles array<long>"))
     joined = candidates.join(sets.hint("merge").select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.hint("merge").select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
     common = F.size(F.array_intersect("xa", "xb"))
-    return cut(joined.where(100 * common >= SIMILAR * (F.size("xa") + F.size("xb") - common)).select("a", "b").distinct())
+    return cut(joined.where(100 * common >= SIMILAR * (F.size("xa") + F.size("xb") - common)).select("a", "b").distinct(), files)
 
 
-def _still_mixed(named: DataFrame) -> DataFrame:
+def _still_mixed(named: DataFrame, files: int) -> DataFrame:
     """Postings of lists that hold several components."""
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    return cut(named.join(mixed, "key", "left_semi"))
+    return cut(named.join(mixed, "key", "left_semi"), files)
 
 
-def _undecided(postings: DataFrame, labels: DataFrame) -> DataFrame:
+def _undecided(postings: DataFrame, labels: DataFrame, files: int) -> DataFrame:
     """Postings of lists that still hold several components, each with its component."""
-    return _still_mixed(postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    return _still_mixed(postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), files)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     signed = cut(texts.mapInArrow(_sign, _SIGN_DDL))
+    files = max(FEWEST_FILES, -(-signed.count() // ROWS_A_FILE))
     usable = signed.where("n > 0 and doc_id is not null")
-    classes = cut(usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node")))
+    classes = cut(usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node")), files)
     carried = ["node", "n", "s0", "s1", "s2", "s3"]
     nodes = usable.withColumnRenamed("doc_id", "node").join(classes, ["n", "f1", "f2", "node"], "left_semi")
     # A node has a row for each of its texts.
-    nodes = cut(nodes.select(*carried, "f1", "f2", "signature").dropDuplicates(["node", "n", "f1", "f2"]).drop("f1", "f2"))
+    nodes = cut(nodes.select(*carried, "f1", "f2", "signature").dropDuplicates(["node", "n", "f1", "f2"]).drop("f1", "f2"), files)
     # Rows that share an id are one node: the classes of such an id are linked.
     text_class = F.struct("n", "f1", "f2")
-    several = cut(usable.groupBy("doc_id").agg(F.min(text_class).alias("lo"), F.max(text_class).alias("hi")).where("lo <> hi").select("doc_id"))
+    several = cut(usable.groupBy("doc_id").agg(F.min(text_class).alias("lo"), F.max(text_class).alias("hi")).where("lo <> hi").select("doc_id"), files)
     by_id = usable.join(several, "doc_id").join(classes, ["n", "f1", "f2"]).select("doc_id", "node").distinct()
-    links = cut(by_id.join(by_id.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct())
+    links = cut(by_id.join(by_id.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct(), files)
 
     # Lists that two or more nodes share; a node's unshared postings are the rarest, so they fill its prefix first.
     posted = nodes.select("node", F.explode("signature").alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     prefix = F.slice(F.sort_array(F.collect_list(F.struct("df", "key"))), F.lit(1), F.greatest(F.count("*") - MATCHES + 1, F.lit(0)).cast("int"))
     lists = posted.hint("merge").join(shared, "key").groupBy("node").agg(F.count("*").alias("shared"), prefix.alias("prefix")).where(F.col("shared") >= MATCHES)
-    postings = cut(lists.hint("merge").join(nodes.drop("signature"), "node").select(*carried, "shared", F.explode("prefix.key").alias("key")))
+    postings = cut(lists.hint("merge").join(nodes.drop("signature"), "node").select(*carried, "shared", F.explode("prefix.key").alias("key")), files)
     node_texts = texts.withColumnRenamed("doc_id", "node")
 
     labels = docs.sparkSession.createDataFrame([], "node long, component long")
     left = postings.withColumn("component", F.col("node"))
     for turn in range(STAR_ROUNDS):
         if turn:
-            left = _undecided(postings, labels)
+            left = _undecided(postings, labels, files)
         # First the member that shares most, then one drawn anew per list and round.
         rank = F.struct("shared", (-F.col("node")).alias("rank")) if not turn else F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("rank"))
         pivot = F.max(F.struct(rank.alias("rank"), F.col("node").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"), *(F.col(f"s{i}").alias(f"p{i}") for i in range(4))))
         pivots = left.groupBy("key").agg(pivot.alias("pivot")).select("key", "pivot.*").drop("rank")
         met = left.hint("merge").join(pivots, "key").where((F.col("component") != F.col("pc")) & _similar_sizes(F.col("n"), F.col("pn")) & (_collisions("s", "p") >= MATCHES))
         best = met.groupBy("node", "p").agg(F.count("*").alias("times")).groupBy("node").agg(F.max(F.struct("times", (-F.col("p")).alias("p"))).alias("best")).select("node", (-F.col("best.p")).alias("p"))
-        found = _confirmed(best.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")), node_texts)
-        links = cut(links.union(found))
-        labels = components(links)
+        found = _confirmed(best.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")), node_texts, files)
+        links = cut(links.union(found), files)
+        labels = components(links, files)
 
     # Every pair of a list in different components. First an exact bound: the shingles that no other undecided node
     # holds are in no intersection, and a node that has too many of them links with nothing more.
-    left = _undecided(postings, labels)
+    left = _undecided(postings, labels, files)
     sets = cut(node_texts.join(left.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_sets, "node long, shingles array<long>"))
     holders = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
     alone = holders.where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
     alone = alone.join(several.withColumnRenamed("doc_id", "node"), "node", "left_anti")  # no bound for nodes of several texts
     left = left.join(alone, "node", "left").withColumn("held", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-    left = _still_mixed(cut(left.where(100 * F.col("held") >= SIMILAR * F.col("n"))))
+    left = _still_mixed(cut(left.where(100 * F.col("held") >= SIMILAR * F.col("n")), files), files)
     # A second exact bound, by a pivot per list: what two members have in common lies inside the pivot's set, where
     # bitmaps tell it, or outside, where each has only so many shingles that others hold.
     pivots = left.groupBy("key").agg(F.max(F.struct("held", (-F.col("node")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("pivot"))
-    left = cut(left.join(pivots, "key"))
+    left = cut(left.join(pivots, "key"), files)
     seen = left.select("node", "pivot").distinct().join(sets.hint("merge"), "node").join(sets.hint("merge").select(F.col("node").alias("pivot"), F.col("shingles").alias("frame")), "pivot")
     seen = seen.select("node", "pivot", "shingles", "frame").mapInArrow(_bitmaps, "node long, pivot long, inside array<long>, n_inside long")
     left = cut(left.hint("merge").join(seen, ["node", "pivot"]).withColumn("outside", F.col("held") - F.least("held", "n_inside")))
@@ -256,9 +262,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     inside = F.aggregate(F.zip_with("xi", "yi", lambda v, w: F.bit_count(v.bitwiseAND(w))), F.lit(0), lambda v, w: v + w)
     close = reaches(F.least("xh", "yh")) & (_collisions("x", "y") >= MATCHES) & reaches(inside + F.least("xo", "yo"))
     pairs = one.hint("merge").join(other, ["key", "size_class"]).where(apart & _similar_sizes(F.col("xn"), F.col("yn")) & close)
-    rest = _confirmed(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), node_texts)
+    rest = _confirmed(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), node_texts, files)
     if not rest.isEmpty():
-        labels = components(links.union(rest))
+        labels = components(links.union(rest), files)
 
     by_class = classes.join(labels, "node", "left").select("n", "f1", "f2", F.coalesce("component", "node").alias("class_component"))
     out = signed.select("doc_id", "n", "f1", "f2").join(by_class, ["n", "f1", "f2"], "left")

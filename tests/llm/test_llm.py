@@ -80,6 +80,30 @@ def test_minhash_equals_brute_force(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_minhash_writes_files_by_rows_not_by_shuffle_partitions(spark, monkeypatch):
+    """Many shuffle partitions would leave every table of a round in as many scraps; its rows and the result stay."""
+    docs, _ = documents(spark)
+    want = sorted(map(str, minhash.near_duplicates(docs).collect()))
+    files, whole = [], ("text", "shingles", "inside", "signature")
+    for module in (minhash, components):
+        def counted(df, *most, own=module.cut):
+            out = own(df, *most)
+            if not set(out.columns) & set(whole):
+                files.append(len(out.inputFiles()))
+            return out
+        monkeypatch.setattr(module, "cut", counted)
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert sorted(map(str, minhash.near_duplicates(docs).collect())) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 20 and max(files) <= 4
+
+
 def test_rows_that_share_an_id(spark):
     """Differing texts under one id are one node with the links of all of them; one row of a group stays."""
     rng = random.Random(9)
