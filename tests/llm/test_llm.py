@@ -145,6 +145,65 @@ def test_vectors_are_replicated_only_where_the_triangle_inequality_asks():
     assert all((b, int(angles[a].argmin())) in cells for a, b in near)  # each partner is in the vector's own cell
 
 
+def dealt_vectors(monkeypatch, raw, k):
+    """Vectors, their ids and weights as ``_deal`` packs them for tiles of at most 64, with what ``_join`` asks for beside them."""
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(vectors, "DEAL_ROWS", 100)
+    shared = lambda value: type("Shared", (), {"value": value})
+    dim = raw.shape[1]
+    unit = vectors._unit(raw.ravel(), dim)
+    pivots = vectors.in_chain(vectors.choose_pivots(unit, k))
+    angles = vectors._angles(unit, pivots)
+    home = angles.argmin(1)
+    radii = {(dim, c): angles[home == c, c].max() for c in range(k)}
+    places, total, tiles = vectors.lay_out({(dim, c): int((home == c).sum()) for c in range(k)})
+    batch = vectors.pa.RecordBatch.from_arrays([vectors.pa.array(np.arange(len(raw)) * 7), vectors.pa.array(raw.tolist()), vectors.pa.array(np.arange(len(raw)) % 3 + 1)], names=["rep", "vector", "weight"])
+    reach = float(np.arccos(0.9))
+    made = vectors.pa.Table.from_batches(vectors._deal(shared({dim: pivots}), radii, reach, places, total)([batch])).sort_by("tile")
+    return unit, made, total, (shared({dim: pivots}), shared({dim: vectors.shortening(unit, 0.9)}), radii, reach, 0.9, np.float64, total)
+
+
+def test_each_pair_of_vectors_meets_in_one_tile(monkeypatch):
+    raw = np.random.default_rng(2).normal(size=(600, 12))  # no structure: the range reaches into every cell
+    unit, made, total, _ = dealt_vectors(monkeypatch, raw, 30)
+    met, copies = np.zeros((600, 600), int), 0
+    for tile in made["tile"].unique().to_pylist():
+        sides = {}
+        for row in made.filter(vectors.pa.compute.equal(made["tile"], tile)).to_pylist():
+            sides.setdefault(row["block"], []).extend(np.frombuffer(row["rep"], np.int64) // 7)
+        copies += sum(map(len, sides.values()))
+        if tile // total == tile % total or len(sides) == 2:
+            x, y = list(sides.values())[0], list(sides.values())[-1]
+            met[np.ix_(x, y)] += 1
+            if tile // total != tile % total:
+                met[np.ix_(y, x)] += 1
+    near = np.arccos(np.clip(unit @ unit.T, -1, 1)) <= np.arccos(0.9)
+    assert met.max() == 1 and (met[near] == 1).all()
+    assert copies <= 600 * total and total < 15  # one copy a block; the 30 cells cost no copy each
+
+
+@pytest.mark.parametrize("dense", [0.0, 1 / 32, 2.0])
+def test_tiles_equal_brute_force(monkeypatch, dense):
+    monkeypatch.setattr(vectors, "DENSE", dense)
+    monkeypatch.setattr(vectors, "STRIP_ROWS", 16)
+    monkeypatch.setattr(vectors, "STRIP_COLUMNS", 24)
+    monkeypatch.setattr(vectors, "HELD_LINKS", 50)
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=12)
+    at_edge = [[9.0] + [0.0] * 11, [9.0, 0.0, np.sqrt(19.0)] + [0.0] * 9, [9.0, np.sqrt(19.0)] + [0.0] * 10]  # cosines of 0.9, or just beside
+    raw = np.concatenate([rng.normal(size=(200, 12)), centre + rng.normal(scale=0.1, size=(180, 12)), at_edge, [centre * 1e150, centre * 1e-150]])
+    unit, made, _, rest = dealt_vectors(monkeypatch, raw, 7)
+    got = vectors.pa.Table.from_batches(vectors._join(*rest)(made.to_batches(max_chunksize=5))).to_pandas()
+    link = vectors.linked(unit, unit, raw, raw, 0.9) & ~np.eye(len(raw), dtype=bool)
+    want = link @ (np.arange(len(raw)) % 3 + 1)
+    counts = got[got.links > 0].groupby("a").links.sum()
+    assert {a // 7: n for a, n in counts.items()} == {i: n for i, n in enumerate(want) if n}
+    edges = got[got.links == 0]
+    assert all(link_of[0] > link_of[1] for link_of in edges[["a", "b"]].to_numpy())
+    comp = reach(list(range(len(raw))), [(int(a) // 7, int(b) // 7) for a, b in edges[["a", "b"]].to_numpy()])
+    assert comp == reach(list(range(len(raw))), [(int(a), int(b)) for a, b in np.argwhere(link)]) and link.sum() > 30_000
+
+
 @pytest.mark.parametrize("least", [1, 6])
 def test_vectors_equal_brute_force(spark, monkeypatch, least):
     monkeypatch.setattr(vectors, "LEAST_CELLS", least)
