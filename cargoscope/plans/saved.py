@@ -243,7 +243,7 @@ class SavedViews:
         schemas: dict[str, dict] = {}
 
         def write(name: str, frame: DataFrame, by_month: bool = True) -> None:
-            writer = frame.write.mode("errorifexists")
+            writer = frame.write.mode("errorifexists").option("compression", "zstd")
             (writer.partitionBy(MONTH) if by_month else writer).parquet(f"{self.base}/{name}/run={run['id']}")
 
         def write_partials(name: str, fresh: DataFrame, keys: list[str]) -> None:

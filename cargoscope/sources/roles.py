@@ -56,12 +56,14 @@ ROLE_ALIASES = {"freight": "billing", "validated": "billing"}
 # from the scan: a task that runs again after a lost executor gives each row the same key, so no row changes
 # partition between attempts. A number given after the joins would depend on the order of fetched blocks.
 POSITION = "__position__"
+# The line's number, its position's bits and its classes in one number, which sorts in this order: see billing_rows.
+PLACE = "__place__"
 # trips keeps its join partitioning and is clustered inside each file by the columns its equality filters
 # use most (plant, then zone).
 LINE_ORDERS = "line_orders"
 MATERIALISED = {
     LINE_ORDERS: ((), (), None),
-    "billing": (("fecha_creacion", "l_orderkey", "l_linenumber", POSITION), ("nombre_compania", "estado_contable", "fecha_creacion"), "mes_creacion"),
+    "billing": (("fecha_creacion", "l_orderkey", PLACE), ("nombre_compania", "estado_contable", "fecha_creacion"), "mes_creacion"),
     "trips": ((), ("origen_carga", "zona"), None),
     "dispatch": ((), (), None),
 }
@@ -116,10 +118,33 @@ def _join_lines_to_orders(t: dict[str, DataFrame], orders: DataFrame) -> DataFra
     return li.join(orders.hint("merge"), li["l_orderkey"] == F.col("o_orderkey"))
 
 
-def build_line_orders(t: dict[str, DataFrame]) -> DataFrame:
-    """The lines with their order, customer and nation: what billing and trips have in common."""
+#: Text columns of lineitem that may have few values, and the most that they may have to be shuffled as seven bits.
+CODED_FLAGS = ("l_returnflag", "l_linestatus")
+MOST_FLAGS = 127
+
+
+def flag_lists(t: dict[str, DataFrame]) -> dict[str, list[str]]:
+    """The values of the columns of CODED_FLAGS that have few."""
+    return few_values(t["lineitem"], {c: c for c in CODED_FLAGS}, MOST_FLAGS)
+
+
+def build_line_orders(t: dict[str, DataFrame], lists: dict[str, list[str]] | None = None) -> DataFrame:
+    """The lines with their order, customer and nation: what billing and trips have in common.
+
+    With ``lists`` (see :func:`flag_lists`) the line's number, short position and flags go through the join's shuffle as
+    one number.
+    """
+    place = [POSITION] if POSITION in t["lineitem"].columns else []
+    if lists is not None:
+        flags = {c: 7 * i for i, c in enumerate(CODED_FLAGS) if c in lists}
+        held = [c for c in LINE_ORDER_COLUMNS if c.startswith("l_") and c != "l_linenumber" and c not in flags]
+        low = _coded(lists, flags) + (F.shiftleft(F.col(POSITION).cast("long"), 14) if place else F.lit(0).cast("long"))
+        t = t | {"lineitem": t["lineitem"].select(*held, (_number_or_null("l_linenumber", 31) + low).alias(PLACE))}
     x = _join_lines_to_orders(t, _orders_with_customer(t))
-    return x.select(*LINE_ORDER_COLUMNS, *([POSITION] if POSITION in x.columns else []))
+    if lists is not None:
+        x = x.withColumns({"l_linenumber": _number_back(31), **_decoded(lists, flags, PLACE, 127)})
+        x = x.withColumns({POSITION: F.shiftright(F.col(PLACE), 14).bitwiseAND(F.lit(0xFFFF)).cast("int")} if place else {})
+    return x.select(*LINE_ORDER_COLUMNS, *place)
 
 
 def _lines(t: dict[str, DataFrame]) -> DataFrame:
@@ -152,11 +177,66 @@ def _is_class(place: int, number: int) -> Column:
     return F.shiftright(F.col(CLASSES), place).bitwiseAND(F.lit(3)) == number
 
 
-def billing_rows(t: dict[str, DataFrame]) -> DataFrame:
+#: Text columns of billing that may have few values; those that do go through the shuffles as a byte each of one number,
+#: by their number in a list of the values that the build finds.
+CODES = "__codes__"
+CODED_LINES = {"nombre_compania": "cn_nation", "l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus",
+               "o_orderpriority": "o_orderpriority", "c_mktsegment": "c_mktsegment"}
+CODED_PARTS = ("p_name", "p_brand", "p_type")
+CODED = {name: 8 * i for i, name in enumerate((*CODED_LINES, *CODED_PARTS))}
+#: Most values of a coded column (number 0 stands for null), and their greatest length.
+MOST_CODES, MOST_CODED_LENGTH = 255, 200
+
+
+def few_values(frame: DataFrame, columns: dict[str, str], most: int) -> dict[str, list[str]]:
+    """The values of each column (name -> column) that has at most ``most`` of them, none of them long; the others aren't
+    in it. Only such lists reach the driver."""
+    seen = frame.agg(*[F.approx_count_distinct(c).alias(f"n_{name}") for name, c in columns.items()],
+                     *[F.max(F.length(c)).alias(f"l_{name}") for name, c in columns.items()]).first()
+    few = {name: c for name, c in columns.items() if seen[f"n_{name}"] <= most and (seen[f"l_{name}"] or 0) <= MOST_CODED_LENGTH}
+    if not few:
+        return {}
+    lists = frame.agg(*[F.collect_set(c).alias(name) for name, c in few.items()]).first()
+    return {name: sorted(lists[name]) for name in few if len(lists[name]) <= most}
+
+
+def value_lists(t: dict[str, DataFrame]) -> dict[str, list[str]]:
+    """The values of the columns of CODED that have few."""
+    return few_values(_lines(t), CODED_LINES, MOST_CODES) | few_values(t["part"], {c: c for c in CODED_PARTS}, MOST_CODES)
+
+
+def _coded(lists: dict[str, list[str]], places: dict[str, int]) -> Column:
+    """The numbers of the columns that have a list, each at its place; 0 stands for null."""
+    made = F.lit(0).cast("long")
+    for name, place in places.items():
+        if name in lists:
+            at = F.array_position(F.lit(lists[name]), F.col(name))
+            unknown = F.raise_error(F.concat(F.lit(f"a value of {name} came up during the build: "), F.col(name))).cast("long")
+            made = made.bitwiseOR(F.shiftleft(F.coalesce(F.when(at > 0, at).when(F.col(name).isNotNull(), unknown), F.lit(0).cast("long")), place))
+    return made
+
+
+def _decoded(lists: dict[str, list[str]], places: dict[str, int], number: str, mask: int) -> dict[str, Column]:
+    """The columns that :func:`_coded` made numbers of."""
+    return {c: F.get(F.lit(lists[c]), F.shiftright(F.col(number), p).bitwiseAND(F.lit(mask)).cast("int") - 1) for c, p in places.items() if c in lists}
+
+
+def _number_or_null(column: str, place: int) -> Column:
+    """An int at ``place``; the bit below it is set for null."""
+    return F.coalesce(F.shiftleft(F.col(column).cast("int").cast("long"), place), F.lit(1 << (place - 1)).cast("long"))
+
+
+def _number_back(place: int) -> Column:
+    return F.when(F.shiftright(F.col(PLACE), place - 1).bitwiseAND(F.lit(1)) == 0, F.shiftright(F.col(PLACE), place).cast("int"))
+
+
+def billing_rows(t: dict[str, DataFrame], lists: dict[str, list[str]] | None = None) -> DataFrame:
     """The joined lines of billing with what their mapping needs, each value once: this is what the write shuffles.
 
     Lines are cut down before the join with part, which shuffles them once part is too large for a broadcast; the
-    supplier's name is added after it. Values that the mapping only compares go as classes.
+    supplier's name is added after it. Values that the mapping only compares go as classes. With ``lists`` (see
+    :func:`value_lists`) the columns in it go as CODES, and the line's number, short position and classes as PLACE, which
+    :func:`billing_keys` and :func:`billing_columns` take apart: a shuffled row's size is mostly its number of columns.
     """
     s = t["supplier"].select("s_suppkey", "s_name")
     p = t["part"].select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
@@ -176,16 +256,28 @@ def billing_rows(t: dict[str, DataFrame]) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate",
         "o_orderpriority", "c_name", "c_mktsegment", *place,
     )
+    sizes = _class(SIZE, col("p_size") <= 10, col("p_size") <= 30)
+    numbers = [(col(CLASSES) + sizes).alias(CLASSES)]
+    if lists is not None:
+        low = col(CLASSES).cast("long") + (F.shiftleft(col(POSITION).cast("long"), 10) if place else F.lit(0).cast("long"))
+        lines = lines.select("*", _coded(lists, {c: CODED[c] for c in CODED_LINES}).alias(CODES),
+                             (_number_or_null("l_linenumber", 27) + low).alias(PLACE)
+                             ).drop("l_linenumber", CLASSES, *place, *[c for c in CODED_LINES if c in lists])
+        p = p.select("*", _coded(lists, {c: CODED[c] for c in CODED_PARTS}).alias("p_codes"), sizes.cast("long").alias("p_sizes")).drop("p_size", *[c for c in CODED_PARTS if c in lists])
+        numbers = [col(CODES).bitwiseOR(col("p_codes")).alias(CODES), (col(PLACE) + col("p_sizes")).alias(PLACE)]
     x = lines.join(p, col("l_partkey") == col("p_partkey")).join(s, col("l_suppkey") == col("s_suppkey"))
     return x.select(
-        *[c for c in lines.columns if c not in ("l_partkey", "l_suppkey", CLASSES)], "p_name", "p_brand", "p_type",
+        *[c for c in lines.columns if c not in ("l_partkey", "l_suppkey", CLASSES, CODES, PLACE)],
+        *[c for c in CODED_PARTS if c in p.columns],
         F.when(col("s_suppkey") % 33 == 0, F.lit("")).otherwise(col("s_name")).alias("transportista"),
-        (col(CLASSES) + _class(SIZE, col("p_size") <= 10, col("p_size") <= 30)).alias(CLASSES),
+        *numbers,
     )
 
 
-def billing_keys(x: DataFrame) -> DataFrame:
+def billing_keys(x: DataFrame, lists: dict[str, list[str]] | None = None) -> DataFrame:
     """The mapped columns that rows are sorted by inside a file, beside those of :func:`billing_rows`."""
+    if lists is not None:
+        x = x.withColumns(_decoded(lists, {"nombre_compania": CODED["nombre_compania"]}, CODES, 255)).withColumn(CLASSES, F.col(PLACE).bitwiseAND(F.lit(1023)).cast("int"))
     return x.withColumns({
         "estado_contable": F.when(_is_class(STATUS, 0), F.lit("Facturado")).when(_is_class(STATUS, 1), F.lit("Sin Facturar"))
         .when(_is_class(STATUS, 2), F.lit("Anulado")),
@@ -193,6 +285,12 @@ def billing_keys(x: DataFrame) -> DataFrame:
     })
 
 
+def billing_columns(x: DataFrame, lists: dict[str, list[str]]) -> DataFrame:
+    """What :func:`map_billing` maps, from the rows of :func:`billing_rows` with ``lists``; a projection."""
+    places = {c: p for c, p in CODED.items() if c not in x.columns}
+    return x.withColumns({"l_linenumber": _number_back(27), **_decoded(lists, places, CODES, 255)})
+
+
 def map_billing(x: DataFrame) -> DataFrame:
     """The billing columns; a projection, so the order of rows stays."""
     col = F.col
@@ -313,8 +411,11 @@ BUILDERS = {
     "dispatch": (build_dispatch, ("lineitem", "supplier", "nation")),
 }
 
-# Roles whose joined rows are shuffled narrow: (rows, in-file sort keys from them, the mapping after the sort).
-LATE = {"billing": (billing_rows, billing_keys, map_billing)}
+# Roles whose rows are shuffled narrow, by lists of values that the build finds: (the lists, the rows).
+NARROW = {LINE_ORDERS: (flag_lists, build_line_orders), "billing": (value_lists, billing_rows)}
+# Of those, with a mapping after the sort: (in-file sort keys from the rows, further ones that keep an order's lines together
+# in files, the mapping).
+LATE = {"billing": (billing_keys, ("l_orderkey", PLACE), lambda x, lists: map_billing(billing_columns(x, lists)))}
 # Written roles that are made from the parts of the joined lines; the others read their sources.
 FROM_LINES = ("billing", "trips")
 # The source whose new files a part can be made from alone: the other sources are complete on the join's other side.
@@ -326,7 +427,7 @@ _MEMO: dict[tuple[str, str, str], Snapshot] = {}
 
 
 # Raise this number when a mapping, a file layout or a scalar that the mappings use changes.
-MAPPING_VERSION = 7
+MAPPING_VERSION = 8
 
 
 def _root(base: str, sf_dir: str, name: str) -> str:
@@ -400,15 +501,21 @@ def read_parts(spark: SparkSession, sf_dir: str, name: str, parts: list[str]) ->
     return reader.option("basePath", parts[0].rsplit("/", 1)[0]).parquet(*parts).select(*schema.names)
 
 
-def _write(frame: DataFrame, name: str, part: str) -> None:
+def _write(t: dict[str, DataFrame], name: str, part: str) -> None:
     """Write the joined rows of a role: range partitions first, then sort keys, the sort and the mapping."""
     range_keys, cluster, folder_col = MATERIALISED[name]
+    make_lists, rows = NARROW.get(name, (lambda t: None, lambda t, lists: BUILDERS[name][0](t)))
+    lists = make_lists(t)
+    frame = rows(t, lists)
     if range_keys:
         frame = frame.repartitionByRange(*range_keys)
     if name != LINE_ORDERS and POSITION in frame.columns:
         frame = frame.drop(POSITION)
-    _, keys, mapping = LATE.get(name, (None, None, None))
-    write_skippable(keys(frame) if keys else frame, part, cluster, LOOKUP.get(name, ()), folder_col, finish=mapping)
+    mapping = None
+    if name in LATE:
+        sort_keys, further, late = LATE[name]
+        frame, cluster, mapping = sort_keys(frame, lists), (*cluster, *further), lambda x: late(x, lists)
+    write_skippable(frame, part, cluster, LOOKUP.get(name, ()), folder_col, finish=mapping)
 
 
 def ensure(seen: Snapshot, name: str, base: str, rebuild: bool = False) -> dict:
@@ -418,13 +525,13 @@ def ensure(seen: Snapshot, name: str, base: str, rebuild: bool = False) -> dict:
     lines that they don't cover. Everything else that changed is a full build.
     """
     spark, sf_dir = seen.spark, seen.sf_dir
-    builder, sources = BUILDERS[name]
+    sources = BUILDERS[name][1]
     commits, version = Commits(spark, _root(base, sf_dir, name)), seen.version(sources)
     record = None if rebuild else commits.latest()
     if record and record["version"] == version:
         return record
     _warn_if_skew_handling_off(spark)
-    builder, spark = LATE[name][0] if name in LATE else builder, seen.builder()
+    spark = seen.builder()
     t = {n: table(spark, sf_dir, n) for n in sources}
     seen.check_unchanged(sources)
     parts, made_from = [], []
@@ -436,9 +543,8 @@ def ensure(seen: Snapshot, name: str, base: str, rebuild: bool = False) -> dict:
             parts, made_from = record["parts"], record["made_from"]
         new = [p for p in lines if p not in made_from]
         if new:
-            frame = builder(t | {LINE_ORDERS: read_parts(spark, sf_dir, LINE_ORDERS, new)})
             parts = [*parts, commits.new_part()]
-            _write(frame, name, parts[-1])
+            _write(t | {LINE_ORDERS: read_parts(spark, sf_dir, LINE_ORDERS, new)}, name, parts[-1])
         made_from = lines
     else:
         added = added_files(spark, record, seen.files(sources), version, FACT) if record else None
@@ -446,7 +552,7 @@ def ensure(seen: Snapshot, name: str, base: str, rebuild: bool = False) -> dict:
         if added:
             parts, lineitem = record["parts"], spark.read.schema(lineitem.schema).parquet(*added["lineitem"])
         parts = [*parts, commits.new_part()]
-        _write(builder(t | {"lineitem": _short_position(_positioned(lineitem)) if name == LINE_ORDERS else lineitem}), name, parts[-1])
+        _write(t | {"lineitem": _short_position(_positioned(lineitem)) if name == LINE_ORDERS else lineitem}, name, parts[-1])
     return commits.commit(parts, version, seen.files(sources), made_from)
 
 

@@ -186,3 +186,47 @@ def test_billing_shuffles_classes_of_values_that_are_only_compared(spark, source
     assert classes == [[3], [0], [1], [1], [2], [3]]
     assert [tuple(r) for r in made.orderBy("k").select(RL._is_class(RL.FLT, 0), RL._is_class(RL.SIZE, 2)).collect()] == [
         (False, True), (False, False), (False, False), (True, False), (True, True), (True, True)]
+
+
+def packed_billing(t, lists):
+    held = RL.billing_rows(t, lists).repartitionByRange(5, "fecha_creacion", "l_orderkey", RL.PLACE)
+    return RL.map_billing(RL.billing_columns(RL.billing_keys(held, lists), lists))
+
+
+def test_billing_shuffles_numbers_for_text_of_few_values(spark, source, monkeypatch):
+    t = {n: table(spark, source, n) for n in RL.BUILDERS["billing"][1]}
+    lists, mapped = RL.value_lists(t), rows(RL.build_billing(t))
+    held = RL.billing_rows(t, lists)
+    assert set(lists) == set(RL.CODED) and len(held.columns) <= 8
+    assert [c for c, kind in held.dtypes if kind == "string"] == ["c_name", "transportista"]
+    assert rows(packed_billing(t, lists)) == mapped
+    # Columns of many or long values go as they are.
+    monkeypatch.setattr(RL, "MOST_CODES", 7)
+    few = RL.value_lists(t)
+    assert "p_name" not in few and "nombre_compania" not in few and "l_returnflag" in few
+    assert "p_name" in RL.billing_rows(t, few).columns and rows(packed_billing(t, few)) == mapped
+    monkeypatch.setattr(RL, "MOST_CODED_LENGTH", 0)
+    assert RL.value_lists(t) == {} and rows(packed_billing(t, {})) == mapped
+    # A value that the lists lack is an error, not another value.
+    with pytest.raises(Exception, match="a value of p_brand came up"):
+        packed_billing(t, lists | {"p_brand": lists["p_brand"][1:]}).collect()
+
+
+def test_billing_packs_any_line_number_and_missing_values(spark, source):
+    t = {n: table(spark, source, n) for n in RL.BUILDERS["billing"][1]}
+    odd = F.expr("CASE l_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN -l_linenumber WHEN 2 THEN 2147483647 WHEN 3 THEN -2147483648 ELSE 0 END")
+    lineitem = RL._short_position(RL._positioned(t["lineitem"])).withColumns({
+        "l_linenumber": odd.cast("int"), "l_returnflag": F.when(F.col("l_suppkey") % 2 == 0, F.col("l_returnflag")),
+        "l_linestatus": F.when(F.col("l_suppkey") % 3 == 0, "").otherwise(F.col("l_linestatus")), "l_quantity": F.when(F.col("l_suppkey") % 4 != 0, F.col("l_quantity"))})
+    part = t["part"].withColumns({"p_brand": F.lit(None).cast("string"), "p_size": F.when(F.col("p_partkey") % 2 == 0, F.col("p_size"))})
+    t |= {"lineitem": lineitem, "part": part}
+    lists = RL.value_lists(t)
+    assert lists["p_brand"] == [] and "" in lists["l_linestatus"]
+    assert rows(packed_billing(t, lists)) == rows(RL.build_billing(t | {"lineitem": lineitem.drop(RL.POSITION)}))
+    lines = t | {"lineitem": lineitem}
+    flags = RL.flag_lists(lines)
+    narrow, plain = RL.build_line_orders(lines, flags), RL.build_line_orders(lines)
+    assert set(flags) == set(RL.CODED_FLAGS) and narrow.dtypes == plain.dtypes and rows(narrow) == rows(plain)
+    assert rows(RL.build_line_orders(lines, {})) == rows(plain)
+    joined = narrow._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_position" in joined  # what the join shuffles is the number, not its parts
